@@ -139,10 +139,24 @@ def steps_text(steps: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.transform(steps, one), "|"), F.lit("")), F.lit("none"))
 
 
+def fixed2(x: Column) -> Column:
+    """Two decimals of a non-negative double, rounding its exact binary value half to even.
+
+    The JVM formatter rounds the shortest decimal text instead, which differs at ties.
+    """
+    whole = F.floor(x).cast("bigint")
+    scaled = (x - whole) * F.lit(float(2**53))
+    bits = F.floor(scaled).cast("bigint")
+    q = F.call_function("div", bits * 100, F.lit(2**53))
+    rest = bits * 100 - q * (2**53)
+    up = (rest > 2**52) | ((rest == 2**52) & ((scaled > bits) | (q % 2 == 1)))
+    cents = whole * 100 + q + up.cast("bigint")
+    return F.concat(F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def screens_tall(height: Column, viewport: Column) -> Column:
-    return F.when(
-        (height > 0) & (viewport > 0), F.format_string("%.2f", height.cast("double") / viewport.cast("double"))
-    ).otherwise("-1")
+    tall = height.cast("double") / F.nullif(viewport.cast("double"), F.lit(0.0))
+    return F.when((height > 0) & (viewport > 0), fixed2(tall)).otherwise("-1")
 
 
 def console_text(args: Column) -> Column:

@@ -22,6 +22,8 @@ def running(
     *,
     sums: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    least: Mapping[str, Column] | None = None,
+    most: Mapping[str, Column] | None = None,
     max_before: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
@@ -29,12 +31,13 @@ def running(
     """Add ordered columns to ``df``.
 
     sums        running sum up to and including the row
-    totals      sum over the whole key
+    totals      sum over the whole key; least, most: smallest and largest over the whole key
     max_before  largest non-null value strictly before the row
     previous    value on the row just before, following: just after
     ``chunk`` must never decrease along ``order`` within a key; keys must be non-null.
     """
     sums, totals = dict(sums or {}), dict(totals or {})
+    least, most = dict(least or {}), dict(most or {})
     max_before, previous, following = dict(max_before or {}), dict(previous or {}), dict(following or {})
     keys, order = list(keys), list(order)
     rows = df.withColumn("_chunk", chunk)
@@ -45,6 +48,8 @@ def running(
         summary.append(F.sum(value).alias(f"_s_{name}"))
     for name, value in totals.items():
         summary.append(F.sum(value).alias(f"_t_{name}"))
+    summary += [F.min(value).alias(f"_t_{name}") for name, value in least.items()]
+    summary += [F.max(value).alias(f"_t_{name}") for name, value in most.items()]
     for name, value in max_before.items():
         summary.append(F.max(value).alias(f"_m_{name}"))
     for name, value in previous.items():
@@ -59,6 +64,8 @@ def running(
     carried = [F.col(k) for k in keys] + [F.col("_chunk")]
     carried += [F.sum(f"_s_{n}").over(earlier).alias(f"_s_{n}") for n in sums]
     carried += [F.sum(f"_t_{n}").over(whole).alias(n) for n in totals]
+    carried += [F.min(f"_t_{n}").over(whole).alias(n) for n in least]
+    carried += [F.max(f"_t_{n}").over(whole).alias(n) for n in most]
     carried += [F.max(f"_m_{n}").over(earlier).alias(f"_m_{n}") for n in max_before]
     carried += [F.lag(f"_p_{n}").over(by_chunk).alias(f"_p_{n}") for n in previous]
     carried += [F.lead(f"_f_{n}").over(by_chunk).alias(f"_f_{n}") for n in following]
@@ -81,7 +88,7 @@ def running(
     out = [F.col(c) for c in df.columns]
     for name in sums:
         out.append((F.col(f"_ls_{name}") + F.coalesce(F.col(f"_s_{name}"), F.lit(0))).alias(name))
-    out += [F.col(name) for name in totals]
+    out += [F.col(name) for name in (*totals, *least, *most)]
     for name in max_before:
         out.append(F.greatest(f"_lm_{name}", f"_m_{name}").alias(name))
     for name in previous:
