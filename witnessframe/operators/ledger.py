@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_ms, manifest_line, metadata_value, safe_segment
+from ..functions.values import js_number, js_string
+from ..plans.skew import join_unique
+
 # Fact names by timing field.
 TIMING_FACTS = {
     "capture.timing.redirect-ms": "redirect",
@@ -30,3 +34,263 @@ def timing_facts(timing: Column) -> Column:
         absent = F.lit("" if field == "protocol" else "-1")
         pairs += [F.lit(fact), F.coalesce(F.try_element_at(timing, F.lit(field)), absent)]
     return F.create_map(*pairs)
+
+
+# Manifest lines before the observed facts, and the object fields they print.
+MANIFEST_LINES = (
+    ("bucket", "bucket"), ("key", "key"), ("version-id", "version_id"), ("sha256", "sha256"), ("content-length", "content_length"),
+    ("content-type", "content_type"), ("last-modified", "last_modified"), ("etag", "etag"), ("attested-at-utc", "attested_at_utc"),
+)
+
+# Response headers that may be published.
+HEADER_ALLOWLIST = (
+    "age", "cache-control", "content-encoding", "content-length", "content-type", "date", "etag", "expires", "last-modified",
+    "location", "server", "vary", "via", "x-amz-cf-id", "x-amz-cf-pop", "x-cache", "x-content-type-options", "x-frame-options",
+)
+
+# Read-only operation names and services evidence may be read from.
+READ_ONLY = "^(Describe|Get|List|Head|Lookup|Query|Scan|BatchGet|Filter)[A-Za-z0-9]*$"
+SERVICES = (
+    "dynamodb", "sfn", "ssm", "cloudwatch-logs", "sts", "cloudformation", "cloudwatch", "s3", "s3tables", "glue", "athena",
+    "lambda", "ses", "iam", "service-quotas", "ce",
+)
+SAFE_INTEGER = 9007199254740991
+
+
+def canonical_manifest(observed: Column, header: str) -> Column:
+    """One line per object field, then observed facts by key; ``header`` names the canonical form."""
+    lines = [F.lit(header + "\n")] + [manifest_line(F.lit(name), F.col(field)) for name, field in MANIFEST_LINES]
+    facts = F.transform(
+        F.array_sort(F.map_entries(observed)), lambda e: manifest_line(F.concat(F.lit("observed."), e["key"]), e["value"])
+    )
+    return F.concat(*lines, F.array_join(facts, ""))
+
+
+def statements(objects: DataFrame, header: str) -> DataFrame:
+    """Objects with their manifest and its digest."""
+    out = objects.withColumn("manifest", canonical_manifest(F.col("observed"), header))
+    return out.withColumn("manifest_sha256", F.sha2("manifest", 256))
+
+
+def evidence_key(env: Column, issue: Column, digest: Column, stamp: Column, suffix: Column) -> Column:
+    """``env/issue-evidence/issue-n/digest/stamp-env-suffix``; a content digest keeps the key repeatable."""
+    folder = F.concat(F.lit("issue-"), safe_segment(issue))
+    return F.concat_ws("/", env, F.lit("issue-evidence"), folder, digest, F.concat_ws("-", stamp, safe_segment(env), suffix))
+
+
+def first_writers(objects: DataFrame, key: str, order: str) -> DataFrame:
+    """Flag every row but the first of its key. Copies of one content may be a large
+    part of the table, so the first id joins back instead of ranking all copies."""
+    first = objects.groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    out = join_unique(objects, first, [key], "_copies", [order])
+    return out.withColumn("deduplicated", F.col(order) > F.col("_first")).drop("_first", "_copies")
+
+
+def put_if_absent(objects: DataFrame, stored_keys: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows to append: first of their key and not stored yet."""
+    first = objects.groupBy(key).agg(F.min(order).alias(order))
+    fresh = first.join(stored_keys.select(key).distinct(), key, "left_anti")
+    return objects.join(fresh, [key, order], "left_semi")
+
+
+def posted_identities(comments: DataFrame, body: str, tag: str) -> DataFrame:
+    """Distinct identities whose marker stands on a line of its own in a comment."""
+    pattern = f"\\n<!-- {tag}-identity: ([0-9a-f]{{64}}) -->(?=\\n)"
+    return comments.select(F.explode(F.regexp_extract_all(body, F.lit(pattern), 1)).alias("identity")).distinct()
+
+
+def reuse_receipts(objects: DataFrame, comments: DataFrame, body: str, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(objects already posted, objects still to post)."""
+    posted = posted_identities(comments, body, tag)
+    return objects.join(posted, "identity", "left_semi"), objects.join(posted, "identity", "left_anti")
+
+
+def check_statements(stored: DataFrame, objects: DataFrame, on: list[str], rules: dict[str, tuple[str, str]]) -> DataFrame:
+    """Compare stored statements with recomputed ones; the first failing rule is named.
+
+    ``rules`` maps a rule name to the (stored, recomputed) columns; nulls equal nulls.
+    """
+    pairs = stored.join(objects, on)
+    failures = [F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(name)) for name, (a, b) in rules.items()]
+    return pairs.withColumn("failed_rule", F.coalesce(*failures)).withColumn("all_ok", F.col("failed_rule").isNull())
+
+
+def latest_execution(executions: DataFrame) -> DataFrame:
+    """Newest execution per environment whatever its state."""
+    fields = [c for c in executions.columns if c != "env"]
+    newest = executions.groupBy("env").agg(F.max_by(F.struct(*fields), F.struct("start_date", "execution_id")).alias("e"))
+    return newest.select("env", "e.*")
+
+
+def finalizer_payload(raw: Column) -> Column:
+    """struct(mode, exit_code) of a scheduled input that carries ``mode``, else null.
+
+    A truthy ``Payload`` member is unwrapped; a non-numeric exit code is blank.
+    """
+    parsed = F.try_parse_json(raw)
+    inner = F.try_variant_get(parsed, "$.Payload", "variant")
+    inner_text = F.try_variant_get(parsed, "$.Payload", "string")
+    wrapped = inner.isNotNull() & ~F.coalesce(F.is_variant_null(inner), F.lit(False)) & ~F.coalesce(inner_text.isin("", "false", "0"), F.lit(False))
+    body = F.when(wrapped, inner).otherwise(parsed)
+    mode = F.try_variant_get(body, "$.mode", "variant")
+    text = F.try_variant_get(body, "$.mode", "string")
+    mode_text = F.when(F.is_variant_null(mode) | text.isin("", "false", "0"), "").otherwise(text)
+    code = F.try_variant_get(body, "$.exitCode", "string")
+    raw_code = F.try_variant_get(body, "$.exitCode", "variant")
+    number = F.when(raw_code.isNull(), F.lit(float("nan"))).otherwise(js_number(code))
+    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return F.when(
+        mode.isNotNull() | F.coalesce(F.is_variant_null(mode), F.lit(False)),
+        F.struct(F.coalesce(mode_text, F.lit("")).alias("mode"), F.when(finite, js_string(number)).otherwise("").alias("exit_code")),
+    )
+
+
+def execution_sha(raw: Column) -> Column:
+    """Trimmed ``sha`` of an execution input, blank when there is none."""
+    return F.coalesce(F.trim(F.try_variant_get(F.try_parse_json(raw), "$.sha", "string")), F.lit(""))
+
+
+def newest_payload(history: DataFrame, keys: list[str]) -> DataFrame:
+    """First event from the newest end that carries a finalizer payload."""
+    found = history.withColumn("_payload", finalizer_payload(F.col("payload"))).where("_payload is not null")
+    return found.groupBy(*keys).agg(F.max_by(F.struct("event_id", "_payload"), "event_id").alias("f")).select(
+        *keys, F.col("f.event_id").alias("event_id"), "f._payload.mode", "f._payload.exit_code"
+    )
+
+
+def ci_snapshot(environments: DataFrame, executions: DataFrame, history: DataFrame) -> DataFrame:
+    """ci facts per environment: newest execution and its finalizer; an environment
+    without any execution carries ``ci_error`` alone."""
+    newest = latest_execution(executions)
+    wanted = newest.select("execution_id")
+    payload = newest_payload(history.join(wanted, "execution_id", "left_semi"), ["execution_id"]).drop("event_id")
+    out = environments.join(newest, "env", "left").join(payload, "execution_id", "left")
+    known = F.col("execution_id").isNotNull()
+    return out.select(
+        "env", "execution_id", F.when(known, execution_sha(F.col("input"))).alias("executed_sha"), "status",
+        F.when(known, iso_ms(F.col("start_date"))).alias("start_date"),
+        F.when(known, F.coalesce("mode", F.lit(""))).alias("finalizer_mode"),
+        F.when(known, F.coalesce("exit_code", F.lit(""))).alias("worker_exit_code"),
+        F.when(~known, F.concat(F.lit("no execution found for "), F.col("env"))).alias("ci_error"),
+    )
+
+
+def redirect_summary(hops: DataFrame, most: int) -> DataFrame:
+    """Per capture: redirects followed, final URL and status, and whether the chain was cut."""
+    redirects = F.col("status").between(300, 399) & (F.coalesce("location", F.lit("")) != "")
+    last = F.max_by(F.struct("url", "status", redirects.alias("more")), "hop")
+    return hops.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"), last.alias("last")).select(
+        "capture_id", (F.col("n") - 1).alias("redirect_count"), F.col("last.url").alias("final_url"), F.col("last.status").alias("final_status"),
+        ((F.col("n") - 1 >= most) & F.col("last.more")).alias("truncated"),
+    )
+
+
+def redirect_facts(hops: DataFrame) -> DataFrame:
+    """Fact rows per hop; hop numbers are zero-padded so key order is hop order."""
+    prefix = F.concat(F.lit("capture.redirect."), F.when(F.col("hop") < 10, F.lpad(F.col("hop").cast("string"), 2, "0")).otherwise(F.col("hop").cast("string")), F.lit("."))
+    facts = F.create_map(
+        F.lit("url"), metadata_value(F.col("url"), 512), F.lit("status"), F.col("status").cast("string"),
+        F.lit("location"), metadata_value(F.col("location"), 512),
+    )
+    return hops.select("capture_id", prefix.alias("prefix"), F.explode(facts).alias("name", "value")).select(
+        "capture_id", F.concat("prefix", "name").alias("fact"), "value"
+    )
+
+
+def header_facts(headers: Column) -> Column:
+    """Allow-listed headers clamped to 512 characters, and how many there were in all."""
+    lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    kept = F.map_filter(lower, lambda k, v: k.isin(*HEADER_ALLOWLIST))
+    named = F.transform_keys(F.transform_values(kept, lambda k, v: metadata_value(v, 512)), lambda k, v: F.concat(F.lit("capture.header."), k))
+    return F.map_concat(named, F.create_map(F.lit("capture.header-count"), F.size(lower).cast("string")))
+
+
+def folded_headers(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(name, value, position) rows to one row per lower-case name; ``values`` stays a list
+    for set-cookie and joins by comma otherwise. Headers of one response are few."""
+    lower = rows.withColumn("name", F.lower("name"))
+    grouped = lower.groupBy(*keys, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("values"))
+    return grouped.withColumn("values", F.when(F.col("name") == "set-cookie", F.col("values")).otherwise(F.array(F.array_join("values", ", "))))
+
+
+def read_only_call(service: Column, operation: Column) -> Column:
+    return operation.rlike(READ_ONLY) & service.isin(*SERVICES)
+
+
+def manifest_key_error(key: Column, environments: list[str]) -> Column:
+    """Message of the first broken rule of a run-manifest key, null for a good one."""
+    grammar = f"^({'|'.join(environments)})/([0-9a-f]{{40}})/([0-9]{{8}}T[0-9]{{6}}Z)/manifest[.]json$"
+    stamp = F.regexp_extract(key, grammar, 3)
+    return F.when(
+        ~key.rlike(grammar) | key.contains("\n"), "key must be <env>/<40-lowercase-hex-sha>/<YYYYMMDDTHHMMSSZ>/manifest.json"
+    ).when(F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss'Z'")).isNull(), "key contains an invalid UTC run timestamp")
+
+
+def claim_target(action: Column, url: Column, env: Column, sha: Column, service: Column, operation: Column, params: Column,
+                 bucket: Column, key: Column, version: Column) -> Column:
+    """What a claim is about, derived from its action."""
+    blank = F.lit("")
+    of_run = F.concat(F.coalesce(env, blank), F.lit("@"), F.coalesce(sha, blank))
+    of_object = F.concat(
+        F.lit("s3://"), bucket, F.lit("/"), F.coalesce(key, blank),
+        F.when(F.coalesce(version, blank) != "", F.concat(F.lit("?versionId="), version)).otherwise(blank),
+    )
+    target = (
+        F.when(action.isin("capture-web-ui-screenshot", "capture-http-raw"), F.coalesce(url, blank))
+        .when(action == "attest-ci-verdict", of_run)
+        .when(action == "attest-aws-resource", F.concat(F.coalesce(service, blank), F.lit("."), F.coalesce(operation, blank), F.lit(" "), F.coalesce(params, F.lit("{}"))))
+        .when(F.coalesce(sha, blank) != "", of_run)
+        .otherwise(of_object)
+    )
+    return F.trim(metadata_value(target, 2000))
+
+
+def claim_context(df: DataFrame, intent: str, category: str, target: str) -> DataFrame:
+    """Checked claim columns, with ``error`` on the first broken rule."""
+    wanted = F.trim(metadata_value(F.col(intent), 1000))
+    side = F.upper(F.trim(metadata_value(F.col(category), 16)))
+    error = (
+        F.when(wanted == "", "published attestation requires intent")
+        .when(~side.isin("BEFORE", "AFTER"), "published attestation category must be BEFORE or AFTER")
+        .when(F.col(target) == "", "published attestation action has no target identity")
+    )
+    return df.select("*", wanted.alias("claim_intent"), side.alias("claim_category"), F.col(target).alias("claim_target"), error.alias("error"))
+
+
+def cookie_rows(df: DataFrame, keys: list[str], raw: str, url: str) -> DataFrame:
+    """Cookies given as an array of objects or as one name/value object, as rows."""
+    text = F.trim(F.coalesce(F.col(raw), F.lit("")))
+    objects = F.from_json(text, "array<struct<name string, value string, url string, domain string, path string>>")
+    listed = df.where(text.startswith("[")).select(*keys, F.explode(objects).alias("c"), F.col(url).alias("_url")).where(
+        (F.coalesce("c.name", F.lit("")) != "") & F.col("c.value").isNotNull()
+    ).select(*keys, "c.name", "c.value", F.coalesce("c.url", "_url").alias("url"))
+    named = df.where(text.startswith("{")).select(*keys, F.explode(F.from_json(text, "map<string,string>")).alias("name", "value"), F.col(url).alias("url"))
+    return listed.unionByName(named)
+
+
+def issue_error(issue: Column, claimed: Column, key: Column) -> Column:
+    """Message when a publication target is no safe positive integer or disagrees with
+    the capture's issue or the issue in the evidence key."""
+    in_key = F.nullif(F.regexp_extract(F.coalesce(key, F.lit("")), "/issue-evidence/issue-([0-9]+)/", 1), F.lit(""))
+    bad = issue.isNull() | F.isnan(issue) | (issue != F.floor(issue)) | (issue <= 0) | (issue > SAFE_INTEGER)
+    return (
+        F.when(bad, "publication requires a positive issue number")
+        .when(claimed.isNotNull() & (claimed != issue), "publication target disagrees with capture issue")
+        .when(in_key.isNotNull() & (in_key.cast("double") != issue), "publication target disagrees with evidence key")
+    )
+
+
+def merge_facts(*sources: DataFrame) -> DataFrame:
+    """(id, fact, value) rows of several sources; a later source overwrites an earlier one."""
+    ranked = [s.select("id", "fact", "value", F.lit(i).alias("source")) for i, s in enumerate(sources)]
+    every = ranked[0]
+    for more in ranked[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("id", "fact").agg(F.max_by("value", "source").alias("value"))
+
+
+def bounded_scan(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Row count per key; reaching the limit is an error, never a truncation."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "error", F.when(F.col("n") >= limit, F.lit(f"deduplication exceeds {limit} comments"))
+    )
