@@ -1 +1,232 @@
+"""Run outcomes over conversations, events, lineitem and pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..functions import values as V
+from ..operators import runs as R
+from ..sources import results
+from ..tables import table
+from .registry import register
+
+OPERATIONS = ["url", "click", "content", "screenshot"]
+
+
+@register(
+    "html_complete",
+    """with t as (select page_id, lower(trim(html)) as h from pages), p as (select page_id, h, instr(h, '<body') as b,
+          case when contains(h, '</body>') then length(h) - instr(reverse(h), '>ydob/<') - 5 else 0 end as bz, instr(h, '<html') as a,
+          case when contains(h, '</html>') then length(h) - instr(reverse(h), '>lmth/<') - 5 else 0 end as az,
+          case when contains(h, '<') then length(h) - instr(reverse(h), '<') + 1 else 0 end as lt,
+          case when contains(h, '>') then length(h) - instr(reverse(h), '>') + 1 else 0 end as gt from t)
+        select page_id, a > 0 and b > 0 and az > 0 and bz > 0 and b <= bz and a <= az and not (lt > 0 and gt < lt) as complete from p""",
+)
+def html_complete(spark, folder):
+    return table(spark, folder, "pages").select("page_id", U.html_complete(F.col("html")).alias("complete"))
+
+
+@register(
+    "html_values",
+    """select page_id, cast(len(regexp_extract_all(html, '(?i)<a[\\s>/]')) as int) as links, cast(len(regexp_extract_all(html, '(?i)<p[\\s>/]')) as int) as paragraphs,
+        regexp_extract_all(html, '(?i)<html\\s(?:[^>]*\\s)?lang="([^"]*)"', 1)[1] as lang,
+        regexp_replace(regexp_extract_all(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1)[1], '<[^>]*>', '', 'g') as title,
+        regexp_extract_all(html, '(?i)<a\\s(?:[^>]*\\s)?href="([^"]*)"', 1)[1] as first_link from pages""",
+)
+def html_values(spark, folder):
+    h = F.col("html")
+    return table(spark, folder, "pages").select(
+        "page_id", R.tag_count(h, "a").alias("links"), R.tag_count(h, "p").alias("paragraphs"), R.tag_attribute(h, "html", "lang").alias("lang"),
+        R.tag_text(h, "title").alias("title"), R.tag_attribute(h, "a", "href").alias("first_link"),
+    )
+
+
+@register(
+    "expectation_check",
+    """with t as (select event_id, event_type, value, props, cast(value as varchar) as vs from events)
+        select event_id, case event_type
+          when 'view' then case when not value >= 5.5 then 'expected >= 5.5, got ' || vs when not value <= 20 then 'expected <= 20, got ' || vs end
+          when 'click' then case when not contains(props, '6') then 'expected to contain 6' end
+          when 'error' then case when true <> false then 'expected truthy=false, got ' || vs end
+          when 'purchase' then case when vs <> '10.5' then 'expected 10.5, got ' || vs end end as failure from t""",
+)
+def expectation_check(spark, folder):
+    spec = ("event_type string, equals string, gte double, lte double, contains string, truthy boolean")
+    expected = spark.createDataFrame(
+        [("view", None, 5.5, 20.0, None, None), ("click", None, None, None, "6", None), ("error", None, None, None, None, False), ("purchase", "10.5", None, None, None, None)], spec
+    )
+    joined = table(spark, folder, "events").join(F.broadcast(expected), "event_type", "left")
+    text = F.when(F.col("event_type") == "click", F.col("props"))
+    failure = R.expectation_failure(
+        V.json_text(F.col("value")), F.col("value"), text, V.truthy_number(F.col("value")),
+        F.col("equals"), F.col("gte"), F.col("lte"), F.col("contains"), F.col("truthy"),
+    )
+    return joined.select("event_id", failure.alias("failure"))
+
+
+@register(
+    "request_validation",
+    """with t as (select *, l_quantity / 10 as scale, l_discount * 15 as mf, l_linenumber % 2 = 0 as rule, l_suppkey % 3 as fb from lineitem)
+        select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, cast(len(list_filter([
+          case when l_linenumber - 1 <= 0 then 'a' end, case when not (scale > 0 and scale <= 4 and (scale <= 1 or scale = floor(scale))) then 'b' end,
+          case when rule and not (mf between 0 and 1) then 'c' end, case when fb > 0 and not rule then 'd' end], lambda e: e is not null)) as int) as n_errors,
+          case when l_linenumber - 1 <= 0 then 'ocr.passes must be a non-empty array of passes'
+            when not (scale > 0 and scale <= 4 and (scale <= 1 or scale = floor(scale))) then 'scale ' ||
+              case when scale = floor(scale) then cast(cast(scale as bigint) as varchar) else cast(scale as varchar) end || ' must be in (0, 1] or a whole factor 2..4'
+            when rule and not (mf between 0 and 1) then 'ocr.stop_when.min_fraction must be a number in [0, 1]'
+            when fb > 0 and not rule then 'ocr.fallback needs ocr.stop_when: without keywords it could never run' end as first_error from t""",
+)
+def request_validation(spark, folder):
+    errors = R.spec_errors(F.col("l_linenumber") - 1, F.col("l_quantity") / 10, F.col("l_discount") * 15, F.col("l_suppkey") % 3, F.col("l_linenumber") % 2 == 0)
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.size(errors).alias("n_errors"), F.get(errors, F.lit(0)).alias("first_error"),
+    )
+
+
+def planned_steps(spark, folder):
+    turn = F.col("turn")
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("run_id"), turn.alias("idx"), F.when(turn % 3 != 1, name(turn % 6)).alias("id"),
+        F.element_at(F.array(*[F.lit(o) for o in [*OPERATIONS, "hover"]]), (F.length("text") % 5 + 1).cast("int")).alias("op"),
+        F.when(turn == 2, name(F.length("text") % 4)).alias("if_ok"), F.when(turn == 3, F.lit("s3")).alias("if_failed"),
+        F.when(turn == 4, F.lit("s9")).alias("if_html_incomplete"), (F.length("text") * 200).cast("bigint").alias("timeout_ms"),
+    )
+
+
+SQL_PLANNED = """p as (select conv_id as run_id, turn as idx, (['url', 'click', 'content', 'screenshot', 'hover'])[length(text) % 5 + 1] as op,
+    case when turn % 3 <> 1 then 's' || (turn % 6) end as raw_id, case when turn = 2 then 's' || (length(text) % 4) end as if_ok,
+    case when turn = 3 then 's3' end as if_failed, case when turn = 4 then 's9' end as if_html_incomplete, length(text) * 200 as timeout_ms from conversations),
+  n as (select *, coalesce(raw_id, idx || ':' || op) as id from p),
+  e as (select n.run_id, n.idx, case
+    when (select count(*) from n c where c.run_id = n.run_id) > 200 then 'too many'
+    when op = 'hover' then 'steps[' || idx || '].op is not one of url,click,content,screenshot'
+    when exists (select 1 from n o where o.run_id = n.run_id and o.id = n.id and o.idx < n.idx) then 'steps[' || idx || '].id ' || id || ' is duplicated'
+    when if_ok is not null and not exists (select 1 from n o where o.run_id = n.run_id and o.id = n.if_ok and o.idx <= n.idx) then 'steps[' || idx || '].if_ok names ' || if_ok || ', which is not an EARLIER step id'
+    when if_failed is not null and not exists (select 1 from n o where o.run_id = n.run_id and o.id = n.if_failed and o.idx <= n.idx) then 'steps[' || idx || '].if_failed names ' || if_failed || ', which is not an EARLIER step id'
+    when if_html_incomplete is not null and not exists (select 1 from n o where o.run_id = n.run_id and o.id = n.if_html_incomplete and o.idx <= n.idx) then 'steps[' || idx || '].if_html_incomplete names ' || if_html_incomplete || ', which is not an EARLIER step id'
+    when not timeout_ms between 0 and 120000 then 'steps[' || idx || '].timeout_ms must be 0..120000' end as error from n)"""
+
+
+@register("step_validation", f"with {SQL_PLANNED} select run_id, idx, error from e")
+def step_validation(spark, folder):
+    return R.step_errors(planned_steps(spark, folder), OPERATIONS).select("run_id", "idx", "error")
+
+
+@register("step_rejects", f"with {SQL_PLANNED} select run_id, arg_min(error, idx) as error from e where error is not null group by 1")
+def step_rejects(spark, folder):
+    return R.split_rejects(R.step_errors(planned_steps(spark, folder), OPERATIONS))[1]
+
+
+def gated_steps(spark, folder):
+    turn, size = F.col("turn"), F.length("text")
+    gate = lambda at, names: F.when(turn == at, names)
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("run_id"), turn.alias("idx"), F.concat(F.lit("s"), turn.cast("string")).alias("id"),
+        F.when(turn.isin(1, 4), "screenshot").otherwise("content").alias("op"), (size % 3 == 0).alias("optional"),
+        F.when(turn == 2, "s0").when(turn == 5, "s4").alias("if_ok"), F.when(turn == 3, "s1").when(turn == 6, "s2").alias("if_failed"),
+        gate(7, F.lit("s5")).alias("if_html_incomplete"), (size % 5 != 0).alias("raw_ok"), (size % 7 != 0).alias("started"), (size % 2 == 0).alias("html_complete"),
+    )
+
+
+SQL_GATED = """recursive s as (select conv_id as run_id, turn as idx, 's' || turn as id, turn in (1, 4) as image, length(text) % 3 = 0 as optional,
+    case turn when 2 then 's0' when 5 then 's4' end as if_ok, case turn when 3 then 's1' when 6 then 's2' end as if_failed,
+    case turn when 7 then 's5' end as if_html, length(text) % 5 <> 0 as raw_ok, length(text) % 7 <> 0 as started, length(text) % 2 = 0 as html from conversations),
+  walk as (
+    select distinct run_id, -1::bigint as idx, false as stopped, true as all_ok, []::struct(id varchar, skipped boolean, ok boolean, pending boolean, optional boolean, final boolean, html boolean)[] as res from s
+    union all
+    select run_id, idx, stopped or halt, all_ok and not halt, list_append(res, {'id': id, 'skipped': skip, 'ok': case when skip then false when image and started then true else raw_ok end,
+        'pending': not skip and image and started, 'optional': optional, 'final': raw_ok, 'html': not skip and html})
+    from (select *, not skip and not (image and started) and not raw_ok and not optional as halt from (
+      select *, stopped
+        or (if_ok is not null and coalesce(len(list_filter(res, lambda r: r.id = if_ok and not r.skipped and r.ok)), 0) = 0)
+        or (if_failed is not null and coalesce(len(list_filter(res, lambda r: r.id = if_failed and not r.skipped and not r.ok)), 0) = 0)
+        or (if_html is not null and coalesce(len(list_filter(res, lambda r: r.id = if_html and r.html)), 0) > 0) as skip from (
+      select w.run_id, s.idx, s.id, image, s.optional, if_ok, if_failed, if_html, raw_ok, started, s.html,
+        w.stopped or coalesce(len(list_filter(w.res, lambda r: r.pending and r.id in (coalesce(if_ok, ''), coalesce(if_failed, ''), coalesce(if_html, '')) and not r.final and not r.optional)), 0) > 0 as stopped,
+        w.all_ok and coalesce(len(list_filter(w.res, lambda r: r.pending and r.id in (coalesce(if_ok, ''), coalesce(if_failed, ''), coalesce(if_html, '')) and not r.final and not r.optional)), 0) = 0 as all_ok,
+        list_transform(w.res, lambda r: case when r.pending and r.id in (coalesce(if_ok, ''), coalesce(if_failed, ''), coalesce(if_html, ''))
+          then {'id': r.id, 'skipped': r.skipped, 'ok': r.final, 'pending': false, 'optional': r.optional, 'final': r.final, 'html': r.html} else r end) as res
+      from walk w join s on s.run_id = w.run_id and s.idx = w.idx + 1)))),
+  fin as (select run_id, all_ok and len(list_filter(res, lambda r: r.pending and not r.final and not r.optional)) = 0 as all_ok, res from walk w
+    where idx = (select max(idx) from s where s.run_id = w.run_id))"""
+
+
+@register("run_outcomes", f"with {SQL_GATED} select run_id, all_ok, cast(len(res) as int) as n_steps, cast(len(list_filter(res, lambda r: r.skipped)) as int) as n_skipped from fin")
+def run_outcomes(spark, folder):
+    return R.run_outcomes(gated_steps(spark, folder)).select(
+        "run_id", "all_ok", F.size("results").alias("n_steps"), F.size(F.filter("results", lambda r: r["skipped"])).alias("n_skipped")
+    )
+
+
+@register(
+    "run_step_results",
+    f"""with {SQL_GATED} select run_id, all_ok, r.id as id, r.skipped as skipped, case when not r.skipped then case when r.pending then r.final else r.ok end end as ok
+        from (select run_id, all_ok, unnest(res) as r from fin)""",
+)
+def run_step_results(spark, folder):
+    return R.step_results(R.run_outcomes(gated_steps(spark, folder))).drop("idx")
+
+
+@register(
+    "step_deadlines",
+    """with e as (select event_id, user_id, event_type, epoch_us(ts) // 1000 as now, cast(value * 2000000 as bigint) as lim,
+          last_value(case when event_type = 'signup' then epoch_us(ts) // 1000 + cast(floor(value * 2000000) as bigint) end ignore nulls) over
+            (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as deadline from events)
+        select event_id, coalesce(deadline - now <= 0, false) as exhausted, case when deadline is null then 3600000 when deadline - now > 0 then least(deadline - now, 3600000) end as remaining_ms from e""",
+)
+def step_deadlines(spark, folder):
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = F.unix_millis("ts")
+    out = R.deadlines(
+        e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("event_type") == "signup",
+        F.floor(F.col("value") * 2_000_000).cast("bigint"), F.lit(3_600_000).cast("bigint"), now,
+    )
+    return out.select("event_id", "exhausted", "remaining_ms")
+
+
+@register(
+    "interception_rules",
+    """with t as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':[0-9]+$', '') as host from pages)
+        select page_id, case when regexp_matches(url, '[?&]ref=') then 'abort' when regexp_matches(url, '/fr/') then 'fulfill:0'
+          when regexp_matches(url, 'net/') then 'fulfill:1' when host = 'm.ththre.example.org' then 'headers:0' else 'continue' end as action,
+          case when (contains(url, 'page=') or contains(url, '#')) and page_id % 2 = 0 then 'abort' else 'continue' end as blocked from t""",
+)
+def interception_rules(spark, folder):
+    url = F.col("url")
+    return table(spark, folder, "pages").select(
+        "page_id", R.interception(url, U.host(url), ["[?&]ref="], ["/fr/", "net/"], ["m.ththre.example.org"]).alias("action"),
+        R.blocked(url, F.col("page_id") % 2 == 1, ["page=", "#"]).alias("blocked"),
+    )
+
+
+def envelopes(spark, folder):
+    """Run envelopes as JSON text, one per conversation turn."""
+    c = table(spark, folder, "conversations")
+    doc = F.to_json(F.struct(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("run_id"), (F.col("role") == "user").alias("ok"), F.col("text").alias("final_url"),
+        F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.cast("string").alias("id"), line.alias("value"), F.length(line).cast("bigint").alias("elapsed_ms"))).alias("steps"),
+        F.split("role", "s").alias("console_errors"), F.struct(F.length("text").cast("bigint").alias("total_ms")).alias("timings"),
+    ))
+    return results.parse_runs(c.select(doc.alias("line")), "line")
+
+
+@register(
+    "source_run_steps",
+    """select conv_id * 100 + turn as run_id, cast(i - 1 as int) as idx, cast(i - 1 as varchar) as id, line as value, length(line) as elapsed_ms from (
+        select conv_id, turn, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from conversations)""",
+)
+def source_run_steps(spark, folder):
+    return results.steps(envelopes(spark, folder)).select("run_id", "idx", "id", "value", "elapsed_ms")
+
+
+@register(
+    "source_run_tables",
+    """select conv_id * 100 + turn as run_id, role = 'user' as ok, text as final_url, length(text) as total_ms, cast(len(string_split(role, 's')) as bigint) as n_console from conversations""",
+)
+def source_run_tables(spark, folder):
+    e = envelopes(spark, folder)
+    console = results.console_errors(e).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_console"))
+    return results.runs(e).join(console, "run_id")
