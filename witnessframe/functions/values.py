@@ -102,7 +102,8 @@ def sample_step(width: Column, height: Column, most: int = 1_500_000) -> Column:
     w, h = width.cast("bigint"), height.cast("bigint")
     last = F.ceil(F.sqrt(w * h / F.lit(float(most)))).cast("int") + 1
     fits = F.filter(F.sequence(F.lit(1), last), lambda s: F.floor(w / s) * F.floor(h / s) <= most)
-    return F.element_at(fits, F.lit(1))
+    # Most frames need no thinning, so the search is only made beyond that.
+    return F.when(w * h <= most, F.lit(1)).otherwise(F.element_at(fits, F.lit(1)))
 
 
 def numeric_members(m: Column) -> Column:
