@@ -202,14 +202,15 @@ def marker_hashes(spark, folder):
 
 @register(
     "near_captures",
-    f"""with {SQL_P}, {sql_gallery('words[1] as w').replace('select image_id, words[1] as w from words', ', known as (select w, count(*) as copies, min(image_id) as first from (select image_id, words[1] & 1103806595071 as w from words) group by 1)')}
-        select cast(a.w as bigint) as word_a, cast(b.w as bigint) as word_b, a.copies as copies_a, b.copies as copies_b, a.first as image_a, b.first as image_b, cast(bit_count(xor(a.w, b.w)) as int) as distance
-        from known a join known b on a.w < b.w and bit_count(xor(a.w, b.w)) <= 2""",
+    f"""with {SQL_P}, {sql_gallery('words[5] as w').replace('select image_id, words[5] as w from words', ', known as (select w, count(*) as copies, min(image_id) as first from (select image_id, words[5] as w from words) group by 1)')}
+        select lower(to_hex(a.w)) as word_a, lower(to_hex(b.w)) as word_b, a.copies as copies_a, b.copies as copies_b, a.first as image_a, b.first as image_b, cast(bit_count(xor(a.w, b.w)) as int) as distance
+        from known a join known b on (case when a.w >= 9223372036854775808 then a.w::hugeint - 18446744073709551616 else a.w::hugeint end) < (case when b.w >= 9223372036854775808 then b.w::hugeint - 18446744073709551616 else b.w::hugeint end) and bit_count(xor(a.w, b.w)) <= 2""",
 )
 def near_captures(spark, folder):
-    # The top row of the difference grid and one bit of the others: few enough bits for copies to occur.
-    words = X.gallery_words(pixels(spark, folder)).select("image_id", F.get("words", F.lit(0)).bitwiseAND(F.lit(1103806595071)).alias("word"))
-    return X.near_words(words, "word")
+    # The first word of the brightness half: pixels decide its bits one by one.
+    words = X.gallery_words(pixels(spark, folder)).select("image_id", F.get("words", F.lit(4)).alias("word"))
+    pairs = X.near_words(words, "word")
+    return pairs.withColumn("word_a", F.lower(F.hex("word_a"))).withColumn("word_b", F.lower(F.hex("word_b")))
 
 
 SQL_GRAY = """mm as (select image_id, min(l8) as lo, max(l8) as hi from p group by 1),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.luma import axis_taps, luma_8p8, luma_f, luma_milli, span_high, span_low, stretch_8p8, stretch_float, stretch_int
 from ..functions.values import sample_step
 from ..plans.skew import join_unique
+from ..session import durable
 
 # Sampling budget, band and cell thresholds of the paint checks.
 SAMPLE_BUDGET = 1_500_000
@@ -225,7 +226,7 @@ def near_words(signatures: DataFrame, word: str) -> DataFrame:
     Identical captures collapse first. Words within two bits share a neighbour at one bit,
     and at most 65 distinct words have the same neighbour, so no group can grow.
     """
-    known = signatures.groupBy(word).agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("first_image"))
+    known = durable(signatures.groupBy(word).agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("first_image")))
     one = F.lit(1).cast("bigint")
     around = F.array(F.col(word), *[F.col(word).bitwiseXOR(F.shiftleft(one, i)) for i in range(64)])
     ball = known.select(word, F.explode(around).alias("near"))
