@@ -38,14 +38,15 @@ def flame_offsets(nodes: DataFrame) -> DataFrame:
     that offset over its ancestors gives its start. Equal siblings are ranked apart from
     distinct values, so many siblings of one value spread over tasks too.
     """
-    parts = nodes.withColumn("parent", F.regexp_replace("node", ";?[^;]*$", "")).withColumn("name", F.regexp_extract("node", "([^;]*)$", 1))
+    parts = durable(nodes).withColumn("parent", F.regexp_replace("node", ";?[^;]*$", "")).withColumn("name", F.regexp_extract("node", "([^;]*)$", 1))
     values = parts.groupBy("parent", "ms").agg(F.count(F.lit(1)).alias("_n")).withColumn("_down", -F.col("ms"))
     larger = running(values, ["parent"], ["_down"], magnitude(F.col("_down")), sums={"_upto": F.col("ms") * F.col("_n")})
     base = larger.select("parent", "ms", (F.col("_upto") - F.col("ms") * F.col("_n")).alias("_base"), "_n")
     equal = running(parts, ["parent", "ms"], ["name"], F.left("name", F.lit(3)), sums={"_rank": F.lit(1).cast("bigint")})
-    placed = join_unique(equal, base, ["parent", "ms"], "_n", ["name"]).select(
+    # Nodes are distinct stack prefixes, far fewer than samples; fixed here as they are used four times below.
+    placed = durable(join_unique(equal, base, ["parent", "ms"], "_n", ["name"]).select(
         "node", "ms", (F.col("_base") + F.col("ms") * (F.col("_rank") - 1)).alias("offset")
-    )
+    ))
     frames = F.split("node", ";")
     ancestors = F.explode(F.transform(F.sequence(F.lit(1), F.size(frames)), lambda i: F.array_join(F.slice(frames, F.lit(1), i), ";")))
     paths = placed.select(F.col("node").alias("leaf"), ancestors.alias("node"))
