@@ -13,7 +13,7 @@ from .scalars import WS
 
 
 def reads(spark, folder):
-    c = table(spark, folder, "conversations")
+    c = table(spark, folder, "conversations", spread=True)
     wave = F.when(F.col("turn") < 3, "passes").otherwise("fallback")
     return c.select(F.col("conv_id").alias("shot_id"), F.col("turn").alias("seq"), wave.alias("wave"), "text")
 
@@ -156,7 +156,7 @@ def wave_union(spark, folder):
         on contains(lower(trim(regexp_replace(d.text, '{WS}', ' ', 'g'))), lower(trim(regexp_replace(b.text, '{WS}', ' ', 'g'))))""",
 )
 def containment(spark, folder):
-    return C.containment(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return C.containment(table(spark, folder, "documents", spread=True), table(spark, folder, "benchmark"))
 
 
 SQL_WORDS = """list_transform(list_filter(list_transform(regexp_split_to_array(text, '[^\\p{L}\\p{M}\\p{N}$,.]+'),
@@ -165,7 +165,7 @@ SQL_WORDS = """list_transform(list_filter(list_transform(regexp_split_to_array(t
 
 @register("words_by_language", f"select lang, word, count(*) as n from (select lang, unnest({SQL_WORDS}) as word from documents) group by 1, 2")
 def words_by_language(spark, folder):
-    return C.word_counts(table(spark, folder, "documents"), ["lang"], "text")
+    return C.word_counts(table(spark, folder, "documents", spread=True), ["lang"], "text")
 
 
 SQL_BAGS = f"""w as (select conv_id, role, word, count(*) as n from (select conv_id, role, unnest({SQL_WORDS}) as word from conversations) group by 1, 2, 3),
@@ -174,7 +174,7 @@ SQL_BAGS = f"""w as (select conv_id, role, word, count(*) as n from (select conv
 
 
 def bags(spark, folder):
-    counts = C.word_counts(table(spark, folder, "conversations"), ["conv_id", "role"], "text")
+    counts = C.word_counts(table(spark, folder, "conversations", spread=True), ["conv_id", "role"], "text")
     return [counts.where(F.col("role") == r).drop("role") for r in ("user", "assistant")]
 
 

@@ -25,6 +25,11 @@ def norm_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, WHITESPACE, " ")))
 
 
+def blank(c: Column) -> Column:
+    """Nothing but whitespace; decided at the first other character."""
+    return ~F.coalesce(c.rlike("[^" + WHITESPACE[1:-1]), F.lit(False))
+
+
 def tokens(c: Column) -> Column:
     """Whitespace tokens of the normalized text; blank text has none."""
     return F.filter(F.split(norm_text(c), " "), lambda t: t != "")

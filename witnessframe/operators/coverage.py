@@ -15,19 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, tokens
+from ..functions.text import blank, norm_text, tokens
 from ..functions.values import pass_defaults
 from ..plans.ordered import running
-from ..plans.skew import join_unique
+from ..plans.skew import join_unique, small_side
 from ..session import durable
 
-GRAM = 4
+# Join keys are three characters of a token, or one where it is shorter.
+GRAM = 3
+WINDOW = 4
 CHUNK = 4096
 
 
 def token_stream(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Passes with their tokens, the running token position and the next pass's first token."""
-    passes = reads.select("shot_id", "seq", tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    passes = reads.where(~blank(F.col("text"))).select("shot_id", "seq", tokens(F.col("text")).alias("toks"))
     head = F.struct(F.element_at("toks", 1).alias("tok"), F.col("seq").alias("seq"))
     placed = running(
         passes, ["shot_id"], ["seq"], F.floor(F.col("seq") / chunk),
@@ -53,36 +55,39 @@ def _adjacent(stream: DataFrame) -> DataFrame:
     )
 
 
+def _reach(tok: Column) -> Column:
+    return F.when(F.length(tok) >= GRAM, F.lit(GRAM)).otherwise(F.lit(1))
+
+
 def _grams(tok: Column) -> Column:
-    """Distinct substrings of 1..GRAM characters."""
+    """Distinct substrings of one and of GRAM characters."""
 
     def of(q):
         starts = F.sequence(F.lit(1), F.greatest(F.length(tok) - q + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.substring(tok, i, F.lit(q)))
 
-    return F.array_distinct(F.concat(*[of(q) for q in range(1, GRAM + 1)]))
+    return F.array_distinct(F.concat(of(1), of(GRAM)))
 
 
-def _inside_tokens(reads: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+def _inside_tokens(reads: DataFrame, phrases: DataFrame, keys: list[str], extent: tuple[int, int]) -> DataFrame:
     vocabulary = reads.select("shot_id", "seq", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("shot_id", "tok").agg(F.min("seq").alias("seq"))
     words = vocabulary.select("shot_id", "tok", "seq", F.explode(_grams(F.col("tok"))).alias("gram"))
-    one = phrases.select(*keys, "phrase", F.left("phrase", F.lit(GRAM)).alias("gram"))
-    return words.join(one, [*keys, "gram"]).where(F.col("tok").contains(F.col("phrase"))).select("shot_id", "phrase", "seq")
+    one = phrases.select(*keys, "phrase", F.left("phrase", _reach(F.col("phrase"))).alias("gram"))
+    return words.join(small_side(one, *extent), [*keys, "gram"]).where(F.col("tok").contains(F.col("phrase"))).select("shot_id", "phrase", "seq")
 
 
-def _begun(stream: DataFrame, phrases: DataFrame, keys: list[str], sizes: list[tuple[int, int]]) -> DataFrame:
+def _begun(stream: DataFrame, phrases: DataFrame, keys: list[str], sizes: list[tuple[int, int]], extent: tuple[int, int]) -> DataFrame:
     """Places where the first two tokens of a phrase match.
 
-    A phrase starts inside or at the end of a token and goes on at the start of the
-    next one; up to GRAM characters on both sides of that space are the join key.
+    A phrase starts inside or at the end of a token and goes on at the start of the next
+    one; characters on both sides of that space are the join key. ``sizes`` lists the key
+    lengths in use, at most four, so a place is tried at most four times.
     """
     first, second = F.get("want", F.lit(0)), F.get("want", F.lit(1))
-    wanted = phrases.select(
-        *keys, "phrase", "want", "k", F.right(first, F.lit(GRAM)).alias("left"), F.left(second, F.lit(GRAM)).alias("right")
-    )
+    wanted = phrases.select(*keys, "phrase", "want", "k", F.right(first, _reach(first)).alias("left"), F.left(second, _reach(second)).alias("right"))
     ends = F.array(*[F.struct(F.right("tok", F.lit(a)).alias("left"), F.left("after", F.lit(b)).alias("right")) for a, b in sizes])
     spots = _adjacent(stream).withColumn("t", F.explode(F.array_distinct(ends))).select("shot_id", "pos", "seq", "tok", "after", "t.*")
-    return spots.join(wanted, [*keys, "left", "right"]).where(
+    return spots.join(small_side(wanted, *extent), [*keys, "left", "right"]).where(
         F.endswith("tok", first) & F.when(F.col("k") == 2, F.startswith("after", second)).otherwise(F.col("after") == second)
     )
 
@@ -95,17 +100,23 @@ def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: in
     """
     parts = phrases.withColumn("want", F.split("phrase", " ")).withColumn("k", F.size("want"))
     shape = [F.least(F.col("k"), F.lit(3)).alias("k")] + [
-        F.least(F.length(F.get("want", F.lit(i))), F.lit(GRAM)).alias(f"q{i}") for i in (0, 1)
+        _reach(F.get("want", F.lit(i))).alias(f"q{i}") for i in (0, 1)
+    ]
+    # Which kinds of phrase there are: at most a dozen rows, whatever the data.
+    kinds = [
+        (r.k, r.q0, r.q1, r.n, r.size)
+        for r in parts.groupBy(*shape).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("phrase") * 3 + 64).alias("size")).collect()
     ]
-    # Which kinds of phrase there are: at most 4 + 2 * 4 * 4 rows, whatever the data.
-    kinds = [tuple(r) for r in parts.select(*shape).distinct().collect()]
-    sizes = sorted({(a, b) for k, a, b in kinds if k > 1})
-    found = [_inside_tokens(reads, parts.where("k = 1"), keys)]
+    extent = (sum(kind[3] for kind in kinds), sum(kind[4] for kind in kinds))
+    sizes = sorted({(a, b) for k, a, b, *_ in kinds if k > 1})
+    found = []
+    if any(kind[0] == 1 for kind in kinds):
+        found.append(_inside_tokens(reads, parts.where("k = 1"), keys, extent))
     if sizes:
         stream = token_stream(reads, chunk)
-        begun = _begun(stream, parts.where("k > 1"), keys, sizes)
+        begun = _begun(stream, parts.where("k > 1"), keys, sizes, extent)
         found.append(begun.where("k = 2").select("shot_id", "phrase", "seq"))
-        if any(k > 2 for k, _, _ in kinds):
+        if any(kind[0] > 2 for kind in kinds):
             rest = begun.where("k > 2").select(
                 "shot_id", "phrase", "k", F.col("pos").alias("from"), F.posexplode(F.slice("want", F.lit(3), F.col("k") - 2)).alias("i", "word")
             ).select("shot_id", "phrase", "k", "from", (F.col("from") + F.col("i") + 2).alias("pos"), "word", (F.col("i") == F.col("k") - 3).alias("last"))
@@ -116,8 +127,8 @@ def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: in
                 followed.groupBy("shot_id", "phrase", "k", "from").agg(F.count(F.lit(1)).alias("found"), F.max("seq").alias("seq"))
                 .where(F.col("found") == F.col("k") - 2).select("shot_id", "phrase", "seq")
             )
-        if not any(k == 1 for k, _, _ in kinds):
-            found = found[1:]
+    if not found:
+        return reads.select("shot_id", F.lit("").alias("phrase"), "seq").where(F.lit(False))
     both = found[0]
     for more in found[1:]:
         both = both.unionByName(more)
@@ -129,7 +140,7 @@ def keyword_hits(reads: DataFrame, keywords: DataFrame, chunk: int = CHUNK) -> D
 
     ``first_seq`` is null for a keyword no pass completes; duplicates stay separate rows.
     """
-    wanted = keywords.withColumn("phrase", norm_text(F.col("keyword"))).where("phrase <> ''")
+    wanted = keywords.where(~blank(F.col("keyword"))).withColumn("phrase", norm_text(F.col("keyword")))
     hits = phrase_hits(reads, wanted.select("shot_id", "phrase").distinct(), ["shot_id"], chunk)
     return wanted.join(hits.withColumnRenamed("seq", "first_seq"), ["shot_id", "phrase"], "left").select(
         "shot_id", "kw_pos", "keyword", "first_seq"
@@ -243,35 +254,44 @@ def wave_reads(planned: DataFrame) -> DataFrame:
 def containment(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, item_id) where the normalized document contains the normalized phrase.
 
-    Phrases of four or more tokens are found through their rarest interior token pair
-    (whole tokens in any match), so only documents holding that pair are compared.
-    Shorter ones go through the positional index.
+    The inner tokens of a phrase are whole tokens in any match. Of phrases with at least
+    four tokens the longest run of up to WINDOW inner ones is the join key, so only
+    documents holding it are compared in full. Shorter phrases use the positional index.
     """
     docs = texts.select("doc_id", norm_text(F.col("text")).alias("doc"))
-    items = phrases.select("item_id", norm_text(F.col("text")).alias("phrase")).where("phrase <> ''")
-    items = items.withColumn("want", F.split("phrase", " "))
+    items = durable(
+        phrases.where(~blank(F.col("text"))).select("item_id", norm_text(F.col("text")).alias("phrase")).withColumn("want", F.split("phrase", " "))
+    )
 
-    def pairs(toks: Column) -> Column:
-        joined = F.zip_with(F.slice(toks, F.lit(1), F.size(toks) - 1), F.slice(toks, F.lit(2), F.size(toks) - 1), lambda a, b: F.concat_ws(" ", a, b))
-        return F.when(F.size(toks) > 1, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+    # ``toks`` below is always a column of its own: inside a lambda an expression would be
+    # evaluated again for every position.
+    def windows(n: int, measure: bool = False) -> Column:
+        def at(i):
+            run = [F.get("toks", i + j) for j in range(n)]
+            key = F.xxhash64(*run)
+            return F.struct(sum((F.length(t) for t in run), F.lit(0)).alias("size"), key.alias("key")) if measure else key
 
-    inner = items.where(F.size("want") >= 4).select(
-        "item_id", F.explode(pairs(F.slice("want", F.lit(2), F.size("want") - 2))).alias("pair")
-    )
-    doc_pairs = docs.select("doc_id", F.explode(pairs(F.filter(F.split("doc", " "), lambda t: t != ""))).alias("pair"))
-    frequency = doc_pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("docs"))
-    rarest = (
-        inner.join(frequency, "pair", "left").groupBy("item_id")
-        .agg(F.min_by("pair", F.struct(F.coalesce("docs", F.lit(0)), "pair")).alias("pair"))
-    )
-    candidates = doc_pairs.join(rarest, "pair").select("doc_id", "item_id")
-    long = (
-        candidates.join(items.select("item_id", "phrase"), "item_id").join(docs, "doc_id")
-        .where(F.col("doc").contains(F.col("phrase"))).select("doc_id", "item_id")
+        return F.transform(F.sequence(F.lit(0), F.size("toks") - n), at)
+
+    inner = items.where(F.size("want") >= 4).select("item_id", F.slice("want", F.lit(2), F.size("want") - 2).alias("toks")).withColumn(
+        "n", F.least(F.size("toks"), F.lit(WINDOW))
     )
+    split = docs.select("doc_id", F.split("doc", " ").alias("toks"))
+    sizes = {r.n: r["count"] for r in inner.groupBy("n").count().collect()}  # n is 2..WINDOW
+    found = None
+    for n, rows in sorted(sizes.items()):
+        anchors = inner.where(F.col("n") == n).select("item_id", F.array_max(windows(n, True))["key"].alias("anchor"))
+        held = split.where(F.size("toks") >= n).select("doc_id", F.explode(F.array_distinct(windows(n))).alias("anchor"))
+        pairs = held.join(small_side(anchors, rows), "anchor").select("doc_id", "item_id")
+        found = pairs if found is None else found.unionByName(pairs)
     brief = items.where(F.size("want") < 4).select("item_id", "phrase")
     single = texts.select(F.col("doc_id").alias("shot_id"), F.lit(0).alias("seq"), "text")
     short = phrase_hits(single, brief.select("phrase").distinct(), []).join(brief, "phrase").select(F.col("shot_id").alias("doc_id"), "item_id")
+    if found is None:
+        return short
+    candidates = durable(found.distinct().join(items.select("item_id", "phrase"), "item_id"))
+    extent = candidates.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("size")).first()
+    long = docs.join(small_side(candidates, extent.n, extent.size), "doc_id").where(F.col("doc").contains(F.col("phrase"))).select("doc_id", "item_id")
     return long.unionByName(short)
 
 

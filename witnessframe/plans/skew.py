@@ -44,3 +44,16 @@ def join_unique(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
     ).drop("_salts")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+# A broadcast side is counted first and goes by shuffle beyond these sizes.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, rows: int, size: int = 0) -> DataFrame:
+    """``df`` as the build side of a join: broadcast when its counted rows and bytes are
+    small, else a sort-merge join (so the other side is never broadcast by mistake)."""
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
+        return F.broadcast(df)
+    return df.hint("merge")
