@@ -118,7 +118,7 @@ def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: in
         found.append(begun.where("k = 2").select("shot_id", "phrase", "seq"))
         if any(kind[0] > 2 for kind in kinds):
             rest = begun.where("k > 2").select(
-                "shot_id", "phrase", "k", F.col("pos").alias("from"), F.posexplode(F.slice("want", F.lit(3), F.col("k") - 2)).alias("i", "word")
+                "shot_id", "phrase", "k", F.col("pos").alias("from"), F.posexplode(F.slice("want", F.lit(3), F.greatest(F.col("k") - 2, F.lit(0)))).alias("i", "word")
             ).select("shot_id", "phrase", "k", "from", (F.col("from") + F.col("i") + 2).alias("pos"), "word", (F.col("i") == F.col("k") - 3).alias("last"))
             followed = rest.join(_positions(stream), ["shot_id", "pos"]).where(
                 F.when(F.col("last"), F.startswith("tok", F.col("word"))).otherwise(F.col("tok") == F.col("word"))
@@ -271,9 +271,10 @@ def containment(texts: DataFrame, phrases: DataFrame) -> DataFrame:
             key = F.xxhash64(*run)
             return F.struct(sum((F.length(t) for t in run), F.lit(0)).alias("size"), key.alias("key")) if measure else key
 
-        return F.transform(F.sequence(F.lit(0), F.size("toks") - n), at)
+        # Null, and so no row, where there are fewer tokens; a filter would normalize the text twice.
+        return F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(0), F.size("toks") - n), at))
 
-    inner = items.where(F.size("want") >= 4).select("item_id", F.slice("want", F.lit(2), F.size("want") - 2).alias("toks")).withColumn(
+    inner = items.where(F.size("want") >= 4).select("item_id", F.slice("want", F.lit(2), F.greatest(F.size("want") - 2, F.lit(0))).alias("toks")).withColumn(
         "n", F.least(F.size("toks"), F.lit(WINDOW))
     )
     split = docs.select("doc_id", F.split("doc", " ").alias("toks"))
@@ -281,7 +282,7 @@ def containment(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     found = None
     for n, rows in sorted(sizes.items()):
         anchors = inner.where(F.col("n") == n).select("item_id", F.array_max(windows(n, True))["key"].alias("anchor"))
-        held = split.where(F.size("toks") >= n).select("doc_id", F.explode(F.array_distinct(windows(n))).alias("anchor"))
+        held = split.select("doc_id", F.explode(F.array_distinct(windows(n))).alias("anchor"))
         pairs = held.join(small_side(anchors, rows), "anchor").select("doc_id", "item_id")
         found = pairs if found is None else found.unionByName(pairs)
     brief = items.where(F.size("want") < 4).select("item_id", "phrase")

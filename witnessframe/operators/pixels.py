@@ -198,18 +198,31 @@ def gallery_hash(pixels: DataFrame) -> DataFrame:
 
 def marker_hashes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """25 signatures per region, one per shift of up to two pixels: 64 differences and 64
-    darkness bits of a 9x8 point grid; points outside the image read as white."""
+    darkness bits of a 9x8 point grid; points outside the image read as white.
+
+    Regions meet whole image rows (complete frames are expected), so a region joins 40
+    rows instead of 1,800 points.
+    """
+    line = F.transform(F.array_sort(F.collect_list(F.struct("x", "luma"))), lambda p: p["luma"])
+    lines = luma(pixels).groupBy("image_id", "y").agg(line.alias("px"))
     axis = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
-    shifts = boxes.where("error is null").withColumn("dy", axis(-2, 2)).withColumn("dx", axis(-2, 2))
-    points = shifts.withColumn("row", axis(0, 7)).withColumn("col", axis(0, 8)).select(
-        "image_id", "name", "dy", "dx", (F.col("row") * 9 + F.col("col")).alias("at"),
-        (F.col("x0") + _div((F.col("col") * 2 + 1) * (F.col("x1") - F.col("x0")), 18) + F.col("dx")).cast("int").alias("x"),
-        (F.col("y0") + _div((F.col("row") * 2 + 1) * (F.col("y1") - F.col("y0")), 16) + F.col("dy")).cast("int").alias("y"),
+    taps = boxes.where("error is null").withColumn("dy", axis(-2, 2)).withColumn("row", axis(0, 7)).withColumn(
+        "y", (F.col("y0") + _div((F.col("row") * 2 + 1) * (F.col("y1") - F.col("y0")), 16) + F.col("dy")).cast("int")
+    )
+    wide = F.col("x1") - F.col("x0")
+    points = F.transform(
+        F.sequence(F.lit(-2), F.lit(2)),
+        lambda dx: F.transform(
+            F.sequence(F.lit(0), F.lit(8)),
+            lambda col: F.coalesce(F.get("px", (F.col("x0") + _div((col * 2 + 1) * wide, 18) + dx).cast("int")), F.lit(255.0)),
+        ),
     )
-    seen = points.join(luma(pixels).select("image_id", "x", "y", "luma"), ["image_id", "x", "y"], "left")
-    # 72 points per signature by construction.
-    grids = seen.groupBy("image_id", "name", "dy", "dx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("luma", F.lit(255.0)).alias("v")))), lambda p: p["v"]).alias("v")
+    seen = taps.join(lines, ["image_id", "y"], "left").select("image_id", "name", "dy", "row", points.alias("points"))
+    # 8 rows of 5 x 9 points per region and dy by construction.
+    rows = seen.groupBy("image_id", "name", "dy").agg(F.array_sort(F.collect_list(F.struct("row", "points"))).alias("rows"))
+    shifts = rows.select("image_id", "name", "dy", "rows", axis(-2, 2).alias("dx"))
+    grids = shifts.select(
+        "image_id", "name", "dy", "dx", F.flatten(F.transform("rows", lambda r: F.get(r["points"], F.col("dx") + 2))).alias("v")
     ).withColumn("m", _in_order_mean(F.col("v"), 72))
     at = lambda i: _div(i, 8).cast("int") * 9 + i % 8
     every = F.sequence(F.lit(0), F.lit(63))
