@@ -232,7 +232,7 @@ def test_finalizer_payload(spark):
         '{"mode":"m","exitCode":3}': ("m", "3"), '{"Payload":{"mode":"x","exitCode":"7"}}': ("x", "7"), '{"mode":null}': ("", ""), '{"x":1}': None,
         "nonsense": None, '{"mode":"m","exitCode":"oops"}': ("m", ""),
     }
-    df = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("p", ledger.finalizer_payload(F.col("raw")))
+    df = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("p", ledger.finalizer_payload(F.try_parse_json("raw")))
     assert {r.raw: r.p and tuple(r.p) for r in df.collect()} == cases
 
 

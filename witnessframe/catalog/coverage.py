@@ -129,23 +129,24 @@ def no_keywords(spark, folder):
 
 @register(
     "coverage_wave_union",
-    """with p as (select conv_id as shot_id, turn, role from conversations),
-        a as (select shot_id, 'passes' as wave, row_number() over (partition by shot_id order by turn) - 1 as index, turn from p where role = 'user'),
-        b as (select shot_id, 'fallback' as wave, row_number() over (partition by shot_id order by turn) - 1 as index, turn from p where role <> 'user'),
-        n as (select shot_id, count(*) as n_passes from a group by 1)
-        select shot_id, wave, cast(index as int) as index, cast(index as int) as seq, cast(turn as int) as psm, 'eng' as lang, 20000000::bigint as pixel_budget from (
-          select shot_id, wave, index, case when turn = 0 then 3 else turn end as turn from a)
-        union all select b.shot_id, wave, cast(index as int), cast(index + coalesce(n_passes, 0) as int), cast(case when turn = 0 then 3 else turn end as int), 'eng', 20000000::bigint from b left join n using (shot_id)""",
+    """with w as (select o_orderkey as shot_id, 'passes' as wave, unnest(range(1 + o_orderkey % 2)) as index, 0 as before, o_custkey % 4 as psm from orders
+          union all select o_orderkey, 'fallback', unnest(range(o_orderkey % 3)), 1 + o_orderkey % 2, o_custkey % 5 from orders)
+        select shot_id, wave, cast(index as int) as index, cast(before + index as int) as seq, cast(case when psm + index = 0 then 3 else psm + index end as int) as psm,
+          'eng' as lang, 20000000::bigint as pixel_budget from w""",
 )
 def wave_union(spark, folder):
-    blank = F.lit(None)
-    each = F.struct(F.col("turn").alias("psm"), blank.cast("string").alias("lang"), blank.cast("int").alias("dpi"),
-                    blank.cast("double").alias("scale"), blank.cast("bigint").alias("pixel_budget"))
-    c = table(spark, folder, "conversations")
-    # A request plans a short list of passes per capture; the arrays below are that request shape.
-    planned = c.groupBy(F.col("conv_id").alias("shot_id")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("role") == "user", each))).alias("passes"),
-        F.array_sort(F.collect_list(F.when(F.col("role") != "user", each))).alias("fallback"),
+    none = F.lit(None)
+
+    def wave(count, psm):
+        one = lambda i: F.struct(
+            (psm + i).alias("psm"), none.cast("string").alias("lang"), none.cast("int").alias("dpi"), none.cast("double").alias("scale"), none.cast("bigint").alias("pixel_budget")
+        )
+        plan = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)).cast("int")), one)
+        return F.when(count > 0, plan).otherwise(F.slice(plan, 1, 0))
+
+    key = F.col("o_orderkey")
+    planned = table(spark, folder, "orders").select(
+        key.alias("shot_id"), wave(1 + key % 2, F.col("o_custkey") % 4).alias("passes"), wave(key % 3, F.col("o_custkey") % 5).alias("fallback")
     )
     return C.wave_reads(planned).select("shot_id", "wave", "index", "seq", "pass.psm", "pass.lang", "pass.pixel_budget")
 

@@ -237,13 +237,14 @@ def header_facts(spark, folder):
 
 @register(
     "ledger_folded_headers",
-    """select o_custkey, lower(o_orderstatus) as name, [string_agg(o_orderpriority, ', ' order by o_orderkey)] as values from orders where o_orderstatus <> 'P' group by 1, 2
-        union all select o_custkey, 'set-cookie', list(o_orderpriority order by o_orderkey) from orders where o_orderstatus = 'P' group by 1""",
+    """select doc_id, 'via' as name, [source || ', ' || lang] as values from documents union all select doc_id, 'set-cookie', [text, lang] from documents
+        union all select doc_id, 'age', [cast(n_chars as varchar)] from documents""",
 )
 def folded_headers(spark, folder):
-    name = F.when(F.col("o_orderstatus") == "P", "Set-Cookie").otherwise(F.col("o_orderstatus"))
-    rows = table(spark, folder, "orders").select("o_custkey", name.alias("name"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("position"))
-    return L.folded_headers(rows, ["o_custkey"])
+    header = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    sent = F.array(header("Via", F.col("source")), header("Set-Cookie", F.col("text")), header("via", F.col("lang")), header("set-cookie", F.col("lang")), header("Age", F.col("n_chars").cast("string")))
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(sent).alias("position", "h")).select("doc_id", "position", "h.*")
+    return L.folded_headers(rows, ["doc_id"])
 
 
 @register(

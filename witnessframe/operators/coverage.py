@@ -239,16 +239,10 @@ def outcomes(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: int
 
 def wave_reads(planned: DataFrame) -> DataFrame:
     """Explode planned ``passes`` and ``fallback`` arrays to one row per pass in reading order."""
-    waves = [
-        planned.select("shot_id", F.lit(i).alias("wave_no"), F.lit(wave).alias("wave"), F.posexplode(wave).alias("index", "pass"))
-        for i, wave in enumerate(("passes", "fallback"))
-    ]
-    both = waves[0].unionByName(waves[1])
-    offset = planned.select("shot_id", F.size("passes").alias("n_passes"))
+    first = planned.select("shot_id", F.lit("passes").alias("wave"), F.posexplode("passes").alias("index", "pass"), F.lit(0).alias("before"))
+    second = planned.select("shot_id", F.lit("fallback").alias("wave"), F.posexplode("fallback").alias("index", "pass"), F.size("passes").alias("before"))
     filled = pass_defaults(*[F.col(f"pass.{f}") for f in ("psm", "lang", "dpi", "scale", "pixel_budget")])
-    return both.join(offset, "shot_id").select(
-        "shot_id", "wave", "index", (F.col("index") + F.when(F.col("wave_no") == 1, F.col("n_passes")).otherwise(0)).alias("seq"), filled.alias("pass")
-    )
+    return first.unionByName(second).select("shot_id", "wave", "index", (F.col("index") + F.col("before")).alias("seq"), filled.alias("pass"))
 
 
 def containment(texts: DataFrame, phrases: DataFrame) -> DataFrame:

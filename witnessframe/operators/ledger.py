@@ -78,12 +78,18 @@ def evidence_key(env: Column, issue: Column, digest: Column, stamp: Column, suff
     return F.concat_ws("/", env, F.lit("issue-evidence"), folder, digest, F.concat_ws("-", stamp, safe_segment(env), suffix))
 
 
-def first_writers(objects: DataFrame, key: str, order: str) -> DataFrame:
-    """Flag every row but the first of its key. Copies of one content may be a large
-    part of the table, so the first id joins back instead of ranking all copies."""
+def first_writers(objects: DataFrame, key: str, order: str, stored_keys: DataFrame | None = None) -> DataFrame:
+    """Flag every row but the first of its key, and all rows of stored keys. Copies of one
+    content may be a large part of the table, so the first id joins back instead of
+    ranking all copies."""
     first = objects.groupBy(key).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    if stored_keys is None:
+        first = first.withColumn("_stored", F.lit(False))
+    else:
+        known = stored_keys.select(key).distinct().withColumn("_stored", F.lit(True))
+        first = first.join(known, key, "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     out = join_unique(objects, first, [key], "_copies", [order])
-    return out.withColumn("deduplicated", F.col(order) > F.col("_first")).drop("_first", "_copies")
+    return out.withColumn("deduplicated", F.col("_stored") | (F.col(order) > F.col("_first"))).drop("_first", "_copies", "_stored")
 
 
 def put_if_absent(objects: DataFrame, stored_keys: DataFrame, key: str, order: str) -> DataFrame:
@@ -122,12 +128,11 @@ def latest_execution(executions: DataFrame) -> DataFrame:
     return newest.select("env", "e.*")
 
 
-def finalizer_payload(raw: Column) -> Column:
-    """struct(mode, exit_code) of a scheduled input that carries ``mode``, else null.
+def finalizer_payload(parsed: Column) -> Column:
+    """struct(mode, exit_code) of a scheduled input (VARIANT) that carries ``mode``, else null.
 
     A truthy ``Payload`` member is unwrapped; a non-numeric exit code is blank.
     """
-    parsed = F.try_parse_json(raw)
     inner = F.try_variant_get(parsed, "$.Payload", "variant")
     inner_text = F.try_variant_get(parsed, "$.Payload", "string")
     wrapped = inner.isNotNull() & ~F.coalesce(F.is_variant_null(inner), F.lit(False)) & ~F.coalesce(inner_text.isin("", "false", "0"), F.lit(False))
@@ -152,7 +157,9 @@ def execution_sha(raw: Column) -> Column:
 
 def newest_payload(history: DataFrame, keys: list[str]) -> DataFrame:
     """First event from the newest end that carries a finalizer payload."""
-    found = history.withColumn("_payload", finalizer_payload(F.col("payload"))).where("_payload is not null")
+    # Most events mention no mode at all; a text test spares them the parser.
+    parsed = history.where(F.col("payload").contains('"mode"')).select(*keys, "event_id", F.try_parse_json("payload").alias("_json"))
+    found = parsed.select(*keys, "event_id", finalizer_payload(F.col("_json")).alias("_payload")).where("_payload is not null")
     return found.groupBy(*keys).agg(F.max_by(F.struct("event_id", "_payload"), "event_id").alias("f")).select(
         *keys, F.col("f.event_id").alias("event_id"), "f._payload.mode", "f._payload.exit_code"
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import js_slice
 from ..plans.ordered import running
 from ..plans.skew import join_unique
+from ..session import durable
 
 ORDER = ["ts", "event_id"]
 TRACE_LIMIT = 128
@@ -74,6 +75,7 @@ def bounded_trace(all_legs: DataFrame, limit: int = TRACE_LIMIT) -> tuple[DataFr
 
     The bound is the reported feature: what lies beyond is counted, with all its events.
     """
+    all_legs = durable(all_legs)
     numbered = running(all_legs, ["page_id"], ORDER, by_day(), sums={"ordinal": F.lit(1).cast("bigint")})
     counts = all_legs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     dropped = counts.select("page_id", F.least("n", F.lit(limit)).alias("kept"), F.greatest(F.col("n") - limit, F.lit(0)).alias("dropped"))
@@ -89,8 +91,9 @@ def in_flight(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """Network events with the number of requests in flight after each and the next event's time."""
     network = F.col("kind").isin("open", *CLOSERS)
     change = F.when((F.col("kind") == "open") & ~F.col("live"), 1).when(F.col("kind").isin(*CLOSERS) & F.col("live"), -1).otherwise(0)
+    # Every ordered pass reads its input twice, so one inside another is stored first.
     return running(
-        placed(events, chunk).where(network), ["page_id"], ORDER, by_day() if chunk is None else chunk,
+        durable(placed(events, chunk).where(network)), ["page_id"], ORDER, by_day() if chunk is None else chunk,
         sums={"in_flight": change.cast("bigint")}, following={"next_ts": F.col("ts")},
     )
 
@@ -130,7 +133,7 @@ def since_commit(events: DataFrame, chunk: Column | None = None) -> DataFrame:
 
 def islands(events: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column) -> DataFrame:
     """Runs of equal consecutive values: first position and length."""
-    seen = running(events, keys, order, chunk, previous={"_before": F.struct(value)})
+    seen = durable(running(events, keys, order, chunk, previous={"_before": F.struct(value)}))
     changed = ~F.col("_before").eqNullSafe(F.struct(value))
     numbered = running(seen.withColumn("_start", changed.cast("bigint")), keys, order, chunk, sums={"island": F.col("_start")})
     return numbered.groupBy(*keys, "island").agg(
@@ -146,9 +149,11 @@ def tick_deltas(samples: DataFrame, keys: list[str], order: list[str], ticks: st
 
 def response_headers(responses: DataFrame, extras: DataFrame) -> DataFrame:
     """Headers of each response: the latest extra record of the same status, else its own."""
-    latest = extras.groupBy("page_id", "request_id", "status").agg(F.max_by("headers", _position()).alias("extra_headers"))
-    out = responses.join(latest, ["page_id", "request_id", "status"], "left")
-    return out.withColumn("headers", F.coalesce("extra_headers", "headers")).drop("extra_headers")
+    keys = ["page_id", "request_id", "status"]
+    latest = extras.groupBy(*keys).agg(F.max_by("headers", _position()).alias("extra_headers"))
+    sized = responses.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(latest, keys, "left")
+    out = join_unique(responses, sized, keys, "_n", ORDER)
+    return out.withColumn("headers", F.coalesce("extra_headers", "headers")).drop("extra_headers", "_n")
 
 
 def error_rows(events: DataFrame) -> DataFrame:
@@ -202,7 +207,7 @@ def completions(events: DataFrame, event: str, chunk: Column | None = None) -> D
     # A loader may have reached the event before it became current.
     reached = F.when((F.col("kind") == "lifecycle") & (F.col("name") == event), at)
     known = running(events.where("loader is not null"), ["page_id", "loader"], ORDER, chunk, max_before={"_reached": reached})
-    known = known.unionByName(events.where("loader is null"), allowMissingColumns=True)
+    known = durable(known.unionByName(events.where("loader is null"), allowMissingColumns=True))
     state = running(
         known, ["page_id"], ORDER, chunk,
         max_before={
@@ -210,6 +215,7 @@ def completions(events: DataFrame, event: str, chunk: Column | None = None) -> D
             "_current": F.when(F.col("kind") == "commit", F.struct(*ORDER, "loader")),
         },
     )
+    state = durable(state)
     # ``_start`` is the loader that was current when the navigation began.
     starts = state.where("kind = 'navigate'").select(
         "page_id", F.struct(*ORDER, "loader").alias("_nav"), F.col("_current.loader").alias("_start")

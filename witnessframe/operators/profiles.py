@@ -58,10 +58,9 @@ def flame_offsets(nodes: DataFrame) -> DataFrame:
 
 def drawn_frames(offsets: DataFrame) -> DataFrame:
     """Percent of all samples per frame; frames narrower than a fraction of a pixel are not drawn."""
-    total = offsets.where(~F.col("node").contains(";")).agg(F.sum("ms").alias("_total"))
-    share = offsets.join(F.broadcast(total), F.lit(True))  # one row
-    width = F.col("ms") / F.col("_total") * FLAME_WIDTH
-    return share.where(width >= NARROWEST).select("node", "ms", "start", (F.lit(100.0) * F.col("ms") / F.col("_total")).alias("pct"))
+    total = offsets.where(~F.col("node").contains(";")).agg(F.sum("ms")).first()[0]  # one number
+    width = F.col("ms") / F.lit(total or 1) * FLAME_WIDTH
+    return offsets.where(width >= NARROWEST).select("node", "ms", "start", (F.lit(100.0) * F.col("ms") / F.lit(total or 1)).alias("pct"))
 
 
 def marked_block(lines: DataFrame, name: str) -> DataFrame:

@@ -30,7 +30,11 @@ def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MA
     named = steps.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat_ws(":", F.col("idx").cast("string"), "op")))
     firsts = named.groupBy("run_id", "id").agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("_n"))
     counts = named.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
-    out = join_unique(named, firsts, ["run_id", "id"], "_n", ["idx"]).drop("_n")
+    sized = join_unique(named, counts, ["run_id"], "n_steps", ["idx"])
+    crowd = F.concat(F.lit(f"steps accepts at most {max_steps}; got "), F.col("n_steps").cast("string"))
+    crowded = sized.where(F.col("n_steps") > max_steps).select(*steps.columns, crowd.alias("error"))
+    # From here on a run has at most max_steps steps.
+    out = sized.where(F.col("n_steps") <= max_steps).join(firsts.drop("_n"), ["run_id", "id"])
     at = F.concat(F.lit("steps["), F.col("idx").cast("string"), F.lit("]."))
     rules = [
         F.when(~F.coalesce(F.col("op").isin(*operations), F.lit(False)), F.concat(at, F.lit("op is not one of "), F.lit(",".join(operations)))),
@@ -43,9 +47,7 @@ def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MA
         rules.append(F.when(late, F.concat(at, F.lit(f"{gate} names "), F.col(gate), F.lit(", which is not an EARLIER step id"))))
     limit = F.col("timeout_ms").isNotNull() & ~F.col("timeout_ms").between(0, MAX_STEP_TIMEOUT_MS)
     rules.append(F.when(limit, F.concat(at, F.lit(f"timeout_ms must be 0..{MAX_STEP_TIMEOUT_MS}"))))
-    out = join_unique(out, counts, ["run_id"], "n_steps", ["idx"])
-    crowd = F.when(F.col("n_steps") > max_steps, F.concat(F.lit(f"steps accepts at most {max_steps}; got "), F.col("n_steps").cast("string")))
-    return out.select(*[c for c in steps.columns], F.coalesce(crowd, *rules).alias("error"))
+    return out.select(*steps.columns, F.coalesce(*rules).alias("error")).unionByName(crowded)
 
 
 def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

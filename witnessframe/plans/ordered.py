@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_unique
+
 
 def running(
     df: DataFrame,
@@ -140,6 +142,6 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
 def ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """SQL ``rank()`` of ``value`` within ``keys`` without one window over the key."""
     positions = value_ranks(df, keys, value).select(
-        *keys, value, (F.col("cumulative") - F.col("copies") + 1).cast("int").alias(name)
+        *keys, value, "copies", (F.col("cumulative") - F.col("copies") + 1).cast("int").alias(name)
     )
-    return df.join(positions, [*keys, value])
+    return join_unique(df, positions, [*keys, value], "copies", df.columns).drop("copies")

@@ -25,9 +25,8 @@ def write_content(objects: DataFrame, path: str) -> DataFrame:
     spark = objects.sparkSession
     keyed = objects.withColumn("key", content_key(F.col("content")))
     known = stored(spark, path, "id BIGINT, content STRING, key STRING, prefix STRING").select("key")
-    outcome = first_writers(keyed, "key", "id").join(known.distinct().withColumn("_known", F.lit(True)), "key", "left")
     # Fixed before the write below changes what is stored.
-    result = durable(outcome.select("id", "key", (F.col("deduplicated") | F.coalesce("_known", F.lit(False))).alias("deduplicated")))
+    result = durable(first_writers(keyed.select("id", "key"), "key", "id", known).select("id", "key", "deduplicated"))
     fresh = put_if_absent(keyed, known, "key", "id").withColumn("prefix", F.substring("key", 6, 2))
     fresh.write.partitionBy("prefix").mode("append").parquet(path)
     return result
