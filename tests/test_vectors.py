@@ -139,6 +139,18 @@ def test_coverage_equals_concatenated_text(spark, passes, keywords, floor):
     assert hits == {k for k in keywords if " ".join(k.split()) and " ".join(k.split()).lower() in everything} and found <= hits
 
 
+def test_reader_is_only_asked_for_unmet_shots(spark):
+    texts = {(1, 0): "alpha beta", (1, 1): "unread", (2, 0): "none", (2, 1): "alp", (2, 2): "alpha", (3, 0): "x", (3, 1): "y", (3, 2): "unread"}
+    plan = [(s, q, "passes" if q < 2 else "fallback", f"{s}/{q}") for s, q in texts]
+    planned = spark.createDataFrame(plan, "shot_id int, seq int, wave string, pass string")
+    frames = spark.createDataFrame([(1, "f"), (2, "f"), (3, "f")], "shot_id int, image string")
+    known = F.create_map(*[F.lit(v) for (s, q), t in texts.items() for v in (f"{s}/{q}", t)])
+    keywords = spark.createDataFrame([(1, 0, "Alpha"), (2, 0, "alpha"), (3, 0, " ")], "shot_id int, kw_pos int, keyword string")
+    shots = spark.createDataFrame([(i, 1.0) for i in (1, 2, 3)], "shot_id int, min_fraction double")
+    reads = C.read_until_met(planned, frames, lambda image, one: F.element_at(known, one), keywords, shots)
+    assert sorted((r.shot_id, r.seq) for r in reads.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)]
+
+
 def test_containment_of_short_and_long_phrases(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps over it"), (2, "quick  brown"), (3, "nothing")], "doc_id int, text string")
     items = spark.createDataFrame(

@@ -118,6 +118,17 @@ def passes_read(spark, folder):
     return kept.select("shot_id", "seq", "wave", "won_seq", "matched")
 
 
+@register(
+    "coverage_pass_totals",
+    f"""with {SQL_READS}, {sql_border(1, 1)}, {SQL_SCORED}, {sql_read(0.5)} select shot_id, count(*) as passes_read, cast(sum(length(text) % 7) as bigint) as resample_ms,
+        cast(sum(length(text) % 101) as bigint) as ocr_ms, cast(sum(length(text)) as bigint) as pixels, cast(sum(strlen(text) + 1) as bigint) as text_bytes from kept group by 1""",
+)
+def pass_totals(spark, folder):
+    kept = C.passes_read(reads(spark, folder), border_keywords(spark, folder, 1, 1), shots(spark, folder, 0.5))
+    size = F.length("text").cast("bigint")
+    return C.pass_totals(kept.withColumns({"resample_ms": size % 7, "ocr_ms": size % 101, "pixels": size}))
+
+
 @register(
     "coverage_no_keywords",
     "select conv_id as shot_id, count(*) as passes_read, cast(sum(strlen(text) + 1) as bigint) as text_bytes from conversations where turn < 3 group by 1",

@@ -258,6 +258,25 @@ def upscale_3x(spark, folder):
     return X.upscaled(X.gray_plane(pixels(spark, folder)), 3).select("image_id", "x", "y", "v")
 
 
+def sql_milli_up(s: int) -> str:
+    return f"""mu as (select a.image_id, x.o as x, y.o as y, ((a.milli::bigint * (65536 - x.w) + b.milli::bigint * x.w) * (65536 - y.w) + (c.milli::bigint * (65536 - x.w) + d.milli::bigint * x.w) * y.w)::double as l
+      from ax x, ax y, p a, p b, p c, p d where a.x = x.i0 and a.y = y.i0 and b.image_id = a.image_id and b.x = x.i1 and b.y = y.i0
+      and c.image_id = a.image_id and c.x = x.i0 and c.y = y.i1 and d.image_id = a.image_id and d.x = x.i1 and d.y = y.i1),
+      mr as (select image_id, min(milli)::double * 4294967296 as lo, max(milli)::double * 4294967296 as hi from p group by 1),
+      late as (select mu.image_id, x, y, cast(floor((l - lo) / (case when hi - lo < 0.000001 then 1 else hi - lo end) * 255.0::double + 0.5::double) as int) as v from mu join mr using (image_id))"""
+
+
+@register(
+    "stretch_order",
+    f"""with {SQL_P}, {SQL_GRAY}, {SQL_TAPS.format(s=2, n=8)}, {sql_up(2)}, {sql_milli_up(2)}
+        select image_id, count(*) as pixels, count(*) filter (where up.v <> late.v) as differing, max(abs(up.v - late.v)) as max_delta from up join late using (image_id, x, y) group by 1""",
+)
+def stretch_order(spark, folder):
+    px = pixels(spark, folder)
+    first, last = X.upscaled(X.gray_plane(px), 2), X.stretched_after_upscale(px, 2)
+    return X.difference_summary(X.plane_difference(first, last), ["image_id"]).select("image_id", "pixels", "differing", "max_delta")
+
+
 def sql_down(s: float) -> str:
     on = int(8 * s + 0.5)
     return f"""ax as (select o, o * 8 // {on} as lo, greatest(least(((o + 1) * 8 + {on} - 1) // {on}, 8), o * 8 // {on} + 1) as hi from (select unnest(range({on})) as o)),

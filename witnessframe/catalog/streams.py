@@ -70,6 +70,18 @@ def stream_error_rates(spark, folder):
     return out.select(F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "tally", "n")
 
 
+@register(
+    "stream_error_counts",
+    """with w as (select date_trunc('day', ts) as start_ts from events where event_type = 'error')
+        select strftime(start_ts, '%Y-%m-%d') as day, count(*) as n from w group by w.start_ts
+        having w.start_ts + interval 1 day <= (select max(ts) - interval 1 hour from events where event_type = 'error')""",
+)
+def stream_error_counts(spark, folder):
+    errors = browser_stream(spark, folder).where("kind = 'failed'").select("ts", F.col("kind").alias("tally"))
+    out = run_to_end(W.error_rates(errors, "1 day", None, DELAY), "counts")
+    return out.select(F.date_format("start_ts", "yyyy-MM-dd").alias("day"), "n")
+
+
 @register("stream_first_writes", "select distinct 'sha1/' || left(sha1(props || event_type), 2) || '/' || sha1(props || event_type) || '.png' as key from events")
 def stream_first_writes(spark, folder):
     path = os.path.join(shared_folder(spark), f"firsts-{uuid.uuid4().hex}")

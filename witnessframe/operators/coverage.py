@@ -237,6 +237,37 @@ def outcomes(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: int
     )
 
 
+def pass_totals(kept: DataFrame) -> DataFrame:
+    """Cost of the passes performed per shot."""
+    return kept.groupBy("shot_id").agg(
+        F.count(F.lit(1)).alias("passes_read"), F.sum("resample_ms").alias("resample_ms"), F.sum("ocr_ms").alias("ocr_ms"),
+        F.sum("pixels").alias("pixels"), F.sum(F.octet_length("text") + 1).alias("text_bytes"),
+    )
+
+
+def read_until_met(planned: DataFrame, frames: DataFrame, reader, keywords: DataFrame, shots: DataFrame) -> DataFrame:
+    """Read planned passes with a caller's text reader, one round per pass over the shots
+    that still need it.
+
+    planned: shot_id, seq, wave, pass; frames: shot_id, image. ``reader(image, pass)``
+    returns a text Column, usually an Arrow pandas UDF. Rounds follow the length of the
+    longest request (a short list), and every round's texts are stored once.
+    """
+    rounds = planned.agg(F.max("seq")).first()[0]
+    reads = None
+    for seq in range(0 if rounds is None else rounds + 1):
+        due = planned.where(F.col("seq") == seq)
+        if reads is not None:
+            hits = durable(keyword_hits(reads, keywords))
+            level = shot_levels(reads, hits, shots)
+            due = due.join(level.where("won_seq is not null").select("shot_id"), "shot_id", "left_anti")
+            unkeyed = level.where("n_keywords = 0").select("shot_id", F.lit("fallback").alias("wave"))
+            due = due.join(unkeyed, ["shot_id", "wave"], "left_anti")
+        fresh = durable(due.join(frames, "shot_id").select("shot_id", "seq", "wave", reader(F.col("image"), F.col("pass")).alias("text")))
+        reads = fresh if reads is None else reads.unionByName(fresh)
+    return reads
+
+
 def wave_reads(planned: DataFrame) -> DataFrame:
     """Explode planned ``passes`` and ``fallback`` arrays to one row per pass in reading order."""
     first = planned.select("shot_id", F.lit("passes").alias("wave"), F.posexplode("passes").alias("index", "pass"), F.lit(0).alias("before"))

@@ -281,12 +281,33 @@ def stretch_audit(pixels: DataFrame) -> DataFrame:
 
 
 def upscaled(plane: DataFrame, scale: int) -> DataFrame:
-    """Bilinear upscale by a whole factor with 16-bit weights, rounded half up once.
+    """Bilinear upscale by a whole factor with 16-bit weights, rounded half up once."""
+    if scale <= 1:
+        return plane
+    value = F.shiftright(F.col("t") + (1 << 31), 32).cast("int").alias("v")
+    return interpolated(plane, scale).select("image_id", "width", "height", "x", "y", value)
+
+
+def stretched_after_upscale(pixels: DataFrame, scale: int) -> DataFrame:
+    """Interpolate milli luma first and stretch to the source's range in floating point afterwards.
+
+    At most one level from stretching first; plane_difference is the check.
+    """
+    m = pixels.select("image_id", "width", "height", "x", "y", luma_milli(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    one = F.lit(float(1 << 32))
+    bounds = m.groupBy("image_id").agg(
+        (F.min("v") * one).alias("low"), (F.max("v") * one).alias("high"), (F.count(F.lit(1)) * (scale * scale)).alias("_n")
+    )
+    wide = interpolated(m, scale).withColumn("l", F.col("t").cast("double"))
+    ranged = join_unique(wide, bounds, ["image_id"], "_n", ["x", "y"])
+    return ranged.select("image_id", "width", "height", "x", "y", stretch_float(F.col("l"), F.col("low"), F.col("high")).alias("v"))
+
+
+def interpolated(plane: DataFrame, scale: int) -> DataFrame:
+    """Weighted sums ``t`` (value times 2**32) of a bilinear upscale.
 
     A source column is a tap of outputs in [scale * (x - 1), scale * (x + 2)) only.
     """
-    if scale <= 1:
-        return plane
 
     def along(df: DataFrame, axis: str, size: str, out: str, weight: str) -> DataFrame:
         near = F.sequence(F.greatest((F.col(axis) - 1) * scale, F.lit(0)), F.least((F.col(axis) + 2) * scale, F.col(size) * scale) - 1)
@@ -299,8 +320,7 @@ def upscaled(plane: DataFrame, scale: int) -> DataFrame:
     taps = along(along(plane, "x", "width", "ox", "wx"), "y", "height", "oy", "wy")
     total = taps.groupBy("image_id", "width", "height", "ox", "oy").agg(F.sum(F.col("v").cast("bigint") * F.col("wx") * F.col("wy")).alias("t"))
     return total.select(
-        "image_id", (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"), F.col("ox").alias("x"), F.col("oy").alias("y"),
-        F.shiftright(F.col("t") + (1 << 31), 32).cast("int").alias("v"),
+        "image_id", (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"), F.col("ox").alias("x"), F.col("oy").alias("y"), "t"
     )
 
 

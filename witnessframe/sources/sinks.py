@@ -28,7 +28,8 @@ def write_content(objects: DataFrame, path: str) -> DataFrame:
     # Fixed before the write below changes what is stored.
     result = durable(first_writers(keyed.select("id", "key"), "key", "id", known).select("id", "key", "deduplicated"))
     fresh = put_if_absent(keyed, known, "key", "id").withColumn("prefix", F.substring("key", 6, 2))
-    fresh.write.partitionBy("prefix").mode("append").parquet(path)
+    # Ranges of (prefix, key) keep a task to few prefixes and split a large prefix over tasks.
+    fresh.repartitionByRange("prefix", "key").write.partitionBy("prefix").mode("append").parquet(path)
     return result
 
 
@@ -40,7 +41,8 @@ def write_sidecars(statements: DataFrame, path: str) -> None:
 
 def write_evidence(objects: DataFrame, path: str) -> None:
     """Evidence objects filed by environment and issue."""
-    objects.write.partitionBy("env", "issue").mode("append").parquet(path)
+    spread = [c for c in objects.columns if c not in ("env", "issue")]
+    objects.repartitionByRange("env", "issue", *spread[:1]).write.partitionBy("env", "issue").mode("append").parquet(path)
 
 
 def outcome_writer(path: str, schema: str):

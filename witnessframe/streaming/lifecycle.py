@@ -25,7 +25,7 @@ class LegTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         page, request = key
-        leg, is_open, opened, status, responded, cached = self.leg.get() if self.leg.exists() else (0, False, 0, None, None, False)
+        leg, is_open, opened, status, responded, cached = self.leg.get() or (0, False, 0, None, None, False)
         out = []
         batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
         for event, kind, redirect, code in zip(batch["event_id"], batch["kind"], batch["redirect"], batch["status"]):
@@ -77,7 +77,7 @@ class DeadlineClock(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        running = self.clock.get() if self.clock.exists() else None
+        running = self.clock.get()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         for row in pd.concat(list(rows)).sort_values(["now_ms", "event_id"]).itertuples(index=False):
