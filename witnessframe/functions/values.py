@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 NUMERIC_TEXT = "(?i)^[+-]?([0-9]+[.]?[0-9]*(e[+-]?[0-9]+)?|[.][0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)$"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    The optimizer merges projections and may move an expression into a lambda, where it
+    would be evaluated for every element; a lambda variable cannot be moved.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def js_string(number: Column) -> Column:
     """``String(x)`` of a double: whole numbers without ``.0``, no exponent."""
     x = number.cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.luma import axis_taps, luma_8p8, luma_f, luma_milli, span_high, span_low, stretch_8p8, stretch_float, stretch_int
-from ..functions.values import sample_step
+from ..functions.values import let, sample_step
 from ..plans.skew import join_unique
 from ..session import durable
 
@@ -176,14 +176,13 @@ def gallery_words(pixels: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("cell", "mean")))).alias(k) for k in ("d", "a")
     ])
     dense = maps.select("image_id", _dense("d", 17 * 16).alias("d"), _dense("a", 16 * 16).alias("a"))
-    dense = dense.withColumn("m", _in_order_mean(F.col("a"), 256))
 
     def falls(i):
         at = _div(i, 16).cast("int") * 17 + i % 16
         return F.get("d", at) > F.get("d", at + 1)
 
     bits = dense.select(
-        "image_id", F.transform(F.sequence(F.lit(0), F.lit(255)), falls).alias("d"), F.transform("a", lambda v: v > F.col("m")).alias("a")
+        "image_id", F.transform(F.sequence(F.lit(0), F.lit(255)), falls).alias("d"), let(_in_order_mean(F.col("a"), 256), lambda m: F.transform("a", lambda v: v > m)).alias("a")
     )
     return bits.select("image_id", F.array(*[_word(F.col(k), 64 * i) for k in ("d", "a") for i in range(4)]).alias("words"))
 
@@ -223,12 +222,12 @@ def marker_hashes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     shifts = rows.select("image_id", "name", "dy", "rows", axis(-2, 2).alias("dx"))
     grids = shifts.select(
         "image_id", "name", "dy", "dx", F.flatten(F.transform("rows", lambda r: F.get(r["points"], F.col("dx") + 2))).alias("v")
-    ).withColumn("m", _in_order_mean(F.col("v"), 72))
+    )
     at = lambda i: _div(i, 8).cast("int") * 9 + i % 8
     every = F.sequence(F.lit(0), F.lit(63))
     bits = grids.select(
         "image_id", "name", "dy", "dx", F.transform(every, lambda i: F.get("v", at(i)) > F.get("v", at(i) + 1)).alias("d"),
-        F.transform(every, lambda i: F.get("v", at(i)) < F.col("m")).alias("k"),
+        let(_in_order_mean(F.col("v"), 72), lambda m: F.transform(every, lambda i: F.get("v", at(i)) < m)).alias("k"),
     )
     return bits.select("image_id", "name", "dy", "dx", F.concat(_hex(_word(F.col("d"), 0)), _hex(_word(F.col("k"), 0))).alias("marker_hash"))
 

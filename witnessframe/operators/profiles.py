@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from ..plans.ordered import magnitude, running
 from ..plans.skew import join_unique
 from ..session import durable
@@ -24,11 +25,16 @@ def heaviest_first(folds: DataFrame) -> DataFrame:
     return folds.orderBy(F.desc("ms"), "stack")
 
 
+def _prefixes(stack: str) -> Column:
+    """Every prefix of a root-first stack, the whole one included."""
+    return let(F.split(stack, ";"), lambda frames: F.transform(
+        F.sequence(F.lit(1), F.size(frames)), lambda i: F.array_join(F.slice(frames, F.lit(1), i), ";")
+    ))
+
+
 def subtree_totals(folds: DataFrame) -> DataFrame:
     """Value of every stack prefix, that is of every node of the call tree."""
-    frames = F.split("stack", ";")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(frames)), lambda i: F.array_join(F.slice(frames, F.lit(1), i), ";"))
-    return folds.select(F.explode(prefixes).alias("node"), "ms").groupBy("node").agg(F.sum("ms").alias("ms"))
+    return folds.select(F.explode(_prefixes("stack")).alias("node"), "ms").groupBy("node").agg(F.sum("ms").alias("ms"))
 
 
 def flame_offsets(nodes: DataFrame) -> DataFrame:
@@ -47,9 +53,7 @@ def flame_offsets(nodes: DataFrame) -> DataFrame:
     placed = durable(join_unique(equal, base, ["parent", "ms"], "_n", ["name"]).select(
         "node", "ms", (F.col("_base") + F.col("ms") * (F.col("_rank") - 1)).alias("offset")
     ))
-    frames = F.split("node", ";")
-    ancestors = F.explode(F.transform(F.sequence(F.lit(1), F.size(frames)), lambda i: F.array_join(F.slice(frames, F.lit(1), i), ";")))
-    paths = placed.select(F.col("node").alias("leaf"), ancestors.alias("node"))
+    paths = placed.select(F.col("node").alias("leaf"), F.explode(_prefixes("node")).alias("node"))
     weight = paths.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
     offsets = placed.select("node", "offset").join(weight, "node")
     starts = join_unique(paths, offsets, ["node"], "_n", ["leaf"]).groupBy("leaf").agg(F.sum("offset").alias("start"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import js_string, valid_scale
+from ..functions.values import js_string, let, valid_scale
 from ..plans.ordered import running
 from ..plans.skew import join_unique
 
@@ -16,11 +16,6 @@ MAX_STEPS = 200
 MAX_STEP_TIMEOUT_MS = 120_000
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MAX_STEPS) -> DataFrame:
     """Steps with ``error``, the first rule they break (null for a valid step).
 
