@@ -188,7 +188,8 @@ def gallery_words(pixels: DataFrame) -> DataFrame:
 
 
 def _dense(column: str, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col(column), i), F.lit(0.0)))
+    every = F.sequence(F.lit(0), F.lit(size - 1))
+    return let(F.col(column), lambda boxes: F.transform(every, lambda i: F.coalesce(F.try_element_at(boxes, i), F.lit(0.0))))
 
 
 def gallery_hash(pixels: DataFrame) -> DataFrame:
