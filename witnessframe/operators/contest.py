@@ -58,7 +58,8 @@ def weighted_objective(best: DataFrame, weights: Mapping[str, float], phase: str
 
 def ranking(objective: DataFrame, eligible: DataFrame) -> DataFrame:
     """Rank by weighted time; specs failing the gate are listed without a rank."""
-    field = objective.join(eligible, "spec", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    # One row per contestant, used several times below.
+    field = durable(objective.join(eligible, "spec", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False))))
     placed = ranks(field.where("eligible and weighted_ms is not null"), ["eligible"], "weighted_ms", "place")
     left_out = field.where("not eligible or weighted_ms is null").withColumn("place", F.lit(None).cast("int"))
     return placed.select("spec", "weighted_ms", "eligible", "place").unionByName(left_out.select("spec", "weighted_ms", "eligible", "place"))

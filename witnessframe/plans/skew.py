@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 # No key outside the 1,000 largest can hold more than a thousandth of the rows.
 HOT_KEYS = 1000
 
@@ -23,17 +25,22 @@ def join_unique(
 ) -> DataFrame:
     """Join ``left`` to ``right`` (one row per key, ``weight`` = rows of that key in left).
 
-    Heavy keys are found from the weights (at most HOT_KEYS of them, so their broadcast
-    is bounded), their left rows are dealt over salts by the ``spread`` columns and their
-    right row is repeated once per salt. Every other key joins as usual.
+    ``right`` is an aggregate of the left rows: it is stored once, so that finding the
+    heavy keys does not compute it again. Without any it is a plain join. Otherwise the
+    heavy keys (at most HOT_KEYS of them, so their broadcast is bounded) have their left
+    rows dealt over salts by the ``spread`` columns and their right row repeated once per
+    salt; every other key joins as usual.
     """
     keys = list(keys)
+    right = durable(right)
     heavy = (
         right.where(F.col(weight) > rows_per_salt)
         .orderBy(F.col(weight).desc(), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col(weight) / rows_per_salt).cast("int").alias("_salts"))
     )
+    if heavy.isEmpty():
+        return left.join(right, keys, how)
     dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
