@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, minhash, mixing, sharding
+from . import chat, decontaminate, minhash, mixing, quality, sharding
 
 SHARDS = 8
 
@@ -46,8 +46,13 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_factorised_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, folder, "labels")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_jump_shards, op4_template_leaks, op6_chat_round_trip, op7_mix_sources)
+    for f in (op1_minhash_dedup, op2_jump_shards, op4_template_leaks, op6_chat_round_trip, op7_mix_sources, op8_factorised_quality)
 }
 ORACLES = {"op2_jump_shards": sharding.oracle(SHARDS), "op6_chat_round_trip": chat.ORACLE}
