@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, minhash, mixing, quality, sharding
+from . import chat, decontaminate, lines, minhash, mixing, pii, quality, sharding
 
 SHARDS = 8
 
@@ -51,8 +51,16 @@ def op8_factorised_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, _table(spark, folder, "labels")))
 
 
+def op9_shape_crf_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents"))
+
+
+def op10_line_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.judge(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_jump_shards, op4_template_leaks, op6_chat_round_trip, op7_mix_sources, op8_factorised_quality)
+    for f in (op1_minhash_dedup, op2_jump_shards, op4_template_leaks, op6_chat_round_trip, op7_mix_sources, op8_factorised_quality, op9_shape_crf_pii, op10_line_labels)
 }
 ORACLES = {"op2_jump_shards": sharding.oracle(SHARDS), "op6_chat_round_trip": chat.ORACLE}

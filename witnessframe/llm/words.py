@@ -87,20 +87,25 @@ def hashes(words: Words, lower: bool = True) -> np.ndarray:
     return mix(np.add.reduceat(weighed, offset) + length.astype(_U))
 
 
+def full_windows(hashed: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first word) of every window of ``width`` words within a text."""
+    if len(hashed) < width:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    factor = stream(0, width, seed=7) | _U(1)
+    n = len(hashed) - width + 1
+    full = hashed[:n] * factor[0]
+    for i in range(1, width):
+        full = full + hashed[i : n + i] * factor[i]
+    last = np.repeat(first[1:] - width, np.diff(first))[:n]  # where the last window of the word's text starts
+    place = np.flatnonzero(np.arange(n) <= last)
+    return mix(full[place] + _U(width)), place
+
+
 def windows(hashed: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every ``width``-word window; a shorter text gives its whole sequence once."""
     factor = stream(0, width, seed=7) | _U(1)
     counts = np.diff(first)
-    full = np.zeros(0, _U)
-    place = np.zeros(0, np.int64)
-    if len(hashed) >= width:
-        full = hashed[: len(hashed) - width + 1] * factor[0]
-        for i in range(1, width):
-            full = full + hashed[i : len(hashed) - width + 1 + i] * factor[i]
-        last = np.repeat(first[1:] - width, counts)  # the last window start of the word's text
-        at = np.arange(len(full))
-        place = at[at <= last[: len(full)]]
-        full = mix(full[place] + _U(width))
+    full, place = full_windows(hashed, first, width)
     texts = np.repeat(np.arange(len(counts)), counts)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
