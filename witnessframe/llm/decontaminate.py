@@ -10,6 +10,7 @@ from ..session import durable
 
 WIDTH = 5
 STRIDE = 2
+ITEM_BYTES = 2048  # a generous mean for an item's words, to size a broadcast
 ENOUGH_WORDS = 13
 ENOUGH_SHARE = 0.8
 SPACES = " \t\n\x0b\x0c\r"
@@ -82,10 +83,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .distinct()
     )
     met = durable(met)
+    held = met.count()
     texts = docs.select("doc_id", "text").withColumnRenamed("doc_id", "d")
-    near = small_side(met, met.count())
-    pairs = near.join(small_side(items, items.count()), "item")
-    pairs = texts.join(small_side(pairs, met.count()), texts["d"].eqNullSafe(pairs["doc_id"])).select("doc_id", "item_id", "offset", "want", "values", "text")
+    pairs = met.join(small_side(items, items.count()), "item")
+    pairs = texts.join(small_side(pairs, held, held * ITEM_BYTES), texts["d"].eqNullSafe(pairs["doc_id"])).select("doc_id", "item_id", "offset", "want", "values", "text")
 
     def aligned(both: Column) -> Column:
         got, raw = both["got"], both["raw"]

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import small_side
 from ..session import durable
 from . import words
 from .components import components
@@ -241,3 +242,22 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
     joined = prints.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
+    """``docs`` without the near-duplicates that ``near_duplicates`` does not keep.
+
+    The ids to drop go to the rows when their counted number is small, else both meet by
+    shuffle. Rows that share a doc_id are one document, of which the first by text stays.
+    """
+    judged = durable(near_duplicates(docs, least_percent=least_percent).select(F.col("doc_id").alias("judged"), "kept"))
+    drop = judged.where("not kept").select("judged").distinct()
+    left = docs.join(small_side(drop, drop.count()), docs["doc_id"].eqNullSafe(drop["judged"]), "left_anti")
+    twice = judged.groupBy("judged").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("judged")
+    n = twice.count()
+    if not n:
+        return left
+    same = left["doc_id"].eqNullSafe(twice["judged"])
+    first = Window.partitionBy("doc_id").orderBy("text")
+    again = left.join(small_side(twice, n), same, "left_semi").withColumn("_place_of_id", F.row_number().over(first)).where("_place_of_id = 1").drop("_place_of_id")
+    return left.join(small_side(twice, n), same, "left_anti").unionByName(again)

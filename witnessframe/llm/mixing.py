@@ -163,3 +163,15 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     outside = rows.where(~border).withColumn("extra", (F.col("quota") > 0).cast("bigint"))
     chosen = inside.unionByName(outside).withColumn("copies", F.col("passes") + F.col("extra"))
     return chosen.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as its document is taken, in the same columns.
+
+    Rows that share a doc_id are taken alike, as often as the most taken of them.
+    """
+    taken = mix(docs, seed).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["of"]))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), taken["_copies"])).alias("_copy_of_mix")
+    columns = [docs[c] for c in docs.columns]
+    return rows.select(*columns, each).drop("_copy_of_mix")
