@@ -42,8 +42,8 @@ def shares(sources: pd.DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> pd.Da
 def fit(length: np.ndarray, held: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum to ``budget``, or as near below as can be.
 
-    Each length first gets its proportional share. What is left goes to the longest lengths
-    that still fit while it is above the search window, and the last words are found by bounded
+    A budget above twice the search window is first spent on every length by its share of the documents, up to
+    about a window. The rest is found by bounded
     knapsack: a bit set of reachable sums in which every sum remembers the item that first
     reached it, items being powers of two of the copies that are left of a length.
     """
@@ -52,21 +52,25 @@ def fit(length: np.ndarray, held: np.ndarray, budget: int) -> np.ndarray:
         return np.zeros(len(length), np.int64)
     if budget >= total:
         return held.copy()
-    taken = np.array([int(h) * budget // total for h in held.tolist()], np.int64)
-    left = budget - int((taken * length).sum())
     window = max(SEARCH_WORDS, int(length.max()))
     order = np.argsort(-length, kind="stable")
-    for i in order:
-        if left <= window:
-            break
-        more = min(int(held[i] - taken[i]), (left - window + int(length[i]) - 1) // int(length[i]))
-        taken[i] += more
-        left -= more * int(length[i])
-    # Give back one document of each common length, so that the search has room to combine.
-    for i in np.argsort(length, kind="stable"):
-        if taken[i] and left + int(length[i]) <= 2 * window:
-            taken[i] -= 1
-            left += int(length[i])
+    taken, left = np.zeros(len(length), np.int64), budget
+    if budget > 2 * window:
+        taken = np.array([int(h) * budget // total for h in held.tolist()], np.int64)
+        left = budget - int((taken * length).sum())
+        for i in order:
+            more = min(int(held[i] - taken[i]), max(0, left - window) // int(length[i]))
+            taken[i] += more
+            left -= more * int(length[i])
+        # One document of each length, and then more of the long ones, go back into the search.
+        for i in order[::-1]:
+            if taken[i] and left + int(length[i]) <= 2 * window:
+                taken[i] -= 1
+                left += int(length[i])
+        for i in order:
+            back = min(int(taken[i]), max(0, window - left) // int(length[i]))
+            taken[i] -= back
+            left += back * int(length[i])
     items = []
     for i in order:
         free, part = min(int(held[i] - taken[i]), left // int(length[i]) if length[i] else 0), 1
