@@ -138,11 +138,12 @@ def executions(spark, folder):
     return o.select(
         F.col("o_orderpriority").alias("env"), F.col("o_orderkey").cast("string").alias("execution_id"), F.col("o_orderdate").alias("start_date"),
         F.col("o_orderstatus").alias("status"), F.concat(F.lit('{"sha":" s'), F.col("o_custkey").cast("string"), F.lit(' "}')).alias("input"), "o_custkey",
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("stop_date"),
     )
 
 
 SQL_LATEST = """n as (select *, row_number() over (partition by o_orderpriority order by o_orderdate desc, cast(o_orderkey as varchar) desc) as rn from orders),
-  latest as (select o_orderpriority as env, cast(o_orderkey as varchar) as execution_id, o_custkey, o_orderstatus as status, o_orderdate from n where rn = 1)"""
+  latest as (select o_orderpriority as env, cast(o_orderkey as varchar) as execution_id, o_custkey, o_orderstatus as status, o_orderdate, o_orderkey from n where rn = 1)"""
 
 
 @register("ledger_latest_execution", f"with {SQL_LATEST} select env, execution_id, status from latest")
@@ -151,42 +152,57 @@ def latest_execution(spark, folder):
 
 
 def payload(k):
-    """Every tenth key carries a mode; odd users wrap it in a Payload member."""
-    body = F.when(k % 10 == 0, F.concat(F.lit('{"mode":"m'), k.cast("string"), F.lit('","exitCode":"'), k.cast("string"), F.lit('"}'))).otherwise(F.lit('{"x":1}'))
+    """Every tenth key carries a mode, some by an escaped name, as "0", or with a flag for its exit code; odd users
+    wrap it in a Payload member, where a Payload that is text is no object."""
+    name = F.when(k % 20 == 0, F.lit("mode")).otherwise(F.lit("\\u006dode"))
+    mode = F.when(k == 20, F.lit("0")).when(k == 30, F.lit("false")).otherwise(F.concat(F.lit("m"), k.cast("string")))
+    code = F.when(k == 40, F.lit("true")).otherwise(F.concat(F.lit('" '), k.cast("string"), F.lit('\\t"')))
+    body = F.when(k == 50, F.lit('"false"')).when(
+        k % 10 == 0, F.concat(F.lit('{"'), name, F.lit('":"'), mode, F.lit('","exitCode":'), code, F.lit("}"))
+    ).otherwise(F.lit('{"x":1}'))
     return F.when(F.col("user_id") % 2 == 1, F.concat(F.lit('{"Payload":'), body, F.lit("}"))).otherwise(body)
 
 
+def scheduled(spark, folder):
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    kind = F.when(F.col("event_type") == "view", "TaskScheduled").when(F.col("event_type") == "click", "LambdaFunctionScheduled").otherwise("TaskSucceeded")
+    return table(spark, folder, "events").select("user_id", "event_id", kind.alias("event_type"), payload(k).alias("payload"))
+
+
+SQL_PAYLOADS = """e as (select user_id, event_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events),
+  m as (select user_id, event_id, case k when 20 then '0' when 30 then 'false' else 'm' || k end as mode, case when k = 40 then '1' else cast(k as varchar) end as exit_code
+    from e where k % 10 = 0 and k <> 50 and event_type in ('view', 'click'))"""
+
+
 @register(
     "ledger_newest_payload",
-    """with e as (select user_id, event_id, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events)
-        select user_id, max(event_id) as event_id, 'm' || arg_max(k, event_id) as mode, cast(arg_max(k, event_id) as varchar) as exit_code
-        from e where k % 10 = 0 group by 1""",
+    f"""with {SQL_PAYLOADS} select user_id, max(event_id) as event_id, arg_max(mode, event_id) as mode, arg_max(exit_code, event_id) as exit_code from m group by 1""",
 )
 def newest_payload(spark, folder):
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return L.newest_payload(table(spark, folder, "events").select("user_id", "event_id", payload(k).alias("payload")), ["user_id"])
+    return L.newest_payload(scheduled(spark, folder), ["user_id"])
 
 
 @register(
     "ledger_ci_snapshot",
-    f"""with {SQL_LATEST}, e as (select user_id, event_id, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from events),
-        p as (select execution_id, arg_max(k, event_id) as k from latest join e on user_id = o_custkey where k % 10 = 0 group by 1),
+    f"""with {SQL_LATEST}, {SQL_PAYLOADS},
+        p as (select execution_id, arg_max(mode, event_id) as mode, arg_max(exit_code, event_id) as exit_code from latest join m on user_id = o_custkey group by 1),
         envs as (select distinct o_orderpriority as env from orders union all select 'n-' || n_name from nation)
-        select envs.env, execution_id, case when execution_id is not null then 's' || o_custkey end as executed_sha, status,
-          strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') as start_date,
-          case when execution_id is not null then coalesce('m' || k, '') end as finalizer_mode,
-          case when execution_id is not null then coalesce(cast(k as varchar), '') end as worker_exit_code,
-          case when execution_id is null then 'no execution found for ' || envs.env end as ci_error
+        select envs.env, 't-' || envs.env as target_sha, '2024-05-06T07:08:09.000Z' as checked_at_utc, execution_id,
+          case when execution_id is not null then 's' || o_custkey end as executed_sha, status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') as start_date,
+          case when execution_id is not null then case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') else '' end end as stop_date,
+          case when execution_id is not null then case when envs.env like '1-%' then '' else coalesce(mode, '') end end as finalizer_mode,
+          case when execution_id is not null then case when envs.env like '1-%' then '' else coalesce(exit_code, '') end end as worker_exit_code,
+          case when execution_id is null then 'no execution found for ' || envs.env when envs.env like '1-%' then 'history: throttled' end as ci_error
         from envs left join latest using (env) left join p using (execution_id)""",
 )
 def ci_snapshot(spark, folder):
     runs = executions(spark, folder)
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    events = table(spark, folder, "events").select("user_id", "event_id", payload(k).alias("payload"))
-    owners = L.latest_execution(runs).select("execution_id", F.col("o_custkey").alias("user_id"))
-    history = events.join(owners, "user_id")
+    latest = L.latest_execution(runs)
+    history = scheduled(spark, folder).join(latest.select("execution_id", F.col("o_custkey").alias("user_id")), "user_id")
     envs = runs.select("env").distinct().unionByName(table(spark, folder, "nation").select(F.concat(F.lit("n-"), "n_name").alias("env")))
-    return L.ci_snapshot(envs, runs, history)
+    envs = envs.withColumn("target_sha", F.concat(F.lit("t-"), "env"))
+    failures = latest.where(F.col("env").startswith("1-")).select("execution_id", F.lit("throttled").alias("reason"))
+    return L.ci_snapshot(envs, runs, history, F.lit("2024-05-06 07:08:09").cast("timestamp"), failures)
 
 
 def hops(spark, folder):
@@ -228,10 +244,11 @@ def redirect_facts(spark, folder):
     "ledger_header_facts",
     f"""select doc_id, 'capture.header.content-type' as fact, left({SQL_META}, 512) as value from documents
         union all select doc_id, 'capture.header.server', source from documents
-        union all select doc_id, 'capture.header-count', '3' from documents""",
+        union all select doc_id, 'capture.header.via', lang from documents
+        union all select doc_id, 'capture.header-count', '4' from documents""",
 )
 def header_facts(spark, folder):
-    headers = F.create_map(F.lit("Content-Type"), F.col("text"), F.lit("SERVER"), F.col("source"), F.lit("Set-Cookie"), F.lit("secret"))
+    headers = F.create_map(F.lit("Content-Type"), F.col("text"), F.lit("SERVER"), F.col("source"), F.lit("Set-Cookie"), F.lit("secret"), F.lit("Via"), F.lit("first"), F.lit("via"), F.col("lang"))
     return table(spark, folder, "documents").select("doc_id", F.explode(L.header_facts(headers)).alias("fact", "value"))
 
 
@@ -330,22 +347,38 @@ def clamped_options(spark, folder):
         union all select event_id, 'k', cast(regexp_extract(props, '([0-9]+)', 1) as double) from events""",
 )
 def numeric_timing(spark, folder):
-    timing = F.create_map(
-        F.lit("value"), F.col("value").cast("string"), F.lit("type"), F.col("event_type"), F.lit("k"), F.regexp_extract("props", "([0-9]+)", 1)
-    )
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    record = F.to_json(F.struct("value", F.col("event_type").alias("type"), k.cast("int").alias("k"), k.alias("text"), F.lit(True).alias("flag")))
+    timing = F.variant_get(F.parse_json(record), "$", "map<string,variant>")
     return table(spark, folder, "events").select("event_id", F.explode(V.numeric_members(timing)).alias("name", "number"))
 
 
 @register(
     "ledger_cookie_rows",
-    """select c_custkey, 'seg' as name, c_mktsegment as value, 'https://' || c_nationkey as url from customer where c_custkey % 2 = 0
-        union all select c_custkey, 'bal', cast(c_nationkey as varchar), 'https://' || c_nationkey from customer where c_custkey % 2 = 0
-        union all select c_custkey, c_name, c_mktsegment, 'https://x' from customer where c_custkey % 2 = 1""",
+    """select c_custkey, 'seg' as name, c_mktsegment as value, 'https://' || c_nationkey as url, '' as attributes from customer where c_custkey % 2 = 0 and c_custkey % 10 <> 0
+        union all select c_custkey, 'bal', cast(c_nationkey as varchar), 'https://' || c_nationkey, '' from customer where c_custkey % 2 = 0 and c_custkey % 10 <> 0
+        union all select c_custkey, c_name, c_mktsegment, 'https://x', 'domain=d.example,secure=true' from customer where c_custkey % 2 = 1""",
 )
 def cookie_rows(spark, folder):
+    rows, _ = cookies(spark, folder)
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return rows.withColumn("attributes", F.array_join(pairs, ","))
+
+
+@register(
+    "ledger_cookie_rejects",
+    """select c_custkey, 'cookies must be an array of cookie objects or a name/value object' as error from customer where c_custkey % 10 = 0 and (c_custkey // 10) % 5 in (2, 3)""",
+)
+def cookie_rejects(spark, folder):
+    return cookies(spark, folder)[1]
+
+
+def cookies(spark, folder):
     as_object = F.concat(F.lit('{"seg":"'), "c_mktsegment", F.lit('","bal":'), F.col("c_nationkey").cast("string"), F.lit("}"))
-    as_list = F.concat(F.lit('[{"name":"'), "c_name", F.lit('","value":"'), "c_mktsegment", F.lit('","url":"https://x"},{"name":"","value":"1"},{"name":"gone"}]'))
-    raw = F.when(F.col("c_custkey") % 2 == 0, as_object).otherwise(as_list)
+    as_list = F.concat(F.lit('[{"name":"'), "c_name", F.lit('","value":"'), "c_mktsegment", F.lit('","url":"https://x","secure":true,"domain":"d.example"},{"name":"","value":"1"},{"name":"gone"},7]'))
+    shaped = F.when(F.col("c_custkey") % 2 == 0, as_object).otherwise(as_list)
+    broken = F.element_at(F.array(*map(F.lit, ["", "null", "{broken", "12", "false"])), (F.floor(F.col("c_custkey") / 10) % 5 + 1).cast("int"))
+    raw = F.when(F.col("c_custkey") % 10 == 0, broken).otherwise(F.concat(F.lit("\n\t"), shaped))
     df = table(spark, folder, "customer").select("c_custkey", raw.alias("raw"), F.concat(F.lit("https://"), F.col("c_nationkey").cast("string")).alias("home"))
     return L.cookie_rows(df, ["c_custkey"], "raw", "home")
 

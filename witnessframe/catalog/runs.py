@@ -47,7 +47,7 @@ def html_values(spark, folder):
     """with t as (select event_id, event_type, value, props, cast(value as varchar) as vs from events)
         select event_id, case event_type
           when 'view' then case when not value >= 5.5 then 'expected >= 5.5, got ' || vs when not value <= 20 then 'expected <= 20, got ' || vs end
-          when 'click' then case when not contains(props, '6') then 'expected to contain 6' end
+          when 'click' then case when not contains(props, '6') then 'expected to contain "6"' end
           when 'error' then case when true <> false then 'expected truthy=false, got ' || vs end
           when 'purchase' then case when vs <> '10.5' then 'expected 10.5, got ' || vs end end as failure from t""",
 )
@@ -102,7 +102,7 @@ SQL_PLANNED = """p as (select conv_id as run_id, turn as idx, (['url', 'click',
   n as (select *, coalesce(raw_id, idx || ':' || op) as id from p),
   e as (select n.run_id, n.idx, case
     when (select count(*) from n c where c.run_id = n.run_id) > 200 then 'too many'
-    when op = 'hover' then 'steps[' || idx || '].op is not one of url,click,content,screenshot'
+    when op = 'hover' then 'steps[' || idx || '].op "hover" is not one of url,click,content,screenshot'
     when exists (select 1 from n o where o.run_id = n.run_id and o.id = n.id and o.idx < n.idx) then 'steps[' || idx || '].id ' || id || ' is duplicated'
     when if_ok is not null and not exists (select 1 from n o where o.run_id = n.run_id and o.id = n.if_ok and o.idx <= n.idx) then 'steps[' || idx || '].if_ok names ' || if_ok || ', which is not an EARLIER step id'
     when if_failed is not null and not exists (select 1 from n o where o.run_id = n.run_id and o.id = n.if_failed and o.idx <= n.idx) then 'steps[' || idx || '].if_failed names ' || if_failed || ', which is not an EARLIER step id'
@@ -161,6 +161,14 @@ def run_outcomes(spark, folder):
     )
 
 
+@register(
+    "run_rejections",
+    """select conv_id as run_id, count(*) <= 4 and bool_and(false) as all_ok, 'steps accepts at most 4; got ' || count(*) as error from conversations group by 1 having count(*) > 4""",
+)
+def run_rejections(spark, folder):
+    return R.run_outcomes(gated_steps(spark, folder), 4).where("error is not null and size(results) = 0").select("run_id", "all_ok", "error")
+
+
 @register(
     "run_step_results",
     f"""with {SQL_GATED} select run_id, all_ok, r.id as id, r.skipped as skipped, case when not r.skipped then case when r.pending then r.final else r.ok end end as ok

@@ -18,21 +18,32 @@ def let(value: Column, body) -> Column:
 
 
 def js_string(number: Column) -> Column:
-    """``String(x)`` of a double: whole numbers without ``.0``, no exponent."""
+    """``String(x)`` of a double: whole numbers without ``.0``, no exponent, all digits."""
     x = number.cast("double")
-    plain = F.rtrim(x.cast("string").try_cast("decimal(38,18)").cast("string"), F.lit("0"))
+    # The shortest digits are those of the scientific form; only their point moves.
+    shown = F.regexp_extract(F.abs(x).cast("string"), r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 1)
+    part = F.regexp_extract(F.abs(x).cast("string"), r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 2)
+    power = F.coalesce(F.regexp_extract(F.abs(x).cast("string"), r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.concat(shown, F.nvl2(F.nullif(part, F.lit("0")), part, F.lit("")))
+    at = F.length(shown) + power
+    unsigned = (
+        F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+        .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits))))
+    )
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), unsigned)
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Infinity")
         .when(x == float("-inf"), "-Infinity")
         .when((x == F.rint(x)) & (F.abs(x) < 1e21), x.try_cast("decimal(22,0)").cast("string"))
-        .otherwise(F.coalesce(plain, x.cast("string")))
+        .otherwise(plain)
     )
 
 
 def js_number(text: Column) -> Column:
     """``Number(s)`` of a string: blank is 0, non-numeric NaN; null is 0."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"^(?U)[\s\x{feff}]+|[\s\x{feff}]+$", "")
     return (
         F.when(text.isNull() | (t == ""), F.lit(0.0))
         .when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
@@ -48,6 +59,42 @@ def truthy_text(s: Column) -> Column:
     return s.isNotNull() & (s != "")
 
 
+def variant_kind(v: Column) -> Column:
+    """``number``, ``text``, ``flag``, ``null``, ``list`` or ``object`` of a VARIANT; null for a missing one."""
+    shown = F.schema_of_variant(v)
+    return (
+        F.when(v.isNull(), F.lit(None).cast("string")).when(shown == "VOID", "null").when(shown == "BOOLEAN", "flag").when(shown == "STRING", "text")
+        .when(shown.startswith("ARRAY"), "list").when(shown.startswith("OBJECT"), "object").otherwise("number")
+    )
+
+
+def variant_truthy(v: Column) -> Column:
+    """Truthiness by the type of a VARIANT, not by its text: "0" and "false" are true."""
+    kind = variant_kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    return F.coalesce(
+        F.when(kind == "flag", F.try_variant_get(v, "$", "boolean")).when(kind == "text", F.try_variant_get(v, "$", "string") != "")
+        .when(kind == "number", (number != 0) & ~F.isnan(number)).otherwise(kind.isin("list", "object")),
+        F.lit(False),
+    )
+
+
+def variant_number(v: Column) -> Column:
+    """``Number(x)`` of a VARIANT: a missing value, a list or an object is NaN, null is 0."""
+    kind = variant_kind(v)
+    return (
+        F.when(kind == "null", F.lit(0.0)).when(kind == "flag", F.try_variant_get(v, "$", "boolean").cast("double"))
+        .when(kind == "text", js_number(F.try_variant_get(v, "$", "string"))).when(kind == "number", F.try_variant_get(v, "$", "double"))
+        .otherwise(F.lit(float("nan")))
+    )
+
+
+def variant_text(v: Column) -> Column:
+    """``String(x)`` of a VARIANT."""
+    number = js_string(F.try_variant_get(v, "$", "double"))
+    return F.when(variant_kind(v) == "number", number).otherwise(F.try_variant_get(v, "$", "string"))
+
+
 def first_truthy_number(*xs: Column) -> Column:
     """``a || b`` over numbers; nothing truthy gives null."""
     return F.coalesce(*[F.when(truthy_number(x), x) for x in xs])
@@ -116,9 +163,10 @@ def sample_step(width: Column, height: Column, most: int = 1_500_000) -> Column:
 
 
 def numeric_members(m: Column) -> Column:
-    """Only the numeric members of a string map, as doubles."""
-    kept = F.map_filter(m, lambda k, v: v.rlike(NUMERIC_TEXT))
-    return F.transform_values(kept, lambda k, v: v.try_cast("double"))
+    """Only the members of a VARIANT map that are numbers, as doubles; text that looks like one is none."""
+    number = lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    kept = F.map_filter(m, lambda k, v: F.coalesce(number(v), F.lit(False)))
+    return F.transform_values(kept, lambda k, v: F.variant_get(v, "$", "double"))
 
 
 def redact(m: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_ms, manifest_line, metadata_value, safe_segment
-from ..functions.values import js_number, js_string
+from ..functions.values import js_string, let, variant_kind, variant_number, variant_text, variant_truthy
 from ..plans.skew import join_unique
 
 # Fact names by timing field.
@@ -133,21 +133,18 @@ def finalizer_payload(parsed: Column) -> Column:
 
     A truthy ``Payload`` member is unwrapped; a non-numeric exit code is blank.
     """
-    inner = F.try_variant_get(parsed, "$.Payload", "variant")
-    inner_text = F.try_variant_get(parsed, "$.Payload", "string")
-    wrapped = inner.isNotNull() & ~F.coalesce(F.is_variant_null(inner), F.lit(False)) & ~F.coalesce(inner_text.isin("", "false", "0"), F.lit(False))
-    body = F.when(wrapped, inner).otherwise(parsed)
-    mode = F.try_variant_get(body, "$.mode", "variant")
-    text = F.try_variant_get(body, "$.mode", "string")
-    mode_text = F.when(F.is_variant_null(mode) | text.isin("", "false", "0"), "").otherwise(text)
-    code = F.try_variant_get(body, "$.exitCode", "string")
-    raw_code = F.try_variant_get(body, "$.exitCode", "variant")
-    number = F.when(raw_code.isNull(), F.lit(float("nan"))).otherwise(js_number(code))
-    finite = ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return F.when(
-        mode.isNotNull() | F.coalesce(F.is_variant_null(mode), F.lit(False)),
-        F.struct(F.coalesce(mode_text, F.lit("")).alias("mode"), F.when(finite, js_string(number)).otherwise("").alias("exit_code")),
-    )
+
+    def exit_code(number: Column) -> Column:
+        return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), js_string(number)).otherwise("")
+
+    def read(body: Column) -> Column:
+        code = let(let(F.try_variant_get(body, "$.exitCode", "variant"), variant_number), exit_code)
+        mode = F.try_variant_get(body, "$.mode", "variant")
+        text = let(mode, lambda m: F.when(variant_truthy(m), variant_text(m)).otherwise(""))
+        return F.when((variant_kind(body) == "object") & mode.isNotNull(), F.struct(text.alias("mode"), code.alias("exit_code")))
+
+    unwrapped = let(F.try_variant_get(parsed, "$.Payload", "variant"), lambda inner: F.when(variant_truthy(inner), inner).otherwise(parsed))
+    return let(unwrapped, read)
 
 
 def execution_sha(raw: Column) -> Column:
@@ -155,30 +152,42 @@ def execution_sha(raw: Column) -> Column:
     return F.coalesce(F.trim(F.try_variant_get(F.try_parse_json(raw), "$.sha", "string")), F.lit(""))
 
 
+# History events whose input may be a finalizer's.
+SCHEDULED = ("TaskScheduled", "LambdaFunctionScheduled")
+
+
 def newest_payload(history: DataFrame, keys: list[str]) -> DataFrame:
-    """First event from the newest end that carries a finalizer payload."""
-    # Most events mention no mode at all; a text test spares them the parser.
-    parsed = history.where(F.col("payload").contains('"mode"')).select(*keys, "event_id", F.try_parse_json("payload").alias("_json"))
-    found = parsed.select(*keys, "event_id", finalizer_payload(F.col("_json")).alias("_payload")).where("_payload is not null")
+    """First scheduling event (``event_type``) from the newest end that carries a finalizer payload."""
+    scheduled = history.where(F.col("event_type").isin(*SCHEDULED) & (F.col("payload") != ""))
+    found = scheduled.select(*keys, "event_id", let(F.try_parse_json("payload"), finalizer_payload).alias("_payload")).where("_payload is not null")
     return found.groupBy(*keys).agg(F.max_by(F.struct("event_id", "_payload"), "event_id").alias("f")).select(
         *keys, F.col("f.event_id").alias("event_id"), "f._payload.mode", "f._payload.exit_code"
     )
 
 
-def ci_snapshot(environments: DataFrame, executions: DataFrame, history: DataFrame) -> DataFrame:
-    """ci facts per environment: newest execution and its finalizer; an environment
-    without any execution carries ``ci_error`` alone."""
+def ci_snapshot(environments: DataFrame, executions: DataFrame, history: DataFrame, checked_at: Column, failures: DataFrame | None = None) -> DataFrame:
+    """ci facts per environment (env, target_sha): newest execution and its finalizer.
+
+    An environment without any execution carries ``ci_error`` with what was asked and when. A
+    history that could not be read (``failures``: execution_id, reason) is an error too, and
+    its finalizer is blank.
+    """
     newest = latest_execution(executions)
     wanted = newest.select("execution_id")
     payload = newest_payload(history.join(wanted, "execution_id", "left_semi"), ["execution_id"]).drop("event_id")
     out = environments.join(newest, "env", "left").join(payload, "execution_id", "left")
-    known = F.col("execution_id").isNotNull()
+    if failures is None:
+        out = out.withColumn("reason", F.lit(None).cast("string"))
+    else:
+        out = out.join(failures.select("execution_id", "reason"), "execution_id", "left")
+    known, read = F.col("execution_id").isNotNull(), F.col("reason").isNull()
     return out.select(
-        "env", "execution_id", F.when(known, execution_sha(F.col("input"))).alias("executed_sha"), "status",
+        "env", "target_sha", iso_ms(checked_at).alias("checked_at_utc"), "execution_id", F.when(known, execution_sha(F.col("input"))).alias("executed_sha"), "status",
         F.when(known, iso_ms(F.col("start_date"))).alias("start_date"),
-        F.when(known, F.coalesce("mode", F.lit(""))).alias("finalizer_mode"),
-        F.when(known, F.coalesce("exit_code", F.lit(""))).alias("worker_exit_code"),
-        F.when(~known, F.concat(F.lit("no execution found for "), F.col("env"))).alias("ci_error"),
+        F.when(known, F.coalesce(iso_ms(F.col("stop_date")), F.lit(""))).alias("stop_date"),
+        F.when(known, F.coalesce(F.when(read, F.col("mode")), F.lit(""))).alias("finalizer_mode"),
+        F.when(known, F.coalesce(F.when(read, F.col("exit_code")), F.lit(""))).alias("worker_exit_code"),
+        F.when(~known, F.concat(F.lit("no execution found for "), F.col("env"))).otherwise(F.concat(F.lit("history: "), F.col("reason"))).alias("ci_error"),
     )
 
 
@@ -205,11 +214,20 @@ def redirect_facts(hops: DataFrame) -> DataFrame:
 
 
 def header_facts(headers: Column) -> Column:
-    """Allow-listed headers clamped to 512 characters, and how many there were in all."""
-    lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    """Allow-listed headers clamped to 512 characters, and how many there were in all.
+
+    Of several spellings of one name the last counts.
+    """
+    named = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def last_of_each(entries: Column) -> Column:
+        later = lambda i: F.transform(F.slice(entries, i + 2, F.size(entries)), lambda e: e["key"])
+        return F.filter(entries, lambda e, i: ~F.array_contains(later(i), e["key"]))
+
+    lower = F.map_from_entries(let(named, last_of_each))
     kept = F.map_filter(lower, lambda k, v: k.isin(*HEADER_ALLOWLIST))
-    named = F.transform_keys(F.transform_values(kept, lambda k, v: metadata_value(v, 512)), lambda k, v: F.concat(F.lit("capture.header."), k))
-    return F.map_concat(named, F.create_map(F.lit("capture.header-count"), F.size(lower).cast("string")))
+    facts = F.transform_keys(F.transform_values(kept, lambda k, v: metadata_value(v, 512)), lambda k, v: F.concat(F.lit("capture.header."), k))
+    return F.map_concat(facts, F.create_map(F.lit("capture.header-count"), F.size(lower).cast("string")))
 
 
 def folded_headers(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -264,15 +282,36 @@ def claim_context(df: DataFrame, intent: str, category: str, target: str) -> Dat
     return df.select("*", wanted.alias("claim_intent"), side.alias("claim_category"), F.col(target).alias("claim_target"), error.alias("error"))
 
 
-def cookie_rows(df: DataFrame, keys: list[str], raw: str, url: str) -> DataFrame:
-    """Cookies given as an array of objects or as one name/value object, as rows."""
+def cookie_rows(df: DataFrame, keys: list[str], raw: str, url: str) -> tuple[DataFrame, DataFrame]:
+    """(one row per cookie, rejects) of JSON text holding an array of cookie objects or a name/value object.
+
+    A listed cookie keeps all its members in ``attributes`` and counts if its name is truthy and it has a
+    value; nothing, blank text, null and false hold no cookies, any other shape or text that is no JSON is a reject.
+    """
     text = F.trim(F.coalesce(F.col(raw), F.lit("")))
-    objects = F.from_json(text, "array<struct<name string, value string, url string, domain string, path string>>")
-    listed = df.where(text.startswith("[")).select(*keys, F.explode(objects).alias("c"), F.col(url).alias("_url")).where(
-        (F.coalesce("c.name", F.lit("")) != "") & F.col("c.value").isNotNull()
-    ).select(*keys, "c.name", "c.value", F.coalesce("c.url", "_url").alias("url"))
-    named = df.where(text.startswith("{")).select(*keys, F.explode(F.from_json(text, "map<string,string>")).alias("name", "value"), F.col(url).alias("url"))
-    return listed.unionByName(named)
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    parsed = df.select(*keys, F.col(url).alias("_url"), text.alias("_text"), F.try_parse_json(text).alias("_json"))
+    parsed = parsed.withColumn("_kind", variant_kind(F.col("_json")))
+    none = (F.col("_text") == "") | (F.col("_kind") == "null") | (F.col("_text").isin("false", '""'))
+    good = F.col("_kind").isin("list", "object")
+    reason = F.lit("cookies must be an array of cookie objects or a name/value object")
+    rejects = parsed.where(~F.coalesce(none, F.lit(False)) & ~F.coalesce(good, F.lit(False))).select(*keys, reason.alias("error"))
+    parts = parsed.where(good)
+    members = parts.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_json").outer()))
+    name, value = F.try_variant_get("value", "$.name", "variant"), F.try_variant_get("value", "$.value", "variant")
+    listed = members.where((F.col("_kind") == "list") & (variant_kind(F.col("value")) == "object")).where(
+        variant_truthy(name) & value.isNotNull() & (variant_kind(value) != "null")
+    )
+    listed = listed.select(*keys, variant_text(name).alias("name"), variant_text(value).alias("v"), "_url", F.try_variant_get("value", "$", "map<string,string>").alias("attributes"))
+    listed = listed.select(
+        *keys, "name", F.col("v").alias("value"), F.coalesce(F.try_element_at("attributes", F.lit("url")), "_url").alias("url"),
+        F.map_filter("attributes", lambda k, v: ~k.isin("name", "value", "url")).alias("attributes"),
+    )
+    named = members.where("_kind = 'object'").select(
+        *keys, F.col("key").alias("name"), F.coalesce(variant_text(F.col("value")), F.lit("null")).alias("value"), F.col("_url").alias("url"),
+        F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+    return listed.unionByName(named), rejects
 
 
 def issue_error(issue: Column, claimed: Column, key: Column) -> Column:

@@ -70,12 +70,12 @@ def drawn_frames(offsets: DataFrame) -> DataFrame:
 def marked_block(lines: DataFrame, name: str) -> DataFrame:
     """Lines of the last block between ``==== name BEGIN`` and ``==== name END`` of each file.
 
-    Colour codes are stripped first; a block without an end runs to the end of its file.
+    Line ends go first, then colour codes; a block without an end runs to the end of its file.
     """
-    text = F.col("line")
+    text = F.rtrim("line", F.lit("\r\n"))
     for code in ANSI_CODES:
         text = F.replace(text, F.lit(code), F.lit(""))
-    clean = lines.withColumn("line", F.rtrim(text, F.lit("\r\n")))
+    clean = lines.withColumn("line", text)
     begin, end = F.col("line") == f"==== {name} BEGIN", F.col("line") == f"==== {name} END"
     last = clean.groupBy("file").agg(F.max(F.when(begin, F.col("line_no"))).alias("_begin"), F.count(F.lit(1)).alias("_n")).where("_begin is not null")
     body = join_unique(clean, last, ["file"], "_n", ["line_no"]).where("line_no > _begin").drop("_n", "_begin")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import js_string, let, valid_scale
+from ..functions.values import js_string, json_text, let, valid_scale
 from ..plans.ordered import running
 from ..plans.skew import join_unique
 
@@ -16,6 +16,10 @@ MAX_STEPS = 200
 MAX_STEP_TIMEOUT_MS = 120_000
 
 
+def _crowd(n: Column, max_steps: int) -> Column:
+    return F.concat(F.lit(f"steps accepts at most {max_steps}; got "), n.cast("string"))
+
+
 def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MAX_STEPS) -> DataFrame:
     """Steps with ``error``, the first rule they break (null for a valid step).
 
@@ -26,13 +30,12 @@ def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MA
     firsts = named.groupBy("run_id", "id").agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("_n"))
     counts = named.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
     sized = join_unique(named, counts, ["run_id"], "n_steps", ["idx"])
-    crowd = F.concat(F.lit(f"steps accepts at most {max_steps}; got "), F.col("n_steps").cast("string"))
-    crowded = sized.where(F.col("n_steps") > max_steps).select(*steps.columns, crowd.alias("error"))
+    crowded = sized.where(F.col("n_steps") > max_steps).select(*steps.columns, _crowd(F.col("n_steps"), max_steps).alias("error"))
     # From here on a run has at most max_steps steps.
     out = sized.where(F.col("n_steps") <= max_steps).join(firsts.drop("_n"), ["run_id", "id"])
     at = F.concat(F.lit("steps["), F.col("idx").cast("string"), F.lit("]."))
     rules = [
-        F.when(~F.coalesce(F.col("op").isin(*operations), F.lit(False)), F.concat(at, F.lit("op is not one of "), F.lit(",".join(operations)))),
+        F.when(~F.coalesce(F.col("op").isin(*operations), F.lit(False)), F.concat(at, F.lit("op "), json_text(F.col("op")), F.lit(" is not one of "), F.lit(",".join(operations)))),
         F.when(F.col("first_idx") < F.col("idx"), F.concat(at, F.lit("id "), F.col("id"), F.lit(" is duplicated"))),
     ]
     for gate in ("if_ok", "if_failed", "if_html_incomplete"):
@@ -77,7 +80,7 @@ def expectation_failure(value_json: Column, value_number: Column, value_text: Co
         F.when(equals.isNotNull() & (value_json != equals), F.concat(F.lit("expected "), equals, F.lit(", got "), value_json)),
         F.when(gte.isNotNull() & ~below(gte, number), F.concat(F.lit("expected >= "), js_string(gte), F.lit(", got "), value_json)),
         F.when(lte.isNotNull() & ~below(number, lte), F.concat(F.lit("expected <= "), js_string(lte), F.lit(", got "), value_json)),
-        F.when(contains.isNotNull() & ~F.coalesce(F.contains(value_text, contains), F.lit(False)), F.concat(F.lit("expected to contain "), contains)),
+        F.when(contains.isNotNull() & ~F.coalesce(F.contains(value_text, contains), F.lit(False)), F.concat(F.lit("expected to contain "), json_text(contains))),
         F.when(truthy.isNotNull() & (value_truthy != truthy), F.concat(F.lit("expected truthy="), truthy.cast("string"), F.lit(", got "), value_json)),
     )
 
@@ -86,7 +89,7 @@ RESULT = "struct<idx: int, id: string, skipped: boolean, ok: boolean, pending: b
 
 
 def run_outcomes(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
-    """Evaluate every run in step order: (run_id, all_ok, results array).
+    """Evaluate every run in step order: (run_id, all_ok, results array, error).
 
     steps: run_id, idx, id, op, optional, if_ok, if_failed, if_html_incomplete, raw_ok,
     started, html_complete. A screenshot whose readers ``started`` counts as ok until a
@@ -94,11 +97,14 @@ def run_outcomes(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     step that is not optional stops the run, and every later step is skipped.
 
     Gates chain on earlier verdicts, so a run is one ordered fold. Requests hold at most
-    ``max_steps`` steps; larger runs are rejected by step_errors and never gathered here.
+    ``max_steps`` steps; a larger run is not gathered but returned with no results and the error of its rejection.
     """
     sizes = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
     # Oversized runs go before any row is gathered, so a group is at most max_steps rows.
     admitted = join_unique(steps, sizes, ["run_id"], "_n", ["idx"]).where(F.col("_n") <= max_steps)
+    crowded = sizes.where(F.col("_n") > max_steps).select(
+        "run_id", F.lit(False).alias("all_ok"), F.array().cast(f"array<{RESULT}>").alias("results"), _crowd(F.col("_n"), max_steps).alias("error")
+    )
     fields = ("idx", "id", "op", "optional", "if_ok", "if_failed", "if_html_incomplete", "raw_ok", "started", "html_complete")
     gathered = admitted.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("steps"))
     start = F.struct(F.lit(False).alias("stopped"), F.lit(True).alias("all_ok"), F.array().cast(f"array<{RESULT}>").alias("res"))
@@ -143,7 +149,7 @@ def run_outcomes(steps: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
         return F.struct((a["stopped"] | halt).alias("stopped"), (a["all_ok"] & ~halt).alias("all_ok"), F.array_append(a["res"], row).alias("res"))
 
     done = F.aggregate("steps", start, advance, lambda acc: settle(acc, lambda r: F.lit(True)))
-    return gathered.select("run_id", done.alias("d")).select("run_id", F.col("d.all_ok").alias("all_ok"), F.col("d.res").alias("results"))
+    return gathered.select("run_id", done.alias("d")).select("run_id", F.col("d.all_ok").alias("all_ok"), F.col("d.res").alias("results"), F.lit(None).cast("string").alias("error")).unionByName(crowded)
 
 
 def step_results(outcomes: DataFrame) -> DataFrame:

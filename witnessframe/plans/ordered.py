@@ -120,10 +120,13 @@ def _at(rank: Column, value: str) -> Column:
     return F.max(F.when(inside, F.col(value)))
 
 
+MEAN_DIGITS = "decimal(25,10)"
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact count, min, max, mean, median and upper median per key.
 
-    Equal values collapse before the ordered pass, and the pass is chunked by
+    The mean is summed in decimals of ``MEAN_DIGITS`` places, so it does not depend on the order of rows. Equal values collapse before the ordered pass, and the pass is chunked by
     magnitude, so neither a hot key nor a hot value ends up in one task.
     """
     ranked = value_ranks(df.where(F.col(value).isNotNull()), keys, value)
@@ -133,7 +136,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFram
         F.max("n").cast("bigint").alias("n"),
         F.min(value).alias("min_value"),
         F.max(value).alias("max_value"),
-        (F.sum(F.col(value) * F.col("copies")) / F.max("n")).alias("mean_value"),
+        (F.sum(F.col(value).cast(MEAN_DIGITS) * F.col("copies").cast("decimal(12,0)")).cast("double") / F.max("n")).alias("mean_value"),
         ((_at(low, value) + _at(half + 1, value)) / 2).alias("median_value"),
         _at(half + 1, value).alias("upper_median_value"),
     )

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 
-# No key outside the 1,000 largest can hold more than a thousandth of the rows.
-HOT_KEYS = 1000
-
 
 def join_unique(
     left: DataFrame,
@@ -26,30 +23,25 @@ def join_unique(
     """Join ``left`` to ``right`` (one row per key, ``weight`` = rows of that key in left).
 
     ``right`` is an aggregate of the left rows: it is stored once, so that finding the
-    heavy keys does not compute it again. Without any it is a plain join. Otherwise the
-    heavy keys (at most HOT_KEYS of them, so their broadcast is bounded) have their left
-    rows dealt over salts by the ``spread`` columns and their right row repeated once per
-    salt; every other key joins as usual.
+    heavy keys does not compute it again. Without any it is a plain join. Otherwise the left
+    rows of every key above ``rows_per_salt`` are dealt over salts by the ``spread`` columns and its right
+    row is repeated once per salt; every other key joins as usual. Heavy keys are counted,
+    and reach the left rows by broadcast only while they are few.
     """
     keys = list(keys)
     right = durable(right)
-    heavy = (
-        right.where(F.col(weight) > rows_per_salt)
-        .orderBy(F.col(weight).desc(), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col(weight) / rows_per_salt).cast("int").alias("_salts"))
-    )
-    if heavy.isEmpty():
+    salts = F.greatest(F.ceil(F.col(weight) / rows_per_salt), F.lit(1)).cast("int")
+    heavy = right.where(F.col(weight) > rows_per_salt).select(*keys, salts.alias("_salts"))
+    n = heavy.count()
+    if not n:
         return left.join(right, keys, how)
-    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(
+    dealt = left.join(small_side(heavy, n), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts")).cast("int")
         ),
     ).drop("_salts")
-    repeated = right.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    ).drop("_salts")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,6 +30,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .appName("witnessframe")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
     )
     for name, value in RUNTIME_SETTINGS.items():
@@ -41,7 +43,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor sees: ``spark.checkpoint.dir`` as the cluster sets it.
 
-    Only where the setting is absent (a local test run) is a temporary folder used.
+    Only a local run may go without the setting and gets a temporary folder; on a cluster
+    executors would not see it, so the job fails at once.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -49,6 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
