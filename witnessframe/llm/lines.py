@@ -232,7 +232,7 @@ def judge(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return words.small_batches(docs).select("doc_id", "text").mapInArrow(
         verdicts,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double",
     )

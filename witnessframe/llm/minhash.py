@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
     and text fall into one class and are all ``kept`` or not together; a null doc_id is never
     the component id while a known one is reachable. Further columns are ignored.
     """
-    text = F.col("text")
+    docs, text = words.small_batches(docs), F.col("text")
     prints = durable(
         docs.select("doc_id", text).mapInArrow(_prints, "doc_id long, n_shingles long, cls binary, bands array<long>")
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
+from . import words
 
 MOST_PASSES = 3
 HASH_CHUNKS = 4096
@@ -114,10 +116,6 @@ def word_count(text: Column) -> Column:
 
 
 def _words(batches):
-    import pyarrow as pa
-
-    from . import words
-
     for batch in batches:
         for row, stop, data, bounds in words.slices(batch.column(batch.schema.get_field_index("text"))):
             part = batch.slice(row, stop - row)
@@ -142,7 +140,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     null, rank side by side and which of two equal rows is taken makes no difference. Extra
     columns are ignored. Reruns agree.
     """
-    sized = docs.select("doc_id", "source", "text").mapInArrow(_words, "doc_id long, source string, size long")
+    sized = words.small_batches(docs).select("doc_id", "source", "text").mapInArrow(_words, "doc_id long, source string, size long")
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = durable(sized.withColumn("rank", rank).withColumn("chunk", F.pmod("rank", F.lit(HASH_CHUNKS)).cast("int")))
     counts = durable(sized.groupBy("source", "size", "chunk").agg(F.count(F.lit(1)).alias("held")))

@@ -289,4 +289,4 @@ def find(docs: DataFrame) -> DataFrame:
                     ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(spans, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return words.small_batches(docs).select("doc_id", "text").mapInArrow(spans, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

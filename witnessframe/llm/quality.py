@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
     shares = (held["all"] - (held["good"] or 0), held["good"] or 0)
     order = [F.xxhash64(F.lit(11), F.col("doc_id")), F.col("doc_id")]
     picked = known.where("quality = 1").orderBy(*order).limit(sample).unionByName(known.where("quality = 0").orderBy(*order).limit(sample))
-    texts = docs.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "text").join(F.broadcast(picked), "doc_id")
+    texts = words.small_batches(docs).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "text").join(F.broadcast(picked), "doc_id")
     rows = texts.select(F.col("quality").cast("int"), "n_chars", "text").mapInArrow(_featurise, "quality int, indices array<int>, values array<float>").toArrow()
     quality = np.array(rows.column("quality").to_pylist(), np.int64)
     vectors = []
@@ -190,7 +190,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 margin, _ = model.margins(*features(data, bounds, known[row:stop]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(sigmoid(margin.astype(np.float64)))], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "text").mapInArrow(scores, "doc_id long, score double")
+    scored = words.small_batches(docs).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "text").mapInArrow(scores, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
                 margin, _ = shared.value.margins(*features(data, bounds, known[row:stop]))
                 yield batch.slice(row, stop - row).filter(pa.array(sigmoid(margin.astype(np.float64)) >= 0.5))
 
-    return docs.mapInArrow(good, docs.schema)
+    return words.small_batches(docs).mapInArrow(good, docs.schema)

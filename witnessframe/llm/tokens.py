@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, *, limit: int = LIMIT)
     repeated rows give equal rows; extra columns are ignored. Two runs may append the
     same text at once: equal digests carry equal counts, and one is read.
     """
-    spark = docs.sparkSession
+    spark = words.small_batches(docs).sparkSession
     version = tokenizer_version(path)
     spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
 

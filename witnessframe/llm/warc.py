@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable, shared_folder
+from . import words
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 24 << 20  # record bytes of one archive
@@ -116,6 +117,7 @@ def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:
     A task writes each file under a name of its own, so a task that runs again leaves a stray
     file but no wrong one: the returned manifest, which is checkpointed, names those that count.
     """
+    pages = words.small_batches(pages)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = durable(pages.select("page_id", F.octet_length(payload).alias("n"), F.sha1(payload).alias("digest")).where(f"n >= {LEAST_REVISIT}"))
     best = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("held")).where("held > 1")

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-SLICE_BYTES = 1 << 20  # text bytes handled at once; one longer text is a slice of its own
+BATCH_ROWS = 1000  # rows per Arrow batch: whole texts of some kilobytes each
+SLICE_BYTES = 1 << 19  # text bytes handled at once; one longer text is a slice of its own
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -116,6 +118,12 @@ def windows(hashed: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return full, texts[place]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches kept small enough for whole texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows holding about ``limit`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
