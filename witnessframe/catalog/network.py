@@ -20,33 +20,44 @@ def browser_events(spark, folder, requests: int = 100):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % requests
     return e.select(
         F.col("user_id").alias("page_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.element_at(names, F.col("event_type")).alias("kind"),
-        k.cast("string").alias("request_id"), F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit("/")).alias("url"),
+        k.cast("string").alias("request_id"), F.concat(F.when(F.col("event_id") % 7 == 0, "data:u").otherwise("https://u"), F.col("user_id").cast("string"), F.lit("/")).alias("url"),
+        F.concat(F.lit("h"), (F.col("event_id") % 4).cast("string")).alias("protocol"), (F.col("event_id") * 3).alias("encoded_data_length"), (F.col("event_id") % 5 == 0).alias("canceled"),
+        F.parse_json(F.concat(F.lit('{"dns":'), F.col("event_id").cast("string"), F.lit(',"note":"7"}'))).alias("timing"),
         (F.col("event_id") % 3 != 0).alias("redirect"), (200 + F.floor("value")).cast("int").alias("status"), "value", "event_type",
     )
 
 
 def sql_legs(requests: int = 100) -> str:
-    return f"""e as (select user_id as page_id, event_id, ts, cast(regexp_extract(props, '([0-9]+)', 1) as int) % {requests} as request_id, event_id % 3 <> 0 as redirect,
+    return f"""e as (select user_id as page_id, event_id, ts, cast(regexp_extract(props, '([0-9]+)', 1) as int) % {requests} as request_id, event_id % 3 <> 0 as redirect, event_id % 7 <> 0 as http,
         cast(200 + floor(value) as int) as status, value, event_type, case event_type when 'view' then 'open' when 'click' then 'response' when 'signup' then 'cached' when 'purchase' then 'finished' else 'failed' end as kind from events),
-      n as (select *, cast(sum(case when kind = 'open' then 1 else 0 end) over w as bigint) as leg from e window w as (partition by page_id, request_id order by ts, event_id rows unbounded preceding)),
-      c as (select *, min(case when kind in ('finished', 'failed') then event_id end) over (partition by page_id, request_id, leg) as closed_at from n),
+      n as (select *, cast(sum(case when kind = 'open' and http then 1 else 0 end) over w as bigint) as leg from e window w as (partition by page_id, request_id order by ts, event_id rows unbounded preceding)),
+      c as (select *, min(case when kind in ('finished', 'failed') or (kind = 'open' and not http) then event_id end) over (partition by page_id, request_id, leg) as closed_at from n),
       o as (select page_id, request_id, leg, event_id, redirect, closed_at, lead(event_id) over r as next_id, lead(redirect) over r as next_redirect
-        from c where kind = 'open' window r as (partition by page_id, request_id order by leg)),
-      legs as (select o.page_id, cast(o.request_id as varchar) as request_id, o.leg, o.event_id,
-        coalesce((select k.kind from c k where k.event_id = o.closed_at), case when next_redirect then 'redirected' else 'pending' end) as state,
-        coalesce(o.closed_at, case when next_redirect then next_id end) as end_event_id,
-        arg_max(c.status, c.event_id) filter (where c.kind = 'response' and (o.closed_at is null or c.event_id < o.closed_at)) as status,
+        from c where kind = 'open' and http window r as (partition by page_id, request_id order by leg)),
+      q as (select o.page_id, o.request_id, o.leg, o.event_id, o.closed_at, case when k.kind in ('finished', 'failed') then k.kind when k.kind = 'open' then case when k.redirect then 'redirected' else 'pending' end
+          when next_redirect then 'redirected' else 'pending' end as state, coalesce(o.closed_at, next_id) as last_id from o left join c k on k.event_id = o.closed_at),
+      legs as (select o.page_id, cast(o.request_id as varchar) as request_id, o.leg, o.event_id, o.state, case when o.state <> 'pending' then o.last_id end as end_event_id,
+        case when o.state = 'redirected' then any_value(z.status) else arg_max(c.status, c.event_id) filter (where c.kind = 'response' and (o.closed_at is null or c.event_id < o.closed_at)) end as status,
+        case when o.state = 'redirected' then 'h' || o.last_id % 4 else 'h' || arg_max(c.event_id, c.event_id) filter (where c.kind = 'response' and (o.closed_at is null or c.event_id < o.closed_at)) % 4 end as protocol,
+        cast(case when o.state = 'redirected' then o.last_id else max(c.event_id) filter (where c.kind = 'response' and (o.closed_at is null or c.event_id < o.closed_at)) end as double) as dns_ms,
+        case when o.state in ('finished', 'failed') then o.last_id * 3 end as encoded_data_length, case when o.state in ('finished', 'failed') then o.last_id % 5 = 0 end as canceled,
         max(c.event_id) filter (where c.kind = 'response' and (o.closed_at is null or c.event_id < o.closed_at)) as response_event_id,
         coalesce(bool_or(c.kind = 'cached' and (o.closed_at is null or c.event_id < o.closed_at)), false) as served_from_cache
-        from o join c on c.page_id = o.page_id and c.request_id = o.request_id and c.leg = o.leg group by 1, 2, 3, 4, o.closed_at, next_redirect, next_id)"""
+        from q o join c on c.page_id = o.page_id and c.request_id = o.request_id and c.leg = o.leg left join e z on z.event_id = o.last_id group by 1, 2, 3, 4, 5, o.closed_at, o.last_id)"""
 
 
 LEG_COLUMNS = ["page_id", "request_id", "leg", "event_id", "state", "end_event_id", "status", "response_event_id", "served_from_cache"]
+FACT_COLUMNS = [*LEG_COLUMNS, "protocol", "dns_ms", "encoded_data_length", "canceled"]
 
 
-@register("network_legs", f"with {sql_legs()} select {', '.join(LEG_COLUMNS)} from legs")
+def with_facts(legs):
+    """Legs with one timing member as a column."""
+    return legs.withColumn("dns_ms", F.try_element_at("timing", F.lit("dns"))).where("timing is null or size(timing) = 1")
+
+
+@register("network_legs", f"with {sql_legs()} select {', '.join(FACT_COLUMNS)} from legs")
 def legs(spark, folder):
-    return N.legs(browser_events(spark, folder)).select(*LEG_COLUMNS)
+    return with_facts(N.legs(browser_events(spark, folder))).select(*FACT_COLUMNS)
 
 
 @register("network_legs_dense", f"with {sql_legs(4)} select {', '.join(LEG_COLUMNS)} from legs")
@@ -173,8 +184,8 @@ def response_headers(spark, folder):
 def page_errors(spark, folder):
     e = browser_events(spark, folder)
     kind = F.when(F.col("event_type") == "click", "response").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "log").when(
-        F.col("event_type") == "signup", "exception"
-    ).otherwise("open")
+        (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), "console"
+    ).when(F.col("event_type") == "signup", "exception").otherwise("open")
     return N.error_rows(e.select(
         "page_id", "ts", "event_id", kind.alias("kind"), (300 + F.floor("value") * 5).cast("int").alias("status"), F.when(F.col("value") > 20, "error").otherwise("info").alias("level"),
         F.when(F.col("event_id") % 2 == 0, "worker").otherwise("page").alias("source"), F.concat(F.lit("m"), F.col("value").cast("string")).alias("text"),
@@ -182,12 +193,12 @@ def page_errors(spark, folder):
 
 
 SQL_ERRORS = """r as (select user_id as page_id, event_id, value, event_type, case when event_type = 'click' and 300 + floor(value) * 5 >= 400 then 'http_error' when event_type = 'error' then 'failed_request'
-    when event_type = 'purchase' and value > 20 and event_id % 2 = 1 then 'console_error' when event_type = 'signup' then 'console_error' end as tally from events)"""
+    when event_type = 'purchase' and value > 20 and event_id % 2 = 1 then 'console_error' when event_type = 'signup' and (event_id % 3 <> 0 or value > 20) then 'console_error' end as tally from events)"""
 
 
 @register(
     "error_rows",
-    f"with {SQL_ERRORS} select page_id, event_id, tally, case when event_type = 'signup' then 'pageerror: ' else '' end || 'm' || value as message from r where tally is not null",
+    f"with {SQL_ERRORS} select page_id, event_id, tally, case when event_type = 'signup' and event_id % 3 <> 0 then 'pageerror: ' else '' end || 'm' || value as message from r where tally is not null",
 )
 def error_rows(spark, folder):
     return page_errors(spark, folder).drop("ts")
@@ -204,18 +215,32 @@ def error_tallies(spark, folder):
 
 @register(
     "interception_latency",
-    f"""with {sql_legs(4)}, p as (select page_id, event_id, cast(request_id as varchar) as network_id, value, status, row_number() over (partition by page_id order by ts, event_id) as ordinal from e where kind in ('response', 'failed')),
+    f"""with {sql_legs(4)}, p as (select page_id, event_id, cast(request_id as varchar) as network_id, value, status, row_number() over (partition by page_id order by ts, event_id) as ordinal from e where kind in ('response', 'failed') and http),
         l as (select page_id, request_id as network_id, count(*) as n_legs, arg_max(state, leg) as leg_state from legs group by 1, 2)
-        select p.page_id, event_id, n_legs, leg_state, round(value, 6) as latency_ms, case when status > 210 then 'response' else 'request' end as stage from p left join l using (page_id, network_id) where ordinal <= 20""",
+        select p.page_id, event_id, n_legs, leg_state, case when event_id % 4 <> 0 then round(value, 6) end as latency_ms, case when status > 210 or event_id % 11 = 0 then 'response' else 'request' end as stage,
+          case when event_id % 4 = 0 then 'pending' when event_id % 2 = 0 then 'acknowledged' else 'failed' end as state, case when event_id % 2 = 0 then 'continue' else 'fulfil' end as action from p left join l using (page_id, network_id) where ordinal <= 20""",
 )
 def interception_latency(spark, folder):
+    return paused(spark, folder)[0].select("page_id", "event_id", "n_legs", "leg_state", F.round("latency_ms", 6).alias("latency_ms"), "stage", "state", "action")
+
+
+@register(
+    "interceptions_dropped",
+    f"with {sql_legs(4)} select page_id, least(count(*), 20) as kept, greatest(count(*) - 20, 0) as dropped from e where kind in ('response', 'failed') and http group by 1",
+)
+def interceptions_dropped(spark, folder):
+    return paused(spark, folder)[1]
+
+
+def paused(spark, folder):
     e = browser_events(spark, folder, 4)
-    paused = e.where("kind in ('response', 'failed')").select(
-        "page_id", "ts", "event_id", F.col("request_id").alias("network_id"), F.col("value").alias("dispatch_ms"), (F.col("value") * 2).alias("ack_ms"),
-        F.when(F.col("status") > 210, F.col("status")).alias("response_status"),
+    even = F.col("event_id") % 2 == 0
+    stopped = e.where("kind in ('response', 'failed')").select(
+        "page_id", "ts", "event_id", "url", F.col("request_id").alias("network_id"), F.col("value").alias("dispatch_ms"), F.when(F.col("event_id") % 4 != 0, F.col("value") * 2).alias("ack_ms"),
+        F.when(F.col("status") > 210, F.col("status")).alias("response_status"), F.when(F.col("event_id") % 11 == 0, "Aborted").alias("response_error"),
+        even.alias("ack_ok"), F.when(even, "continue").otherwise("fulfil").alias("action"),
     )
-    out = N.interceptions(paused, N.legs(e), 20)
-    return out.select("page_id", "event_id", "n_legs", "leg_state", F.round("latency_ms", 6).alias("latency_ms"), "stage")
+    return N.interceptions(stopped, N.legs(e), 20)
 
 
 @register(
@@ -236,7 +261,8 @@ SQL_NAV = """e as (select user_id as page_id, event_id, case event_type when 'vi
   s as (select *, max(case when kind = 'navigate' then event_id end) over w as nav, max(case when kind = 'commit' then event_id end) over w as cur from e
     window w as (partition by page_id order by event_id rows between unbounded preceding and 1 preceding)),
   t as (select s.*, n.loader as own, n.start_loader, c.loader as current_loader,
-      exists (select 1 from e x where x.page_id = s.page_id and x.loader = s.loader and x.name = 'load' and x.event_id < s.event_id) as reached
+      coalesce((select max(x.event_id) from e x where x.page_id = s.page_id and x.loader = s.loader and x.name = 'load' and x.event_id < s.event_id)
+        > coalesce((select max(x.event_id) from e x where x.page_id = s.page_id and x.loader = s.loader and x.name = 'init' and x.event_id < s.event_id), -1), false) as reached
     from s join (select m.event_id, m.loader, b.loader as start_loader from s m left join e b on b.event_id = m.cur where m.kind = 'navigate') n on n.event_id = s.nav
     left join e c on c.event_id = s.cur),
   done as (select nav, min(event_id) as done_event_id from t where (name = 'load' and loader = own)

@@ -11,11 +11,12 @@ from ..session import shared_folder
 from ..sources.sinks import outcome_writer
 from ..streaming import lifecycle as L
 from ..streaming import windows as W
-from ..streaming.run import file_stream, run_batches, run_to_end
+from ..streaming.run import closable, file_stream, run_batches, run_to_end
 from .network import KINDS, LEG_COLUMNS, sql_legs
 from .registry import register
 
 DELAY = "1 hour"
+TEN_YEARS_MS = 315_576_000_000
 
 
 def browser_stream(spark, folder, requests: int = 4):
@@ -24,15 +25,18 @@ def browser_stream(spark, folder, requests: int = 4):
     return file_stream(spark, folder, "events").select(
         F.col("user_id").alias("page_id"), "ts", "event_id", F.element_at(names, F.col("event_type")).alias("kind"), k.cast("string").alias("request_id"),
         (F.col("event_id") % 3 != 0).alias("redirect"), (200 + F.floor("value")).cast("int").alias("status"), "value", "event_type",
+        F.concat(F.when(F.col("event_id") % 7 == 0, "data:u").otherwise("https://u"), F.col("user_id").cast("string"), F.lit("/")).alias("url"),
     )
 
 
 @register(
     "stream_legs",
-    f"with {sql_legs(4)} select {', '.join(LEG_COLUMNS)} from legs where state <> 'pending'",
+    f"with {sql_legs(4)} select {', '.join(LEG_COLUMNS)} from legs",
 )
 def stream_legs(spark, folder):
-    out = run_to_end(L.track_legs(browser_stream(spark, folder)), "legs")
+    """Every leg, those still pending at the end of the stream too."""
+    events, close = closable(browser_stream(spark, folder))
+    out = run_to_end(L.track_legs(events, DELAY, TEN_YEARS_MS), "legs", close)
     return out.where("state <> 'orphan'").select(*LEG_COLUMNS)
 
 
@@ -41,7 +45,7 @@ def stream_legs(spark, folder):
     f"with {sql_legs(4)} select page_id, event_id from c where kind <> 'open' and (leg = 0 or event_id > closed_at)",
 )
 def stream_orphans(spark, folder):
-    out = run_to_end(L.track_legs(browser_stream(spark, folder)), "orphans")
+    out = run_to_end(L.track_legs(browser_stream(spark, folder), DELAY, TEN_YEARS_MS), "orphans")
     return out.where("state = 'orphan'").select("page_id", "event_id")
 
 
@@ -50,10 +54,11 @@ def stream_orphans(spark, folder):
     """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as s from events),
         i as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as k from g)
         select user_id as page_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as start_ts, strftime(max(ts) + interval 6 hours, '%Y-%m-%d %H:%M:%S.%f') as end_ts, count(*) as n_events
-        from i group by user_id, k having max(ts) + interval 6 hours <= (select max(ts) - interval 1 hour from events)""",
+        from i group by user_id, k""",
 )
 def stream_idle_sessions(spark, folder):
-    out = run_to_end(W.idle_sessions(browser_stream(spark, folder), "6 hours", DELAY), "sessions")
+    events, close = closable(browser_stream(spark, folder))
+    out = run_to_end(W.idle_sessions(events, "6 hours", DELAY), "sessions", close)
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return out.select("page_id", text("start_ts"), text("end_ts"), "n_events")
 
@@ -61,24 +66,22 @@ def stream_idle_sessions(spark, folder):
 @register(
     "stream_error_rates",
     """with w as (select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') - i * interval 6 hours as start_ts from events, (select unnest(range(4)) as i) where event_type = 'error')
-        select strftime(start_ts, '%Y-%m-%d %H:%M:%S') as start_ts, 'failed' as tally, count(*) as n from w group by w.start_ts
-        having w.start_ts + interval 1 day <= (select max(ts) - interval 1 hour from events where event_type = 'error')""",
+        select strftime(start_ts, '%Y-%m-%d %H:%M:%S') as start_ts, 'failed' as tally, count(*) as n from w group by w.start_ts""",
 )
 def stream_error_rates(spark, folder):
-    errors = browser_stream(spark, folder).where("kind = 'failed'").select("ts", F.col("kind").alias("tally"))
-    out = run_to_end(W.error_rates(errors, "1 day", "6 hours", DELAY), "rates")
+    errors, close = closable(browser_stream(spark, folder).where("kind = 'failed'").select("ts", F.col("kind").alias("tally")))
+    out = run_to_end(W.error_rates(errors, "1 day", "6 hours", DELAY), "rates", close)
     return out.select(F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "tally", "n")
 
 
 @register(
     "stream_error_counts",
     """with w as (select date_trunc('day', ts) as start_ts from events where event_type = 'error')
-        select strftime(start_ts, '%Y-%m-%d') as day, count(*) as n from w group by w.start_ts
-        having w.start_ts + interval 1 day <= (select max(ts) - interval 1 hour from events where event_type = 'error')""",
+        select strftime(start_ts, '%Y-%m-%d') as day, count(*) as n from w group by w.start_ts""",
 )
 def stream_error_counts(spark, folder):
-    errors = browser_stream(spark, folder).where("kind = 'failed'").select("ts", F.col("kind").alias("tally"))
-    out = run_to_end(W.error_rates(errors, "1 day", None, DELAY), "counts")
+    errors, close = closable(browser_stream(spark, folder).where("kind = 'failed'").select("ts", F.col("kind").alias("tally")))
+    out = run_to_end(W.error_rates(errors, "1 day", None, DELAY), "counts", close)
     return out.select(F.date_format("start_ts", "yyyy-MM-dd").alias("day"), "n")
 
 
@@ -87,20 +90,20 @@ def stream_first_writes(spark, folder):
     path = os.path.join(shared_folder(spark), f"firsts-{uuid.uuid4().hex}")
     objects = file_stream(spark, folder, "events").select("ts", F.concat("props", "event_type").alias("content"))
     run_batches(W.first_writes(objects, DELAY), W.content_writer(path), "firsts")
-    return spark.read.schema("key STRING, batch BIGINT").parquet(path).select("key")
+    return spark.read.schema("key STRING, app STRING, batch BIGINT, prefix STRING").parquet(path).select("key")
 
 
 @register(
     "stream_deadlines",
     """with s as (select user_id as page_id, event_id, epoch_us(ts) // 1000 as now_ms, epoch_us(ts) // 1000 + cast(floor(value * 2000000) as bigint) as deadline_ms from events where event_type = 'signup'),
         n as (select *, lead(now_ms) over (partition by page_id order by now_ms, event_id) as next_ms from s)
-        select page_id, event_id, deadline_ms from n where deadline_ms <= coalesce(next_ms, (select max(now_ms) - 3600000 from s))""",
+        select page_id, event_id, deadline_ms from n where next_ms is null or deadline_ms <= next_ms""",
 )
 def stream_deadlines(spark, folder):
-    starts = browser_stream(spark, folder).where("event_type = 'signup'").select(
+    starts, close = closable(browser_stream(spark, folder).where("event_type = 'signup'").select(
         "page_id", "ts", "event_id", F.floor(F.col("value") * 2_000_000).cast("bigint").alias("limit_ms")
-    )
-    return run_to_end(L.expired_clocks(starts, DELAY), "clocks")
+    ))
+    return run_to_end(L.expired_clocks(starts, DELAY), "clocks", close)
 
 
 @register("stream_outcomes", "select 'u' || user_id as outcome_key, min(event_id) as event_id from events where event_type = 'purchase' group by 1")
@@ -112,4 +115,23 @@ def stream_outcomes(spark, folder):
     )
     for attempt in ("first", "again"):
         run_batches(outcomes, outcome_writer(path, "outcome_key STRING, event_id BIGINT"), f"outcomes-{attempt}")
-    return spark.read.schema("outcome_key STRING, event_id BIGINT, batch BIGINT").parquet(path).select("outcome_key", "event_id")
+    return _outcomes(spark, path).select("outcome_key", "event_id")
+
+
+def _outcomes(spark, path):
+    return spark.read.schema("outcome_key STRING, event_id BIGINT, app STRING, batch BIGINT, prefix STRING").parquet(path)
+
+
+@register(
+    "stream_outcomes_of_two_apps",
+    """with o as (select 'u' || user_id as outcome_key, event_id, case when event_type = 'purchase' then 'shop' else 'desk' end as app from events where event_type in ('purchase', 'signup'))
+        select outcome_key, arg_min(app, case app when 'shop' then 0 else 1 end) as app from o group by 1""",
+)
+def stream_outcomes_of_two_apps(spark, folder):
+    """Two apps each deliver their batch 0, and the first one replays it; no app removes what the other stored."""
+    path = os.path.join(shared_folder(spark), f"outcomes-{uuid.uuid4().hex}")
+    events = file_stream(spark, folder, "events")
+    for app, kind in (("shop", "purchase"), ("desk", "signup"), ("shop", "purchase")):
+        outcomes = events.where(F.col("event_type") == kind).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("outcome_key"), "event_id")
+        run_batches(outcomes, outcome_writer(path, "outcome_key STRING, event_id BIGINT", app), f"outcomes-{app}")
+    return _outcomes(spark, path).select("outcome_key", "app")

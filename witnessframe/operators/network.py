@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_slice
+from ..functions.values import numeric_members
 from ..plans.ordered import running
 from ..plans.skew import join_unique
 from ..session import durable
@@ -28,10 +29,18 @@ def _position() -> Column:
     return F.struct(*ORDER)
 
 
-def placed(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def traced(url: Column) -> Column:
+    """Whether a request belongs in a trace: only http(s) addresses have an origin to report."""
+    return F.coalesce(F.lower(url).rlike("^https?://[^/?#]"), F.lit(False))
+
+
+def placed(events: DataFrame, chunk: Column | None = None, traced_only: bool = True) -> DataFrame:
     """Events with their leg number (0 = no leg yet) and whether that leg is still open
-    just before the event. A repeated request id starts a new leg."""
+    just before the event. A repeated request id starts a new leg; unless ``traced_only`` is
+    off, an open of another scheme ends the leg before it and starts none."""
     opens, closes = F.col("kind") == "open", F.col("kind").isin(*CLOSERS)
+    if traced_only:
+        opens, closes = opens & traced(F.col("url")), closes | (opens & ~traced(F.col("url")))
     ordered = running(
         events.where(F.col("request_id").isNotNull()), ["page_id", "request_id"], ORDER, by_day() if chunk is None else chunk,
         sums={"leg": F.when(opens, 1).otherwise(0).cast("bigint")},
@@ -41,32 +50,48 @@ def placed(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     return ordered.withColumn("live", live).drop("_opened", "_closed")
 
 
+# What a response says about its request, and what the end of a request adds, as far as events carry it.
+RESPONSE_FACTS = ("status", "protocol", "connection_id", "connection_reused", "from_disk_cache", "from_service_worker", "from_prefetch_cache")
+END_FACTS = ("encoded_data_length", "canceled")
+
+
 def legs(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     """One row per request leg with its state: pending, redirected, finished or failed.
 
-    A repeated id with ``redirect`` set closes the open leg before it as redirected,
-    without it that leg stays pending. Responses after the close are ignored. Each open
-    event also reports to the leg before its own, so one aggregation sees everything.
+    A repeated id with ``redirect`` set closes the open leg before it as redirected, and its
+    facts are those of the redirect's own response; without it that leg stays pending. Responses after the close
+    are ignored. Response facts, the numeric members of ``timing`` (a VARIANT) and end facts are returned where the events have those columns.
+    Each open event also reports to the leg before its own, so one aggregation sees everything.
     """
+    told = [c for c in RESPONSE_FACTS if c in events.columns]
+    ended = [c for c in END_FACTS if c in events.columns]
+    if "timing" in events.columns:
+        events, told = events.withColumn("timing", numeric_members(F.try_variant_get("timing", "$", "map<string,variant>"))), [*told, "timing"]
     opens = F.col("kind") == "open"
+    starts = opens & traced(F.col("url"))
     rows = placed(events, chunk).where("leg > 0 and (live or kind = 'open')")
-    roles = F.when(opens & (F.col("leg") > 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = rows.withColumn("_back", F.explode(roles)).withColumn("leg", F.col("leg") - F.col("_back"))
-    own = F.col("_back") == 0
+    own, after = F.lit(0), F.lit(1)
+    back = F.when(starts & (F.col("leg") > 1), F.array(own, after)).when(opens & ~starts, F.array(after)).otherwise(F.array(own))
+    spread = rows.withColumn("_after", F.explode(back)).withColumn("leg", F.col("leg") - F.when(starts, F.col("_after")).otherwise(0))
+    own = F.col("_after") == 0
     closer = own & F.col("kind").isin(*CLOSERS)
-    after = (F.col("_back") == 1) & F.col("live") & F.col("redirect")
+    redirect = (F.col("_after") == 1) & F.col("live") & F.col("redirect")
+    response = own & (F.col("kind") == "response")
+    last = lambda when, *fields: F.max_by(F.when(when, F.struct(*fields, *ORDER)), F.when(when, _position()))
     grouped = spread.groupBy("page_id", "request_id", "leg").agg(
         F.min(F.when(own & opens, F.struct(*ORDER, "url"))).alias("open"),
-        F.max_by(F.when(closer, F.struct("kind", *ORDER)), F.when(closer, _position())).alias("close"),
-        F.max(F.when(after, _position())).alias("next"),
-        F.max_by(F.when(own & (F.col("kind") == "response"), F.struct("status", *ORDER)), F.when(own & (F.col("kind") == "response"), _position())).alias("response"),
+        last(closer, "kind", *ended).alias("close"),
+        F.max(F.when(redirect, _position())).alias("next"),
+        last(response | redirect, *told).alias("told"),
+        F.max(F.when(response, _position())).alias("response"),
         F.coalesce(F.bool_or(own & (F.col("kind") == "cached")), F.lit(False)).alias("served_from_cache"),
     )
     return grouped.select(
         "page_id", "request_id", "leg", F.col("open.ts").alias("ts"), F.col("open.event_id").alias("event_id"), F.col("open.url").alias("url"),
         F.when(F.col("close").isNotNull(), F.col("close.kind")).when(F.col("next").isNotNull(), "redirected").otherwise("pending").alias("state"),
         F.coalesce("close.event_id", "next.event_id").alias("end_event_id"), F.coalesce("close.ts", "next.ts").alias("end_ts"),
-        F.col("response.status").alias("status"), F.col("response.event_id").alias("response_event_id"), "served_from_cache",
+        *[F.col(f"told.{c}").alias(c) for c in told], F.col("response.event_id").alias("response_event_id"), "served_from_cache",
+        *[F.col(f"close.{c}").alias(c) for c in ended],
     )
 
 
@@ -93,7 +118,7 @@ def in_flight(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     change = F.when((F.col("kind") == "open") & ~F.col("live"), 1).when(F.col("kind").isin(*CLOSERS) & F.col("live"), -1).otherwise(0)
     # Every ordered pass reads its input twice, so one inside another is stored first.
     return running(
-        durable(placed(events, chunk).where(network)), ["page_id"], ORDER, by_day() if chunk is None else chunk,
+        durable(placed(events, chunk, traced_only=False).where(network)), ["page_id"], ORDER, by_day() if chunk is None else chunk,
         sums={"in_flight": change.cast("bigint")}, following={"next_ts": F.col("ts")},
     )
 
@@ -159,13 +184,14 @@ def response_headers(responses: DataFrame, extras: DataFrame) -> DataFrame:
 def error_rows(events: DataFrame) -> DataFrame:
     """One row per http error, failed request or console error.
 
-    Console errors are error-level entries not from a worker, and exceptions.
+    Console errors are error-level entries not from a worker, ``console`` calls of level error, and exceptions.
     """
     text = js_slice(F.col("text"), 2000)
     shown = F.struct(
         F.when((F.col("kind") == "response") & (F.col("status") >= 400), "http_error")
         .when(F.col("kind") == "failed", "failed_request")
         .when((F.col("kind") == "log") & (F.col("level") == "error") & (F.col("source") != "worker"), "console_error")
+        .when((F.col("kind") == "console") & (F.col("level") == "error"), "console_error")
         .when(F.col("kind") == "exception", "console_error").alias("tally"),
         F.when(F.col("kind") == "exception", F.concat(F.lit("pageerror: "), text)).otherwise(text).alias("message"),
     )
@@ -178,17 +204,28 @@ def error_tallies(errors: DataFrame) -> DataFrame:
     ])
 
 
-def interceptions(paused: DataFrame, all_legs: DataFrame, limit: int = TRACE_LIMIT) -> DataFrame:
-    """First ``limit`` paused requests per page with their latency and the last leg of the
-    network request they belong to; ids of the two kinds differ, so a leg may be absent."""
-    numbered = running(paused, ["page_id"], ORDER, by_day(), sums={"ordinal": F.lit(1).cast("bigint")}).where(F.col("ordinal") <= limit)
+def interceptions(paused: DataFrame, all_legs: DataFrame, limit: int = TRACE_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(first ``limit`` paused requests per page, kept and dropped counts per page).
+
+    A kept one has its action, latency, state (pending until it is acknowledged or the
+    action fails) and the last leg of the network request it belongs to; ids of the two kinds differ, so a leg may be
+    absent. A response status or error reason makes it one of the response stage. Only http(s) requests count.
+    """
+    paused = paused.where(traced(F.col("url")))
+    every = running(paused, ["page_id"], ORDER, by_day(), sums={"ordinal": F.lit(1).cast("bigint")})
+    numbered = every.where(F.col("ordinal") <= limit)
     last = all_legs.groupBy("page_id", F.col("request_id").alias("network_id")).agg(
         F.count(F.lit(1)).alias("n_legs"), F.max_by("state", "leg").alias("leg_state")
     )
     out = numbered.join(last, ["page_id", "network_id"], "left")
-    return out.withColumn("latency_ms", F.col("ack_ms") - F.col("dispatch_ms")).withColumn(
-        "stage", F.when(F.col("response_status").isNotNull(), "response").otherwise("request")
-    )
+    answered = F.col("response_status").isNotNull() | F.col("response_error").isNotNull()
+    kept = out.withColumns({
+        "latency_ms": F.col("ack_ms") - F.col("dispatch_ms"),
+        "stage": F.when(answered, "response").otherwise("request"),
+        "state": F.when(F.col("ack_ms").isNull(), "pending").when(F.col("ack_ok"), "acknowledged").otherwise("failed"),
+    })
+    counts = paused.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return kept, counts.select("page_id", F.least("n", F.lit(limit)).alias("kept"), F.greatest(F.col("n") - limit, F.lit(0)).alias("dropped"))
 
 
 def duplicate_ids(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -200,13 +237,16 @@ def completions(events: DataFrame, event: str, chunk: Column | None = None) -> D
 
     events kinds: navigate (loader = its own), commit (loader becomes current), lifecycle
     (loader, name), same_document. A navigation is done when its own loader, or a newer
-    current loader, has the event; without one it stays open until the next navigation.
+    current loader, has the event; without one it stays open until the next navigation. ``init``
+    clears what its loader has reached.
     """
     chunk = by_day() if chunk is None else chunk
     at = _position()
     # A loader may have reached the event before it became current.
     reached = F.when((F.col("kind") == "lifecycle") & (F.col("name") == event), at)
-    known = running(events.where("loader is not null"), ["page_id", "loader"], ORDER, chunk, max_before={"_reached": reached})
+    cleared = F.when((F.col("kind") == "lifecycle") & (F.col("name") == "init"), at)
+    known = running(events.where("loader is not null"), ["page_id", "loader"], ORDER, chunk, max_before={"_reached": reached, "_cleared": cleared})
+    known = known.withColumn("_reached", F.when(F.col("_cleared").isNull() | (F.col("_cleared") < F.col("_reached")), F.col("_reached"))).drop("_cleared")
     known = durable(known.unionByName(events.where("loader is null"), allowMissingColumns=True))
     state = running(
         known, ["page_id"], ORDER, chunk,

@@ -17,6 +17,12 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def of_prefixes(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored rows in the partitions that ``wanted`` names: at most 256 two-digit prefixes, read on the driver."""
+    prefixes = [r[0] for r in wanted.where("prefix is not null").distinct().collect()]
+    return known.where(F.col("prefix").isin(prefixes)) if prefixes else known.where("false")
+
+
 def write_content(objects: DataFrame, path: str) -> DataFrame:
     """Append contents under their digest key unless the key is stored already.
 
@@ -24,7 +30,8 @@ def write_content(objects: DataFrame, path: str) -> DataFrame:
     """
     spark = objects.sparkSession
     keyed = objects.withColumn("key", content_key(F.col("content")))
-    known = stored(spark, path, "id BIGINT, content STRING, key STRING, prefix STRING").select("key")
+    known = stored(spark, path, "id BIGINT, content STRING, key STRING, prefix STRING")
+    known = of_prefixes(known, keyed.select(F.substring("key", 6, 2).alias("prefix"))).select("key")
     # Fixed before the write below changes what is stored.
     result = durable(first_writers(keyed.select("id", "key"), "key", "id", known).select("id", "key", "deduplicated"))
     fresh = put_if_absent(keyed, known, "key", "id").withColumn("prefix", F.substring("key", 6, 2))
@@ -40,22 +47,38 @@ def write_sidecars(statements: DataFrame, path: str) -> None:
 
 
 def write_evidence(objects: DataFrame, path: str) -> None:
-    """Evidence objects filed by environment and issue."""
+    """Evidence objects filed by environment and one of 256 issue buckets, so issues may be many; ``issue`` stays a column."""
     spread = [c for c in objects.columns if c not in ("env", "issue")]
-    objects.repartitionByRange("env", "issue", *spread[:1]).write.partitionBy("env", "issue").mode("append").parquet(path)
+    filed = objects.withColumn("issue_bucket", F.pmod(F.xxhash64("issue"), F.lit(256)).cast("int"))
+    filed.repartitionByRange("env", "issue_bucket", "issue", *spread[:1]).write.partitionBy("env", "issue_bucket").mode("append").parquet(path)
 
 
-def outcome_writer(path: str, schema: str):
-    """``foreachBatch`` function keeping one row per outcome key.
+def batch_store(path: str, app: str, schema: str, key: str, digest):
+    """``foreachBatch`` function that stores the rows of each key once among all apps and batches.
 
-    Each batch owns one folder and replaces it, so a batch delivered again rewrites the
-    same bytes, and keys stored by other batches are left out.
+    An (app, batch) owns one folder and replaces it, so a batch delivered again rewrites the
+    same rows and can remove no other's. Keys stored elsewhere are left out; they are looked up in
+    the partitions of the batch's own key prefixes. ``app`` names the stream with its
+    checkpoint: a stream that starts anew must come under a new name.
     """
 
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        filed = rows.withColumn("prefix", F.substring(digest(F.col(key)), 1, 2))
+        known = of_prefixes(stored(spark, path, f"{schema}, app STRING, batch BIGINT, prefix STRING"), filed.select("prefix"))
+        other = known.where((F.col("app") != app) | (F.col("batch") != batch_id)).select(key).distinct()
+        filed.join(other, key, "left_anti").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/app={app}/batch={batch_id}")
+
+    return write
+
+
+def outcome_writer(path: str, schema: str, app: str = "outcomes"):
+    """``foreachBatch`` function keeping one row per outcome key; ``app`` names the delivering stream."""
+    store = batch_store(path, app, schema, "outcome_key", F.sha1)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = stored(spark, path, f"{schema}, batch BIGINT").where(F.col("batch") != batch_id).select("outcome_key").distinct()
-        first = batch.groupBy("outcome_key").agg(F.min(F.struct(*[c for c in batch.columns if c != "outcome_key"])).alias("o")).select("outcome_key", "o.*")
-        first.join(known, "outcome_key", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rest = [c for c in batch.columns if c != "outcome_key"]
+        first = batch.groupBy("outcome_key").agg(F.min(F.struct(*rest)).alias("o")).select("outcome_key", "o.*")
+        store(first, batch_id)
 
     return write

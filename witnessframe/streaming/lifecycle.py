@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.network import traced
+
 LEG_OUTPUT = (
     "page_id BIGINT, request_id STRING, leg BIGINT, event_id BIGINT, state STRING, end_event_id BIGINT, status INT, "
     "response_event_id BIGINT, served_from_cache BOOLEAN"
@@ -17,23 +19,39 @@ LEG_STATE = "leg BIGINT, is_open BOOLEAN, event_id BIGINT, status INT, response_
 
 
 class LegTracker(StatefulProcessor):
-    """State of one (page, request): the open leg, if any. Emits a leg when it closes and
-    every event that belongs to no open leg as an orphan."""
+    """State of one (page, request): the open leg, if any. Emits a leg when it closes, every
+    event that belongs to no open leg as an orphan, and a leg still open ``ttl_ms`` after the
+    last event of its request as pending; the request's state is dropped then."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.leg = handle.getValueState("leg", LEG_STATE)
 
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        names = [c.split()[0] for c in LEG_OUTPUT.split(", ")]
+        return pd.DataFrame(rows, columns=names).astype({"end_event_id": "Int64", "status": "Int32", "response_event_id": "Int64"})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         page, request = key
+        batch = pd.concat(list(rows)).dropna(subset=["event_id"]).sort_values(["ts_us", "event_id"])
+        if batch.empty:  # a closing sentinel
+            return
         leg, is_open, opened, status, responded, cached = self.leg.get() or (0, False, 0, None, None, False)
         out = []
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        for event, kind, redirect, code in zip(batch["event_id"], batch["kind"], batch["redirect"], batch["status"]):
+        for event, kind, traced, redirect, code in zip(batch["event_id"], batch["kind"], batch["traced"], batch["redirect"], batch["status"]):
             event = int(event)
             if kind == "open":
                 if is_open and redirect:
-                    out.append((page, request, leg, opened, "redirected", event, status, responded, cached))
-                leg, is_open, opened, status, responded, cached = leg + 1, True, event, None, None, False
+                    out.append((page, request, leg, opened, "redirected", event, int(code), responded, cached))
+                elif is_open:  # given up by its page: it stays pending
+                    out.append((page, request, leg, opened, "pending", None, status, responded, cached))
+                is_open = bool(traced)
+                if is_open:
+                    leg, opened, status, responded, cached = leg + 1, event, None, None, False
             elif not is_open:
                 out.append((page, request, leg, event, "orphan", None, None, None, False))
             elif kind == "response":
@@ -44,20 +62,31 @@ class LegTracker(StatefulProcessor):
                 out.append((page, request, leg, opened, kind, event, status, responded, cached))
                 is_open = False
         self.leg.update((leg, is_open, opened, status, responded, cached))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(batch["ts_us"].max()) // 1000 + self.ttl_ms)
         if out:
-            names = [c.split()[0] for c in LEG_OUTPUT.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"end_event_id": "Int64", "status": "Int32", "response_event_id": "Int64"})
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        leg, is_open, opened, status, responded, cached = self.leg.get()
+        self.leg.clear()
+        if is_open:
+            yield self._frame([(*key, leg, opened, "pending", None, status, responded, cached)])
 
     def close(self) -> None:
         pass
 
 
-def track_legs(events: DataFrame) -> DataFrame:
-    """Closed legs and orphans of a browser event stream, keyed by page and request so that
-    a busy page spreads over tasks. Pending legs stay in state."""
-    keyed = events.select("page_id", "request_id", F.unix_micros("ts").alias("ts_us"), "event_id", "kind", "redirect", "status")
+def track_legs(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 86_400_000) -> DataFrame:
+    """Legs and orphans of a browser event stream, keyed by page and request so that a busy
+    page spreads over tasks. A request that has been silent for ``ttl_ms`` is over: its open leg
+    comes out as pending, and its id starts anew if it appears again."""
+    keyed = events.withWatermark("ts", delay).select(
+        "page_id", "request_id", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", "kind", traced(F.col("url")).alias("traced"), "redirect", "status"
+    )
     return keyed.groupBy("page_id", "request_id").transformWithStateInPandas(
-        statefulProcessor=LegTracker(), outputStructType=LEG_OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=LegTracker(ttl_ms), outputStructType=LEG_OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -80,12 +109,13 @@ class DeadlineClock(StatefulProcessor):
         running = self.clock.get()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for row in pd.concat(list(rows)).sort_values(["now_ms", "event_id"]).itertuples(index=False):
+        for row in pd.concat(list(rows)).dropna(subset=["event_id"]).sort_values(["now_ms", "event_id"]).itertuples(index=False):
             if running is not None and running[1] <= row.now_ms:
                 out.append((key[0], running[0], running[1]))
             running = (int(row.event_id), int(row.deadline_ms))
-        self.clock.update(running)
-        self.handle.registerTimer(running[1])
+        if running is not None:
+            self.clock.update(running)
+            self.handle.registerTimer(running[1])
         if out:
             yield self._frame(out)
 
@@ -100,7 +130,7 @@ class DeadlineClock(StatefulProcessor):
 
 
 def expired_clocks(starts: DataFrame, delay: str) -> DataFrame:
-    """Clocks (page_id, ts, event_id, limit_ms) that ran out before they were restarted."""
+    """Clocks (page_id, ts, event_id, limit_ms) that ran out before they were restarted; rows without an event are closing sentinels."""
     now = F.unix_millis("ts")
     keyed = starts.withWatermark("ts", delay).select("page_id", "ts", "event_id", now.alias("now_ms"), (now + F.col("limit_ms")).alias("deadline_ms"))
     return keyed.groupBy("page_id").transformWithStateInPandas(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +24,40 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.withColumns({n: F.col(n).cast("timestamp") for n in naive})
 
 
-def run_to_end(stream: DataFrame, name: str) -> DataFrame:
-    """Append everything available to a parquet table in the shared folder and read it."""
+# Later than any event (and within the range of nanosecond clocks), so a watermark that has seen it closes everything before.
+END_OF_TIME = "2250-01-01 00:00:00"
+
+
+def closable(stream: DataFrame, time: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """``stream`` with a sentinel source beside it, and what sends the sentinel: a row with nothing but an end-of-time ``time``.
+
+    Windows, sessions and timers that only wait for the watermark come out once it is sent.
+    It must be sent after all events, or they count as late.
+    """
+    spark = stream.sparkSession
+    folder = os.path.join(shared_folder(spark), f"sentinel-{uuid.uuid4().hex}")
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    ends = [F.lit(END_OF_TIME if f.name == time else None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    sentinel = spark.readStream.schema(stream.schema).parquet(folder)
+    return stream.unionByName(sentinel), lambda: spark.range(1).select(*ends).write.mode("append").parquet(folder)
+
+
+def run_to_end(stream: DataFrame, name: str, close: Callable[[], None] | None = None) -> DataFrame:
+    """Append everything available to a parquet table in the shared folder and read it.
+
+    ``close`` (of ``closable``) is called once all input is read; the query then goes on from its checkpoint.
+    """
     spark = stream.sparkSession
     base = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+        writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if close:
+        close()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 

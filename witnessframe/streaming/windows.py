@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_key
-from ..sources.sinks import stored
+from ..sources.sinks import batch_store
 
 
 def idle_sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Activity of a page up to a quiet gap; a session appears once the watermark passes its end."""
+    """Activity of a page up to a quiet gap; a session appears once the watermark passes its end.
+
+    A closing sentinel is a session of its own, which the watermark never passes.
+    """
     session = F.session_window("ts", gap)
     grouped = events.withWatermark("ts", delay).groupBy("page_id", session.alias("s")).agg(F.count(F.lit(1)).alias("n_events"))
     return grouped.select("page_id", F.col("s.start").alias("start_ts"), F.col("s.end").alias("end_ts"), "n_events")
@@ -29,15 +32,7 @@ def first_writes(objects: DataFrame, delay: str) -> DataFrame:
     return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-def content_writer(path: str):
-    """``foreachBatch`` function storing each content key once.
-
-    A batch replaces its own folder when it is delivered again.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        known = stored(batch.sparkSession, path, "key STRING, batch BIGINT").where(F.col("batch") != batch_id).select("key").distinct()
-        fresh = batch.select("key").distinct().join(known, "key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
+def content_writer(path: str, app: str = "content"):
+    """``foreachBatch`` function storing each content key once; ``app`` names the delivering stream."""
+    store = batch_store(path, app, "key STRING", "key", F.sha1)
+    return lambda batch, batch_id: store(batch.select("key").distinct(), batch_id)
