@@ -34,11 +34,24 @@ def test_pgm(spark, tmp_path):
     (tmp_path / "a.pgm").write_bytes(b"P5\n# note\n2 2\n255\n" + bytes([1, 10, 200, 255]))
     out = images.pgm_pixels(images.read_files(spark, str(tmp_path)))
     assert sorted((r.y, r.x, r.v) for r in out.collect()) == [(0, 0, 1), (0, 1, 10), (1, 0, 200), (1, 1, 255)]
+    (tmp_path / "c.pgm").write_bytes(b"P5 # a long note " + b"x" * 9000 + b"\n 3 1\n#\n255\n" + bytes([7, 8, 9]))
+    long = images.pgm_pixels(images.read_files(spark, str(tmp_path / "c.pgm")))
+    assert [(r.x, r.v) for r in long.orderBy("x").collect()] == [(0, 7), (1, 8), (2, 9)]
+    (tmp_path / "d.pgm").write_bytes(b"P5\n2 2\n2550\n" + bytes(4))
+    with pytest.raises(Exception, match="unsupported PGM header"):
+        images.pgm_pixels(images.read_files(spark, str(tmp_path / "d.pgm"))).collect()
     (tmp_path / "b.pgm").write_bytes(b"P5\n2 2\n255\n" + bytes(3))
     with pytest.raises(Exception, match="PGM pixel count mismatch"):
         images.pgm_pixels(images.read_files(spark, str(tmp_path / "b.pgm"))).collect()
 
 
+def test_large_plane(spark, tmp_path):
+    width, height = 1366, 2915
+    (tmp_path / "big.pgm").write_bytes(b"P5\n%d %d\n255\n" % (width, height) + bytes(i % 251 for i in range(width * height)))
+    total = images.pgm_pixels(images.read_files(spark, str(tmp_path))).agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.max("y").alias("y")).first()
+    assert (total.n, total.s, total.y) == (width * height, sum(i % 251 for i in range(width * height)), height - 1)
+
+
 def test_sessions(spark, tmp_path):
     doc = {"fixture": "big", "absolute_ms": {"a": {"total": [2.0, 1.0]}}, "correctness": {"a": {"pixels": 4, "differing": 1, "pct": 25.0, "maxAbsDelta": 1}}}
     (tmp_path / "big_session1.json").write_text(json.dumps(doc, indent=2))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import luma as P
 from ..operators import contest
 from ..operators import pixels as X
+from ..session import durable, shared_folder
 from ..sources import images
 from ..tables import table
 from .registry import register
@@ -213,6 +217,34 @@ def near_captures(spark, folder):
     return pairs.withColumn("word_a", F.lower(F.hex("word_a"))).withColumn("word_b", F.lower(F.hex("word_b")))
 
 
+def recaptures(spark, folder):
+    """Whole signatures, each with a second capture that differs in up to nine bits spread over the words, and every fifth with an exact copy."""
+    words = X.gallery_words(pixels(spark, folder))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("image_id") % 61).cast("int"))
+    flips = (F.col("image_id") % 10).cast("int")
+    changed = F.transform("words", lambda w, i: F.when(i < flips, w.bitwiseXOR(bit)).otherwise(w))
+    twice = F.transform(changed, lambda w, i: F.when((i == 0) & (flips == 9), w.bitwiseXOR(F.shiftleft(bit, 1))).otherwise(w))
+    second = words.select((F.col("image_id") + 1_000_000).alias("image_id"), twice.alias("words"))
+    copy = words.where("image_id % 5 = 0").select((F.col("image_id") + 2_000_000).alias("image_id"), "words")
+    return words.select("image_id", "words").unionByName(second).unionByName(copy)
+
+
+@register(
+    "near_captures_whole",
+    f"""with {SQL_P}, {sql_gallery('words as w').replace('select image_id, words as w from words', ', s as (select image_id, words as w from words)')},
+        bit as (select image_id, w, 1::ubigint << (image_id % 61)::int as b, image_id % 10 as flips from s),
+        c as (select image_id, w from s
+          union all select image_id + 1000000, list_transform(list_zip(w, range(8)), lambda z: case when z[1] is null then null
+              when z[2] < flips then xor(xor(z[1], b), case when z[2] = 0 and flips = 9 then b << 1 else 0::ubigint end) else z[1] end) from bit
+          union all select image_id + 2000000, w from s where image_id % 5 = 0),
+        known as (select w, count(*) as copies, min(image_id) as image from c group by 1)
+        select a.image as image_a, b.image as image_b, list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2]))))::int as distance, a.copies as copies_a, b.copies as copies_b
+        from known a join known b on a.image < b.image and list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2])))) <= 7""",
+)
+def near_captures_whole(spark, folder):
+    return X.near_signatures(recaptures(spark, folder))
+
+
 SQL_GRAY = """mm as (select image_id, min(l8) as lo, max(l8) as hi from p group by 1),
   gray as (select p.image_id, width, height, x, y, case when lo = 0 and hi = 65280 then (l8 + 128) >> 8
     else least((510 * (l8 - lo)::bigint + greatest(hi - lo, 1)) // (2 * greatest(hi - lo, 1)), 255) end as v from p join mm using (image_id))"""
@@ -358,6 +390,20 @@ def image_sink_rows(spark, folder):
     return stored.select("image_id", "y", F.lower(F.hex("row")).alias("row_hex"))
 
 
+@register("source_images", f"with {SQL_PX} select image_id // 128 as image_id, x, cast(y + 8 * (image_id % 128) as int) as y, b, g, r from p0")
+def source_images(spark, folder):
+    """PNG files of 128 vectors each, written and scanned back to pixels."""
+    place = F.col("y") + 8 * (F.col("image_id") % 128).cast("int")
+    last = F.lit(128 * 8)
+    stitched = pixels(spark, folder).select(F.floor(F.col("image_id") / 128).alias("image_id"), "width", last.alias("height"), "x", place.alias("y"), "b", "g", "r")
+    path = os.path.join(shared_folder(spark), f"pngs-{uuid.uuid4().hex}")
+    durable(images.write_pngs(stitched, path))
+    back = images.pixel_rows(images.read_images(spark, path))
+    inside = stitched.select("image_id", F.col("y")).distinct()
+    found = back.withColumn("image_id", F.regexp_extract("origin", "([0-9]+)[.]png$", 1).cast("bigint")).join(inside, ["image_id", "y"], "left_semi")
+    return found.select("image_id", "x", "y", *[F.col(c).cast("int").alias(c) for c in ("b", "g", "r")])
+
+
 @register("source_pgm", f"with {SQL_P}, {SQL_GRAY} select image_id, x, y, cast(v as int) as v from gray")
 def source_pgm(spark, folder):
     """PGM bytes built from the gray planes and scanned back to pixels."""

@@ -235,13 +235,15 @@ def screens_tall(spark, folder):
     "fn_flatten_params",
     """select event_id, 'props.k' as path, regexp_extract(props, '([0-9]+)', 1) as value from events
         union all select event_id, 'list.member.1', event_type from events
-        union all select event_id, 'list.member.2.user', cast(user_id as varchar) from events""",
+        union all select event_id, 'list.member.2.user', cast(user_id as varchar) from events
+        union all select event_id, 'deep' || repeat('.a', 12), 'x' from events where event_id % 50 = 0""",
 )
 def flatten_params(spark, folder):
     doc = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"none":null,"list":["'), F.col("event_type"),
-                   F.lit('",{"user":'), F.col("user_id").cast("string"), F.lit("},null]}"))
+                   F.lit('",{"user":'), F.col("user_id").cast("string"), F.lit("},null]"),
+                   F.when(F.col("event_id") % 50 == 0, ',"deep":' + '{"a":' * 12 + '"x"' + "}" * 12).otherwise(""), F.lit("}"))
     events = table(spark, folder, "events").select("event_id", doc.alias("doc"))
-    return variants.flatten_params(events, ["event_id"], "doc", levels=3)
+    return variants.flatten_params(events, ["event_id"], "doc")
 
 
 @register(

@@ -6,6 +6,7 @@ scatters each source pixel to the few outputs it touches and sums them by positi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,12 +204,14 @@ def marker_hashes(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     Regions meet whole image rows (complete frames are expected), so a region joins 40
     rows instead of 1,800 points.
     """
-    line = F.transform(F.array_sort(F.collect_list(F.struct("x", "luma"))), lambda p: p["luma"])
-    lines = luma(pixels).groupBy("image_id", "y").agg(line.alias("px"))
     axis = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high)))
     taps = boxes.where("error is null").withColumn("dy", axis(-2, 2)).withColumn("row", axis(0, 7)).withColumn(
         "y", (F.col("y0") + _div((F.col("row") * 2 + 1) * (F.col("y1") - F.col("y0")), 16) + F.col("dy")).cast("int")
     )
+    # Only the image rows that some region reads are gathered.
+    line = F.transform(F.array_sort(F.collect_list(F.struct("x", "luma"))), lambda p: p["luma"])
+    wanted = pixels.join(taps.select("image_id", "y").distinct(), ["image_id", "y"], "left_semi")
+    lines = luma(wanted).groupBy("image_id", "y").agg(line.alias("px"))
     wide = F.col("x1") - F.col("x0")
     points = F.transform(
         F.sequence(F.lit(-2), F.lit(2)),
@@ -251,6 +254,40 @@ def near_words(signatures: DataFrame, word: str) -> DataFrame:
     )
 
 
+# Distinct signatures that may share one band word before their pairs need a second key.
+CROWDED = 1000
+
+
+def near_signatures(signatures: DataFrame, distance: int = 7) -> DataFrame:
+    """Pairs of distinct 512-bit signatures (``words``: eight longs) at most ``distance`` bits apart, with their copies.
+
+    Identical captures collapse first. Of eight words at most seven can differ in seven bits, so
+    every pair shares a band word and meets there by equi-join. Where more than ``CROWDED``
+    signatures share one, pairs must also share one of the 14 halves of the other words, as
+    at least seven of those are equal too.
+    """
+    if not 0 <= distance <= 7:
+        raise ValueError("bands find distances of 0 to 7")
+    known = durable(signatures.groupBy("words").agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("image")))
+    bands = known.select("image", "words", F.posexplode("words").alias("band", "word"))
+    crowded = bands.groupBy("band", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("band", "word", F.lit(True).alias("_crowded"))
+    halves = F.flatten(F.transform("words", lambda w, i: F.array(
+        F.struct((i * 2).cast("int").alias("half"), F.shiftrightunsigned(w, 32).alias("value")),
+        F.struct((i * 2 + 1).cast("int").alias("half"), w.bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")),
+    )))
+    others = F.filter(halves, lambda h: F.floor(h["half"] / 2) != F.col("band"))
+    single = F.array(F.struct(F.lit(-1).alias("half"), F.lit(0).cast("bigint").alias("value")))
+    keyed = bands.join(crowded, ["band", "word"], "left").select(
+        "image", "words", "band", "word", F.explode(F.when(F.col("_crowded"), others).otherwise(single)).alias("k")
+    ).select("image", "words", "band", "word", "k.*")
+    side = lambda s: keyed.select(F.col("image").alias(f"image_{s}"), F.col("words").alias(f"words_{s}"), "band", "word", "half", "value")
+    met = side("a").join(side("b"), ["band", "word", "half", "value"]).where("image_a < image_b")
+    bits = F.aggregate(F.zip_with("words_a", "words_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    pairs = met.withColumn("distance", bits).where(F.col("distance") <= distance).select("image_a", "image_b", "distance").distinct()
+    copies = lambda s: known.select(F.col("image").alias(f"image_{s}"), F.col("copies").alias(f"copies_{s}"))
+    return pairs.join(copies("a"), "image_a").join(copies("b"), "image_b")
+
+
 # ---- gray planes ----
 
 
@@ -380,11 +417,15 @@ def scanlines(plane: DataFrame) -> DataFrame:
 
 
 def map_scanlines(lines: DataFrame, kernel) -> DataFrame:
-    """Apply ``kernel(array of values) -> array of values`` to every row of every image in Arrow batches."""
+    """Apply ``kernel((rows, width) array) -> array of that shape`` to the rows of images, all rows of one width in an Arrow batch at once."""
 
     def batches(frames):
         for frame in frames:
-            frame["px"] = [kernel(px) for px in frame["px"]]
-            yield frame
+            sizes = frame["px"].map(len).to_numpy()
+            out = np.empty(len(frame), object)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                out[at] = list(kernel(np.stack(frame["px"].iloc[at].to_numpy())))
+            yield frame.assign(px=out)
 
     return lines.mapInPandas(batches, lines.schema)

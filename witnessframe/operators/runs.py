@@ -159,18 +159,25 @@ def step_results(outcomes: DataFrame) -> DataFrame:
                        F.when(~F.col("r.skipped"), F.col("r.ok")).alias("ok"))
 
 
-def deadlines(events: DataFrame, keys: list[str], order: list[str], chunk: Column, started: Column, limit_ms: Column, timeout_ms: Column, now_ms: Column) -> DataFrame:
-    """Remaining time of each step under the clock started last before it.
+def deadlines(events: DataFrame, keys: list[str], order: list[str], chunk: Column, started: Column, limit_ms: Column, timeout_ms: Column, now_ms: Column, clock: Column) -> DataFrame:
+    """Remaining time of each step under the last start before it of the clock it names.
 
+    ``clock`` names the clock that an event starts or a step obeys; a step that names none
+    has its own timeout, one that names a clock never started has an ``error``.
     ``remaining_ms`` is the smaller of the step's own timeout and the clock's rest; an
     ``exhausted`` clock fails the step without running it.
     """
-    clock = F.when(started, F.struct(*[F.col(c) for c in order], (now_ms + limit_ms).alias("deadline")))
-    placed = running(events, keys, order, chunk, max_before={"_clock": clock})
-    rest = F.col("_clock.deadline") - now_ms
-    return placed.withColumn("exhausted", F.coalesce(rest <= 0, F.lit(False))).withColumn(
-        "remaining_ms", F.when(rest > 0, F.least(rest, timeout_ms)).when(rest.isNull(), timeout_ms)
-    ).drop("_clock")
+    start = F.when(started, F.struct(*[F.col(c) for c in order], (now_ms + limit_ms).alias("deadline")))
+    named = events.withColumn("_name", F.coalesce(clock, F.lit("")))
+    placed = running(named, [*keys, "_name"], order, chunk, max_before={"_start": start})
+    bound = F.col("_name") != ""
+    rest = F.when(bound, F.col("_start.deadline") - now_ms)
+    missing = bound & F.col("_start").isNull() & ~started
+    return placed.withColumns({
+        "exhausted": F.coalesce(rest <= 0, F.lit(False)),
+        "remaining_ms": F.when(rest > 0, F.least(rest, timeout_ms)).when(rest.isNull() & ~missing, timeout_ms),
+        "error": F.when(missing, F.concat(F.lit("clock "), F.col("_name"), F.lit(" was never started"))),
+    }).drop("_start", "_name")
 
 
 def interception(url: Column, host: Column, abort: Sequence[str], fulfill: Sequence[str], hosts: Sequence[str]) -> Column:
