@@ -275,11 +275,37 @@ SQL_NAV = """e as (select user_id as page_id, event_id, case event_type when 'vi
     f"with {SQL_NAV} select page_id, event_id, cast(loader as int) as loader, done_event_id from e left join done on nav = event_id where kind = 'navigate'",
 )
 def navigation_completion(spark, folder):
+    return N.completions(page_events(spark, folder, "navigate"), "load")
+
+
+def page_events(spark, folder, begin):
     e = table(spark, folder, "events")
-    kind = F.when(F.col("event_type") == "view", "navigate").when(F.col("event_type") == "signup", "commit").when(F.col("event_type").isin("purchase", "error"), "lifecycle").otherwise("same_document")
-    events = e.select(
+    kind = F.when(F.col("event_type") == "view", begin).when(F.col("event_type") == "signup", "commit").when(F.col("event_type").isin("purchase", "error"), "lifecycle").when(
+        F.col("event_id") % 8 == 0, "same_document").otherwise("other")
+    return e.select(
         F.col("user_id").alias("page_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", kind.alias("kind"),
-        F.when(F.col("event_type") != "click", F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 3).alias("loader"),
+        F.when(~F.col("event_type").isin("click", *(["view"] if begin == "wait" else [])), F.regexp_extract("props", "([0-9]+)", 1).cast("int") % 3).alias("loader"),
         F.when(F.col("event_type") == "purchase", "load").when(F.col("event_type") == "error", "init").alias("name"),
     )
-    return N.completions(events, "load")
+
+
+SQL_WAIT = """e as (select user_id as page_id, event_id, case event_type when 'view' then 'wait' when 'signup' then 'commit' when 'purchase' then 'lifecycle' when 'error' then 'lifecycle' else case when event_id % 8 = 0 then 'same_document' else 'other' end end as kind,
+    case when event_type not in ('click', 'view') then cast(regexp_extract(props, '([0-9]+)', 1) as int) % 3 end as loader, case when event_type = 'purchase' then 'load' when event_type = 'error' then 'init' end as name
+    from events),
+  s as (select *, max(case when kind = 'wait' then event_id end) over w as nav, max(case when kind = 'commit' then event_id end) over w as cur from e
+    window w as (partition by page_id order by event_id rows between unbounded preceding and 1 preceding)),
+  n as (select m.event_id, b.loader as start_loader from s m left join e b on b.event_id = m.cur where m.kind = 'wait'),
+  t as (select s.*, start_loader, c.loader as current_loader,
+      coalesce((select max(x.event_id) from e x where x.page_id = s.page_id and x.loader = s.loader and x.name = 'load' and x.event_id < s.event_id)
+        > coalesce((select max(x.event_id) from e x where x.page_id = s.page_id and x.loader = s.loader and x.name = 'init' and x.event_id < s.event_id), -1), false) as reached
+    from s join n on n.event_id = s.nav left join e c on c.event_id = s.cur),
+  done as (select nav, min(event_id) as done_event_id from t where kind = 'same_document'
+    or (name = 'load' and loader = current_loader and loader is distinct from start_loader) or (kind = 'commit' and reached and loader is distinct from start_loader) group by 1)"""
+
+
+@register(
+    "navigation_waits",
+    f"with {SQL_WAIT} select e.page_id, e.event_id, done_event_id, cast(d.loader as int) as loader from e left join done on nav = e.event_id left join e d on d.event_id = done_event_id where e.kind = 'wait'",
+)
+def navigation_waits(spark, folder):
+    return N.navigation_waits(page_events(spark, folder, "wait"), "load")

@@ -232,15 +232,13 @@ def duplicate_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def completions(events: DataFrame, event: str, chunk: Column | None = None) -> DataFrame:
-    """When each navigation reached a lifecycle event.
+def _watched(events: DataFrame, event: str, begin: str, chunk: Column) -> tuple[DataFrame, DataFrame]:
+    """(beginnings, events after each until the next one) of what waits for a lifecycle event.
 
-    events kinds: navigate (loader = its own), commit (loader becomes current), lifecycle
-    (loader, name), same_document. A navigation is done when its own loader, or a newer
-    current loader, has the event; without one it stays open until the next navigation. ``init``
-    clears what its loader has reached.
+    A beginning has ``_nav`` (its place and loader) and ``_start``, the loader current then; a later
+    event has ``_current``, the commit before it, and ``_reached``, when its loader had the
+    event, unless an ``init`` has cleared that since.
     """
-    chunk = by_day() if chunk is None else chunk
     at = _position()
     # A loader may have reached the event before it became current.
     reached = F.when((F.col("kind") == "lifecycle") & (F.col("name") == event), at)
@@ -251,25 +249,48 @@ def completions(events: DataFrame, event: str, chunk: Column | None = None) -> D
     state = running(
         known, ["page_id"], ORDER, chunk,
         max_before={
-            "_nav": F.when(F.col("kind") == "navigate", F.struct(*ORDER, "loader")),
+            "_nav": F.when(F.col("kind") == begin, F.struct(*ORDER, "loader")),
             "_current": F.when(F.col("kind") == "commit", F.struct(*ORDER, "loader")),
         },
     )
     state = durable(state)
-    # ``_start`` is the loader that was current when the navigation began.
-    starts = state.where("kind = 'navigate'").select(
-        "page_id", F.struct(*ORDER, "loader").alias("_nav"), F.col("_current.loader").alias("_start")
-    )
+    starts = state.where(F.col("kind") == begin).select("page_id", F.struct(*ORDER, "loader").alias("_nav"), F.col("_current.loader").alias("_start"))
     later = state.where("_nav is not null and kind in ('lifecycle', 'commit', 'same_document')")
     weight = later.groupBy("page_id", "_nav").agg(F.count(F.lit(1)).alias("_n"))
     begun = starts.join(weight, ["page_id", "_nav"], "left")
-    watched = join_unique(later, begun, ["page_id", "_nav"], "_n", ORDER)
+    return starts, join_unique(later, begun, ["page_id", "_nav"], "_n", ORDER)
+
+
+def completions(events: DataFrame, event: str, chunk: Column | None = None) -> DataFrame:
+    """When each navigation reached a lifecycle event.
+
+    events kinds: navigate (loader = its own), commit (loader becomes current), lifecycle
+    (loader, name), same_document. A navigation is done when its own loader, or a newer
+    current loader, has the event; without one it stays open until the next navigation. ``init``
+    clears what its loader has reached.
+    """
+    starts, watched = _watched(events, event, "navigate", by_day() if chunk is None else chunk)
     hit = (F.col("kind") == "lifecycle") & (F.col("name") == event)
     own = hit & (F.col("loader") == F.col("_nav.loader"))
     newer = ~F.col("_current.loader").eqNullSafe(F.col("_start")) & (F.col("_current.loader") != F.col("_nav.loader"))
     current = hit & newer & (F.col("loader") == F.col("_current.loader"))
     early = (F.col("kind") == "commit") & F.col("_reached").isNotNull() & (F.col("loader") != F.col("_nav.loader")) & ~F.col("loader").eqNullSafe(F.col("_start"))
-    done = watched.where(own | current | early).groupBy("page_id", "_nav").agg(F.min(at).alias("done"))
+    done = watched.where(own | current | early).groupBy("page_id", "_nav").agg(F.min(_position()).alias("done"))
     return starts.join(done, ["page_id", "_nav"], "left").select(
         "page_id", F.col("_nav.event_id").alias("event_id"), F.col("_nav.loader").alias("loader"), F.col("done.event_id").alias("done_event_id")
     )
+
+
+def navigation_waits(events: DataFrame, event: str, chunk: Column | None = None) -> DataFrame:
+    """When each ``wait`` saw a navigation: a same-document one, which has no loader, or a
+    current loader other than at its start that has the lifecycle event. Open waits have no end; a new wait replaces the one before."""
+    starts, watched = _watched(events, event, "wait", by_day() if chunk is None else chunk)
+    other = ~F.col("loader").eqNullSafe(F.col("_start"))
+    same = F.col("kind") == "same_document"
+    hit = (F.col("kind") == "lifecycle") & (F.col("name") == event) & (F.col("loader") == F.col("_current.loader")) & other
+    early = (F.col("kind") == "commit") & F.col("_reached").isNotNull() & other
+    seen = F.min(F.struct(*ORDER, F.when(~same, F.col("loader")).alias("loader"))).alias("done")
+    done = watched.where(same | hit | early).groupBy("page_id", "_nav").agg(seen)
+    return starts.join(done, ["page_id", "_nav"], "left").select(
+        "page_id", F.col("_nav.event_id").alias("event_id"), F.col("done.event_id").alias("done_event_id"), F.col("done.loader").alias("loader")
+    )
