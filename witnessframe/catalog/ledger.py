@@ -105,6 +105,24 @@ def evidence_text(spark, folder):
     return o.select("doc_id", block(o).alias("body"))
 
 
+@register(
+    "ledger_image_evidence",
+    """select doc_id, '-----BEGIN CAPTURE SIGNED ATTESTATION-----' || chr(10) || chr(10) || case when doc_id % 2 = 0 then '![' || case when doc_id % 3 = 0 then 'evidence' else 'ui screenshot' end || ' — https://' || lang ||
+          case when doc_id % 4 = 0 then '' else ' — 800x600' end || ' — sha256 ' || left(sha256(text), 12) || '](u)' || chr(10) || chr(10) else '' end ||
+          '**AFTER: i**' || chr(10) || chr(10) || 'Target: t' || chr(10) || chr(10) || 'Attested: a' || chr(10) || chr(10) || 'Evidence: <u>' || chr(10) || chr(10) || 'Statement: <s>' || chr(10) || chr(10) ||
+          'c · Key-ID: k' || chr(10) || chr(10) || '-----END CAPTURE SIGNED ATTESTATION-----' as body from documents""",
+)
+def image_evidence(spark, folder):
+    d, blank = F.col("doc_id"), F.lit("")
+    url = F.concat(F.lit("https://["), "lang", F.lit("]"))
+    alt = X.image_alt(
+        F.when(d % 3 == 0, blank).otherwise("ui screenshot"), F.when(d % 5 == 0, blank).otherwise(url), url, F.when(d % 4 == 0, blank).otherwise("800x600"), F.sha2("text", 256)
+    )
+    kind = F.when(d % 2 == 0, "image/png").otherwise("text/html")
+    body = X.evidence_text(*map(F.lit, ("AFTER", "i", "t", "a", "u", "s", "c", "k")), "CAPTURE", image_alt=alt, content_type=kind)
+    return table(spark, folder, "documents").select("doc_id", body.alias("body"))
+
+
 @register(
     "ledger_receipts",
     f"""select doc_id, {SQL_IDENTITY} as identity, case when doc_id in (select doc_id from labels) then 'reused' else 'posted' end as outcome from documents""",
@@ -213,10 +231,11 @@ def hops(spark, folder):
     return c.join(last, "conv_id").select(
         F.col("conv_id").alias("capture_id"), F.col("turn").alias("hop"), F.concat(F.lit("https://hop/?"), "text").alias("url"),
         F.when(moved, 302).otherwise(200).alias("status"), F.when(moved, location).otherwise("").alias("location"),
+        F.when(F.col("turn") == 0, F.lit("")).otherwise(F.concat(F.lit("worker "), "role")).alias("fetched_by"), F.lit("10.0.0.7:443").alias("remote_address"),
     )
 
 
-SQL_HOPS = """h as (select conv_id as capture_id, turn as hop, 'https://hop/?' || text as url, text,
+SQL_HOPS = """h as (select conv_id as capture_id, turn as hop, role, 'https://hop/?' || text as url, text,
     turn < max(turn) over (partition by conv_id) or role = 'user' as moved from conversations)"""
 
 
@@ -234,6 +253,8 @@ def redirect_summary(spark, folder):
     f"""with {SQL_HOPS}, p as (select *, 'capture.redirect.' || lpad(cast(hop as varchar), 2, '0') || '.' as p from h)
         select capture_id, p || 'status' as fact, case when moved then '302' else '200' end as value from p
         union all select capture_id, p || 'location', case when moved then 'https://hop/' || capture_id || '/' || (hop + 1) else '' end from p
+        union all select capture_id, p || 'fetched-by', 'worker ' || role from p where hop > 0
+        union all select capture_id, p || 'remote-address', '10.0.0.7:443' from p where hop > 0
         union all select capture_id, p || 'url', left({SQL_META.replace('text', 'url')}, 512) from p""",
 )
 def redirect_facts(spark, folder):

@@ -85,6 +85,33 @@ def request_validation(spark, folder):
     )
 
 
+@register(
+    "request_pass_errors",
+    """select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, case l_linenumber
+          when 1 then case when l_quantity % 2 <> 0 then 'ocr.passes.psm must be an integer' end
+          when 2 then case when l_quantity > 25 then 'ocr.passes.dpi must be a non-negative number' end
+          when 3 then case when l_quantity > 25 then 'ocr.passes.lang must be a string' end
+          when 4 then 'ocr.passes must be an object'
+          when 5 then case when not (l_quantity / 10 <= 1 or (l_quantity / 10 <= 4 and l_quantity % 10 = 0)) then 'ocr.passes.upscale: scale ' ||
+            case when l_quantity % 10 = 0 then cast(cast(l_quantity // 10 as int) as varchar) else cast(l_quantity / 10 as varchar) end || ' must be in (0, 1] or a whole factor 2..4' end
+          when 6 then 'ocr.passes.pixel_budget must be a non-negative number' end as error from lineitem""",
+)
+def request_pass_errors(spark, folder):
+    q = F.col("l_quantity")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    doc = (
+        F.when(F.col("l_linenumber") == 1, text('{"psm":', q / 2, ',"lang":null}'))
+        .when(F.col("l_linenumber") == 2, text('{"dpi":', F.lit(25) - q, "}"))
+        .when(F.col("l_linenumber") == 3, F.when(q > 25, text('{"lang":', q, ',"psm":-1}')).otherwise('{"lang":"deu"}'))
+        .when(F.col("l_linenumber") == 4, text('"', q, '"'))
+        .when(F.col("l_linenumber") == 5, text('{"upscale":', q / 10, "}"))
+        .when(F.col("l_linenumber") == 6, text('{"pixel_budget":"', q, '"}'))
+        .otherwise('{"psm":6,"lang":"deu","upscale":0,"pixel_budget":1000}')
+    )
+    error = V.let(F.try_parse_json(doc), lambda v: R.pass_error(v, "ocr.passes"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", error.alias("error"))
+
+
 def planned_steps(spark, folder):
     turn = F.col("turn")
     name = lambda n: F.concat(F.lit("s"), n.cast("string"))

@@ -112,6 +112,17 @@ def time_text(spark, folder):
     )
 
 
+@register(
+    "fn_dated_members",
+    """select event_id, name, case when name in ('startDate', 'endDateTime', 'candidate') then strftime(make_timestamp(cast(round(value * 1000) as bigint) * 1000), '%Y-%m-%dT%H:%M:%S.%gZ')
+        else event_type end as shown from events, (select unnest(['startDate', 'endDateTime', 'candidate', 'Dated', 'DATE']) as name)""",
+)
+def dated_members(spark, folder):
+    names = F.explode(F.array(*map(F.lit, ["startDate", "endDateTime", "candidate", "Dated", "DATE"])))
+    e = table(spark, folder, "events").select("event_id", "value", "event_type", names.alias("name"))
+    return e.select("event_id", "name", X.dated_member(F.col("name"), F.col("value"), F.col("event_type")).alias("shown"))
+
+
 @register(
     "fn_js_values",
     """select event_id,
@@ -271,6 +282,26 @@ def console_text(spark, folder):
     return table(spark, folder, "events").select("event_id", X.console_text(args).alias("console"), shown.alias("exception"))
 
 
+@register(
+    "fn_exception_message",
+    """select event_id, case event_id % 4 when 0 then event_type when 1 then props when 2 then 'boom ' || event_id else '[object Thing]' end as message from events""",
+)
+def exception_message(spark, folder):
+    none, case = F.lit(None).cast("string"), F.col("event_id") % 4
+
+    def details(kind=none, subtype=none, object_id=none, class_name=none, description=none, value=none):
+        return F.struct(object_id.alias("object_id"), subtype.alias("subtype"), kind.alias("type"), class_name.alias("class_name"),
+                        description.alias("description"), none.alias("unserializable"), value.alias("value"))
+
+    boom = F.concat(F.lit("RangeError: boom "), F.col("event_id").cast("string"), F.lit("\n    at f"))
+    thrown = (
+        F.when(case == 1, details(F.lit("string"), value=F.col("props")))
+        .when(case == 2, details(F.lit("object"), F.lit("error"), F.lit("7"), F.lit("RangeError"), boom))
+        .when(case == 3, details(F.lit("object"), object_id=F.lit("8"), class_name=F.lit("Thing"), description=F.lit("[object Thing]")))
+    )
+    return table(spark, folder, "events").select("event_id", X.exception_message(thrown, F.col("event_type"), F.lit(1)).alias("message"))
+
+
 @register(
     "fn_status_text",
     """select event_id, case 200 + event_id % 304 when 200 then 'OK' when 201 then 'Created' when 202 then 'Accepted'

@@ -106,6 +106,11 @@ def epoch_to_iso(seconds: Column) -> Column:
     return iso_ms(F.timestamp_millis(F.round(seconds * 1000).cast("bigint")))
 
 
+def dated_member(name: Column, number: Column, text: Column) -> Column:
+    """A reply member as shown: epoch seconds under a name that ends in Date, DateTime or date become a time, the rest stays ``text``."""
+    return F.when(name.rlike("(Date|DateTime|date)$") & number.isNotNull(), epoch_to_iso(number)).otherwise(text)
+
+
 def markdown_literal(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), "([\\\\`*_\\[\\]<>&|~])", "\\\\$1")
 
@@ -168,17 +173,29 @@ def console_text(args: Column) -> Column:
     """Console arguments joined by spaces; ``args`` is an array of struct(object_id,
     subtype, type, class_name, description, unserializable, value)."""
 
-    def one(a):
-        kind = F.coalesce(a["subtype"], a["type"], F.lit(""))
-        shown = F.concat(F.lit("["), kind, F.lit(" "), F.coalesce(a["class_name"], F.lit("undefined")), F.lit("]"))
-        error = (a["subtype"] == "error") & (F.coalesce(a["description"], F.lit("")) != "")
-        return (
-            F.when(a["object_id"].isNotNull(), F.when(error, F.substring_index(a["description"], "\n", 1)).otherwise(shown))
-            .when(a["unserializable"].isNotNull(), F.rtrim(a["unserializable"], F.lit("n")))
-            .otherwise(F.coalesce(a["value"], F.lit("")))
-        )
+    return js_slice(F.array_join(F.transform(args, console_argument), " "), 2000)
+
+
+def console_argument(a: Column) -> Column:
+    kind = F.coalesce(a["subtype"], a["type"], F.lit(""))
+    shown = F.concat(F.lit("["), kind, F.lit(" "), F.coalesce(a["class_name"], F.lit("undefined")), F.lit("]"))
+    error = (a["subtype"] == "error") & (F.coalesce(a["description"], F.lit("")) != "")
+    return (
+        F.when(a["object_id"].isNotNull(), F.when(error, F.substring_index(a["description"], "\n", 1)).otherwise(shown))
+        .when(a["unserializable"].isNotNull(), F.rtrim(a["unserializable"], F.lit("n")))
+        .otherwise(F.coalesce(a["value"], F.lit("")))
+    )
+
 
-    return js_slice(F.array_join(F.transform(args, one), " "), 2000)
+def exception_message(exception: Column, text: Column, frames: Column) -> Column:
+    """Message of exception details: their own ``text`` without an exception object, a thrown primitive as a
+    console argument, else what ``exception_text`` makes of the error."""
+    error = F.coalesce((exception["type"] == "object") & (exception["subtype"] == "error"), F.lit(False))
+    return (
+        F.when(exception.isNull(), js_slice(F.coalesce(text, F.lit("")), 2000))
+        .when(~error & exception["object_id"].isNull(), js_slice(console_argument(exception), 2000))
+        .otherwise(exception_text(exception["class_name"], exception["description"], frames))
+    )
 
 
 def exception_text(class_name: Column, description: Column, frames: Column) -> Column:
@@ -193,14 +210,27 @@ def exception_text(class_name: Column, description: Column, frames: Column) -> C
     return js_slice(filled, 2000)
 
 
+def image_alt(evidence_type: Column, final_url: Column, requested_url: Column, viewport: Column, sha256: Column) -> Column:
+    """Alt text from signed fields only: what kind of evidence, of which page and viewport, and the digest's first 12 digits."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    parts = [
+        F.coalesce(filled(evidence_type), F.lit("evidence")), F.coalesce(filled(final_url), filled(requested_url)), filled(viewport),
+        F.concat(F.lit("sha256 "), F.left(F.coalesce(sha256, F.lit("")), F.lit(12))),
+    ]
+    return F.regexp_replace(F.concat_ws(" \u2014 ", *parts), "[\\[\\]]", "")
+
+
 def evidence_text(category: Column, intent: Column, target: Column, attested: Column, url: Column,
                   statement_url: Column, canonicalization: Column, key_id: Column, issuer: str,
-                  image_alt: Column | None = None, marker: Column | None = None) -> Column:
-    """Fixed markdown block of one evidence object."""
+                  image_alt: Column | None = None, marker: Column | None = None, content_type: Column | None = None) -> Column:
+    """Fixed markdown block of one evidence object; an alt text shows the object as an image, given ``content_type`` only where that is one."""
     blank = F.lit("")
     lines = [F.lit(f"-----BEGIN {issuer} SIGNED ATTESTATION-----"), blank]
     if image_alt is not None:
-        lines += [F.concat(F.lit("!["), F.regexp_replace(image_alt, "[\\[\\]]", ""), F.lit("]("), url, F.lit(")")), blank]
+        shown = F.concat(F.lit("!["), F.regexp_replace(image_alt, "[\\[\\]]", ""), F.lit("]("), url, F.lit(")"))
+        is_image = F.lit(True) if content_type is None else F.coalesce(content_type.startswith("image/"), F.lit(False))
+        # concat_ws leaves out both where they are null.
+        lines += [F.when(is_image, shown), F.when(is_image, blank)]
     lines += [
         F.concat(F.lit("**"), category, F.lit(": "), intent, F.lit("**")), blank,
         F.concat(F.lit("Target: "), target), blank,

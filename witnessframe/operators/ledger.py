@@ -202,12 +202,18 @@ def redirect_summary(hops: DataFrame, most: int) -> DataFrame:
 
 
 def redirect_facts(hops: DataFrame) -> DataFrame:
-    """Fact rows per hop; hop numbers are zero-padded so key order is hop order."""
+    """Fact rows per hop; hop numbers are zero-padded so key order is hop order.
+
+    A hop that says who fetched it (``fetched_by``, ``remote_address``) has those facts too.
+    """
     prefix = F.concat(F.lit("capture.redirect."), F.when(F.col("hop") < 10, F.lpad(F.col("hop").cast("string"), 2, "0")).otherwise(F.col("hop").cast("string")), F.lit("."))
     facts = F.create_map(
         F.lit("url"), metadata_value(F.col("url"), 512), F.lit("status"), F.col("status").cast("string"),
         F.lit("location"), metadata_value(F.col("location"), 512),
     )
+    if "fetched_by" in hops.columns:
+        seen = F.create_map(F.lit("fetched-by"), metadata_value(F.col("fetched_by"), 256), F.lit("remote-address"), metadata_value(F.col("remote_address"), 128))
+        facts = F.when(F.coalesce("fetched_by", F.lit("")) != "", F.map_concat(facts, seen)).otherwise(facts)
     return hops.select("capture_id", prefix.alias("prefix"), F.explode(facts).alias("name", "value")).select(
         "capture_id", F.concat("prefix", "name").alias("fact"), "value"
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import js_string, json_text, let, valid_scale
+from ..functions.values import js_string, json_text, let, valid_scale, variant_kind
 from ..plans.ordered import running
 from ..plans.skew import join_unique
 
@@ -65,6 +65,34 @@ def spec_errors(n_passes: Column, scale: Column, min_fraction: Column, n_fallbac
     return F.filter(F.array(*rules), lambda e: e.isNotNull())
 
 
+def pass_error(v: Column, what: str) -> Column:
+    """First rule that a reading pass given as VARIANT breaks, null for a good one."""
+
+    def member(name: str) -> Column:
+        return F.try_variant_get(v, f"$.{name}", "variant")
+
+    def absent(kind: Column) -> Column:
+        return kind.isNull() | (kind == "null")
+
+    def number(name: str, whole: bool) -> list[Column]:
+        kind, x = variant_kind(member(name)), F.try_variant_get(v, f"$.{name}", "double")
+        good = (kind == "number") & (x >= 0) & (x < float("inf"))
+        rules = [F.when(~absent(kind) & ~F.coalesce(good, F.lit(False)), F.lit(f"{what}.{name} must be a non-negative number"))]
+        if whole:
+            rules.append(F.when((kind == "number") & (x != F.floor(x)), F.lit(f"{what}.{name} must be an integer")))
+        return rules
+
+    lang = variant_kind(member("lang"))
+    scale = F.coalesce(F.nullif(F.try_variant_get(v, "$.upscale", "double"), F.lit(0.0)), F.lit(1.0))
+    factor = F.concat(F.lit(f"{what}.upscale: scale "), js_string(scale), F.lit(" must be in (0, 1] or a whole factor 2..4"))
+    return F.coalesce(
+        F.when(F.coalesce(variant_kind(v), F.lit("")) != "object", F.lit(f"{what} must be an object")),
+        F.when(~absent(lang) & (lang != "text"), F.lit(f"{what}.lang must be a string")),
+        *number("psm", True), *number("dpi", True), *number("upscale", False), *number("pixel_budget", True),
+        F.when(~valid_scale(scale), factor),
+    )
+
+
 def expectation_failure(value_json: Column, value_number: Column, value_text: Column, value_truthy: Column,
                         equals: Column, gte: Column, lte: Column, contains: Column, truthy: Column) -> Column:
     """Message of the first expectation that fails, null when all hold.
