@@ -241,6 +241,44 @@ def interception_rules(spark, folder):
     )
 
 
+@register(
+    "interception_table",
+    """with t as (select page_id, page_id % 6 as run_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), ':[0-9]+$', '') as host from pages),
+        j as (select *, case when run_id in (1, 2) and regexp_matches(url, '[?&]ref=') then 'fail' when run_id in (0, 1) and regexp_matches(url, '/fr/|net/') then 'fulfill' else 'continue' end as action
+          from t left join region on r_regionkey = run_id)
+        select run_id, page_id as request_id, action, case when action = 'fulfill' then case when regexp_matches(url, '/fr/') then 404 else 200 end end as status,
+          case when action = 'fulfill' then case when regexp_matches(url, '/fr/') then 'text/plain' else 'application/octet-stream' end end as content_type,
+          case when action = 'fulfill' then case when regexp_matches(url, '/fr/') then length(r_name) else 0 end end as content_length,
+          case when action = 'fulfill' then case when regexp_matches(url, '/fr/') then 'Not Found' else 'OK' end end as phrase,
+          case when action = 'continue' and r_name is not null and host like '%.example.org' and starts_with(host, 'm.') then 'accept=*/*,via=' || r_name || ',x-run=' || r_regionkey end as headers from j""",
+)
+def interception_table(spark, folder):
+    """Rules that each region brings for its own run; one run has none."""
+    r = table(spark, folder, "region").select(F.col("r_regionkey").cast("bigint").alias("run_id"), "r_name")
+    hosts = table(spark, folder, "pages").select((F.col("page_id") % 6).alias("run_id"), U.host(F.col("url")).alias("pattern")).distinct()
+    hosts = hosts.where(F.col("pattern").startswith("m.") & F.col("pattern").endswith(".example.org"))
+    none, no_map = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+
+    def rule(df, position, kind, pattern, status=0, content_type=none, body=none, headers=no_map):
+        return df.select("run_id", F.lit(position).alias("position"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(status).alias("status"),
+                         content_type.alias("content_type"), body.alias("body"), headers.alias("headers"))
+
+    laid = F.create_map(F.lit("x-run"), F.col("run_id").cast("string"), F.lit("via"), F.col("r_name"))
+    rules = (
+        rule(r.where("run_id in (1, 2)"), 0, "abort", F.lit("[?&]ref="))
+        .unionByName(rule(r.where("run_id in (0, 1)"), 1, "fulfill", F.lit("/fr/"), 404, F.lit("text/plain"), F.col("r_name")))
+        .unionByName(rule(r.where("run_id in (0, 1)"), 2, "fulfill", F.lit("net/")))
+        .unionByName(rule(r.join(hosts, "run_id"), 3, "headers", F.col("pattern"), headers=laid))
+    )
+    url = F.col("url")
+    requests = table(spark, folder, "pages").select(
+        (F.col("page_id") % 6).alias("run_id"), F.col("page_id").alias("request_id"), "url", U.host(url).alias("host"),
+        F.create_map(F.lit("Accept"), F.lit("*/*"), F.lit("Via"), F.lit("own")).alias("headers"),
+    )
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return R.intercepted(requests, rules).withColumn("headers", shown)
+
+
 def envelopes(spark, folder):
     """Run envelopes as JSON text, one per conversation turn."""
     c = table(spark, folder, "conversations")

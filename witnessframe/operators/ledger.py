@@ -219,18 +219,20 @@ def redirect_facts(hops: DataFrame) -> DataFrame:
     )
 
 
-def header_facts(headers: Column) -> Column:
-    """Allow-listed headers clamped to 512 characters, and how many there were in all.
-
-    Of several spellings of one name the last counts.
-    """
+def lower_headers(headers: Column) -> Column:
+    """The map with lower-case names; of several spellings of one name the last counts."""
     named = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
 
     def last_of_each(entries: Column) -> Column:
         later = lambda i: F.transform(F.slice(entries, i + 2, F.size(entries)), lambda e: e["key"])
         return F.filter(entries, lambda e, i: ~F.array_contains(later(i), e["key"]))
 
-    lower = F.map_from_entries(let(named, last_of_each))
+    return F.map_from_entries(let(named, last_of_each))
+
+
+def header_facts(headers: Column) -> Column:
+    """Allow-listed headers clamped to 512 characters, and how many there were in all."""
+    lower = lower_headers(headers)
     kept = F.map_filter(lower, lambda k, v: k.isin(*HEADER_ALLOWLIST))
     facts = F.transform_keys(F.transform_values(kept, lambda k, v: metadata_value(v, 512)), lambda k, v: F.concat(F.lit("capture.header."), k))
     return F.map_concat(facts, F.create_map(F.lit("capture.header-count"), F.size(lower).cast("string")))

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import status_text
 from ..functions.values import js_string, json_text, let, valid_scale, variant_kind
 from ..plans.ordered import running
 from ..plans.skew import join_unique
+from .ledger import lower_headers
 
 # Limits of one request.
 MAX_STEPS = 200
@@ -222,6 +224,42 @@ def interception(url: Column, host: Column, abort: Sequence[str], fulfill: Seque
     return F.lit("continue") if out is None else out.otherwise("continue")
 
 
+def intercepted(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """What the rules of its run do to every request.
+
+    requests: run_id, request_id, url, host, headers. rules: run_id, position, kind (abort,
+    fulfill, headers), pattern (of the address, or the host), status, content_type, body, headers.
+    Any abort pattern fails the request; else the first fulfil pattern answers it; else it goes on, with the first header rule of
+    its host laid over its own headers, whose names are lower-case then. The rules of a run come with
+    its request and are a short list, so they are gathered per run and meet its requests in one join.
+    """
+    rule = F.struct("position", "kind", "pattern", "status", "content_type", F.length("body").alias("body_bytes"), F.to_json("headers").alias("extra"))
+    gathered = rules.groupBy("run_id").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    sizes = requests.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = sizes.join(gathered, "run_id", "left")
+    out = join_unique(requests, known, ["run_id"], "_n", ["request_id"])
+
+    def first(kind: str, hit) -> Column:
+        return F.get(F.filter(F.coalesce("rules", F.array().cast(gathered.schema["rules"].dataType)), lambda r: (r["kind"] == kind) & hit(r)), F.lit(0))
+
+    matches = lambda r: F.coalesce(F.rlike(F.col("url"), r["pattern"]), F.lit(False))
+    out = out.withColumns({
+        "_abort": first("abort", matches), "_answer": first("fulfill", matches), "_extra": first("headers", lambda r: F.lower(r["pattern"]) == F.col("host")),
+    })
+    action = F.when(F.col("_abort").isNotNull(), "fail").when(F.col("_answer").isNotNull(), "fulfill").otherwise("continue")
+    extra = F.from_json("_extra.extra", "map<string,string>")
+    own = lower_headers(F.coalesce("headers", F.create_map().cast("map<string,string>")))
+    merged = F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(extra, k)), extra)
+    answered, goes_on = action == "fulfill", action == "continue"
+    return out.select(
+        "run_id", "request_id", action.alias("action"),
+        F.when(answered, F.coalesce(F.nullif("_answer.status", F.lit(0)), F.lit(200))).alias("status"),
+        F.when(answered, F.coalesce(F.nullif("_answer.content_type", F.lit("")), F.lit("application/octet-stream"))).alias("content_type"),
+        F.when(answered, F.coalesce("_answer.body_bytes", F.lit(0))).alias("content_length"),
+        F.when(goes_on & F.col("_extra").isNotNull(), merged).alias("headers"),
+    ).withColumn("phrase", F.when(F.col("status").isNotNull(), status_text(F.col("status"))))
+
+
 def blocked(url: Column, main_document: Column, patterns: Sequence[str]) -> Column:
     """Fault injection: any listed substring aborts, the main document never does."""
     hit = F.lit(False)
