@@ -89,3 +89,21 @@ def test_published_ranking(spark):
     out = {r.spec: (r.place, round(r.weighted_ms, 2)) for r in ranking(objective, gate(differences)).collect()}
     assert out["rust"] == (1, 33.57) and out["rust-pgo"] == (2, 34.37) and out["go"] == (3, 36.07) and out["nim"] == (7, 117.70)
     assert out["pillow"] == (None, 146.81)
+
+
+def test_every_heavy_key_is_salted(spark):
+    """More heavy keys than any fixed number of them, all joined whole."""
+    left = spark.range(30_000).select((F.col("id") % 1500).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    out = join_unique(left, right, ["k"], "n", ["id"], rows_per_salt=5)
+    assert out.groupBy("k").count().where("count <> 20").isEmpty() and out.count() == 30_000
+
+
+def test_mean_does_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    values = [(rng.choice("ab"), round(rng.random() * 1e5, 4)) for _ in range(5000)]
+    means = set()
+    for parts in (1, 3, 16):
+        df = spark.createDataFrame(values, "k string, v double").repartition(parts)
+        means.add(tuple(sorted((r.k, r.mean_value) for r in order_statistics(df, ["k"], "v").collect())))
+    assert len(means) == 1

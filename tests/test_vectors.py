@@ -33,6 +33,14 @@ def test_text_rules(spark):
 def test_value_rules(spark):
     assert value(spark, V.js_string(F.lit(1e-7))) == "0.0000001" and value(spark, V.js_string(F.lit(3.0))) == "3"
     assert value(spark, V.js_number(F.lit(" 1e2 "))) == 100.0 and value(spark, F.isnan(V.js_number(F.lit("1d"))))
+    shown = {1e-19: "0.0000000000000000001", 1.23456789012345e-10: "0.000000000123456789012345", 1e21: "1000000000000000000000", -2.5e-8: "-0.000000025",
+             1.5e22: "15000000000000000000000", 123456789.125: "123456789.125", 0.1: "0.1", -7.0: "-7", 100.5: "100.5"}
+    assert {x: value(spark, V.js_string(F.lit(x))) for x in shown} == shown
+    assert value(spark, V.js_number(F.lit("\t5\n"))) == 5.0 and value(spark, V.js_number(F.lit("\u00a0\ufeff7 "))) == 7.0 and value(spark, V.js_number(F.lit("\n"))) == 0.0
+    parsed = lambda text: F.parse_json(F.lit(text))
+    assert [value(spark, V.variant_truthy(parsed(t))) for t in ('"0"', '"false"', '""', "0", "false", "null", "[]", "{}", "0.5")] == [True, True, False, False, False, False, True, True, True]
+    assert [value(spark, V.variant_number(parsed(t))) for t in ("true", "null", '" 4 "', "2.5")] == [1.0, 0.0, 4.0, 2.5] and value(spark, F.isnan(V.variant_number(parsed("[]"))))
+    assert value(spark, V.numeric_members(F.variant_get(parsed('{"a":1,"b":"12","c":null,"d":2.5}'), "$", "map<string,variant>"))) == {"a": 1.0, "d": 2.5}
     filled = value(spark, V.pass_defaults(F.lit(6), F.lit(""), F.lit(0), F.lit(2.0), F.lit(0)))
     assert filled.asDict() == {"psm": 6, "lang": "eng", "dpi": 300, "scale": 2.0, "pixel_budget": 20_000_000}
     assert [value(spark, V.factor_within_budget(F.lit(1366), F.lit(h), 3, 20_000_000)) for h in (5477, 900, 2000)] == [1, 3, 2]
@@ -218,11 +226,11 @@ def events(spark, rows):
 
 def test_legs(spark):
     e = events(spark, [
-        ("a", "finished", False, None), ("a", "open", False, None), ("a", "response", False, 302), ("a", "open", True, None), ("a", "response", False, 200),
+        ("a", "finished", False, None), ("a", "open", False, None), ("a", "response", False, 302), ("a", "open", True, 307), ("a", "response", False, 200),
         ("a", "finished", False, None), ("a", "response", False, 500), ("a", "open", True, None), ("b", "open", False, None), ("b", "open", False, None), ("b", "failed", False, None),
     ])
     got = {(r.request_id, r.leg): (r.state, r.status, r.end_event_id) for r in network.legs(e).collect()}
-    assert got == {("a", 1): ("redirected", 302, 3), ("a", 2): ("finished", 200, 5), ("a", 3): ("pending", None, None), ("b", 1): ("pending", None, None), ("b", 2): ("failed", None, 10)}
+    assert got == {("a", 1): ("redirected", 307, 3), ("a", 2): ("finished", 200, 5), ("a", 3): ("pending", None, None), ("b", 1): ("pending", None, None), ("b", 2): ("failed", None, 10)}
     assert sorted(r.event_id for r in network.orphans(e).collect()) == [0, 6]
 
 
@@ -233,8 +241,12 @@ def test_the_129th_leg_is_counted_not_kept(spark):
 
 
 def test_cookies_and_receipts(spark):
-    raw = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '[{"name":"n","value":"v"},{"name":"","value":"v"},{"name":"z"}]'), (3, "")], "k int, raw string").withColumn("u", F.lit("https://h"))
-    assert sorted(map(tuple, ledger.cookie_rows(raw, ["k"], "raw", "u").collect())) == [(1, "a", "1", "https://h"), (1, "b", "x", "https://h"), (2, "n", "v", "https://h")]
+    raw = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '\n[{"name":"n","value":"v","path":"/","secure":true},{"name":"","value":"v"},{"name":"z"},5]'), (3, ""), (4, "{oops"), (5, "12"), (6, "null")], "k int, raw string").withColumn("u", F.lit("https://h"))
+    kept, rejects = ledger.cookie_rows(raw, ["k"], "raw", "u")
+    assert sorted((r.k, r.name, r.value, r.url, sorted(r.attributes.items())) for r in kept.collect()) == [
+        (1, "a", "1", "https://h", []), (1, "b", "x", "https://h", []), (2, "n", "v", "https://h", [("path", "/"), ("secure", "true")])
+    ]
+    assert sorted(r.k for r in rejects.collect()) == [4, 5]
     comments = spark.createDataFrame([("x\n<!-- t-identity: " + "a" * 64 + " -->\ny",), ("<!-- t-identity: " + "b" * 64 + " -->",)], "body string")
     assert [r.identity for r in ledger.posted_identities(comments, "body", "t").collect()] == ["a" * 64]
 
@@ -242,7 +254,7 @@ def test_cookies_and_receipts(spark):
 def test_finalizer_payload(spark):
     cases = {
         '{"mode":"m","exitCode":3}': ("m", "3"), '{"Payload":{"mode":"x","exitCode":"7"}}': ("x", "7"), '{"mode":null}': ("", ""), '{"x":1}': None,
-        "nonsense": None, '{"mode":"m","exitCode":"oops"}': ("m", ""),
+        "nonsense": None, '{"mode":"0","exitCode":true}': ("0", "1"), '{"Payload":"false","mode":"m"}': None, '{"Payload":0,"mode":false,"exitCode":null}': ("", "0"), '{"mode":"m","exitCode":"oops"}': ("m", ""),
     }
     df = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("p", ledger.finalizer_payload(F.try_parse_json("raw")))
     assert {r.raw: r.p and tuple(r.p) for r in df.collect()} == cases
