@@ -138,7 +138,9 @@ def _block_links(least_percent: int):
         sizes = frame["n"].to_numpy(np.int64)
         group = frame["label"].tolist()
         half = frame["half"].to_numpy()
-        both = len(np.unique(half)) > 1
+        both = bool(frame["x"].iloc[0] != frame["y"].iloc[0])
+        if both and len(np.unique(half)) < 2:
+            return pd.DataFrame(columns=["a", "b"])
         left = np.flatnonzero(half == 0) if both else np.arange(len(frame))
         right = np.flatnonzero(half == 1) if both else left
         items = np.concatenate([np.asarray(x, np.int64) for x in frame["items"]])
@@ -193,8 +195,9 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
     2. In each bucket the least class is paired with every other one (a star, never all
        pairs), and the pairs are confirmed on full sets. At a similarity of 0.85 a pair
        misses all 16 bands with probability below 10^-5.
-    3. In buckets whose classes still lie in different components, blocks of 512 classes meet
-       pairwise and exact intersections find every link that is left.
+    3. In buckets whose classes still lie in different components, blocks of about 512 classes meet
+       pairwise and exact intersections find every link that is left. Blocks of the bucket's largest
+       component do not meet each other, so a large group of copies costs its outsiders times its size.
     4. Components of all links; the least doc_id of a component is its id.
 
     A null or empty text has an empty set and links with nothing. Rows with the same doc_id
@@ -223,11 +226,22 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
 
     placed = bucketed.select("band", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("band", "cls", F.coalesce("label", "cls").alias("label"))
     placed = durable(placed)
-    torn = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held"))
-    torn = torn.where((F.col("low") != F.col("high")) & (F.col("held") > 2)).select("band", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    open_rows = placed.join(torn, "band").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    parts = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("held"))
+    largest = F.max(F.struct("held", "label"))
+    torn = parts.groupBy("band").agg(largest.alias("main"), F.sum("held").alias("held"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and held > 2")
+    number = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = F.col("held") > BLOCK
+    torn = torn.select(
+        "band", F.when(large, F.col("main.label")).alias("main"), F.when(large, number(F.col("main.held"))).otherwise(0).alias("mains"),
+        F.when(large, number(F.col("held") - F.col("main.held"))).otherwise(1).alias("rests"),
+    )
+    in_main = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    spread = F.xxhash64("cls")
+    block = F.when(in_main, F.pmod(spread, F.col("mains"))).otherwise(F.col("mains") + F.pmod(spread, F.col("rests"))).cast("int")
+    open_rows = placed.join(torn, "band").withColumn("block", block)
+    # A small bucket is one block; of a large one, the blocks of its largest component need not meet each other.
     meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
+        F.sequence(F.when(in_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("rests") - 1),
         lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y"), F.when(F.col("block") <= k, 0).otherwise(1).alias("half")),
     )
     dealt = open_rows.select("band", "cls", "label", F.explode(meets).alias("m")).select("band", "cls", "label", "m.*").join(sets, "cls")
