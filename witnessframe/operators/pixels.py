@@ -340,41 +340,64 @@ def stretched_after_upscale(pixels: DataFrame, scale: int) -> DataFrame:
     return ranged.select("image_id", "width", "height", "x", "y", stretch_float(F.col("l"), F.col("low"), F.col("high")).alias("v"))
 
 
+def _lines(plane: DataFrame) -> DataFrame:
+    """Image rows of complete frames: values in x order as ``px``."""
+    ordered = F.array_sort(F.collect_list(F.struct("x", F.col("v").cast("int").alias("v"))))
+    return plane.groupBy("image_id", "width", "height", "y").agg(F.transform(ordered, lambda p: p["v"]).alias("px"))
+
+
 def interpolated(plane: DataFrame, scale: int) -> DataFrame:
-    """Weighted sums ``t`` (value times 2**32) of a bilinear upscale.
+    """Weighted sums ``t`` (value times 2**32) of a bilinear upscale of complete frames.
 
-    A source column is a tap of outputs in [scale * (x - 1), scale * (x + 2)) only.
+    Pixels meet once, as image rows. An output row is a weighted sum of at most two of those, which is
+    where rows move again; its columns then come from taps inside the row.
     """
-
-    def along(df: DataFrame, axis: str, size: str, out: str, weight: str) -> DataFrame:
-        near = F.sequence(F.greatest((F.col(axis) - 1) * scale, F.lit(0)), F.least((F.col(axis) + 2) * scale, F.col(size) * scale) - 1)
-        spread = df.withColumn(out, F.explode(near))
-        spread = spread.withColumn("_t", axis_taps(F.col(out), F.col(size), scale))
-        first = F.when(F.col("_t.i0") == F.col(axis), 65536 - F.col("_t.w")).otherwise(F.lit(0))
-        second = F.when(F.col("_t.i1") == F.col(axis), F.col("_t.w")).otherwise(F.lit(0))
-        return spread.withColumn(weight, (first + second).cast("bigint")).where(F.col(weight) > 0).drop("_t")
-
-    taps = along(along(plane, "x", "width", "ox", "wx"), "y", "height", "oy", "wy")
-    total = taps.groupBy("image_id", "width", "height", "ox", "oy").agg(F.sum(F.col("v").cast("bigint") * F.col("wx") * F.col("wy")).alias("t"))
-    return total.select(
-        "image_id", (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"), F.col("ox").alias("x"), F.col("oy").alias("y"), "t"
+    near = F.sequence(F.greatest((F.col("y") - 1) * scale, F.lit(0)), F.least((F.col("y") + 2) * scale, F.col("height") * scale) - 1)
+    spread = _lines(plane).withColumn("oy", F.explode(near)).withColumn("_t", axis_taps(F.col("oy"), F.col("height"), scale))
+    first = F.when(F.col("_t.i0") == F.col("y"), 65536 - F.col("_t.w")).otherwise(F.lit(0))
+    second = F.when(F.col("_t.i1") == F.col("y"), F.col("_t.w")).otherwise(F.lit(0))
+    weighed = spread.withColumn("wy", (first + second).cast("bigint")).where("wy > 0")
+    parts = weighed.groupBy("image_id", "width", "height", "oy").agg(F.collect_list(F.struct("wy", "px")).alias("parts"))
+
+    def upright(p: Column) -> Column:
+        one, two = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        alone = F.transform(one["px"], lambda v: v * one["wy"])
+        return F.when(F.size(p) == 1, alone).otherwise(F.zip_with(one["px"], two["px"], lambda a, b: a * one["wy"] + b * two["wy"]))
+
+    def across(line: Column) -> Column:
+        def tap(ox: Column) -> Column:
+            return let(axis_taps(ox, F.col("width"), scale), lambda t: F.get(line, t["i0"].cast("int")) * (65536 - t["w"]) + F.get(line, t["i1"].cast("int")) * t["w"])
+
+        return F.transform(F.sequence(F.lit(0), F.col("width") * scale - 1), tap)
+
+    rows = parts.select("image_id", "width", "height", "oy", F.posexplode(let(upright(F.col("parts")), across)).alias("x", "t"))
+    return rows.select(
+        "image_id", (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"), F.col("x").cast("int").alias("x"), F.col("oy").cast("int").alias("y"),
+        F.col("t").cast("bigint").alias("t"),
     )
 
 
 def downscaled(plane: DataFrame, scale: float) -> DataFrame:
-    """Area-average downscale; output spans may overlap where the sizes do not divide."""
-    size = lambda c: F.greatest(F.floor(F.col(c) * F.lit(float(scale)) + F.lit(0.5)), F.lit(1)).cast("bigint")
-    sized = plane.withColumn("ow", size("width")).withColumn("oh", size("height"))
-
-    def along(df: DataFrame, axis: str, n: str, on: str, out: str) -> DataFrame:
-        middle = _div(F.col(axis).cast("bigint") * F.col(on), F.col(n).cast("bigint"))
-        near = F.sequence(F.greatest(middle - 1, F.lit(0)), F.least(middle + 1, F.col(on) - 1))
-        spread = df.withColumn(out, F.explode(near))
-        low, high = (f(F.col(out), F.col(n), F.col(on)) for f in (span_low, span_high))
-        return spread.where((F.col(axis) >= low) & (F.col(axis) < high))
+    """Area-average downscale of complete frames; output spans may overlap where the sizes do not divide.
 
-    parts = along(along(sized, "x", "width", "ow", "ox"), "y", "height", "oh", "oy")
-    boxes = parts.groupBy("image_id", "ow", "oh", "ox", "oy").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    Each image row is summed to the output's columns first, so what meets by output pixel is a partial sum per row.
+    """
+    size = lambda c: F.greatest(F.floor(F.col(c) * F.lit(float(scale)) + F.lit(0.5)), F.lit(1)).cast("bigint")
+    lines = _lines(plane).withColumn("ow", size("width")).withColumn("oh", size("height"))
+
+    def box(ox: Column) -> Column:
+        low, high = (f(ox, F.col("width"), F.col("ow")) for f in (span_low, span_high))
+        inside = let(F.slice("px", low.cast("int") + 1, (high - low).cast("int")), lambda part: F.struct(
+            F.aggregate(part, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("s"), F.size(part).cast("bigint").alias("n")
+        ))
+        return F.struct(ox.alias("ox"), inside.alias("b"))
+
+    summed = lines.withColumn("boxes", F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("ow") - 1), box))
+    middle = _div(F.col("y").cast("bigint") * F.col("oh"), F.col("height").cast("bigint"))
+    spread = summed.withColumn("oy", F.explode(F.sequence(F.greatest(middle - 1, F.lit(0)), F.least(middle + 1, F.col("oh") - 1))))
+    low, high = (f(F.col("oy"), F.col("height"), F.col("oh")) for f in (span_low, span_high))
+    hit = spread.where((F.col("y") >= low) & (F.col("y") < high)).select("image_id", "ow", "oh", "oy", F.explode("boxes").alias("box"))
+    boxes = hit.groupBy("image_id", "ow", "oh", F.col("box.ox").alias("ox"), "oy").agg(F.sum("box.b.s").alias("s"), F.sum("box.b.n").alias("n"))
     return boxes.select(
         "image_id", F.col("ow").cast("int").alias("width"), F.col("oh").cast("int").alias("height"), F.col("ox").cast("int").alias("x"),
         F.col("oy").cast("int").alias("y"), _div(F.col("s") + _div(F.col("n"), 2), F.col("n")).cast("int").alias("v"),
