@@ -85,8 +85,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = durable(met)
     held = met.count()
     texts = docs.select("doc_id", "text").withColumnRenamed("doc_id", "d")
-    pairs = met.join(small_side(items, items.count()), "item")
-    pairs = texts.join(small_side(pairs, held, held * ITEM_BYTES), texts["d"].eqNullSafe(pairs["doc_id"])).select("doc_id", "item_id", "offset", "want", "values", "text")
+    kinds = items.count()
+    pairs = texts.join(small_side(met, held), texts["d"].eqNullSafe(met["doc_id"])).join(small_side(items, kinds, kinds * ITEM_BYTES), "item")
+    pairs = pairs.select("doc_id", "item_id", "offset", "want", "values", "text")
 
     def aligned(both: Column) -> Column:
         got, raw = both["got"], both["raw"]
