@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_text, tokens
+from ..functions.text import tokens
 from ..operators import coverage as C
 from ..tables import table
 from .registry import register

@@ -27,12 +27,16 @@ def html_complete(spark, folder):
     return table(spark, folder, "pages").select("page_id", U.html_complete(F.col("html")).alias("complete"))
 
 
+SQL_DECODE = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
 @register(
     "html_values",
-    """select page_id, cast(len(regexp_extract_all(html, '(?i)<a[\\s>/]')) as int) as links, cast(len(regexp_extract_all(html, '(?i)<p[\\s>/]')) as int) as paragraphs,
+    f"""select page_id, links, paragraphs, {SQL_DECODE.format('lang')} as lang, {SQL_DECODE.format('title')} as title, {SQL_DECODE.format('first_link')} as first_link from (
+      select page_id, cast(len(regexp_extract_all(html, '(?i)<a[\\s>/]')) as int) as links, cast(len(regexp_extract_all(html, '(?i)<p[\\s>/]')) as int) as paragraphs,
         regexp_extract_all(html, '(?i)<html\\s(?:[^>]*\\s)?lang="([^"]*)"', 1)[1] as lang,
         regexp_replace(regexp_extract_all(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1)[1], '<[^>]*>', '', 'g') as title,
-        regexp_extract_all(html, '(?i)<a\\s(?:[^>]*\\s)?href="([^"]*)"', 1)[1] as first_link from pages""",
+        regexp_extract_all(html, '(?i)<a\\s(?:[^>]*\\s)?href="([^"]*)"', 1)[1] as first_link from pages)""",
 )
 def html_values(spark, folder):
     h = F.col("html")

@@ -271,16 +271,26 @@ def blocked(url: Column, main_document: Column, patterns: Sequence[str]) -> Colu
 # ---- HTML values by tag ----
 
 
+# Character references by name; the ampersand comes last, so that nothing is decoded twice.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def decoded(text: Column) -> Column:
+    for name, character in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(character))
+    return text
+
+
 def tag_count(html: Column, tag: str) -> Column:
     return F.size(F.regexp_extract_all(html, F.lit(f"(?i)<{tag}(?=[\\s>/])"), 0))
 
 
 def tag_attribute(html: Column, tag: str, attribute: str) -> Column:
-    """Quoted attribute of the first such element that carries it, null when there is none."""
-    return F.get(F.regexp_extract_all(html, F.lit(f"(?i)<{tag}\\s(?:[^>]*\\s)?{attribute}=\"([^\"]*)\""), 1), F.lit(0))
+    """Quoted attribute of the first such element that carries it, its common references decoded; null when there is none."""
+    return decoded(F.get(F.regexp_extract_all(html, F.lit(f"(?i)<{tag}\\s(?:[^>]*\\s)?{attribute}=\"([^\"]*)\""), 1), F.lit(0)))
 
 
 def tag_text(html: Column, tag: str) -> Column:
-    """Text of the first such element without inner markup, null when there is none."""
+    """Text of the first such element without inner markup, its common references decoded; null when there is none."""
     inner = F.get(F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), 1), F.lit(0))
-    return F.regexp_replace(inner, "<[^>]*>", "")
+    return decoded(F.regexp_replace(inner, "<[^>]*>", ""))
