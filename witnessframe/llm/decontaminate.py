@@ -9,7 +9,6 @@ from ..plans.skew import small_side
 from ..session import durable
 
 WIDTH = 5
-STRIDE = 2
 ITEM_BYTES = 2048  # a generous mean for an item's words, to size a broadcast
 ENOUGH_WORDS = 13
 ENOUGH_SHARE = 0.8
@@ -41,9 +40,9 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _window_hashes(words: Column, stride: int) -> Column:
+def _window_hashes(words: Column) -> Column:
     def over(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WIDTH - 1), F.lit(stride))
+        starts = F.sequence(F.lit(1), F.size(w) - (WIDTH - 1))
         return F.when(F.size(w) >= WIDTH, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WIDTH)))).otherwise(F.array().cast("array<bigint>"))
 
     return _once(words, over)
@@ -60,8 +59,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matched_words, slots, changed_slots``, one row per document and item found in it.
 
     Texts are brought to templates with typed placeholders. Hashes of all 5-word template windows of the items meet
-    every second window of the documents in a hash join (the index is broadcast only if its counted size allows), so any
-    run of six template words is met. Each meeting fixes an alignment of the whole item; a
+    every window of the documents in a hash join (the index is broadcast only if its counted size allows), so any
+    run of five template words is met, at whatever place it starts. Each meeting fixes an alignment of the whole item; a
     word matches if the templates agree, and an alignment counts if every item value in a slot
     always stands for the same document value. An item is found if its matched words reach 13
     or 80 % of it, whichever is less.
@@ -73,13 +72,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "item_id", tokens(template(F.col("text"))).alias("want"), tokens(F.col("text")).alias("values")
     )
     items = durable(items.withColumn("item", F.xxhash64("item_id", "values")).dropDuplicates(["item", "item_id"]))
-    index = items.select("item", F.posexplode(_window_hashes(F.col("want"), 1)).alias("at", "hash"), "want")
+    index = items.select("item", F.posexplode(_window_hashes(F.col("want"))).alias("at", "hash"), "want")
     literal = F.size(F.filter(F.slice("want", F.col("at") + 1, WIDTH), lambda w: w.rlike(r"\p{L}")))
     index = durable(index.where(literal >= 2).select("item", "at", "hash"))
     met = (
-        docs.select("doc_id", F.posexplode(_window_hashes(tokens(template(F.col("text"))), STRIDE)).alias("nth", "hash"))
+        docs.select("doc_id", F.posexplode(_window_hashes(tokens(template(F.col("text"))))).alias("nth", "hash"))
         .join(small_side(index, index.count()), "hash")
-        .select("doc_id", "item", (F.col("nth") * STRIDE - F.col("at")).alias("offset"))
+        .select("doc_id", "item", (F.col("nth") - F.col("at")).alias("offset"))
         .distinct()
     )
     met = durable(met)
