@@ -20,3 +20,15 @@ def test_runs_of_five_words_are_met_at_every_place(spark):
     short = "some dull fish swim upstream"
     texts = [" ".join(["lead"] * n + changed) for n in range(4)] + [" ".join(["lead"] * n + [short, "then"]) for n in range(4)]
     assert found(spark, texts, [ITEM, short]) == {(n, 0) for n in range(4)} | {(n, 1) for n in range(4, 8)}
+
+
+def test_copies_in_any_case_are_found(spark):
+    numbers = "12 + 7 * 3 - 4 / 2 = 31 and 5 * 5 = 25 so 31 - 25 = 6"
+    items = [ITEM, "Ask Alice Why Bob Sold Nine Green Boats To Carol In The Old Harbour", "STOP THE SECOND ENGINE AND WAIT FOR THE SIGNAL OF THE PILOT", numbers]
+    for change in (str, str.upper, str.title, str.lower):
+        assert found(spark, [f"lead {change(item)} tail" for item in items], items) == {(n, n) for n in range(len(items))}
+
+
+def test_capitals_alone_are_no_copy(spark):
+    items = ["STOP THE SECOND ENGINE AND WAIT FOR THE SIGNAL OF THE PILOT"]
+    assert not found(spark, ["STOP THE SECOND ENGINE AND Then Quickly Bring Some Water Up Here Please"], items)

@@ -40,12 +40,16 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _window_hashes(words: Column) -> Column:
-    def over(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (WIDTH - 1))
-        return F.when(F.size(w) >= WIDTH, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WIDTH)))).otherwise(F.array().cast("array<bigint>"))
+def _windows(text: Column) -> Column:
+    """``at, typed, plain`` of every window: its place and the hashes of its template words and of its lower-cased words."""
 
-    return _once(words, over)
+    def over(h: Column) -> Column:
+        window = lambda kind, i: F.xxhash64(F.slice(h[kind], i + 1, WIDTH)).alias(kind)
+        at = F.sequence(F.lit(0), F.size(h["plain"]) - WIDTH)
+        return F.when(F.size(h["plain"]) >= WIDTH, F.transform(at, lambda i: F.struct(i.alias("at"), window("typed", i), window("plain", i))))
+
+    hashes = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    return _once(F.struct(hashes(tokens(template(text))).alias("typed"), hashes(tokens(F.lower(text))).alias("plain")), over)
 
 
 def _bare(word: Column) -> Column:
@@ -58,48 +62,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``docs(doc_id, text, ...)``, ``benchmark(item_id, text, ...)`` -> ``doc_id, item_id, item_words,
     matched_words, slots, changed_slots``, one row per document and item found in it.
 
-    Texts are brought to templates with typed placeholders. Hashes of all 5-word template windows of the items meet
-    every window of the documents in a hash join (the index is broadcast only if its counted size allows), so any
-    run of five template words is met, at whatever place it starts. Each meeting fixes an alignment of the whole item; a
-    word matches if the templates agree, and an alignment counts if every item value in a slot
-    always stands for the same document value. An item is found if its matched words reach 13
-    or 80 % of it, whichever is less.
+    Texts are brought to templates with typed placeholders, and to plain lower-cased words. Hashes of all 5-word windows
+    of the items, of both kinds, meet every window of the documents in one hash join (the index is broadcast only if its
+    counted size allows), so any run of five template words with two literal ones among them, and any run of five equal
+    words in any case, is met, at whatever place it starts. Each meeting fixes an alignment of the whole item. A word
+    matches if the lower-cased words agree or, where a template window was met, if the templates agree; an alignment
+    counts if every item value in a slot of both always stands for the same document value. An item is found if its
+    matched words reach 13 or 80 % of it, whichever is less.
 
     Items of fewer than 5 words cannot be found; a null text has no words; a null doc_id or
     item_id is a value of its own. Repeated rows give one result row. Extra columns are ignored.
     """
-    items = benchmark.where(F.col("text").isNotNull()).select(
-        "item_id", tokens(template(F.col("text"))).alias("want"), tokens(F.col("text")).alias("values")
+    text = F.col("text")
+    items = benchmark.where(text.isNotNull()).select(
+        "item_id", tokens(template(text)).alias("want"), tokens(text).alias("values"), tokens(F.lower(text)).alias("low"), _windows(text).alias("windows")
     )
     items = durable(items.withColumn("item", F.xxhash64("item_id", "values")).dropDuplicates(["item", "item_id"]))
-    index = items.select("item", F.posexplode(_window_hashes(F.col("want"))).alias("at", "hash"), "want")
+    index = items.select("item", "want", F.inline("windows"))
     literal = F.size(F.filter(F.slice("want", F.col("at") + 1, WIDTH), lambda w: w.rlike(r"\p{L}")))
-    index = durable(index.where(literal >= 2).select("item", "at", "hash"))
+    plain = index.select("item", "at", F.col("plain").alias("hash"), F.lit(False).alias("typed"))
+    index = index.where(literal >= 2).select("item", "at", F.col("typed").alias("hash"), F.lit(True).alias("typed")).unionByName(plain)
+    index = durable(index.groupBy("item", "at", "hash").agg(F.max("typed").alias("typed")))
+    kinds_of_window = F.when(F.col("typed") == F.col("plain"), F.array("plain")).otherwise(F.array("typed", "plain"))
     met = (
-        docs.select("doc_id", F.posexplode(_window_hashes(tokens(template(F.col("text"))))).alias("nth", "hash"))
+        docs.select("doc_id", F.inline(_windows(text))).select("doc_id", F.col("at").alias("nth"), F.explode(kinds_of_window).alias("hash"))
         .join(small_side(index, index.count()), "hash")
-        .select("doc_id", "item", (F.col("nth") - F.col("at")).alias("offset"))
-        .distinct()
+        .groupBy("doc_id", "item", (F.col("nth") - F.col("at")).alias("offset")).agg(F.max("typed").alias("typed"))
     )
     met = durable(met)
     held = met.count()
     texts = docs.select("doc_id", "text").withColumnRenamed("doc_id", "d")
     kinds = items.count()
     pairs = texts.join(small_side(met, held), texts["d"].eqNullSafe(met["doc_id"])).join(small_side(items, kinds, kinds * ITEM_BYTES), "item")
-    pairs = pairs.select("doc_id", "item_id", "offset", "want", "values", "text")
+    pairs = pairs.select("doc_id", "item_id", "offset", "typed", "want", "values", "low", "text")
 
     def aligned(both: Column) -> Column:
-        got, raw = both["got"], both["raw"]
-        hits = F.filter(F.sequence(F.lit(0), F.size("want") - 1), lambda k: F.get(got, F.col("offset") + k) == F.get(F.col("want"), k))
+        got, raw, plain = both["got"], both["raw"], both["plain"]
+        same_template = lambda k: F.get(got, F.col("offset") + k) == F.get(F.col("want"), k)
+        same_word = lambda k: F.get(plain, F.col("offset") + k) == F.get(F.col("low"), k)
+        hits = F.filter(F.sequence(F.lit(0), F.size("want") - 1), lambda k: same_word(k) | (F.col("typed") & same_template(k)))
 
         def with_slots(hit: Column) -> Column:
             slots = F.filter(hit, lambda k: F.get(F.col("want"), k).rlike(f"[{NUMBER}{UNIT}{NAME}]"))
-            values = F.transform(slots, lambda k: F.struct(_bare(F.get(F.col("values"), k)).alias("from"), _bare(F.get(raw, F.col("offset") + k)).alias("to")))
+            values = F.transform(F.filter(slots, same_template), lambda k: F.struct(_bare(F.get(F.col("values"), k)).alias("from"), _bare(F.get(raw, F.col("offset") + k)).alias("to")))
             return F.struct(hit.alias("hit"), F.array_distinct(values).alias("values"), F.size(slots).alias("slots"))
 
         return _once(hits, with_slots)
 
-    both = F.struct(tokens(template(F.col("text"))).alias("got"), tokens(F.col("text")).alias("raw"))
+    both = F.struct(tokens(template(F.col("text"))).alias("got"), tokens(F.col("text")).alias("raw"), tokens(F.lower("text")).alias("plain"))
     laid = pairs.select("doc_id", "item_id", F.size("want").alias("item_words"), _once(both, aligned).alias("x"))
     laid = laid.select(
         "doc_id", "item_id", "item_words", "x.hit", F.col("x.slots").alias("slots"),
