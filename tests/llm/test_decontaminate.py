@@ -32,3 +32,14 @@ def test_copies_in_any_case_are_found(spark):
 def test_capitals_alone_are_no_copy(spark):
     items = ["STOP THE SECOND ENGINE AND WAIT FOR THE SIGNAL OF THE PILOT"]
     assert not found(spark, ["STOP THE SECOND ENGINE AND Then Quickly Bring Some Water Up Here Please"], items)
+
+
+def test_text_after_a_partial_copy_does_not_undo_it(spark):
+    item = "If Alice has 12 apples and gives some of them to an old friend in town, then Alice buys more of them and later on Alice eats 12 apples"
+    copied = " ".join(item.split()[:17])
+    texts = [
+        f"lead {copied} Carol went home early",  # a name right after the copy, where the item has Alice again
+        f"lead {copied} who knew well a lot and so on Carol eats 77 pears",  # names further on
+        f"lead {item.replace('Alice', 'Dora')}", "lead " + item.replace("then Alice", "then Carol"),  # consistent, and not
+    ]
+    assert found(spark, texts, [item]) == {(0, 0), (1, 0), (2, 0)}

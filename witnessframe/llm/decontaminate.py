@@ -67,8 +67,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counted size allows), so any run of five template words with two literal ones among them, and any run of five equal
     words in any case, is met, at whatever place it starts. Each meeting fixes an alignment of the whole item. A word
     matches if the lower-cased words agree or, where a template window was met, if the templates agree; an alignment
-    counts if every item value in a slot of both always stands for the same document value. An item is found if its
-    matched words reach 13 or 80 % of it, whichever is less.
+    counts if every item value in a slot of both, within a run of five matched words, always stands for the same document value.
+    Conflicting slot words at the edges of such runs or beyond are not counted, so text after a partial copy does not undo
+    it. An item is found if its matched words reach 13 or 80 % of it, whichever is less.
 
     Items of fewer than 5 words cannot be found; a null text has no words; a null doc_id or
     item_id is a value of its own. Repeated rows give one result row. Extra columns are ignored.
@@ -104,16 +105,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def with_slots(hit: Column) -> Column:
             slots = F.filter(hit, lambda k: F.get(F.col("want"), k).rlike(f"[{NUMBER}{UNIT}{NAME}]"))
-            values = F.transform(F.filter(slots, same_template), lambda k: F.struct(_bare(F.get(F.col("values"), k)).alias("from"), _bare(F.get(raw, F.col("offset") + k)).alias("to")))
-            return F.struct(hit.alias("hit"), F.array_distinct(values).alias("values"), F.size(slots).alias("slots"))
-
-        return _once(hits, with_slots)
+            run = lambda s: F.size(F.array_intersect(hit, F.sequence(s, s + (WIDTH - 1)))) == WIDTH
+            inside = lambda k: F.array_contains(hit, k - 1) & F.array_contains(hit, k + 1) & F.exists(F.sequence(k - (WIDTH - 1), k), run)
+            value = lambda k: F.struct(
+                k.alias("at"), _bare(F.get(F.col("values"), k)).alias("from"), _bare(F.get(raw, F.col("offset") + k)).alias("to"),
+                inside(k).alias("inside"), same_word(k).alias("same"),
+            )
+            return F.struct(hit.alias("hit"), F.transform(F.filter(slots, same_template), value).alias("values"), F.size(slots).alias("slots"))
+
+        def without_conflicts(x: Column) -> Column:
+            # Values within a run of five matched words bind the others; those at its edges or beyond may be the text after a copy.
+            bound = F.filter(x["values"], lambda v: v["inside"])
+            clash = lambda v, others: F.exists(others, lambda o: (o["from"] == v["from"]) & (o["to"] != v["to"]))
+            dropped = F.filter(x["values"], lambda v: ~v["inside"] & ~v["same"] & clash(v, x["values"]) & (clash(v, bound) | ~F.exists(bound, lambda o: o["from"] == v["from"])))
+            kept = F.filter(x["values"], lambda v: v["inside"] | ~F.array_contains(F.transform(dropped, lambda d: d["at"]), v["at"]))
+            pairs = lambda vs: F.array_distinct(F.transform(vs, lambda v: F.struct(v["from"].alias("from"), v["to"].alias("to"))))
+            return F.struct(
+                F.array_except(x["hit"], F.transform(dropped, lambda d: d["at"])).alias("hit"), pairs(kept).alias("values"), pairs(bound).alias("bound"),
+                (x["slots"] - F.size(dropped)).alias("slots"),
+            )
+
+        return _once(_once(hits, with_slots), without_conflicts)
 
     both = F.struct(tokens(template(F.col("text"))).alias("got"), tokens(F.col("text")).alias("raw"), tokens(F.lower("text")).alias("plain"))
     laid = pairs.select("doc_id", "item_id", F.size("want").alias("item_words"), _once(both, aligned).alias("x"))
     laid = laid.select(
         "doc_id", "item_id", "item_words", "x.hit", F.col("x.slots").alias("slots"),
-        (F.size("x.values") == F.size(F.array_distinct(F.transform("x.values", lambda v: v["from"])))).alias("consistent"),
+        (F.size("x.bound") == F.size(F.array_distinct(F.transform("x.bound", lambda v: v["from"])))).alias("consistent"),
         F.size(F.filter("x.values", lambda v: v["from"] != v["to"])).alias("changed"),
     ).where("consistent and size(hit) >= 5")
     words = laid.select("doc_id", "item_id", "item_words", "slots", "changed", F.explode("hit").alias("word"))
