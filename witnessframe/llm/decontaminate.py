@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import small_side
 from ..session import durable
+from .minhash import KEY_BYTES, same_document, text_digest
 
 WIDTH = 5
 ITEM_BYTES = 2048  # a generous mean for an item's words, to size a broadcast
@@ -72,8 +73,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     it. An item is found if its matched words reach 13 or 80 % of it, whichever is less.
 
     Items of fewer than 5 words cannot be found; a null text has no words; a null doc_id or
-    item_id is a value of its own. Repeated rows give one result row. Extra columns are ignored.
+    item_id is a value of its own. Repeated rows give one result row; of several texts under one doc_id, each is searched
+    on its own and the largest values are returned. Extra columns are ignored.
     """
+    numbers = [F.max("matched_words").alias("matched_words"), F.max("slots").alias("slots"), F.min("changed_slots").alias("changed_slots")]
+    return _found(docs, benchmark).groupBy("doc_id", "item_id", "item_words").agg(*numbers)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``leaks`` with the digest of the text in which the item is found."""
+    docs = docs.select("doc_id", "text", text_digest().alias("digest"))
     text = F.col("text")
     items = benchmark.where(text.isNotNull()).select(
         "item_id", tokens(template(text)).alias("want"), tokens(text).alias("values"), tokens(F.lower(text)).alias("low"), _windows(text).alias("windows")
@@ -86,16 +95,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = durable(index.groupBy("item", "at", "hash").agg(F.max("typed").alias("typed")))
     kinds_of_window = F.when(F.col("typed") == F.col("plain"), F.array("plain")).otherwise(F.array("typed", "plain"))
     met = (
-        docs.select("doc_id", F.inline(_windows(text))).select("doc_id", F.col("at").alias("nth"), F.explode(kinds_of_window).alias("hash"))
+        docs.select("doc_id", "digest", F.inline(_windows(text))).select("doc_id", "digest", F.col("at").alias("nth"), F.explode(kinds_of_window).alias("hash"))
         .join(small_side(index, index.count()), "hash")
-        .groupBy("doc_id", "item", (F.col("nth") - F.col("at")).alias("offset")).agg(F.max("typed").alias("typed"))
+        .groupBy("doc_id", "digest", "item", (F.col("nth") - F.col("at")).alias("offset")).agg(F.max("typed").alias("typed"))
     )
     met = durable(met)
     held = met.count()
-    texts = docs.select("doc_id", "text").withColumnRenamed("doc_id", "d")
+    texts = docs.select(F.col("doc_id").alias("d"), F.col("digest").alias("d_digest"), "text")
     kinds = items.count()
-    pairs = texts.join(small_side(met, held), texts["d"].eqNullSafe(met["doc_id"])).join(small_side(items, kinds, kinds * ITEM_BYTES), "item")
-    pairs = pairs.select("doc_id", "item_id", "offset", "typed", "want", "values", "low", "text")
+    pairs = texts.join(small_side(met, held), texts["d"].eqNullSafe(met["doc_id"]) & (texts["d_digest"] == met["digest"])).join(small_side(items, kinds, kinds * ITEM_BYTES), "item")
+    pairs = pairs.select("doc_id", "digest", "item_id", "offset", "typed", "want", "values", "low", "text")
 
     def aligned(both: Column) -> Column:
         got, raw, plain = both["got"], both["raw"], both["plain"]
@@ -128,23 +137,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return _once(_once(hits, with_slots), without_conflicts)
 
     both = F.struct(tokens(template(F.col("text"))).alias("got"), tokens(F.col("text")).alias("raw"), tokens(F.lower("text")).alias("plain"))
-    laid = pairs.select("doc_id", "item_id", F.size("want").alias("item_words"), _once(both, aligned).alias("x"))
+    laid = pairs.select("doc_id", "digest", "item_id", F.size("want").alias("item_words"), _once(both, aligned).alias("x"))
     laid = laid.select(
-        "doc_id", "item_id", "item_words", "x.hit", F.col("x.slots").alias("slots"),
+        "doc_id", "digest", "item_id", "item_words", "x.hit", F.col("x.slots").alias("slots"),
         (F.size("x.bound") == F.size(F.array_distinct(F.transform("x.bound", lambda v: v["from"])))).alias("consistent"),
         F.size(F.filter("x.values", lambda v: v["from"] != v["to"])).alias("changed"),
     ).where("consistent and size(hit) >= 5")
-    words = laid.select("doc_id", "item_id", "item_words", "slots", "changed", F.explode("hit").alias("word"))
-    words = words.groupBy("doc_id", "item_id", "item_words", "word").agg(F.max("slots").alias("slots"), F.min("changed").alias("changed"))
-    found = words.groupBy("doc_id", "item_id", "item_words").agg(
+    words = laid.select("doc_id", "digest", "item_id", "item_words", "slots", "changed", F.explode("hit").alias("word"))
+    words = words.groupBy("doc_id", "digest", "item_id", "item_words", "word").agg(F.max("slots").alias("slots"), F.min("changed").alias("changed"))
+    found = words.groupBy("doc_id", "digest", "item_id", "item_words").agg(
         F.count(F.lit(1)).alias("matched_words"), F.max("slots").cast("bigint").alias("slots"), F.min("changed").cast("bigint").alias("changed_slots")
     )
     enough = F.least(F.lit(ENOUGH_WORDS), F.ceil(F.col("item_words") * ENOUGH_SHARE))
-    return found.where(F.col("matched_words") >= enough).select("doc_id", "item_id", F.col("item_words").cast("bigint").alias("item_words"), "matched_words", "slots", "changed_slots")
+    return found.where(F.col("matched_words") >= enough).select("doc_id", "digest", "item_id", F.col("item_words").cast("bigint").alias("item_words"), "matched_words", "slots", "changed_slots")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found."""
-    found = durable(leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct())
-    found = small_side(found, found.count())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["leaked"]), "left_anti")
+    found = durable(_found(docs, benchmark).select(F.col("doc_id").alias("leaked"), F.col("digest").alias("of")).distinct())
+    n = found.count()
+    marked = docs.withColumn("_digest", text_digest())
+    return marked.join(small_side(found, n, n * KEY_BYTES), same_document(marked, found, "leaked", "of"), "left_anti").drop("_digest")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import small_side
@@ -19,6 +19,7 @@ WIDTH = 5
 PLACES = 64
 BAND_ROWS = 4
 BLOCK = 512
+KEY_BYTES = 64  # of a doc_id and a digest, to size a broadcast
 _U = np.uint64
 _FREE = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -99,16 +100,25 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
+def text_digest() -> Column:
+    """Sixteen bytes that tell texts under one doc_id apart; null for a null text."""
+    return F.unhex(F.md5(F.col("text")))
+
+
+def same_document(docs: DataFrame, keys: DataFrame, doc_id: str, digest: str) -> Column:
+    return docs["doc_id"].eqNullSafe(keys[doc_id]) & docs["_digest"].eqNullSafe(keys[digest])
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, texts, digests = batch.column(0), batch.column(1), batch.column(2)
         for row, stop, data, bounds in words.slices(texts):
             values, first = shingle_sets(data, bounds)
             keys = _bands(signatures(values, first), BAND_ROWS)
             offsets = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(row, stop - row), pa.array(np.diff(first)), _binary(_digests(values, first)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
-                ["doc_id", "n_shingles", "cls", "bands"],
+                [ids.slice(row, stop - row), digests.slice(row, stop - row), pa.array(np.diff(first)), _binary(_digests(values, first)), pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
+                ["doc_id", "digest", "n_shingles", "cls", "bands"],
             )
 
 
@@ -204,9 +214,15 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
     and text fall into one class and are all ``kept`` or not together; a null doc_id is never
     the component id while a known one is reachable. Further columns are ignored.
     """
+    rows = _judged(docs, F.lit(None).cast("binary"), least_percent)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, digest: Column, least_percent: int) -> DataFrame:
+    """``doc_id, digest, n_shingles, label, component_id`` per row; ``label`` is the component's own name, null for an empty set."""
     docs, text = words.small_batches(docs), F.col("text")
     prints = durable(
-        docs.select("doc_id", text).mapInArrow(_prints, "doc_id long, n_shingles long, cls binary, bands array<long>")
+        docs.select("doc_id", text, digest.alias("digest")).mapInArrow(_prints, "doc_id long, digest binary, n_shingles long, cls binary, bands array<long>")
     )
     classes = durable(prints.where("n_shingles > 0").groupBy("cls", F.col("n_shingles").alias("n"), "bands").agg(F.min("doc_id").alias("doc_id")))
     members = classes.select(F.explode("bands").alias("band"), "cls", "n")
@@ -250,28 +266,35 @@ def near_duplicates(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
 
     owned = classes.select("cls", "doc_id").join(final.withColumnRenamed("node", "cls"), "cls").select("cls", "label", "doc_id")
     least = owned.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = owned.join(least, "label").select("cls", "component_id")
+    named = owned.join(least, "label").select("cls", "label", "component_id")
     alone = classes.select("cls", F.col("doc_id").alias("own"))
-    answer = alone.join(named, "cls", "left").select("cls", F.coalesce("component_id", "own").alias("component_id"))
-    joined = prints.select("doc_id", "n_shingles", "cls").join(answer, "cls", "left")
+    answer = alone.join(named, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
+    joined = prints.select("doc_id", "digest", "n_shingles", "cls").join(answer, "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", "digest", "n_shingles", "label", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
-    """``docs`` without the near-duplicates that ``near_duplicates`` does not keep.
+    """``docs`` with one document of each component of near-duplicates.
 
-    The ids to drop go to the rows when their counted number is small, else both meet by
-    shuffle. Rows that share a doc_id are one document, of which the first by text stays.
+    A document is a doc_id with a text, known by its digest; each row without doc_id is a document of its own. Of a
+    component the least doc_id stays, then the least digest; a null doc_id only if there is no other. Texts without words are
+    near nothing. Rows that repeat doc_id and text are one document, of which one row stays.
+    The documents to drop go to the rows when their counted number is small, else both meet by shuffle.
     """
-    judged = durable(near_duplicates(docs, least_percent=least_percent).select(F.col("doc_id").alias("judged"), "kept"))
-    drop = judged.where("not kept").select("judged").distinct()
-    left = docs.join(small_side(drop, drop.count()), docs["doc_id"].eqNullSafe(drop["judged"]), "left_anti")
-    twice = judged.groupBy("judged").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("judged")
+    judged = _judged(docs, text_digest(), least_percent).groupBy("doc_id", "digest", "label", (F.col("n_shingles") > 0).alias("some"))
+    judged = durable(judged.agg(F.count(F.lit(1)).alias("held")))
+    some = judged.where("some").select(F.col("doc_id").alias("judged"), F.col("digest").alias("of"), "label")
+    best = some.groupBy("label").agg(F.min(F.struct(F.col("judged").isNull().alias("unnamed"), "judged", "of")).alias("best"))
+    best = best.select(F.col("best.judged").alias("b_id"), F.col("best.of").alias("b_of"))
+    drop = durable(some.join(best, some["judged"].eqNullSafe(best["b_id"]) & (some["of"] == best["b_of"]), "left_anti").select("judged", "of"))
+    n = drop.count()
+    marked = docs.withColumn("_digest", text_digest())
+    left = marked.join(small_side(drop, n, n * KEY_BYTES), same_document(marked, drop, "judged", "of"), "left_anti")
+    twice = judged.where("held > 1 and (some or doc_id is not null)").select(F.col("doc_id").alias("judged"), F.col("digest").alias("of"))
     n = twice.count()
     if not n:
-        return left
-    same = left["doc_id"].eqNullSafe(twice["judged"])
-    first = Window.partitionBy("doc_id").orderBy("text")
-    again = left.join(small_side(twice, n), same, "left_semi").withColumn("_place_of_id", F.row_number().over(first)).where("_place_of_id = 1").drop("_place_of_id")
-    return left.join(small_side(twice, n), same, "left_anti").unionByName(again)
+        return left.drop("_digest")
+    twice, same = small_side(twice, n, n * KEY_BYTES), same_document(left, twice, "judged", "of")
+    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])  # one text per key and task is moved
+    return left.join(twice, same, "left_anti").unionByName(again).drop("_digest")
