@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontaminate, lines, minhash, mixing, pii, quality, sharding, tokens, warc
+from . import bpe, chat, decontaminate, lines, minhash, mixing, pii, quality, search, sharding, tokens, warc
 
 SHARDS = 8
 
@@ -72,11 +72,25 @@ def op10_line_labels(spark: SparkSession, folder: str) -> DataFrame:
     return lines.judge(_table(spark, folder, "documents"))
 
 
+def op12_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bpe.encode(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    read = bpe.decode(encoded, path)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_limited_accumulators(spark: SparkSession, folder: str) -> DataFrame:
+    return search.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_jump_shards, op3_dictionary_warc, op4_template_leaks, op5_cached_token_counts,
         op6_chat_round_trip, op7_mix_sources, op8_factorised_quality, op9_shape_crf_pii, op10_line_labels,
+        op12_backtracking_bpe, op13_limited_accumulators,
     )
 }
-ORACLES = {"op2_jump_shards": sharding.oracle(SHARDS), "op3_dictionary_warc": warc.ORACLE, "op6_chat_round_trip": chat.ORACLE}
+ORACLES = {"op2_jump_shards": sharding.oracle(SHARDS), "op3_dictionary_warc": warc.ORACLE, "op6_chat_round_trip": chat.ORACLE, "op13_limited_accumulators": search.ORACLE}

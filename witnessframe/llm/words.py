@@ -58,9 +58,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def split(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Find the words of the texts that lie end to end in ``data``."""
-    inside = ~SPACE[data]
+def split(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = SPACE) -> Words:
+    """Find the words of the texts that lie end to end in ``data``; ``apart`` marks the bytes between words."""
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before = np.empty(len(data), bool)
