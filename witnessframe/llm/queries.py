@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, chat, decontaminate, lines, minhash, mixing, pii, quality, search, sharding, tokens, warc
+from . import bpe, chat, decontaminate, lines, merkle, minhash, mixing, pii, quality, search, sharding, tokens, warc
 
 SHARDS = 8
 
@@ -72,6 +72,10 @@ def op10_line_labels(spark: SparkSession, folder: str) -> DataFrame:
     return lines.judge(_table(spark, folder, "documents"))
 
 
+def op11_persistent_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(_table(spark, folder, "documents"))
+
+
 def op12_backtracking_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -90,7 +94,10 @@ QUERIES = {
     for f in (
         op1_minhash_dedup, op2_jump_shards, op3_dictionary_warc, op4_template_leaks, op5_cached_token_counts,
         op6_chat_round_trip, op7_mix_sources, op8_factorised_quality, op9_shape_crf_pii, op10_line_labels,
-        op12_backtracking_bpe, op13_limited_accumulators,
+        op11_persistent_merkle, op12_backtracking_bpe, op13_limited_accumulators,
     )
 }
-ORACLES = {"op2_jump_shards": sharding.oracle(SHARDS), "op3_dictionary_warc": warc.ORACLE, "op6_chat_round_trip": chat.ORACLE, "op13_limited_accumulators": search.ORACLE}
+ORACLES = {
+    "op2_jump_shards": sharding.oracle(SHARDS), "op3_dictionary_warc": warc.ORACLE, "op6_chat_round_trip": chat.ORACLE,
+    "op11_persistent_merkle": merkle.ORACLE, "op13_limited_accumulators": search.ORACLE,
+}
