@@ -70,13 +70,19 @@ def leg_states(spark, folder):
     return N.legs(browser_events(spark, folder)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _traced(spark, folder):
+    events = browser_events(spark, folder, 4)
+    busy = N.page_cuts(events)
+    return N.bounded_trace(N.legs(events, busy), 12, busy)
+
+
 @register(
     "network_bounded_trace",
     f"""with {sql_legs(4)}, r as (select *, row_number() over (partition by page_id order by event_id) as ordinal from legs)
         select page_id, request_id, leg, state, ordinal from r where ordinal <= 12""",
 )
 def bounded_trace(spark, folder):
-    return N.bounded_trace(N.legs(browser_events(spark, folder, 4)), 12)[0].select("page_id", "request_id", "leg", "state", "ordinal")
+    return _traced(spark, folder)[0].select("page_id", "request_id", "leg", "state", "ordinal")
 
 
 @register(
@@ -84,7 +90,7 @@ def bounded_trace(spark, folder):
     f"with {sql_legs(4)} select page_id, least(count(*), 12) as kept, greatest(count(*) - 12, 0) as dropped from legs group by 1",
 )
 def dropped_legs(spark, folder):
-    return N.bounded_trace(N.legs(browser_events(spark, folder, 4)), 12)[1]
+    return _traced(spark, folder)[1]
 
 
 @register(
@@ -149,7 +155,7 @@ def renders_since_commit(spark, folder):
         select user_id as page_id, cast(island as bigint) as island, min(event_id) as first_event, any_value(event_type) as event_type, count(*) as length from i group by 1, 2""",
 )
 def event_islands(spark, folder):
-    out = N.islands(browser_events(spark, folder), ["page_id"], N.ORDER, "event_type", N.by_day())
+    out = N.islands(browser_events(spark, folder), ["page_id"], N.ORDER, "event_type")
     return out.select("page_id", "island", F.col("first.event_id").alias("first_event"), "event_type", "length")
 
 
@@ -160,7 +166,7 @@ def event_islands(spark, folder):
         select cast(day as varchar) as day, user_id, round(delta, 6) as delta, cast(place as int) as place from r where place <= 5""",
 )
 def busiest_threads(spark, folder):
-    d = N.tick_deltas(browser_events(spark, folder), ["page_id"], N.ORDER, "value", N.by_day())
+    d = N.tick_deltas(browser_events(spark, folder), ["page_id"], N.ORDER, "value")
     busy = d.where("delta > 0 or kind = 'failed'").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     # The rank filter is pushed below the shuffle: five rows per day leave each map task.
     place = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("delta"), "event_id"))

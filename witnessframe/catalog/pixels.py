@@ -229,9 +229,8 @@ def recaptures(spark, folder):
     return words.select("image_id", "words").unionByName(second).unionByName(copy)
 
 
-@register(
-    "near_captures_whole",
-    f"""with {SQL_P}, {sql_gallery('words as w').replace('select image_id, words as w from words', ', s as (select image_id, words as w from words)')},
+def sql_near(distance: int) -> str:
+    return f"""with {SQL_P}, {sql_gallery('words as w').replace('select image_id, words as w from words', ', s as (select image_id, words as w from words)')},
         bit as (select image_id, w, 1::ubigint << (image_id % 61)::int as b, image_id % 10 as flips from s),
         c as (select image_id, w from s
           union all select image_id + 1000000, list_transform(list_zip(w, range(8)), lambda z: case when z[1] is null then null
@@ -239,12 +238,20 @@ def recaptures(spark, folder):
           union all select image_id + 2000000, w from s where image_id % 5 = 0),
         known as (select w, count(*) as copies, min(image_id) as image from c group by 1)
         select a.image as image_a, b.image as image_b, list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2]))))::int as distance, a.copies as copies_a, b.copies as copies_b
-        from known a join known b on a.image < b.image and list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2])))) <= 7""",
-)
+        from known a join known b on a.image < b.image and list_sum(list_transform(list_zip(a.w, b.w), lambda z: bit_count(xor(z[1], z[2])))) <= {distance}"""
+
+
+@register("near_captures_whole", sql_near(7))
 def near_captures_whole(spark, folder):
     return X.near_signatures(recaptures(spark, folder))
 
 
+@register("near_captures_wide", sql_near(16))
+def near_captures_wide(spark, folder):
+    """Captures that a changed banner or clock sets apart by more than the seven bits of eight equal words."""
+    return X.near_signatures(recaptures(spark, folder), 16)
+
+
 SQL_GRAY = """mm as (select image_id, min(l8) as lo, max(l8) as hi from p group by 1),
   gray as (select p.image_id, width, height, x, y, case when lo = 0 and hi = 65280 then (l8 + 128) >> 8
     else least((510 * (l8 - lo)::bigint + greatest(hi - lo, 1)) // (2 * greatest(hi - lo, 1)), 255) end as v from p join mm using (image_id))"""

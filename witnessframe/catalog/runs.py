@@ -223,7 +223,7 @@ def step_deadlines(spark, folder):
     e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     now = F.unix_millis("ts")
     out = R.deadlines(
-        e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("event_type") == "signup",
+        e, ["user_id"], ["ts", "event_id"], None, F.col("event_type") == "signup",
         F.floor(F.col("value") * 2_000_000).cast("bigint"), F.lit(3_600_000).cast("bigint"), now,
         F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("c"), (F.col("event_id") % 9).cast("string"))),
     )

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ratio
-from ..plans.ordered import order_statistics, ranks, running
+from ..plans.ordered import Cuts, cuts, order_statistics, ranks, running
 from ..session import durable
 
 
-def timed_iterations(runs: DataFrame, keys: list[str], order: list[str], ms: str, chunk: Column, *, warmups: int = 3, box: float = 250.0) -> DataFrame:
+def timed_iterations(runs: DataFrame, keys: list[str], order: list[str], ms: str, chunk: Cuts | Column | None = None, *, warmups: int = 3, box: float = 250.0) -> DataFrame:
     """Drop the first ``warmups`` iterations, then keep complete ones up to and including
     the first that ends ``box`` or more after the first kept start."""
-    numbered = durable(running(runs, keys, order, chunk, sums={"_n": F.lit(1).cast("bigint")}))
+    chunk = cuts(runs, keys, order) if chunk is None else chunk
+    numbered = running(runs, keys, order, chunk, sums={"_n": F.lit(1).cast("bigint")})
     timed = running(numbered.where(F.col("_n") > warmups), keys, order, chunk, sums={"_end": F.col(ms)})
     return timed.where(F.col("_end") - F.col(ms) < box).drop("_n", "_end")
 

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_slice
 from ..functions.values import numeric_members
-from ..plans.ordered import running
+from ..plans.ordered import Cuts, cuts, running
 from ..plans.skew import join_unique
-from ..session import durable
 
 ORDER = ["ts", "event_id"]
 TRACE_LIMIT = 128
 CLOSERS = ("finished", "failed")
 
 
-def by_day(column: str = "ts") -> Column:
-    return F.date_trunc("day", F.col(column))
+def page_cuts(events: DataFrame) -> Cuts:
+    """Where busy pages are cut. Found once for a table of events, they hold for all that is computed from it in the same order."""
+    return cuts(events, ["page_id"], ORDER)
 
 
 def _position() -> Column:
@@ -34,7 +34,7 @@ def traced(url: Column) -> Column:
     return F.coalesce(F.lower(url).rlike("^https?://[^/?#]"), F.lit(False))
 
 
-def placed(events: DataFrame, chunk: Column | None = None, traced_only: bool = True) -> DataFrame:
+def placed(events: DataFrame, chunk: Cuts | Column | None = None, traced_only: bool = True) -> DataFrame:
     """Events with their leg number (0 = no leg yet) and whether that leg is still open
     just before the event. A repeated request id starts a new leg; unless ``traced_only`` is
     off, an open of another scheme ends the leg before it and starts none."""
@@ -42,7 +42,7 @@ def placed(events: DataFrame, chunk: Column | None = None, traced_only: bool = T
     if traced_only:
         opens, closes = opens & traced(F.col("url")), closes | (opens & ~traced(F.col("url")))
     ordered = running(
-        events.where(F.col("request_id").isNotNull()), ["page_id", "request_id"], ORDER, by_day() if chunk is None else chunk,
+        events.where(F.col("request_id").isNotNull()), ["page_id", "request_id"], ORDER, page_cuts(events) if chunk is None else chunk,
         sums={"leg": F.when(opens, 1).otherwise(0).cast("bigint")},
         max_before={"_opened": F.when(opens, _position()), "_closed": F.when(closes, _position())},
     )
@@ -55,7 +55,7 @@ RESPONSE_FACTS = ("status", "protocol", "connection_id", "connection_reused", "f
 END_FACTS = ("encoded_data_length", "canceled")
 
 
-def legs(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def legs(events: DataFrame, chunk: Cuts | Column | None = None) -> DataFrame:
     """One row per request leg with its state: pending, redirected, finished or failed.
 
     A repeated id with ``redirect`` set closes the open leg before it as redirected, and its
@@ -95,35 +95,34 @@ def legs(events: DataFrame, chunk: Column | None = None) -> DataFrame:
     )
 
 
-def bounded_trace(all_legs: DataFrame, limit: int = TRACE_LIMIT) -> tuple[DataFrame, DataFrame]:
+def bounded_trace(all_legs: DataFrame, limit: int = TRACE_LIMIT, chunk: Cuts | Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(first ``limit`` legs of each page, legs and dropped legs per page).
 
-    The bound is the reported feature: what lies beyond is counted, with all its events.
+    The bound is the reported feature: what lies beyond is counted, with all its events. ``chunk`` may be the ``page_cuts`` of the events.
     """
-    all_legs = durable(all_legs)
-    numbered = running(all_legs, ["page_id"], ORDER, by_day(), sums={"ordinal": F.lit(1).cast("bigint")})
+    numbered = running(all_legs, ["page_id"], ORDER, chunk, sums={"ordinal": F.lit(1).cast("bigint")})
     counts = all_legs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     dropped = counts.select("page_id", F.least("n", F.lit(limit)).alias("kept"), F.greatest(F.col("n") - limit, F.lit(0)).alias("dropped"))
     return numbered.where(F.col("ordinal") <= limit), dropped
 
 
-def orphans(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def orphans(events: DataFrame, chunk: Cuts | Column | None = None) -> DataFrame:
     """Events that belong to no open leg; the lifecycle ignores them."""
     return placed(events, chunk).where("kind <> 'open' and not live")
 
 
-def in_flight(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def in_flight(events: DataFrame, chunk: Cuts | Column | None = None) -> DataFrame:
     """Network events with the number of requests in flight after each and the next event's time."""
     network = F.col("kind").isin("open", *CLOSERS)
     change = F.when((F.col("kind") == "open") & ~F.col("live"), 1).when(F.col("kind").isin(*CLOSERS) & F.col("live"), -1).otherwise(0)
-    # Every ordered pass reads its input twice, so one inside another is stored first.
+    chunk = page_cuts(events) if chunk is None else chunk
     return running(
-        durable(placed(events, chunk, traced_only=False).where(network)), ["page_id"], ORDER, by_day() if chunk is None else chunk,
+        placed(events, chunk, traced_only=False).where(network), ["page_id"], ORDER, chunk,
         sums={"in_flight": change.cast("bigint")}, following={"next_ts": F.col("ts")},
     )
 
 
-def idle_gaps(events: DataFrame, idle_ms: int, chunk: Column | None = None) -> DataFrame:
+def idle_gaps(events: DataFrame, idle_ms: int, chunk: Cuts | Column | None = None) -> DataFrame:
     """Stretches of at least ``idle_ms`` with nothing in flight; the last one is open-ended."""
     quiet = in_flight(events, chunk).where("in_flight = 0")
     gap = F.unix_micros("next_ts") - F.unix_micros("ts")
@@ -132,33 +131,34 @@ def idle_gaps(events: DataFrame, idle_ms: int, chunk: Column | None = None) -> D
     )
 
 
-def stale_gaps(events: DataFrame, most_ms: int, chunk: Column | None = None) -> DataFrame:
+def stale_gaps(events: DataFrame, most_ms: int, chunk: Cuts | Column | None = None) -> DataFrame:
     """Flag events that follow an idle gap longer than ``most_ms``."""
-    out = running(events, ["page_id"], ORDER, by_day() if chunk is None else chunk, previous={"previous_ts": F.col("ts")})
+    out = running(events, ["page_id"], ORDER, page_cuts(events) if chunk is None else chunk, previous={"previous_ts": F.col("ts")})
     gap = F.unix_micros("ts") - F.unix_micros("previous_ts")
     return out.withColumn("stale", F.coalesce(gap > most_ms * 1000, F.lit(False)))
 
 
-def phase_durations(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def phase_durations(events: DataFrame, chunk: Cuts | Column | None = None) -> DataFrame:
     """``elapsed_ms`` since the first event of the invocation and the step since the one before."""
     out = running(
-        events, ["page_id"], ORDER, by_day() if chunk is None else chunk, least={"started": F.col("ts")}, previous={"previous_ts": F.col("ts")}
+        events, ["page_id"], ORDER, page_cuts(events) if chunk is None else chunk, least={"started": F.col("ts")}, previous={"previous_ts": F.col("ts")}
     )
     elapsed = F.unix_millis("ts") - F.unix_millis("started")
     before = F.coalesce(F.unix_millis("previous_ts") - F.unix_millis("started"), F.lit(0))
     return out.withColumn("elapsed_ms", elapsed).withColumn("duration_ms", elapsed - before).drop("started", "previous_ts")
 
 
-def since_commit(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def since_commit(events: DataFrame, chunk: Cuts | Column | None = None) -> DataFrame:
     """Render marks made after the current document committed (all when nothing committed)."""
     commit = F.when(F.col("kind") == "commit", _position())
-    out = running(events, ["page_id"], ORDER, by_day() if chunk is None else chunk, most={"_commit": commit})
+    out = running(events, ["page_id"], ORDER, page_cuts(events) if chunk is None else chunk, most={"_commit": commit})
     return out.where((F.col("kind") == "render") & (F.col("_commit").isNull() | (_position() > F.col("_commit")))).drop("_commit")
 
 
-def islands(events: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column) -> DataFrame:
+def islands(events: DataFrame, keys: list[str], order: list[str], value: str, chunk: Cuts | Column | None = None) -> DataFrame:
     """Runs of equal consecutive values: first position and length."""
-    seen = durable(running(events, keys, order, chunk, previous={"_before": F.struct(value)}))
+    chunk = cuts(events, keys, order) if chunk is None else chunk
+    seen = running(events, keys, order, chunk, previous={"_before": F.struct(value)})
     changed = ~F.col("_before").eqNullSafe(F.struct(value))
     numbered = running(seen.withColumn("_start", changed.cast("bigint")), keys, order, chunk, sums={"island": F.col("_start")})
     return numbered.groupBy(*keys, "island").agg(
@@ -166,7 +166,7 @@ def islands(events: DataFrame, keys: list[str], order: list[str], value: str, ch
     )
 
 
-def tick_deltas(samples: DataFrame, keys: list[str], order: list[str], ticks: str, chunk: Column) -> DataFrame:
+def tick_deltas(samples: DataFrame, keys: list[str], order: list[str], ticks: str, chunk: Cuts | Column | None = None) -> DataFrame:
     """Ticks since the same thread's sample before; never negative, the first counts in full."""
     out = running(samples, keys, order, chunk, previous={"_ticks": F.col(ticks)})
     return out.withColumn("delta", F.greatest(F.col(ticks) - F.coalesce("_ticks", F.lit(0)), F.lit(0))).drop("_ticks")
@@ -212,7 +212,7 @@ def interceptions(paused: DataFrame, all_legs: DataFrame, limit: int = TRACE_LIM
     absent. A response status or error reason makes it one of the response stage. Only http(s) requests count.
     """
     paused = paused.where(traced(F.col("url")))
-    every = running(paused, ["page_id"], ORDER, by_day(), sums={"ordinal": F.lit(1).cast("bigint")})
+    every = running(paused, ["page_id"], ORDER, sums={"ordinal": F.lit(1).cast("bigint")})
     numbered = every.where(F.col("ordinal") <= limit)
     last = all_legs.groupBy("page_id", F.col("request_id").alias("network_id")).agg(
         F.count(F.lit(1)).alias("n_legs"), F.max_by("state", "leg").alias("leg_state")
@@ -232,36 +232,29 @@ def duplicate_ids(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _watched(events: DataFrame, event: str, begin: str, chunk: Column) -> tuple[DataFrame, DataFrame]:
-    """(beginnings, events after each until the next one) of what waits for a lifecycle event.
+def _watched(events: DataFrame, event: str, begin: str, chunk: Cuts | Column) -> DataFrame:
+    """Beginnings and what happens after each until the next one, for what waits for a lifecycle event.
 
-    A beginning has ``_nav`` (its place and loader) and ``_start``, the loader current then; a later
-    event has ``_current``, the commit before it, and ``_reached``, when its loader had the
+    Every row has ``_nav``: place and loader of its beginning, and ``start``, the loader current then. A
+    later row has ``_current``, the commit before it, and ``_reached``, when its loader had the
     event, unless an ``init`` has cleared that since.
     """
     at = _position()
     # A loader may have reached the event before it became current.
     reached = F.when((F.col("kind") == "lifecycle") & (F.col("name") == event), at)
     cleared = F.when((F.col("kind") == "lifecycle") & (F.col("name") == "init"), at)
-    known = running(events.where("loader is not null"), ["page_id", "loader"], ORDER, chunk, max_before={"_reached": reached, "_cleared": cleared})
-    known = known.withColumn("_reached", F.when(F.col("_cleared").isNull() | (F.col("_cleared") < F.col("_reached")), F.col("_reached"))).drop("_cleared")
-    known = durable(known.unionByName(events.where("loader is null"), allowMissingColumns=True))
-    state = running(
-        known, ["page_id"], ORDER, chunk,
-        max_before={
-            "_nav": F.when(F.col("kind") == begin, F.struct(*ORDER, "loader")),
-            "_current": F.when(F.col("kind") == "commit", F.struct(*ORDER, "loader")),
-        },
-    )
-    state = durable(state)
-    starts = state.where(F.col("kind") == begin).select("page_id", F.struct(*ORDER, "loader").alias("_nav"), F.col("_current.loader").alias("_start"))
-    later = state.where("_nav is not null and kind in ('lifecycle', 'commit', 'same_document')")
-    weight = later.groupBy("page_id", "_nav").agg(F.count(F.lit(1)).alias("_n"))
-    begun = starts.join(weight, ["page_id", "_nav"], "left")
-    return starts, join_unique(later, begun, ["page_id", "_nav"], "_n", ORDER)
-
-
-def completions(events: DataFrame, event: str, chunk: Column | None = None) -> DataFrame:
+    known = running(events, ["page_id", "loader"], ORDER, chunk, max_before={"_reached": reached, "_cleared": cleared})
+    holds = F.col("loader").isNotNull() & (F.col("_cleared").isNull() | (F.col("_cleared") < F.col("_reached")))
+    known = known.withColumn("_reached", F.when(holds, F.col("_reached"))).drop("_cleared")
+    commit = F.when(F.col("kind") == "commit", F.struct(*ORDER, "loader"))
+    state = running(known, ["page_id"], ORDER, chunk, max_before={"_current": commit})
+    begins = F.when(F.col("kind") == begin, F.struct(*ORDER, "loader", F.col("_current.loader").alias("start")))
+    state = running(state, ["page_id"], ORDER, chunk, max_before={"_before": begins})
+    watched = F.col("kind").isin("lifecycle", "commit", "same_document") & F.col("_before").isNotNull()
+    return state.withColumn("_nav", F.coalesce(begins, F.when(watched, F.col("_before")))).where("_nav is not null").drop("_before")
+
+
+def completions(events: DataFrame, event: str, chunk: Cuts | Column | None = None) -> DataFrame:
     """When each navigation reached a lifecycle event.
 
     events kinds: navigate (loader = its own), commit (loader becomes current), lifecycle
@@ -269,28 +262,29 @@ def completions(events: DataFrame, event: str, chunk: Column | None = None) -> D
     current loader, has the event; without one it stays open until the next navigation. ``init``
     clears what its loader has reached.
     """
-    starts, watched = _watched(events, event, "navigate", by_day() if chunk is None else chunk)
+    rows = _watched(events, event, "navigate", page_cuts(events) if chunk is None else chunk)
+    start, loader = F.col("_nav.start"), F.col("loader")
     hit = (F.col("kind") == "lifecycle") & (F.col("name") == event)
-    own = hit & (F.col("loader") == F.col("_nav.loader"))
-    newer = ~F.col("_current.loader").eqNullSafe(F.col("_start")) & (F.col("_current.loader") != F.col("_nav.loader"))
-    current = hit & newer & (F.col("loader") == F.col("_current.loader"))
-    early = (F.col("kind") == "commit") & F.col("_reached").isNotNull() & (F.col("loader") != F.col("_nav.loader")) & ~F.col("loader").eqNullSafe(F.col("_start"))
-    done = watched.where(own | current | early).groupBy("page_id", "_nav").agg(F.min(_position()).alias("done"))
-    return starts.join(done, ["page_id", "_nav"], "left").select(
+    own = hit & (loader == F.col("_nav.loader"))
+    newer = ~F.col("_current.loader").eqNullSafe(start) & (F.col("_current.loader") != F.col("_nav.loader"))
+    current = hit & newer & (loader == F.col("_current.loader"))
+    early = (F.col("kind") == "commit") & F.col("_reached").isNotNull() & (loader != F.col("_nav.loader")) & ~loader.eqNullSafe(start)
+    done = rows.groupBy("page_id", "_nav").agg(F.min(F.when(own | current | early, _position())).alias("done"))
+    return done.select(
         "page_id", F.col("_nav.event_id").alias("event_id"), F.col("_nav.loader").alias("loader"), F.col("done.event_id").alias("done_event_id")
     )
 
 
-def navigation_waits(events: DataFrame, event: str, chunk: Column | None = None) -> DataFrame:
+def navigation_waits(events: DataFrame, event: str, chunk: Cuts | Column | None = None) -> DataFrame:
     """When each ``wait`` saw a navigation: a same-document one, which has no loader, or a
     current loader other than at its start that has the lifecycle event. Open waits have no end; a new wait replaces the one before."""
-    starts, watched = _watched(events, event, "wait", by_day() if chunk is None else chunk)
-    other = ~F.col("loader").eqNullSafe(F.col("_start"))
+    rows = _watched(events, event, "wait", page_cuts(events) if chunk is None else chunk)
+    other = ~F.col("loader").eqNullSafe(F.col("_nav.start"))
     same = F.col("kind") == "same_document"
     hit = (F.col("kind") == "lifecycle") & (F.col("name") == event) & (F.col("loader") == F.col("_current.loader")) & other
     early = (F.col("kind") == "commit") & F.col("_reached").isNotNull() & other
-    seen = F.min(F.struct(*ORDER, F.when(~same, F.col("loader")).alias("loader"))).alias("done")
-    done = watched.where(same | hit | early).groupBy("page_id", "_nav").agg(seen)
-    return starts.join(done, ["page_id", "_nav"], "left").select(
+    seen = F.when(same | hit | early, F.struct(*ORDER, F.when(~same, F.col("loader")).alias("loader")))
+    done = rows.groupBy("page_id", "_nav").agg(F.min(seen).alias("done"))
+    return done.select(
         "page_id", F.col("_nav.event_id").alias("event_id"), F.col("done.event_id").alias("done_event_id"), F.col("done.loader").alias("loader")
     )

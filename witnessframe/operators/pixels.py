@@ -14,6 +14,7 @@ from ..functions.luma import axis_taps, luma_8p8, luma_f, luma_milli, span_high,
 from ..functions.values import let, sample_step
 from ..plans.skew import join_unique
 from ..session import durable
+from .hamming import near_pairs
 
 # Sampling budget, band and cell thresholds of the paint checks.
 SAMPLE_BUDGET = 1_500_000
@@ -254,36 +255,13 @@ def near_words(signatures: DataFrame, word: str) -> DataFrame:
     )
 
 
-# Distinct signatures that may share one band word before their pairs need a second key.
-CROWDED = 1000
-
-
 def near_signatures(signatures: DataFrame, distance: int = 7) -> DataFrame:
-    """Pairs of distinct 512-bit signatures (``words``: eight longs) at most ``distance`` bits apart, with their copies.
+    """Pairs of distinct signatures (``words``: eight longs, 512 bits) at most ``distance`` bits apart, with their copies.
 
-    Identical captures collapse first. Of eight words at most seven can differ in seven bits, so
-    every pair shares a band word and meets there by equi-join. Where more than ``CROWDED``
-    signatures share one, pairs must also share one of the 14 halves of the other words, as
-    at least seven of those are equal too.
+    Identical captures collapse first; ``hamming.near_pairs`` finds the pairs at any distance.
     """
-    if not 0 <= distance <= 7:
-        raise ValueError("bands find distances of 0 to 7")
     known = durable(signatures.groupBy("words").agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("image")))
-    bands = known.select("image", "words", F.posexplode("words").alias("band", "word"))
-    crowded = bands.groupBy("band", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("band", "word", F.lit(True).alias("_crowded"))
-    halves = F.flatten(F.transform("words", lambda w, i: F.array(
-        F.struct((i * 2).cast("int").alias("half"), F.shiftrightunsigned(w, 32).alias("value")),
-        F.struct((i * 2 + 1).cast("int").alias("half"), w.bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")),
-    )))
-    others = F.filter(halves, lambda h: F.floor(h["half"] / 2) != F.col("band"))
-    single = F.array(F.struct(F.lit(-1).alias("half"), F.lit(0).cast("bigint").alias("value")))
-    keyed = bands.join(crowded, ["band", "word"], "left").select(
-        "image", "words", "band", "word", F.explode(F.when(F.col("_crowded"), others).otherwise(single)).alias("k")
-    ).select("image", "words", "band", "word", "k.*")
-    side = lambda s: keyed.select(F.col("image").alias(f"image_{s}"), F.col("words").alias(f"words_{s}"), "band", "word", "half", "value")
-    met = side("a").join(side("b"), ["band", "word", "half", "value"]).where("image_a < image_b")
-    bits = F.aggregate(F.zip_with("words_a", "words_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-    pairs = met.withColumn("distance", bits).where(F.col("distance") <= distance).select("image_a", "image_b", "distance").distinct()
+    pairs = near_pairs(known, distance)
     copies = lambda s: known.select(F.col("image").alias(f"image_{s}"), F.col("copies").alias(f"copies_{s}"))
     return pairs.join(copies("a"), "image_a").join(copies("b"), "image_b")
 

@@ -48,7 +48,7 @@ def flame_offsets(nodes: DataFrame) -> DataFrame:
     values = parts.groupBy("parent", "ms").agg(F.count(F.lit(1)).alias("_n")).withColumn("_down", -F.col("ms"))
     larger = running(values, ["parent"], ["_down"], magnitude(F.col("_down")), sums={"_upto": F.col("ms") * F.col("_n")})
     base = larger.select("parent", "ms", (F.col("_upto") - F.col("ms") * F.col("_n")).alias("_base"), "_n")
-    equal = running(parts, ["parent", "ms"], ["name"], F.left("name", F.lit(3)), sums={"_rank": F.lit(1).cast("bigint")})
+    equal = running(parts, ["parent", "ms"], ["name"], sums={"_rank": F.lit(1).cast("bigint")})
     # Nodes are distinct stack prefixes, far fewer than samples; fixed here as they are used four times below.
     placed = durable(join_unique(equal, base, ["parent", "ms"], "_n", ["name"]).select(
         "node", "ms", (F.col("_base") + F.col("ms") * (F.col("_rank") - 1)).alias("offset")

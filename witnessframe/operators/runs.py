@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import status_text
 from ..functions.values import js_string, json_text, let, valid_scale, variant_kind
-from ..plans.ordered import running
+from ..plans.ordered import Cuts, running
 from ..plans.skew import join_unique
 from .ledger import lower_headers
 
@@ -29,20 +29,23 @@ def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MA
     absent id is ``idx:op``; a gate must name an id no later than its own step.
     """
     named = steps.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat_ws(":", F.col("idx").cast("string"), "op")))
-    firsts = named.groupBy("run_id", "id").agg(F.min("idx").alias("first_idx"), F.count(F.lit(1)).alias("_n"))
+    firsts = named.groupBy("run_id", "id").agg(F.min("idx").alias("first_idx"))
     counts = named.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
     sized = join_unique(named, counts, ["run_id"], "n_steps", ["idx"])
     crowded = sized.where(F.col("n_steps") > max_steps).select(*steps.columns, _crowd(F.col("n_steps"), max_steps).alias("error"))
     # From here on a run has at most max_steps steps.
-    out = sized.where(F.col("n_steps") <= max_steps).join(firsts.drop("_n"), ["run_id", "id"])
+    # A null run is a run, so every join compares it null-safely.
+    few = sized.where(F.col("n_steps") <= max_steps)
+    own = firsts.select(F.col("run_id").alias("_run"), F.col("id").alias("_id"), "first_idx")
+    out = few.join(own, few["run_id"].eqNullSafe(own["_run"]) & (few["id"] == own["_id"])).drop("_run", "_id")
     at = F.concat(F.lit("steps["), F.col("idx").cast("string"), F.lit("]."))
     rules = [
         F.when(~F.coalesce(F.col("op").isin(*operations), F.lit(False)), F.concat(at, F.lit("op "), json_text(F.col("op")), F.lit(" is not one of "), F.lit(",".join(operations)))),
         F.when(F.col("first_idx") < F.col("idx"), F.concat(at, F.lit("id "), F.col("id"), F.lit(" is duplicated"))),
     ]
     for gate in ("if_ok", "if_failed", "if_html_incomplete"):
-        target = firsts.select("run_id", F.col("id").alias(gate), F.col("first_idx").alias(f"_{gate}"))
-        out = out.join(target, ["run_id", gate], "left")
+        target = firsts.select(F.col("run_id").alias("_run"), F.col("id").alias("_id"), F.col("first_idx").alias(f"_{gate}"))
+        out = out.join(target, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col(gate) == F.col("_id")), "left").drop("_run", "_id")
         late = F.col(gate).isNotNull() & (F.col(f"_{gate}").isNull() | (F.col(f"_{gate}") > F.col("idx")))
         rules.append(F.when(late, F.concat(at, F.lit(f"{gate} names "), F.col(gate), F.lit(", which is not an EARLIER step id"))))
     limit = F.col("timeout_ms").isNotNull() & ~F.col("timeout_ms").between(0, MAX_STEP_TIMEOUT_MS)
@@ -53,7 +56,8 @@ def step_errors(steps: DataFrame, operations: Sequence[str], max_steps: int = MA
 def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid rows of valid runs, one reject row per run with its first error)."""
     rejects = checked.where("error is not null").groupBy("run_id").agg(F.min_by("error", "idx").alias("error"))
-    return checked.join(rejects.select("run_id"), "run_id", "left_anti").drop("error"), rejects
+    bad = rejects.select(F.col("run_id").alias("_run"))
+    return checked.join(bad, F.col("run_id").eqNullSafe(F.col("_run")), "left_anti").drop("error"), rejects
 
 
 def spec_errors(n_passes: Column, scale: Column, min_fraction: Column, n_fallback: Column, has_stop_rule: Column) -> Column:
@@ -189,7 +193,7 @@ def step_results(outcomes: DataFrame) -> DataFrame:
                        F.when(~F.col("r.skipped"), F.col("r.ok")).alias("ok"))
 
 
-def deadlines(events: DataFrame, keys: list[str], order: list[str], chunk: Column, started: Column, limit_ms: Column, timeout_ms: Column, now_ms: Column, clock: Column) -> DataFrame:
+def deadlines(events: DataFrame, keys: list[str], order: list[str], chunk: Cuts | Column | None, started: Column, limit_ms: Column, timeout_ms: Column, now_ms: Column, clock: Column) -> DataFrame:
     """Remaining time of each step under the last start before it of the clock it names.
 
     ``clock`` names the clock that an event starts or a step obeys; a step that names none

@@ -26,23 +26,24 @@ def join_unique(
     heavy keys does not compute it again. Without any it is a plain join. Otherwise the left
     rows of every key above ``rows_per_salt`` are dealt over salts by the ``spread`` columns and its right
     row is repeated once per salt; every other key joins as usual. Heavy keys are counted,
-    and reach the left rows by broadcast only while they are few.
+    and reach the left rows by broadcast only while they are few. Nulls are values of a key like any others.
     """
-    keys = list(keys)
-    right = durable(right)
+    # A struct of nulls equals another.
+    right = durable(right).withColumn("_of", F.struct(*keys)).drop(*keys)
+    left = left.withColumn("_of", F.struct(*keys))
     salts = F.greatest(F.ceil(F.col(weight) / rows_per_salt), F.lit(1)).cast("int")
-    heavy = right.where(F.col(weight) > rows_per_salt).select(*keys, salts.alias("_salts"))
+    heavy = right.where(F.col(weight) > rows_per_salt).select("_of", salts.alias("_salts"))
     n = heavy.count()
     if not n:
-        return left.join(right, keys, how)
-    dealt = left.join(small_side(heavy, n), keys, "left").withColumn(
+        return left.join(right, "_of", how).drop("_of")
+    dealt = left.join(small_side(heavy, n), "_of", "left").withColumn(
         "_salt",
         F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.col("_salts")).cast("int")
         ),
     ).drop("_salts")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(repeated, ["_of", "_salt"], how).drop("_of", "_salt")
 
 
 # A broadcast side is counted first and goes by shuffle beyond these sizes.
