@@ -224,7 +224,8 @@ def recaptures(spark, folder):
     flips = (F.col("image_id") % 10).cast("int")
     changed = F.transform("words", lambda w, i: F.when(i < flips, w.bitwiseXOR(bit)).otherwise(w))
     twice = F.transform(changed, lambda w, i: F.when((i == 0) & (flips == 9), w.bitwiseXOR(F.shiftleft(bit, 1))).otherwise(w))
-    second = words.select((F.col("image_id") + 1_000_000).alias("image_id"), twice.alias("words"))
+    # The new id comes after the words: within one select, a lambda would read it in place of the old one.
+    second = words.select("image_id", twice.alias("words")).withColumn("image_id", F.col("image_id") + 1_000_000)
     copy = words.where("image_id % 5 = 0").select((F.col("image_id") + 2_000_000).alias("image_id"), "words")
     return words.select("image_id", "words").unionByName(second).unionByName(copy)
 
