@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.skew import small_side
 from ..session import durable
-from .minhash import KEY_BYTES, same_document, text_digest
+from .minhash import KEY_BYTES, fresh_name, same_document, text_digest
 
 WIDTH = 5
 ITEM_BYTES = 2048  # a generous mean for an item's words, to size a broadcast
@@ -156,5 +156,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found."""
     found = durable(_found(docs, benchmark).select(F.col("doc_id").alias("leaked"), F.col("digest").alias("of")).distinct())
     n = found.count()
-    marked = docs.withColumn("_digest", text_digest())
-    return marked.join(small_side(found, n, n * KEY_BYTES), same_document(marked, found, "leaked", "of"), "left_anti").drop("_digest")
+    own = fresh_name("_digest", docs.columns)
+    marked = docs.withColumn(own, text_digest())
+    return marked.join(small_side(found, n, n * KEY_BYTES), same_document(marked, own, found, "leaked", "of"), "left_anti").drop(own)

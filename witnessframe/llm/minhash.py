@@ -105,8 +105,17 @@ def text_digest() -> Column:
     return F.unhex(F.md5(F.col("text")))
 
 
-def same_document(docs: DataFrame, keys: DataFrame, doc_id: str, digest: str) -> Column:
-    return docs["doc_id"].eqNullSafe(keys[doc_id]) & docs["_digest"].eqNullSafe(keys[digest])
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column in ``taken`` has it."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def same_document(docs: DataFrame, own: str, keys: DataFrame, doc_id: str, digest: str) -> Column:
+    """Whether a row, whose text's digest is in ``own``, is the document that a row of ``keys`` names."""
+    return docs["doc_id"].eqNullSafe(keys[doc_id]) & docs[own].eqNullSafe(keys[digest])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +298,13 @@ def one_of_each(docs: DataFrame, *, least_percent: int = 85) -> DataFrame:
     best = best.select(F.col("best.judged").alias("b_id"), F.col("best.of").alias("b_of"))
     drop = durable(some.join(best, some["judged"].eqNullSafe(best["b_id"]) & (some["of"] == best["b_of"]), "left_anti").select("judged", "of"))
     n = drop.count()
-    marked = docs.withColumn("_digest", text_digest())
-    left = marked.join(small_side(drop, n, n * KEY_BYTES), same_document(marked, drop, "judged", "of"), "left_anti")
+    own = fresh_name("_digest", docs.columns)
+    marked = docs.withColumn(own, text_digest())
+    left = marked.join(small_side(drop, n, n * KEY_BYTES), same_document(marked, own, drop, "judged", "of"), "left_anti")
     twice = judged.where("held > 1 and (some or doc_id is not null)").select(F.col("doc_id").alias("judged"), F.col("digest").alias("of"))
     n = twice.count()
     if not n:
-        return left.drop("_digest")
-    twice, same = small_side(twice, n, n * KEY_BYTES), same_document(left, twice, "judged", "of")
-    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])  # one text per key and task is moved
-    return left.join(twice, same, "left_anti").unionByName(again).drop("_digest")
+        return left.drop(own)
+    twice, same = small_side(twice, n, n * KEY_BYTES), same_document(left, own, twice, "judged", "of")
+    again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", own])  # one text per key and task is moved
+    return left.join(twice, same, "left_anti").unionByName(again).drop(own)

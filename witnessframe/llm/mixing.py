@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
 from . import words
+from .minhash import fresh_name
 
 MOST_PASSES = 3
 HASH_CHUNKS = 4096
@@ -111,34 +112,30 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": group["source"], "size": length, "source_size": source_size, "target": target, "passes": passes, "extra": extra})
 
 
-def _words(batches):
-    for batch in batches:
-        for row, stop, data, bounds in words.slices(batch.column(batch.schema.get_field_index("text"))):
-            part = batch.slice(row, stop - row)
-            counted = pa.array(np.diff(words.split(data, bounds).first), pa.int64())
-            kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [counted], [*kept, "size"])
+def _words(size: str, keep_text: bool = False):
+    """Rows with the number of their text's words in the column ``size``."""
 
+    def work(batches):
+        for batch in batches:
+            for row, stop, data, bounds in words.slices(batch.column(batch.schema.get_field_index("text"))):
+                part = batch.slice(row, stop - row)
+                counted = pa.array(np.diff(words.split(data, bounds).first), pa.int64())
+                kept = [n for n in batch.schema.names if keep_text or n != "text"]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [counted], [*kept, size])
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """How often the mix takes each document.
+    return work
 
-    ``docs(doc_id, text, source, ...)`` -> ``doc_id, size, source, source_size, target, copies, taken``.
-    Size is the number of words; targets as in ``shares``. A source is taken in whole passes
-    as far as its target goes; the rest is a subset whose lengths fit the budget
-    (``fit``), chosen per length by a seeded hash of doc_id.
 
-    Lengths are counted before anything meets, so a source's plan reads one row per distinct
-    length. The seeded choice within (source, length) goes over 4,096 hash chunks: counts
-    decide which chunks are taken whole, and only rows of the one chunk at the border are ordered, so a
-    source or length that holds most rows stays spread. A null or blank text has size 0 and
-    is taken in each whole pass; a null source is a source of its own; rows with equal doc_id, or
-    null, rank side by side and which of two equal rows is taken makes no difference. Extra
-    columns are ignored. Reruns agree.
-    """
-    sized = words.small_batches(docs).select("doc_id", "source", "text").mapInArrow(_words, "doc_id long, source string, size long")
-    rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = durable(sized.withColumn("rank", rank).withColumn("chunk", F.pmod("rank", F.lit(HASH_CHUNKS)).cast("int")))
+def _chance(seed: int) -> Column:
+    """What orders the rows of one length: a hash of doc_id and text, so rows without doc_id spread too."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+
+
+def _quotas(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows without their texts, how many of each source, size and chunk are taken beside the whole passes)."""
+    keyed = words.small_batches(docs).select("doc_id", "source", "text", _chance(seed).alias("rank"))
+    sized = keyed.mapInArrow(_words("size"), "doc_id long, source string, rank long, size long")
+    sized = durable(sized.withColumn("chunk", F.pmod("rank", F.lit(HASH_CHUNKS)).cast("int")))
     counts = durable(sized.groupBy("source", "size", "chunk").agg(F.count(F.lit(1)).alias("held")))
     lengths = counts.groupBy("source", "size").agg(F.sum("held").alias("held"))
     totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("held")).alias("source_size"))
@@ -152,24 +149,52 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     c = counts.join(p, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pl"))).drop("ps", "pl")
     earlier = Window.partitionBy("source", "size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("quota", F.col("extra") - F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    c = c.select(F.col("source").alias("cs"), F.col("size").alias("cl"), F.col("chunk").alias("cc"), "source_size", "target", "passes", "held", "quota")
+    return sized, c.select(F.col("source").alias("cs"), F.col("size").alias("cl"), F.col("chunk").alias("cc"), "source_size", "target", "passes", "held", "quota")
+
+
+def _choose(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``rows(doc_id, source, size, rank, chunk, ...)`` with what their source gets and the ``copies`` taken of each."""
     same = F.col("source").eqNullSafe(F.col("cs")) & (F.col("size") == F.col("cl")) & (F.col("chunk") == F.col("cc"))
-    rows = sized.join(c, same).drop("cs", "cl", "cc")
+    rows = rows.join(quotas, same).drop("cs", "cl", "cc")
     border = (F.col("quota") > 0) & (F.col("quota") < F.col("held"))
     place = F.row_number().over(Window.partitionBy("source", "size", "chunk").orderBy("rank", "doc_id"))
     inside = rows.where(border).withColumn("extra", (place <= F.col("quota")).cast("bigint"))
     outside = rows.where(~border).withColumn("extra", (F.col("quota") > 0).cast("bigint"))
-    chosen = inside.unionByName(outside).withColumn("copies", F.col("passes") + F.col("extra"))
-    return chosen.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return inside.unionByName(outside).withColumn("copies", F.col("passes") + F.col("extra"))
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """How often the mix takes each document.
+
+    ``docs(doc_id, text, source, ...)`` -> ``doc_id, size, source, source_size, target, copies, taken``.
+    Size is the number of words; targets as in ``shares``. A source is taken in whole passes
+    as far as its target goes; the rest is a subset whose lengths fit the budget
+    (``fit``), chosen per length by a seeded hash of doc_id and text.
+
+    Lengths are counted before anything meets, so a source's plan reads one row per distinct
+    length. The seeded choice within (source, length) goes over 4,096 hash chunks: counts
+    decide which chunks are taken whole, and only rows of the one chunk at the border are ordered, so a
+    source or length that holds most rows stays spread. A null or blank text has size 0 and
+    is taken in each whole pass; a null source is a source of its own; rows with equal doc_id, or
+    null, rank side by side and which of two equal rows is taken makes no difference. Extra
+    columns are ignored. Reruns agree.
+    """
+    sized, quotas = _quotas(docs, seed)
+    return _choose(sized, quotas).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` as the mix takes them: each row as many times as its document is taken, in the same columns.
+    """``docs`` as the mix takes them: each row as many times as it is taken, in the same columns.
 
-    Rows that share a doc_id are taken alike, as often as the most taken of them.
+    Every row is chosen on its own, as ``mix`` chooses it, so rows that share a doc_id or have none
+    do not take more than their source's target. Texts move once, to the counts of their length; columns of any name are kept.
     """
-    taken = mix(docs, seed).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["of"]))
-    each = F.explode(F.sequence(F.lit(1).cast("bigint"), taken["_copies"])).alias("_copy_of_mix")
-    columns = [docs[c] for c in docs.columns]
-    return rows.select(*columns, each).drop("_copy_of_mix")
+    _, quotas = _quotas(docs, seed)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    size, rank = fresh_name("_size", docs.columns), fresh_name("_rank", docs.columns)
+    counted = words.small_batches(docs).withColumn(rank, _chance(seed)).mapInArrow(_words(size, keep_text=True), f"{schema}, `{rank}` long, `{size}` long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = counted.select(row.alias("row"), F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.col(rank).alias("rank"), F.col(size).alias("size"))
+    chosen = _choose(keyed.withColumn("chunk", F.pmod("rank", F.lit(HASH_CHUNKS)).cast("int")), quotas).where("copies > 0")
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")
+    return chosen.select("row", copy).select("row.*")

@@ -153,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
 
     The sample is the labelled documents first in a hash of doc_id, so it does not depend on
     the order of rows. At most 2 * sample ids are broadcast, and the feature rows of those
-    documents come to the driver, where the model is fitted. A doc_id labelled twice counts with its lesser label;
-    rows without doc_id or label are not used.
+    documents come to the driver, where the model is fitted. A doc_id labelled twice counts with its lesser label, one
+    with several texts with that of the least digest; rows without doc_id or label are not used.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -163,6 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Machin
     order = [F.xxhash64(F.lit(11), F.col("doc_id")), F.col("doc_id")]
     picked = known.where("quality = 1").orderBy(*order).limit(sample).unionByName(known.where("quality = 0").orderBy(*order).limit(sample))
     texts = words.small_batches(docs).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "text").join(F.broadcast(picked), "doc_id")
+    # One row per sampled id, so the bound holds for rows too.
+    one = F.min_by(F.struct("n_chars", "text"), F.struct(F.md5("text"), "n_chars")).alias("d")
+    texts = texts.groupBy("doc_id", "quality").agg(one).select("quality", "d.*")
     rows = texts.select(F.col("quality").cast("int"), "n_chars", "text").mapInArrow(_featurise, "quality int, indices array<int>, values array<float>").toArrow()
     quality = np.array(rows.column("quality").to_pylist(), np.int64)
     vectors = []
