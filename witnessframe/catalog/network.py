@@ -14,8 +14,9 @@ from .registry import register
 KINDS = {"view": "open", "click": "response", "signup": "cached", "purchase": "finished", "error": "failed"}
 
 
-def browser_events(spark, folder, requests: int = 100):
-    e = table(spark, folder, "events")
+def browser_events(spark, folder, requests: int = 100, e=None):
+    """Browser events of the events table, or of ``e``, a stream of it."""
+    e = table(spark, folder, "events") if e is None else e
     names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % requests
     return e.select(
@@ -113,10 +114,10 @@ def in_flight(spark, folder):
     return N.in_flight(browser_events(spark, folder, 4)).select("event_id", "in_flight")
 
 
-@register(
-    "network_idle_gaps",
-    f"with {sql_legs(4)}, {SQL_FLIGHT} select page_id, event_id from f where in_flight = 0 and (next_ts is null or epoch_us(next_ts) - epoch_us(ts) >= 14400000000)",
-)
+SQL_IDLE = f"with {sql_legs(4)}, {SQL_FLIGHT} select page_id, event_id from f where in_flight = 0 and (next_ts is null or epoch_us(next_ts) - epoch_us(ts) >= 14400000000)"
+
+
+@register("network_idle_gaps", SQL_IDLE)
 def idle_gaps(spark, folder):
     return N.idle_gaps(browser_events(spark, folder, 4), 14_400_000).select("page_id", "event_id")
 
@@ -284,8 +285,8 @@ def navigation_completion(spark, folder):
     return N.completions(page_events(spark, folder, "navigate"), "load")
 
 
-def page_events(spark, folder, begin):
-    e = table(spark, folder, "events")
+def page_events(spark, folder, begin, e=None):
+    e = table(spark, folder, "events") if e is None else e
     kind = F.when(F.col("event_type") == "view", begin).when(F.col("event_type") == "signup", "commit").when(F.col("event_type").isin("purchase", "error"), "lifecycle").when(
         F.col("event_id") % 8 == 0, "same_document").otherwise("other")
     return e.select(

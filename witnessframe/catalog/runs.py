@@ -209,24 +209,26 @@ def run_step_results(spark, folder):
     return R.step_results(R.run_outcomes(gated_steps(spark, folder))).drop("idx")
 
 
-@register(
-    "step_deadlines",
-    """with e as (select event_id, user_id, event_type, epoch_us(ts) // 1000 as now, cast(value * 2000000 as bigint) as lim,
+SQL_DEADLINES = """with e as (select event_id, user_id, event_type, epoch_us(ts) // 1000 as now, cast(value * 2000000 as bigint) as lim,
           last_value(case when event_type = 'signup' then epoch_us(ts) // 1000 + cast(floor(value * 2000000) as bigint) end ignore nulls) over
             (partition by user_id, event_id % 9 order by ts, event_id rows between unbounded preceding and 1 preceding) as deadline,
           event_id % 9 <> 0 and event_type <> 'signup' as bound from events),
         r as (select *, case when event_id % 9 <> 0 then deadline - now end as rest from e)
         select event_id, coalesce(rest <= 0, false) as exhausted, case when rest > 0 then least(rest, 3600000) when rest is null and not (bound and deadline is null) then 3600000 end as remaining_ms,
-          case when bound and deadline is null then 'clock c' || event_id % 9 || ' was never started' end as error from r""",
-)
+          case when bound and deadline is null then 'clock c' || event_id % 9 || ' was never started' end as error from r"""
+
+
+def clocked():
+    """Arguments that make events steps under clocks: which event starts its clock, limits, timeouts, the clock's name."""
+    name = F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("c"), (F.col("event_id") % 9).cast("string")))
+    return F.col("event_type") == "signup", F.floor(F.col("value") * 2_000_000).cast("bigint"), F.lit(3_600_000).cast("bigint"), name
+
+
+@register("step_deadlines", SQL_DEADLINES)
 def step_deadlines(spark, folder):
     e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = F.unix_millis("ts")
-    out = R.deadlines(
-        e, ["user_id"], ["ts", "event_id"], None, F.col("event_type") == "signup",
-        F.floor(F.col("value") * 2_000_000).cast("bigint"), F.lit(3_600_000).cast("bigint"), now,
-        F.when(F.col("event_id") % 9 != 0, F.concat(F.lit("c"), (F.col("event_id") % 9).cast("string"))),
-    )
+    started, limit, timeout, name = clocked()
+    out = R.deadlines(e, ["user_id"], ["ts", "event_id"], None, started, limit, timeout, F.unix_millis("ts"), name)
     return out.select("event_id", "exhausted", "remaining_ms", "error")
 
 

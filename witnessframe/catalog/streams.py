@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from ..sources.sinks import outcome_writer
 from ..streaming import lifecycle as L
+from ..streaming import pages as P
 from ..streaming import windows as W
 from ..streaming.run import closable, file_stream, run_batches, run_to_end
-from .network import KINDS, LEG_COLUMNS, sql_legs
+from .network import FACT_COLUMNS, KINDS, SQL_IDLE, SQL_NAV, SQL_WAIT, browser_events, page_events, sql_legs, with_facts
 from .registry import register
+from .runs import SQL_DEADLINES, clocked
 
 DELAY = "1 hour"
 TEN_YEARS_MS = 315_576_000_000
@@ -29,15 +31,45 @@ def browser_stream(spark, folder, requests: int = 4):
     )
 
 
+@register("stream_legs", f"with {sql_legs(4)} select {', '.join(FACT_COLUMNS)} from legs")
+def stream_legs(spark, folder):
+    """Every leg with all its facts, those still pending at the end of the stream too."""
+    events, close = closable(file_stream(spark, folder, "events"))
+    out = run_to_end(L.track_legs(browser_events(spark, folder, 4, events), DELAY, TEN_YEARS_MS), "legs", close)
+    return with_facts(out.where("state <> 'orphan'")).select(*FACT_COLUMNS)
+
+
+def _navigations(spark, folder, begin):
+    events, close = closable(file_stream(spark, folder, "events"))
+    return run_to_end(P.navigations(page_events(spark, folder, begin, events), "load", DELAY, TEN_YEARS_MS), begin, close)
+
+
+@register("stream_navigation", f"with {SQL_NAV} select page_id, event_id, cast(loader as varchar) as loader, done_event_id from e left join done on nav = event_id where kind = 'navigate'")
+def stream_navigation(spark, folder):
+    return _navigations(spark, folder, "navigate").where("what = 'navigation'").select("page_id", "event_id", "loader", "done_event_id")
+
+
 @register(
-    "stream_legs",
-    f"with {sql_legs(4)} select {', '.join(LEG_COLUMNS)} from legs",
+    "stream_navigation_waits",
+    f"with {SQL_WAIT} select e.page_id, e.event_id, done_event_id, cast(d.loader as varchar) as loader from e left join done on nav = e.event_id left join e d on d.event_id = done_event_id where e.kind = 'wait'",
 )
-def stream_legs(spark, folder):
-    """Every leg, those still pending at the end of the stream too."""
-    events, close = closable(browser_stream(spark, folder))
-    out = run_to_end(L.track_legs(events, DELAY, TEN_YEARS_MS), "legs", close)
-    return out.where("state <> 'orphan'").select(*LEG_COLUMNS)
+def stream_navigation_waits(spark, folder):
+    return _navigations(spark, folder, "wait").where("what = 'wait'").select("page_id", "event_id", "done_event_id", F.col("done_loader").alias("loader"))
+
+
+@register("stream_network_idle", SQL_IDLE)
+def stream_network_idle(spark, folder):
+    """Four hours without a request in flight."""
+    events, close = closable(file_stream(spark, folder, "events"))
+    idle = P.network_idle(browser_events(spark, folder, 4, events).drop("timing"), 14_400_000, DELAY)
+    return run_to_end(idle, "idle", close).select("page_id", "event_id")
+
+
+@register("stream_step_deadlines", SQL_DEADLINES)
+def stream_step_deadlines(spark, folder):
+    events, close = closable(file_stream(spark, folder, "events"))
+    out = run_to_end(P.step_clocks(events.withColumnRenamed("user_id", "page_id"), *clocked(), DELAY), "steps", close)
+    return out.where("what = 'step'").select("event_id", "exhausted", "remaining_ms", "error")
 
 
 @register(

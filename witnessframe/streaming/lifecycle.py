@@ -5,23 +5,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from ..operators.network import traced
+from ..functions.values import numeric_members
+from ..operators.network import END_FACTS, RESPONSE_FACTS, traced
 
-LEG_OUTPUT = (
-    "page_id BIGINT, request_id STRING, leg BIGINT, event_id BIGINT, state STRING, end_event_id BIGINT, status INT, "
-    "response_event_id BIGINT, served_from_cache BOOLEAN"
+# Facts of a response and of a request's end pass through the state as JSON, so the state does not depend on which of them a stream has.
+LEG = "leg BIGINT, ts TIMESTAMP, event_id BIGINT, url STRING, state STRING, end_event_id BIGINT, end_ts TIMESTAMP, told STRING, response_event_id BIGINT, served_from_cache BOOLEAN, ended STRING"
+LEG_STATE = (
+    "leg BIGINT, is_open BOOLEAN, ts TIMESTAMP, event_id BIGINT, url STRING, told STRING, response_event_id BIGINT, cached BOOLEAN, last_ms BIGINT"
 )
-LEG_STATE = "leg BIGINT, is_open BOOLEAN, event_id BIGINT, status INT, response_event_id BIGINT, cached BOOLEAN"
+LEG_ROW = Row("page_id", "request_id", *[c.split()[0] for c in LEG.split(", ")])
+NO_LEG = (0, False, None, None, None, None, None, False, 0)
 
 
 class LegTracker(StatefulProcessor):
     """State of one (page, request): the open leg, if any. Emits a leg when it closes, every
     event that belongs to no open leg as an orphan, and a leg still open ``ttl_ms`` after the
-    last event of its request as pending; the request's state is dropped then."""
+    last event of its request as pending; the request's state is dropped then.
+
+    One timer stands per request. It is not moved by later events: when it fires, it is set anew if the request
+    has spoken since, so a batch costs a request one read and one write of its state.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
@@ -30,49 +38,47 @@ class LegTracker(StatefulProcessor):
         self.handle = handle
         self.leg = handle.getValueState("leg", LEG_STATE)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in LEG_OUTPUT.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({"end_event_id": "Int64", "status": "Int32", "response_event_id": "Int64"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        page, request = key
-        batch = pd.concat(list(rows)).dropna(subset=["event_id"]).sort_values(["ts_us", "event_id"])
-        if batch.empty:  # a closing sentinel
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted((r for r in rows if r.event_id is not None), key=lambda r: (r.ts, r.event_id))
+        if not batch:  # a closing sentinel
             return
-        leg, is_open, opened, status, responded, cached = self.leg.get() or (0, False, 0, None, None, False)
-        out = []
-        for event, kind, traced, redirect, code in zip(batch["event_id"], batch["kind"], batch["traced"], batch["redirect"], batch["status"]):
-            event = int(event)
-            if kind == "open":
-                if is_open and redirect:
-                    out.append((page, request, leg, opened, "redirected", event, int(code), responded, cached))
+        known = self.leg.get()
+        leg, is_open, ts, opened, url, told, responded, cached, _ = known or NO_LEG
+
+        def closed(state: str, end: Row | None = None, facts: str | None = told, ended: str | None = None) -> Row:
+            return LEG_ROW(*key, leg, ts, opened, url, state, end and end.event_id, end and end.ts, facts, responded, cached, ended)
+
+        for r in batch:
+            if r.kind == "open":
+                if is_open and r.redirect:
+                    yield closed("redirected", r, r.told)
                 elif is_open:  # given up by its page: it stays pending
-                    out.append((page, request, leg, opened, "pending", None, status, responded, cached))
-                is_open = bool(traced)
+                    yield closed("pending", None, told)
+                is_open = r.traced
                 if is_open:
-                    leg, opened, status, responded, cached = leg + 1, event, None, None, False
+                    leg, ts, opened, url, told, responded, cached = leg + 1, r.ts, r.event_id, r.url, None, None, False
             elif not is_open:
-                out.append((page, request, leg, event, "orphan", None, None, None, False))
-            elif kind == "response":
-                status, responded = int(code), event
-            elif kind == "cached":
+                yield LEG_ROW(*key, leg, r.ts, r.event_id, None, "orphan", None, None, None, None, False, None)
+            elif r.kind == "response":
+                told, responded = r.told, r.event_id
+            elif r.kind == "cached":
                 cached = True
             else:
-                out.append((page, request, leg, opened, kind, event, status, responded, cached))
+                yield closed(r.kind, r, told, r.ended)
                 is_open = False
-        self.leg.update((leg, is_open, opened, status, responded, cached))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(batch["ts_us"].max()) // 1000 + self.ttl_ms)
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        leg, is_open, opened, status, responded, cached = self.leg.get()
+        last_ms = int(batch[-1].last_ms)
+        self.leg.update((leg, is_open, ts, opened, url, told, responded, cached, last_ms))
+        if known is None:
+            self.handle.registerTimer(last_ms + self.ttl_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        leg, is_open, ts, opened, url, told, responded, cached, last_ms = self.leg.get()
+        if last_ms + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(last_ms + self.ttl_ms)
+            return
         self.leg.clear()
         if is_open:
-            yield self._frame([(*key, leg, opened, "pending", None, status, responded, cached)])
+            yield LEG_ROW(*key, leg, ts, opened, url, "pending", None, None, told, responded, cached, None)
 
     def close(self) -> None:
         pass
@@ -80,13 +86,30 @@ class LegTracker(StatefulProcessor):
 
 def track_legs(events: DataFrame, delay: str = "1 hour", ttl_ms: int = 86_400_000) -> DataFrame:
     """Legs and orphans of a browser event stream, keyed by page and request so that a busy
-    page spreads over tasks. A request that has been silent for ``ttl_ms`` is over: its open leg
+    page spreads over tasks, with every column of ``network.legs``. A request that has been silent for ``ttl_ms`` is over: its open leg
     comes out as pending, and its id starts anew if it appears again."""
+    if "timing" in events.columns:
+        events = events.withColumn("timing", numeric_members(F.try_variant_get("timing", "$", "map<string,variant>")))
+    told = [c for c in (*RESPONSE_FACTS, "timing") if c in events.columns]
+    ended = [c for c in END_FACTS if c in events.columns]
+    packed = lambda names: F.to_json(F.struct(*names)) if names else F.lit(None).cast("string")
+    keys = events.select("page_id", "request_id").schema
     keyed = events.withWatermark("ts", delay).select(
-        "page_id", "request_id", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", "kind", traced(F.col("url")).alias("traced"), "redirect", "status"
+        "page_id", "request_id", "ts", F.unix_millis("ts").alias("last_ms"), "event_id", "kind", "url", traced(F.col("url")).alias("traced"), "redirect",
+        packed(told).alias("told"), packed(ended).alias("ended"),
+    )
+    output = StructType(keys.fields + StructType.fromDDL(LEG).fields)
+    legs = keyed.groupBy("page_id", "request_id").transformWithState(
+        statefulProcessor=LegTracker(ttl_ms), outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
-    return keyed.groupBy("page_id", "request_id").transformWithStateInPandas(
-        statefulProcessor=LegTracker(ttl_ms), outputStructType=LEG_OUTPUT, outputMode="Append", timeMode="EventTime"
+
+    def unpacked(column: str, names: list[str]) -> list:
+        schema = events.select(*names).schema if names else None
+        return [F.from_json(column, schema)[c].alias(c) for c in names]
+
+    return legs.select(
+        "page_id", "request_id", "leg", "ts", "event_id", "url", "state", "end_event_id", "end_ts",
+        *unpacked("told", told), "response_event_id", "served_from_cache", *unpacked("ended", ended),
     )
 
 
