@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions import values as V
+from ..operators import markup as M
 from ..operators import runs as R
 from ..sources import results
 from ..tables import table
@@ -46,6 +47,23 @@ def html_values(spark, folder):
     )
 
 
+@register(
+    "html_selector_values",
+    r"""with p as (select page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article,
+          regexp_extract_all(html, '(?s)<footer>(.*?)</footer>', 1)[1] as footer, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[1] as title from pages)
+        select page_id, cast(len(regexp_extract_all(nav, '<a href=')) as int) as links, cast(len(regexp_extract_all(article, '<p>')) as int) as paragraphs,
+          regexp_extract_all(nav, '<ul><li><a href="([^"]*)"', 1)[1] as first_link, regexp_extract_all(html, '<html lang="([^"]*)"', 1)[1] as lang,
+          trim(regexp_replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n]+', ' ', 'g')) as title,
+          trim(regexp_replace(replace(replace(replace(regexp_replace(footer, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n]+', ' ', 'g')) as footer,
+          cast(len(regexp_extract_all(html, '<(div|p|span) class="ad')) as int) as boxes from p""",
+)
+def html_selector_values(spark, folder):
+    return M.selector_values(table(spark, folder, "pages").select("page_id", "html"), {
+        "links": ("count", "nav li > a[href]"), "paragraphs": ("count", "article p"), "first_link": ("attribute", "nav > ul > li > a", "href"),
+        "lang": ("attribute", "html", "lang"), "title": ("text", "head > title"), "footer": ("text", "body > footer"), "boxes": ("count", ".ad"),
+    })
+
+
 @register(
     "expectation_check",
     """with t as (select event_id, event_type, value, props, cast(value as varchar) as vs from events)
