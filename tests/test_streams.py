@@ -67,3 +67,33 @@ def test_silent_request_is_given_up_and_starts_anew(spark, tmp_path):
     stream, close = closable(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     out = run_to_end(lifecycle.track_legs(stream, "1 minute", 60 * 60_000), "ttl", close)
     assert sorted((r.event_id, r.leg, r.state) for r in out.collect()) == [(1, 1, "pending"), (3, 1, "pending")]
+
+
+def test_two_writers_at_once_leave_one_row_a_key(spark, tmp_path):
+    """Both find the key absent and both store it; the log says who was first, also after a replay and for a batch that never committed."""
+    from witnessframe.sources import sinks
+
+    path, schema = str(tmp_path / "out"), "outcome_key STRING, body STRING"
+    rows = lambda app, *keys: spark.createDataFrame([(k, f"{k} of {app}") for k in keys], schema)
+    one, two = outcome_writer(path, schema, "one"), outcome_writer(path, schema, "two")
+    commit = sinks.commit
+    waiting = []
+    try:
+        # Writer one has stored its rows but not committed when writer two comes and goes.
+        sinks.commit = lambda spark, where, app, batch: waiting.append((where, app, batch))
+        one(rows("one", "a", "b"), 0)
+        sinks.commit = commit
+        stored = sinks.stored
+        sinks.stored = lambda spark, where, of: spark.createDataFrame([], of)  # two looked before one had written
+        two(rows("two", "b", "c"), 0)
+        sinks.stored = stored
+    finally:
+        sinks.commit, sinks.stored = commit, stored
+    read = lambda: sorted((r.outcome_key, r.body) for r in sinks.read_store(spark, path, schema, "outcome_key").collect())
+    assert spark.read.parquet(path).where("outcome_key = 'b'").count() == 2
+    assert read() == [("b", "b of two"), ("c", "c of two")]
+    assert commit(spark, *waiting[0]) == 1 == commit(spark, *waiting[0])
+    assert read() == [("a", "a of one"), ("b", "b of two"), ("c", "c of two")]
+    two(rows("two", "b", "c"), 0)
+    assert read() == [("a", "a of one"), ("b", "b of two"), ("c", "c of two")]
+    assert [tuple(r) for r in sinks.committed(spark, path).orderBy("place").collect()] == [("two", 0, 0), ("one", 0, 1)]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_folder
 from ..sources.sinks import outcome_writer
 from ..streaming import lifecycle as L
+from ..streaming import outcomes as O
 from ..streaming import pages as P
 from ..streaming import windows as W
 from ..streaming.run import closable, file_stream, run_batches, run_to_end
@@ -167,3 +168,24 @@ def stream_outcomes_of_two_apps(spark, folder):
         outcomes = events.where(F.col("event_type") == kind).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("outcome_key"), "event_id")
         run_batches(outcomes, outcome_writer(path, "outcome_key STRING, event_id BIGINT", app), f"outcomes-{app}")
     return _outcomes(spark, path).select("outcome_key", "app")
+
+
+@register(
+    "stream_outcome_conflicts",
+    """with a as (select event_id, ts, user_id || ':' || strftime(ts, '%Y-%m-%d') as outcome_key, event_type as body,
+          case when event_id % 11 = 0 then 500 when event_id % 5 <> 0 then 200 end as status, ts >= date_trunc('day', ts) + interval 18 hours as late from events),
+        n as (select *, row_number() over w as attempt, first_value(body) over w as sent from a where not late window w as (partition by outcome_key order by ts, event_id)),
+        r as (select outcome_key, event_id, cast(attempt as int) as attempt, case when attempt > 3 then 'attempt ' || attempt || ' of 3' when body <> sent then 'other bytes than first sent'
+            when status = 500 then 'answered 500' end as reason from n
+          union all select outcome_key, event_id, null, 'sent after the deadline' from a where late)
+        select * from r where reason is not null""",
+)
+def stream_outcome_conflicts(spark, folder):
+    """Deliveries of a day's outcome per user that may not be stored."""
+    events, close = closable(file_stream(spark, folder, "events"))
+    day = F.date_trunc("day", "ts")
+    attempts = events.select(
+        F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("outcome_key"), "ts", "event_id", F.col("event_type").alias("body"),
+        F.when(F.col("event_id") % 11 == 0, 500).when(F.col("event_id") % 5 != 0, 200).alias("status"), (day + F.expr("interval 18 hours")).alias("deadline"),
+    )
+    return run_to_end(O.judged_attempts(attempts, DELAY), "attempts", close).where("reason is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +55,69 @@ def write_evidence(objects: DataFrame, path: str) -> None:
     filed.repartitionByRange("env", "issue_bucket", "issue", *spread[:1]).write.partitionBy("env", "issue_bucket").mode("append").parquet(path)
 
 
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """``app, batch, place``: which batches of the store at ``path`` are committed, in which order."""
+    rows = [(app, int(batch), place) for place, (app, batch) in _commits(spark, path).items()]
+    return spark.createDataFrame(rows, "app STRING, batch BIGINT, place BIGINT")
+
+
+def _commits(spark: SparkSession, path: str) -> dict[int, tuple[str, str]]:
+    """Records of the commit log; one small file name per batch, ``place--batch--app``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return {}
+    names = [f.getPath().getName() for f in system.listStatus(folder)]
+    places = {int(n): None for n in names if n.isdigit()}
+    for place in places:
+        lines = system.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{place:020d}"))
+        places[place] = tuple(spark._jvm.org.apache.commons.io.IOUtils.toString(lines, "UTF-8").split("\n", 1))
+        lines.close()
+    return {place: (app, batch) for place, (batch, app) in sorted(places.items())}
+
+
+def commit(spark: SparkSession, path: str, app: str, batch_id: int) -> int:
+    """The place of (app, batch) in the commit log; takes the next free one unless it has one.
+
+    A record is created only if no other writer has taken its place, so of two writers at once one goes first.
+    """
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    while True:
+        known = _commits(spark, path)
+        for place, of in known.items():
+            if of == (app, str(batch_id)):
+                return place
+        place = max(known, default=-1) + 1
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/{place:020d}")
+        system = target.getFileSystem(hadoop)
+        draft = jvm.org.apache.hadoop.fs.Path(f"{path}/_commits/draft-{uuid.uuid4().hex}")
+        out = system.create(draft, True)
+        out.write(bytearray(f"{batch_id}\n{app}".encode()))
+        out.close()
+        if not system.exists(target) and system.rename(draft, target):
+            return place
+        system.delete(draft, False)
+
+
+def read_store(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """The rows of the store, one per key: of rows that two writers stored at once, that of the batch committed first.
+
+    Batches without a commit record are not read.
+    """
+    rows = stored(spark, path, f"{schema}, app STRING, batch BIGINT, prefix STRING")
+    columns = [c for c in rows.columns if c != key]
+    placed = rows.join(F.broadcast(committed(spark, path)), ["app", "batch"])
+    first = placed.groupBy(key).agg(F.min_by(F.struct(*columns), "place").alias("_row"))
+    return first.select(key, "_row.*").select(rows.columns)
+
+
 def batch_store(path: str, app: str, schema: str, key: str, digest):
     """``foreachBatch`` function that stores the rows of each key once among all apps and batches.
 
     An (app, batch) owns one folder and replaces it, so a batch delivered again rewrites the
-    same rows and can remove no other's. Keys stored elsewhere are left out; they are looked up in
-    the partitions of the batch's own key prefixes. ``app`` names the stream with its
+    same rows and can remove no other's. Keys that batches committed before it have stored are left out; they are looked up in
+    the partitions of the batch's own key prefixes. Two writers at once may both store a key; the commit log says which was
+    first, and ``read_store`` returns that row alone. ``app`` names the stream with its
     checkpoint: a stream that starts anew must come under a new name.
     """
 
@@ -66,8 +125,14 @@ def batch_store(path: str, app: str, schema: str, key: str, digest):
         spark = rows.sparkSession
         filed = rows.withColumn("prefix", F.substring(digest(F.col(key)), 1, 2))
         known = of_prefixes(stored(spark, path, f"{schema}, app STRING, batch BIGINT, prefix STRING"), filed.select("prefix"))
-        other = known.where((F.col("app") != app) | (F.col("batch") != batch_id)).select(key).distinct()
+        log = {of: place for place, of in _commits(spark, path).items()}
+        own = log.get((app, str(batch_id)))
+        # A batch delivered again leaves out what was committed before it was, no more.
+        earlier = [(other_app, int(batch)) for (other_app, batch), place in log.items() if own is None or place < own]
+        before = F.broadcast(spark.createDataFrame(earlier, "app STRING, batch BIGINT"))
+        other = known.join(before, ["app", "batch"], "left_semi").select(key).distinct()
         filed.join(other, key, "left_anti").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/app={app}/batch={batch_id}")
+        commit(spark, path, app, batch_id)
 
     return write
 
