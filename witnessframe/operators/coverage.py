@@ -17,22 +17,30 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, norm_text, tokens
 from ..functions.values import pass_defaults
-from ..plans.ordered import running
+from ..plans.ordered import Cuts, cuts, running
 from ..plans.skew import join_unique, small_side
 from ..session import durable
 
 # Join keys are three characters of a token, or one where it is shorter.
 GRAM = 3
 WINDOW = 4
-CHUNK = 4096
+# Wanted grams that a token is tested against before it is split; beyond, all its grams are looked up.
+MOST_GRAMS = 4096
 
 
-def token_stream(reads: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _by(reads: DataFrame, chunk: Cuts | int | None) -> Cuts | Column:
+    """Where shots with very many passes are cut: as counted, or every ``chunk`` passes."""
+    if isinstance(chunk, int):
+        return F.floor(F.col("seq") / chunk)
+    return chunk or cuts(reads.select("shot_id", "seq"), ["shot_id"], ["seq"])
+
+
+def token_stream(reads: DataFrame, chunk: Cuts | int | None = None) -> DataFrame:
     """Passes with their tokens, the running token position and the next pass's first token."""
     passes = reads.where(~blank(F.col("text"))).select("shot_id", "seq", tokens(F.col("text")).alias("toks"))
     head = F.struct(F.element_at("toks", 1).alias("tok"), F.col("seq").alias("seq"))
     placed = running(
-        passes, ["shot_id"], ["seq"], F.floor(F.col("seq") / chunk),
+        passes, ["shot_id"], ["seq"], _by(reads, chunk),
         sums={"end": F.size("toks").cast("bigint")}, following={"next": head},
     )
     return placed.withColumn("start", F.col("end") - F.size("toks"))
@@ -69,10 +77,18 @@ def _grams(tok: Column) -> Column:
     return F.array_distinct(F.concat(of(1), of(GRAM)))
 
 
-def _inside_tokens(reads: DataFrame, phrases: DataFrame, keys: list[str], extent: tuple[int, int]) -> DataFrame:
-    vocabulary = reads.select("shot_id", "seq", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("shot_id", "tok").agg(F.min("seq").alias("seq"))
-    words = vocabulary.select("shot_id", "tok", "seq", F.explode(_grams(F.col("tok"))).alias("gram"))
+def _inside_tokens(stream: DataFrame, phrases: DataFrame, keys: list[str], extent: tuple[int, int]) -> DataFrame:
+    """Phrases of one token inside the tokens of a shot, each looked up by its first gram.
+
+    Which grams any phrase has is counted first. While they are few, a token is split into those alone, so a gram that no phrase has is never
+    exploded.
+    """
+    vocabulary = stream.select("shot_id", "seq", F.explode(F.array_distinct("toks")).alias("tok")).groupBy("shot_id", "tok").agg(F.min("seq").alias("seq"))
     one = phrases.select(*keys, "phrase", F.left("phrase", _reach(F.col("phrase"))).alias("gram"))
+    wanted = [r[0] for r in one.select("gram").distinct().limit(MOST_GRAMS + 1).collect()]
+    grams = _grams(F.col("tok"))
+    grams = F.filter(grams, lambda g: g.isin(wanted)) if len(wanted) <= MOST_GRAMS else grams
+    words = vocabulary.select("shot_id", "tok", "seq", F.explode(grams).alias("gram"))
     return words.join(small_side(one, *extent), [*keys, "gram"]).where(F.col("tok").contains(F.col("phrase"))).select("shot_id", "phrase", "seq")
 
 
@@ -92,7 +108,7 @@ def _begun(stream: DataFrame, phrases: DataFrame, keys: list[str], sizes: list[t
     )
 
 
-def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: Cuts | int | None = None) -> DataFrame:
     """Earliest pass completing each phrase: (shot_id, phrase, seq).
 
     ``phrases`` holds distinct normalized ``phrase`` texts per ``keys`` (``["shot_id"]``,
@@ -110,10 +126,11 @@ def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: in
     extent = (sum(kind[3] for kind in kinds), sum(kind[4] for kind in kinds))
     sizes = sorted({(a, b) for k, a, b, *_ in kinds if k > 1})
     found = []
+    # Every text is split into tokens once; places, pairs and vocabulary come from there.
+    stream = durable(token_stream(reads, chunk)) if sizes else reads.where(~blank(F.col("text"))).select("shot_id", "seq", tokens(F.col("text")).alias("toks"))
     if any(kind[0] == 1 for kind in kinds):
-        found.append(_inside_tokens(reads, parts.where("k = 1"), keys, extent))
+        found.append(_inside_tokens(stream, parts.where("k = 1"), keys, extent))
     if sizes:
-        stream = token_stream(reads, chunk)
         begun = _begun(stream, parts.where("k > 1"), keys, sizes, extent)
         found.append(begun.where("k = 2").select("shot_id", "phrase", "seq"))
         if any(kind[0] > 2 for kind in kinds):
@@ -135,7 +152,7 @@ def phrase_hits(reads: DataFrame, phrases: DataFrame, keys: list[str], chunk: in
     return both.groupBy("shot_id", "phrase").agg(F.min("seq").alias("seq"))
 
 
-def keyword_hits(reads: DataFrame, keywords: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def keyword_hits(reads: DataFrame, keywords: DataFrame, chunk: Cuts | int | None = None) -> DataFrame:
     """Every non-blank keyword in its original spelling with the first pass that shows it.
 
     ``first_seq`` is null for a keyword no pass completes; duplicates stay separate rows.
@@ -152,7 +169,7 @@ def _fresh(hits: DataFrame) -> DataFrame:
     return hits.where("first_seq is not null").groupBy("shot_id", F.col("first_seq").alias("seq")).agg(F.count(F.lit(1)).alias("fresh"))
 
 
-def shot_levels(reads: DataFrame, hits: DataFrame, shots: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+def shot_levels(reads: DataFrame, hits: DataFrame, shots: DataFrame | None = None, chunk: Cuts | int | None = None) -> DataFrame:
     """One row per shot: n_reads, n_keywords and, given the stop rule, won_seq and final matched.
 
     The winning pass follows from the keyword hits alone, so no pass text is touched here.
@@ -163,7 +180,7 @@ def shot_levels(reads: DataFrame, hits: DataFrame, shots: DataFrame | None = Non
     if shots is None:
         return level
     level = level.join(shots, "shot_id")
-    rising = running(_fresh(hits), ["shot_id"], ["seq"], F.floor(F.col("seq") / chunk), sums={"matched": F.col("fresh")})
+    rising = running(_fresh(hits), ["shot_id"], ["seq"], _by(reads, chunk), sums={"matched": F.col("fresh")})
     rule = counts.join(shots, "shot_id")
     met = F.col("matched") / F.col("n_keywords") >= F.col("min_fraction")
     won = rising.join(rule, "shot_id").groupBy("shot_id").agg(
@@ -183,20 +200,21 @@ def shot_levels(reads: DataFrame, hits: DataFrame, shots: DataFrame | None = Non
     )
 
 
-def pass_fractions(reads: DataFrame, keywords: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def pass_fractions(reads: DataFrame, keywords: DataFrame, chunk: Cuts | int | None = None) -> DataFrame:
     """Passes with ``matched`` (keywords shown so far), ``n_keywords`` and ``fraction``.
 
     A shot without usable keywords has a null fraction.
     """
+    chunk = chunk if isinstance(chunk, int) else _by(reads, chunk)
     hits = durable(keyword_hits(reads, keywords, chunk))
-    return _with_fractions(reads, hits, shot_levels(reads, hits), chunk)
+    return _with_fractions(reads, hits, shot_levels(reads, hits, chunk=chunk), chunk)
 
 
 def _with_fractions(passes: DataFrame, hits: DataFrame, level: DataFrame, chunk: int) -> DataFrame:
     known = join_unique(passes, level, ["shot_id"], "n_reads", ["seq"]).drop("n_reads", "first_read")
     known = known.join(_fresh(hits), ["shot_id", "seq"], "left")
     placed = running(
-        known, ["shot_id"], ["seq"], F.floor(F.col("seq") / chunk), sums={"matched": F.coalesce("fresh", F.lit(0)).cast("bigint")}
+        known, ["shot_id"], ["seq"], _by(passes, chunk), sums={"matched": F.coalesce("fresh", F.lit(0)).cast("bigint")}
     ).drop("fresh")
     return placed.withColumn("fraction", F.when(F.col("n_keywords") > 0, F.col("matched") / F.col("n_keywords")))
 
@@ -207,18 +225,20 @@ def _allowed() -> Column:
     )
 
 
-def passes_read(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def passes_read(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: Cuts | int | None = None) -> DataFrame:
     """The passes an early-stopping reader performs, with ``won_seq`` of the shot.
 
     Reading stops with the first pass at or over the floor. The fallback wave follows
     only where keywords exist and stay unmet; without keywords every ordinary pass is read.
     """
+    chunk = chunk if isinstance(chunk, int) else _by(reads, chunk)
     hits = durable(keyword_hits(reads, keywords, chunk))
     return _with_fractions(reads, hits, shot_levels(reads, hits, shots, chunk), chunk).where(_allowed())
 
 
-def outcomes(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def outcomes(reads: DataFrame, keywords: DataFrame, shots: DataFrame, chunk: Cuts | int | None = None) -> DataFrame:
     """One row per shot: winning pass, final coverage and how much was read."""
+    chunk = chunk if isinstance(chunk, int) else _by(reads, chunk)
     hits = durable(keyword_hits(reads, keywords, chunk))
     level = shot_levels(reads, hits, shots, chunk)
     # every pass text is followed by one line break
