@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -118,6 +121,25 @@ def passes_read(spark, folder):
     return kept.select("shot_id", "seq", "wave", "won_seq", "matched")
 
 
+def reading(image, one):
+    """A caller's reader in Arrow batches: the text that pass ``one`` reads from a frame, here a JSON object of texts by pass."""
+
+    def read(frames: pd.Series, passes: pd.Series) -> pd.Series:
+        return pd.Series([json.loads(frame).get(str(n)) for frame, n in zip(frames, passes)], dtype=object)
+
+    return F.pandas_udf(read, "string")(image, one)
+
+
+@register("coverage_reader", f"with {SQL_READS}, {sql_border(1, 1)}, {SQL_SCORED}, {sql_read(0.5)} select shot_id, seq, wave from kept")
+def reader(spark, folder):
+    """Passes that a reader performs when it is called pass by pass, and only while a shot still needs it."""
+    r = reads(spark, folder)
+    texts = F.map_from_entries(F.collect_list(F.struct(F.col("seq").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("value"))))
+    frames = r.groupBy("shot_id").agg(F.to_json(texts).alias("image"))  # a conversation is one frame
+    planned = r.select("shot_id", "seq", "wave", F.col("seq").alias("pass"))
+    return C.read_until_met(planned, frames, reading, border_keywords(spark, folder, 1, 1), shots(spark, folder, 0.5)).select("shot_id", "seq", "wave")
+
+
 @register(
     "coverage_pass_totals",
     f"""with {SQL_READS}, {sql_border(1, 1)}, {SQL_SCORED}, {sql_read(0.5)} select shot_id, count(*) as passes_read, cast(sum(length(text) % 7) as bigint) as resample_ms,

@@ -157,8 +157,15 @@ def keyword_hits(reads: DataFrame, keywords: DataFrame, chunk: Cuts | int | None
 
     ``first_seq`` is null for a keyword no pass completes; duplicates stay separate rows.
     """
-    wanted = keywords.where(~blank(F.col("keyword"))).withColumn("phrase", norm_text(F.col("keyword")))
-    hits = phrase_hits(reads, wanted.select("shot_id", "phrase").distinct(), ["shot_id"], chunk)
+    wanted = _wanted(keywords)
+    return _first_seen(wanted, phrase_hits(reads, wanted.select("shot_id", "phrase").distinct(), ["shot_id"], chunk))
+
+
+def _wanted(keywords: DataFrame) -> DataFrame:
+    return keywords.where(~blank(F.col("keyword"))).withColumn("phrase", norm_text(F.col("keyword")))
+
+
+def _first_seen(wanted: DataFrame, hits: DataFrame) -> DataFrame:
     return wanted.join(hits.withColumnRenamed("seq", "first_seq"), ["shot_id", "phrase"], "left").select(
         "shot_id", "kw_pos", "keyword", "first_seq"
     )
@@ -267,24 +274,36 @@ def pass_totals(kept: DataFrame) -> DataFrame:
 
 def read_until_met(planned: DataFrame, frames: DataFrame, reader, keywords: DataFrame, shots: DataFrame) -> DataFrame:
     """Read planned passes with a caller's text reader, one round per pass over the shots
-    that still need it.
+    that still need it. A round looks for keywords in its own texts and the last tokens before them only; what earlier rounds found is kept.
 
     planned: shot_id, seq, wave, pass; frames: shot_id, image. ``reader(image, pass)``
     returns a text Column, usually an Arrow pandas UDF. Rounds follow the length of the
     longest request (a short list), and every round's texts are stored once.
     """
     rounds = planned.agg(F.max("seq")).first()[0]
-    reads = None
+    wanted = durable(_wanted(keywords))
+    phrases = wanted.select("shot_id", "phrase").distinct()
+    before = (wanted.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1) - 1
+    reads = found = tails = None
     for seq in range(0 if rounds is None else rounds + 1):
         due = planned.where(F.col("seq") == seq)
         if reads is not None:
-            hits = durable(keyword_hits(reads, keywords))
-            level = shot_levels(reads, hits, shots)
+            level = shot_levels(reads, _first_seen(wanted, found), shots)
             due = due.join(level.where("won_seq is not null").select("shot_id"), "shot_id", "left_anti")
             unkeyed = level.where("n_keywords = 0").select("shot_id", F.lit("fallback").alias("wave"))
             due = due.join(unkeyed, ["shot_id", "wave"], "left_anti")
         fresh = durable(due.join(frames, "shot_id").select("shot_id", "seq", "wave", reader(F.col("image"), F.col("pass")).alias("text")))
         reads = fresh if reads is None else reads.unionByName(fresh)
+        # A keyword that begins in an earlier pass needs no more of it than the last tokens.
+        seen = fresh.select("shot_id", "seq", "text")
+        if tails is not None:
+            seen = seen.join(tails, "shot_id", "left").select("shot_id", "seq", F.concat_ws(" ", "tail", "text").alias("text"))
+        new = phrase_hits(seen, phrases, ["shot_id"])
+        found = durable(new if found is None else found.unionByName(new).groupBy("shot_id", "phrase").agg(F.min("seq").alias("seq")))
+        toks = tokens(F.col("text"))
+        last = F.array_join(F.slice(toks, F.greatest(F.size(toks) - before + 1, F.lit(1)), F.lit(before)), " ") if before else F.lit("")
+        kept = seen.select("shot_id", last.alias("tail"))
+        tails = durable(kept if tails is None else kept.unionByName(tails.join(kept.select("shot_id"), "shot_id", "left_anti")))
     return reads
 
 
