@@ -151,6 +151,25 @@ def statement_check(spark, folder):
     return L.check_statements(stored, now, ["doc_id"], rules).select("doc_id", "all_ok", "failed_rule")
 
 
+@register(
+    "ledger_receipt_check",
+    """select doc_id, rule as failed_rule, rule is null as all_ok from (select doc_id, case doc_id % 12 when 1 then 'manifest' when 2 then 'key id' when 3 then 'bucket' when 4 then 'key'
+        when 5 then 'version' when 6 then 'ci.env' when 7 then 'ci.target-sha' when 8 then 'body' when 9 then 'object' end as rule from documents)""",
+)
+def receipt_check(spark, folder):
+    """Stored statements, nine kinds in twelve of which differ in one thing from what is published again."""
+    kind = F.col("doc_id") % 12
+    other = lambda n, name: F.when(kind == n, F.concat(F.col(name), F.lit("x"))).otherwise(F.col(name)).alias(name)
+    now = identified(spark, folder).withColumn("observed", F.map_concat("observed", F.create_map(F.lit("ci.env"), F.col("lang"), F.lit("ci.target-sha"), F.left("sha256", F.lit(40)))))
+    facts = F.transform_values("observed", lambda k, v: F.when(((k == "ci.env") & (kind == 6)) | ((k == "ci.target-sha") & (kind == 7)), F.concat(v, F.lit("x"))).otherwise(v))
+    kept = [c for c in now.columns if c not in ("bucket", "key", "version_id", "observed")]
+    saved = now.select(*kept, other(3, "bucket"), other(4, "key"), other(5, "version_id"), facts.alias("observed"))
+    saved = L.statements(saved, HEADER).withColumns({"key_id": F.when(kind == 2, "k2").otherwise("k1"), "body": block(saved)})
+    saved = saved.withColumns({"manifest": F.when(kind == 1, F.concat("manifest", F.lit("x"))).otherwise(F.col("manifest")), "body": F.when(kind == 8, "gone").otherwise(F.col("body"))})
+    checked = L.check_receipts(saved, now.where("doc_id % 12 <> 9"), ["doc_id"], block(saved), HEADER, "k1", "eu-west-9")
+    return checked.select("doc_id", "failed_rule", "all_ok")
+
+
 def executions(spark, folder):
     o = table(spark, folder, "orders")
     return o.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import iso_ms, manifest_line, metadata_value, safe_segment
+from ..functions.text import iso_ms, manifest_line, metadata_value, public_url, safe_segment
 from ..functions.values import js_string, let, variant_kind, variant_number, variant_text, variant_truthy
 from ..plans.skew import join_unique
 
@@ -114,11 +114,34 @@ def reuse_receipts(objects: DataFrame, comments: DataFrame, body: str, tag: str)
 def check_statements(stored: DataFrame, objects: DataFrame, on: list[str], rules: dict[str, tuple[str, str]]) -> DataFrame:
     """Compare stored statements with recomputed ones; the first failing rule is named.
 
-    ``rules`` maps a rule name to the (stored, recomputed) columns; nulls equal nulls.
+    ``rules`` maps a rule name to the (stored, recomputed) columns; nulls equal nulls. A statement
+    without its object fails the rule ``object``.
     """
-    pairs = stored.join(objects, on)
-    failures = [F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(name)) for name, (a, b) in rules.items()]
-    return pairs.withColumn("failed_rule", F.coalesce(*failures)).withColumn("all_ok", F.col("failed_rule").isNull())
+    pairs = stored.join(objects.withColumn("_found", F.lit(True)), on, "left")
+    failures = [F.when(F.col("_found").isNull(), F.lit("object"))]
+    failures += [F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(name)) for name, (a, b) in rules.items()]
+    return pairs.withColumn("failed_rule", F.coalesce(*failures)).withColumn("all_ok", F.col("failed_rule").isNull()).drop("_found")
+
+
+# The observed facts in which a stored statement must agree with the run that reuses it.
+RUN_FACTS = ("ci.env", "ci.target-sha")
+
+
+def check_receipts(stored: DataFrame, objects: DataFrame, on: list[str], text: Column, header: str, key_id: str, region: str) -> DataFrame:
+    """Whether stored statements may stand for objects that are published again; the first failing rule is named.
+
+    stored: ``on``, the object fields of the statement, observed, manifest, key_id and body, the comment it was published in. objects: ``on``, bucket, key,
+    version_id, observed. A statement must hold together by itself (its manifest is that of its own fields, its key is ``key_id``) and then name the same object under
+    the same address, agree in the run's facts, and have been published as ``text``, computed from it. Signatures are not checked here.
+    """
+    url = public_url(F.col("bucket"), F.col("key"), F.col("version_id"), region)
+    facts = {f"_fact{i}": F.element_at("observed", name) for i, name in enumerate(RUN_FACTS)}
+    places = {"bucket": "bucket", "key": "key", "version": "version_id", "url": "url"}
+    mine = stored.withColumns({"url": url, "_manifest": canonical_manifest(F.col("observed"), header), "_key": F.lit(key_id), "_text": text} | facts)
+    now = objects.withColumns({"url": url} | facts).select(*on, *[F.col(c).alias(f"now_{c}") for c in (*places.values(), *facts)])
+    rules = {"manifest": ("manifest", "_manifest"), "key id": ("key_id", "_key")} | {rule: (c, f"now_{c}") for rule, c in places.items()}
+    rules |= {name: (f"_fact{i}", f"now__fact{i}") for i, name in enumerate(RUN_FACTS)} | {"body": ("body", "_text")}
+    return check_statements(mine, now, on, rules).select(*stored.columns, "failed_rule", "all_ok")
 
 
 def latest_execution(executions: DataFrame) -> DataFrame:
