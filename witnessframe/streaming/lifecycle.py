@@ -73,7 +73,7 @@ class LegTracker(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         leg, is_open, ts, opened, url, told, responded, cached, last_ms = self.leg.get()
-        if last_ms + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
+        if last_ms + self.ttl_ms > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(last_ms + self.ttl_ms)
             return
         self.leg.clear()

@@ -113,7 +113,7 @@ class Navigations(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         _, last_ms = self.page.get()
-        if last_ms + self.ttl_ms > expiredTimerInfo.getExpiryTimeInMs():
+        if last_ms + self.ttl_ms > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(last_ms + self.ttl_ms)
             return
         for what, state in self.open.items():
