@@ -157,9 +157,14 @@ def sample_step(width: Column, height: Column, most: int = 1_500_000) -> Column:
     """
     w, h = width.cast("bigint"), height.cast("bigint")
     last = F.ceil(F.sqrt(w * h / F.lit(float(most)))).cast("int") + 1
-    fits = F.filter(F.sequence(F.lit(1), last), lambda s: F.floor(w / s) * F.floor(h / s) <= most)
+
+    def beyond(s, k):  # the product never grows with s, so the last s beyond the budget is found bit by bit
+        t = s + F.call_function("shiftleft", F.lit(1), k)
+        return F.when(F.floor(w / t) * F.floor(h / t) > most, t).otherwise(s)
+
+    found = F.aggregate(F.sequence(F.floor(F.log2(last)).cast("int"), F.lit(0), F.lit(-1)), F.lit(0), beyond) + 1
     # Most frames need no thinning, so the search is only made beyond that.
-    return F.when(w * h <= most, F.lit(1)).otherwise(F.element_at(fits, F.lit(1)))
+    return F.when(w * h <= most, F.lit(1)).otherwise(found)
 
 
 def numeric_members(m: Column) -> Column:
