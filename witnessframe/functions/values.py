@@ -20,23 +20,32 @@ def let(value: Column, body) -> Column:
 def js_string(number: Column) -> Column:
     """``String(x)`` of a double: whole numbers without ``.0``, no exponent, all digits."""
     x = number.cast("double")
-    # The shortest digits are those of the scientific form; only their point moves.
-    shown = F.regexp_extract(F.abs(x).cast("string"), r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 1)
-    part = F.regexp_extract(F.abs(x).cast("string"), r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 2)
-    power = F.coalesce(F.regexp_extract(F.abs(x).cast("string"), r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.concat(shown, F.nvl2(F.nullif(part, F.lit("0")), part, F.lit("")))
-    at = F.length(shown) + power
-    unsigned = (
-        F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
-        .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits))))
-    )
+
+    def moved(text: Column) -> Column:
+        # The shortest digits are those of the scientific form; only their point moves.
+        shown = F.regexp_extract(text, r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 1)
+        part = F.regexp_extract(text, r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", 2)
+        power = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        digits = F.concat(shown, F.nvl2(F.nullif(part, F.lit("0")), part, F.lit("")))
+        return let(F.struct(digits.alias("digits"), (F.length(shown) + power).alias("at")), lambda n: placed(n["digits"], n["at"]))
+
+    def placed(digits: Column, at: Column) -> Column:
+        return (
+            F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), digits))
+            .when(at >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), at - F.length(digits))))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.length(digits))))
+        )
+
+    unsigned = let(F.abs(x).cast("string"), moved)
     plain = F.concat(F.when(x < 0, "-").otherwise(""), unsigned)
     return (
         F.when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Infinity")
         .when(x == float("-inf"), "-Infinity")
+        .when((x == F.rint(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string"))
         .when((x == F.rint(x)) & (F.abs(x) < 1e21), x.try_cast("decimal(22,0)").cast("string"))
+        # In this range a double's text has no exponent.
+        .when((F.abs(x) >= 1e-3) & (F.abs(x) < 1e7), x.cast("string"))
         .otherwise(plain)
     )
 
@@ -61,11 +70,11 @@ def truthy_text(s: Column) -> Column:
 
 def variant_kind(v: Column) -> Column:
     """``number``, ``text``, ``flag``, ``null``, ``list`` or ``object`` of a VARIANT; null for a missing one."""
-    shown = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string")).when(shown == "VOID", "null").when(shown == "BOOLEAN", "flag").when(shown == "STRING", "text")
+    kind = lambda shown: (
+        F.when(shown.isNull(), F.lit(None).cast("string")).when(shown == "VOID", "null").when(shown == "BOOLEAN", "flag").when(shown == "STRING", "text")
         .when(shown.startswith("ARRAY"), "list").when(shown.startswith("OBJECT"), "object").otherwise("number")
     )
+    return let(F.schema_of_variant(v), kind)
 
 
 def variant_truthy(v: Column) -> Column:
