@@ -68,35 +68,40 @@ def spec_errors(n_passes: Column, scale: Column, min_fraction: Column, n_fallbac
         F.when(has_stop_rule & ~F.coalesce(min_fraction.between(0, 1), F.lit(False)), "ocr.stop_when.min_fraction must be a number in [0, 1]"),
         F.when((n_fallback > 0) & ~has_stop_rule, "ocr.fallback needs ocr.stop_when: without keywords it could never run"),
     ]
-    return F.filter(F.array(*rules), lambda e: e.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(rule.isNotNull(), F.array(rule)).otherwise(none) for rule in rules])
 
 
 def pass_error(v: Column, what: str) -> Column:
     """First rule that a reading pass given as VARIANT breaks, null for a good one."""
 
-    def member(name: str) -> Column:
-        return F.try_variant_get(v, f"$.{name}", "variant")
-
     def absent(kind: Column) -> Column:
         return kind.isNull() | (kind == "null")
 
-    def number(name: str, whole: bool) -> list[Column]:
-        kind, x = variant_kind(member(name)), F.try_variant_get(v, f"$.{name}", "double")
-        good = (kind == "number") & (x >= 0) & (x < float("inf"))
-        rules = [F.when(~absent(kind) & ~F.coalesce(good, F.lit(False)), F.lit(f"{what}.{name} must be a non-negative number"))]
-        if whole:
-            rules.append(F.when((kind == "number") & (x != F.floor(x)), F.lit(f"{what}.{name} must be an integer")))
-        return rules
-
-    lang = variant_kind(member("lang"))
-    scale = F.coalesce(F.nullif(F.try_variant_get(v, "$.upscale", "double"), F.lit(0.0)), F.lit(1.0))
-    factor = F.concat(F.lit(f"{what}.upscale: scale "), js_string(scale), F.lit(" must be in (0, 1] or a whole factor 2..4"))
-    return F.coalesce(
-        F.when(F.coalesce(variant_kind(v), F.lit("")) != "object", F.lit(f"{what} must be an object")),
-        F.when(~absent(lang) & (lang != "text"), F.lit(f"{what}.lang must be a string")),
-        *number("psm", True), *number("dpi", True), *number("upscale", False), *number("pixel_budget", True),
-        F.when(~valid_scale(scale), factor),
-    )
+    # Every member is looked up once.
+    names = ("psm", "dpi", "upscale", "pixel_budget")
+    kinds = [variant_kind(F.try_variant_get(v, f"$.{name}", "variant")).alias(f"{name}_kind") for name in (*names, "lang")]
+    numbers = [F.try_variant_get(v, f"$.{name}", "double").alias(name) for name in names]
+
+    def rules(m: Column) -> Column:
+        def number(name: str, whole: bool) -> list[Column]:
+            kind, x = m[f"{name}_kind"], m[name]
+            good = (kind == "number") & (x >= 0) & (x < float("inf"))
+            found = [F.when(~absent(kind) & ~F.coalesce(good, F.lit(False)), F.lit(f"{what}.{name} must be a non-negative number"))]
+            if whole:
+                found.append(F.when((kind == "number") & (x != F.floor(x)), F.lit(f"{what}.{name} must be an integer")))
+            return found
+
+        scale = F.coalesce(F.nullif(m["upscale"], F.lit(0.0)), F.lit(1.0))
+        factor = F.concat(F.lit(f"{what}.upscale: scale "), js_string(scale), F.lit(" must be in (0, 1] or a whole factor 2..4"))
+        return F.coalesce(
+            F.when(~absent(m["lang_kind"]) & (m["lang_kind"] != "text"), F.lit(f"{what}.lang must be a string")),
+            *number("psm", True), *number("dpi", True), *number("upscale", False), *number("pixel_budget", True),
+            F.when(~valid_scale(scale), factor),
+        )
+
+    shaped = F.coalesce(variant_kind(v), F.lit("")) == "object"
+    return F.when(~shaped, F.lit(f"{what} must be an object")).otherwise(let(F.struct(*kinds, *numbers), rules))
 
 
 def expectation_failure(value_json: Column, value_number: Column, value_text: Column, value_truthy: Column,
