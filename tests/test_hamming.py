@@ -57,3 +57,20 @@ def test_negative_distance_and_odd_rows(spark):
     assert hamming.near_pairs(df.limit(0), 3).count() == 0
     with pytest.raises(ValueError):
         hamming.near_pairs(df, -1)
+
+
+def test_signatures_much_alike_are_not_dealt_to_bands(spark, monkeypatch):
+    """Pairs that meet in most bands are compared once, in few blocks."""
+    draw = np.random.default_rng(5)
+    bits = np.unique((draw.random((3000, 512)) < 0.03).astype(np.uint8), axis=0)
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    dealt, exact = [], hamming._exact
+    monkeypatch.setattr(hamming, "_exact", lambda rows, distance, block: dealt.append(rows.count()) or exact(rows, distance, block))
+    df = spark.createDataFrame([(i, [int(x) for x in w.view(np.int64)]) for i, w in enumerate(words)], "image long, words array<long>")
+    found = [tuple(r) for r in hamming.near_pairs(df, 16, 64).collect()]
+    assert dealt == [len(words)] and len(found) == len(set(found)) and set(found) == {p for k in range(0, len(words), 300) for p in near_from(words, k, 16)}
+
+
+def near_from(words, k, distance):
+    near = np.bitwise_count(words[k : k + 300, None, :] ^ words[None, :, :]).sum(axis=2)
+    return {(int(i) + k, int(j), int(near[i, j])) for i, j in zip(*np.nonzero(near <= distance)) if i + k < j}

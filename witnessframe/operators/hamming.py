@@ -19,6 +19,10 @@ LEVELS = 3  # how often a bucket is cut finer
 MOST_FLIPS = 2
 WIDEST = 24  # bits of a band that is probed with flips
 INDEX, PROBE, BOTH = 0, 1, 2
+MOST_MET = 0.5  # bands in which pairs of a bucket meet more often than this share of them save nothing
+FEW_BLOCKS = 16  # as many blocks of a bucket keep the tasks busy; only then do blocks grow, up to GROWN times
+GROWN = 8
+TILE = 128, 4096  # signatures compared in one step
 DEALING = 8  # to deal one row costs as much as to compare an eighth of a block with it
 _ONE = np.uint64(1)
 
@@ -53,6 +57,18 @@ def plan(bits: list[int], n: int, distance: int, block: int = BLOCK) -> tuple[li
     return [], 0
 
 
+def met(bands: list[list[int]], flips: int, differs: dict[int, float]) -> float:
+    """Expected share of a bucket's pairs that meet in its bands, a pair in several bands counted in each; ``differs``: how often two signatures differ in a bit."""
+    total = 0.0
+    for band in bands:
+        at_most = [1.0] + [0.0] * flips  # of exactly so many differing bits
+        for bit in band:
+            q = differs[bit]
+            at_most = [(1 - q) * p + (q * at_most[k - 1] if k else 0.0) for k, p in enumerate(at_most)]
+        total += sum(at_most)
+    return total * (2 if flips else 1)
+
+
 def _keys(matrix: np.ndarray, band: list[int], seed: int) -> np.ndarray:
     """64-bit values of a band: its bits where they fit, else a hash of them."""
     chosen = matrix[:, band].astype(np.uint64)
@@ -81,7 +97,12 @@ def _plans(distance: int, block: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plans = [plan(bits, n, distance, block) for n, bits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            plans = []
+            for n, ranked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                bands, flips = plan([r["bit"] for r in ranked], n, distance, block)
+                # Signatures that are much alike meet in most bands, several times over; they are compared in blocks at once.
+                saves = met(bands, flips, {r["bit"]: (1 - (r["bias"] / n) ** 2) / 2 for r in ranked}) <= MOST_MET
+                plans.append((bands, flips) if saves else ([], 0))
             bands = pa.array([p[0] for p in plans], pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([p[1] for p in plans], pa.int32())], ["bucket", "_n", "bands", "flips"])
 
@@ -130,6 +151,20 @@ def _flips(width: int, most: int) -> list[np.uint64]:
     return masks
 
 
+def _products(start: int, end: int, crossed: bool, side: np.ndarray, half: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """What to compare with what in the rows of a (bucket, block), so that every pair is met once if no side is looked up in the other; ``ordered``: only with rows further on."""
+    if end - start < 2:
+        return
+    one_sided = bool(np.any(side != BOTH))
+    index, probe = side != PROBE, side != INDEX
+    if not crossed:
+        yield start + np.flatnonzero(index), start + np.flatnonzero(probe), not one_sided
+        return
+    yield start + np.flatnonzero(index & (half == 0)), start + np.flatnonzero(probe & (half == 1)), False
+    if one_sided:
+        yield start + np.flatnonzero(index & (half == 1)), start + np.flatnonzero(probe & (half == 0)), False
+
+
 def _compare(distance: int):
     """Pairs within ``distance`` inside each (bucket, block) of a lot of rows."""
 
@@ -140,28 +175,27 @@ def _compare(distance: int):
         images, words = table.column("image").to_numpy()[order], _rows(table.column("words"))[order]
         side, half = table.column("side").to_numpy()[order], table.column("half").to_numpy()[order]
         ends = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
+        columns = np.ascontiguousarray(words.T)
         found_a, found_b, found_d = [], [], []
         for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(group)]):
-            if end - start < 2:
-                continue
-            crossed = group[start, 1] != group[start, 2]
-            left = start + np.flatnonzero(side[start:end] != PROBE)
-            right = start + np.flatnonzero(side[start:end] != INDEX)
-            for low in range(0, len(left), 128):
-                a = left[low : low + 128]
-                near = np.bitwise_count(words[a][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int32)
-                hit = (near <= distance) & (images[a][:, None] != images[right][None, :])
-                if crossed:
-                    hit &= half[a][:, None] != half[right][None, :]
-                i, j = np.nonzero(hit)
-                one, two = images[a[i]], images[right[j]]
-                found_a.append(np.minimum(one, two))
-                found_b.append(np.maximum(one, two))
-                found_d.append(near[i, j])
+            for left, right, ordered in _products(start, end, group[start, 1] != group[start, 2], side[start:end], half[start:end]):
+                for low in range(0, len(left), TILE[0]):
+                    a = left[low : low + TILE[0]]
+                    for from_ in range(low if ordered else 0, len(right), TILE[1]):
+                        b = right[from_ : from_ + TILE[1]]
+                        near = np.zeros((len(a), len(b)), np.uint16)
+                        for word in columns:
+                            near += np.bitwise_count(word[a][:, None] ^ word[b][None, :])
+                        i, j = np.nonzero(near <= distance)
+                        kept = (images[a[i]] != images[b[j]]) & (~np.bool_(ordered) | (a[i] < b[j]))
+                        i, j = i[kept], j[kept]
+                        one, two = images[a[i]], images[b[j]]
+                        found_a.append(np.minimum(one, two))
+                        found_b.append(np.maximum(one, two))
+                        found_d.append(near[i, j].astype(np.int32))
         if not found_a:
             return pa.table({"image_a": pa.array([], pa.int64()), "image_b": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
-        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_d)], axis=1), axis=0)
-        return pa.table({"image_a": pairs[:, 0], "image_b": pairs[:, 1], "distance": pairs[:, 2].astype(np.int32)})
+        return pa.table({"image_a": np.concatenate(found_a), "image_b": np.concatenate(found_b), "distance": np.concatenate(found_d)})
 
     return work
 
@@ -172,9 +206,10 @@ PAIRS = "image_a long, image_b long, distance int"
 def _exact(rows: DataFrame, distance: int, block: int) -> DataFrame:
     """All pairs within the distance inside the buckets of ``rows(bucket, n, image, words, side)``.
 
-    A bucket of more than ``block`` rows is cut into blocks by a hash of the image, and every two of its blocks meet. Small buckets share a call of Python.
+    A bucket of more than ``block`` rows is cut into blocks by a hash of the image, and every two of its blocks meet, so a row is dealt to as many places
+    as there are blocks: large buckets have larger blocks. Small buckets share a call of Python.
     """
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / block), F.greatest(F.ceil(F.col("n") / (block * GROWN)), F.lit(FEW_BLOCKS))), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("image"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y"), (F.col("own") > k).cast("int").alias("half")))
     dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("m", F.explode(meets)).select("bucket", "m.x", "m.y", "m.half", "image", "words", "side")
@@ -190,7 +225,7 @@ def near_pairs(signatures: DataFrame, distance: int, block: int = BLOCK) -> Data
     -> ``image_a < image_b, distance``. All start in one bucket. A bucket of at most ``block`` signatures is compared as a whole, in numpy. A larger one is cut:
     its bits are counted, those that never differ are left out, and the others are dealt, most even ones first, over enough bands that
     two signatures within the distance agree in one of them but for a few bits (``plan``); one side of a pair
-    is looked up with these bits flipped. Each band's value is a bucket of the next level, where the bits are counted anew. A bucket that
+    is looked up with these bits flipped. Bands that would not at least halve the pairs to compare (``met``) are not used. Each band's value is a bucket of the next level, where the bits are counted anew. A bucket that
     keeps over half of its parent's rows, or is still large after LEVELS levels, is compared in blocks, so no pair is lost whatever the signatures are like.
     """
     if distance < 0:
@@ -198,7 +233,7 @@ def near_pairs(signatures: DataFrame, distance: int, block: int = BLOCK) -> Data
     start = signatures.where("image is not null").select(F.lit(0).cast("bigint").alias("bucket"), F.col("image").cast("long").alias("image"), "words")
     level = durable(start.withColumns({"side": F.lit(BOTH), "parent": F.lit(None).cast("bigint")}))
     columns = ["bucket", "n", "image", "words", "side"]
-    found = []
+    found, cut = [], False
     for depth in range(LEVELS + 1):
         sides = [F.count_if(F.col("side") != PROBE).alias("_left"), F.count_if(F.col("side") != INDEX).alias("_right")]
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), *sides)
@@ -213,15 +248,17 @@ def near_pairs(signatures: DataFrame, distance: int, block: int = BLOCK) -> Data
         counts = ones.groupBy("bucket", "bit").agg(F.sum("ones").alias("ones"), F.sum("rows").alias("rows")).where("ones > 0 and ones < rows")
         ranked = F.sort_array(F.collect_list(F.struct(F.abs(2 * F.col("ones") - F.col("rows")).alias("bias"), "bit")))
         # As many entries as a signature has bits. Distinct signatures differ in some bit, so every large bucket has a row.
-        bits = counts.groupBy("bucket").agg(F.max("rows").alias("_n"), F.transform(ranked, lambda r: r["bit"]).alias("bits"))
+        bits = counts.groupBy("bucket").agg(F.max("rows").alias("_n"), ranked.alias("bits"))
         plans = bits.mapInArrow(_plans(distance, block), "bucket long, _n long, bands array<array<int>>, flips int")
         large = durable(join_unique(large.select(columns), plans, ["bucket"], "_n", ["image"]).drop("_n"))
         able = F.size("bands") > 0
         found.append(large.where(~able).select(columns))
+        cut = True
         finer = large.where(able).mapInArrow(_finer(), "of long, band int, value long, image long, words array<long>, side int, parent long")
         level = durable(finer.select(F.xxhash64("of", "band", "value").alias("bucket"), "image", "words", "side", "parent"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.union(more)
+    pairs = _exact(rows, distance, block)
     # A pair may meet in several bands.
-    return _exact(rows, distance, block).distinct()
+    return pairs.distinct() if cut else pairs
