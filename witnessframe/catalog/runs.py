@@ -64,13 +64,21 @@ def html_selector_values(spark, folder):
     })
 
 
+# A double as to_json writes it: plain from a thousandth up to ten millions, else one digit before the point and an exponent.
+SQL_JSON_NUMBER = """case when value is null then 'undefined' when isnan(value) then '"NaN"' when isinf(value) then case when value > 0 then '"Infinity"' else '"-Infinity"' end
+          when value = 0 or (abs(value) >= 0.001 and abs(value) < 10000000) then cast(value as varchar)
+          else regexp_replace(regexp_replace(
+            list_filter(list_transform(range(17), lambda p: format('{:.' || p || 'e}', value)), lambda s: cast(s as double) = value)[1], 'e[+]?(-?)0*([0-9])', 'E\\1\\2'), '^(-?[0-9])E', '\\1.0E') end"""
+
+
 @register(
     "expectation_check",
-    """with t as (select event_id, event_type, value, props, cast(value as varchar) as vs from events)
+    f"""with t as (select event_id, event_type, value, props, {SQL_JSON_NUMBER} as vs from events)
         select event_id, case event_type
-          when 'view' then case when not value >= 5.5 then 'expected >= 5.5, got ' || vs when not value <= 20 then 'expected <= 20, got ' || vs end
-          when 'click' then case when not contains(props, '6') then 'expected to contain "6"' end
-          when 'error' then case when true <> false then 'expected truthy=false, got ' || vs end
+          when 'view' then case when not coalesce(not isnan(value) and value >= 5.5, false) then 'expected >= 5.5, got ' || vs
+            when not (value <= 20) then 'expected <= 20, got ' || vs end
+          when 'click' then case when not coalesce(contains(props, '6'), false) then 'expected to contain "6"' end
+          when 'error' then case when coalesce(value <> 0 and not isnan(value), false) then 'expected truthy=false, got ' || vs end
           when 'purchase' then case when vs <> '10.5' then 'expected 10.5, got ' || vs end end as failure from t""",
 )
 def expectation_check(spark, folder):
