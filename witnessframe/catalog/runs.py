@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import _invalid_charrefs, _invalid_codepoints
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -47,15 +50,41 @@ def html_values(spark, folder):
     )
 
 
+# Fixed values of the markup language, as the standard library has them: references by name, and numbers that stand for other characters or none.
+def _signs(values) -> str:
+    return ", ".join(f"({key!r}, {' || '.join(f'chr({ord(c)})' for c in sign)})" for key, sign in values)
+
+
+SQL_NAMED, SQL_NUMBERED = _signs(html5.items()), _signs(_invalid_charrefs.items())
+SQL_NEVER = ", ".join(map(str, sorted(_invalid_codepoints)))
+# Every piece after an ampersand begins with a number, with or without a semicolon, or with the longest name that is known, or it is plain text.
+SQL_DECODED = rf"""named(name, sign) as (values {SQL_NAMED}), numbered(n, sign) as (values {SQL_NUMBERED}),
+        piece as (select page_id, what, unnest(string_split(value, '&')) as t, generate_subscripts(string_split(value, '&'), 1) as i from raw where value is not null),
+        word as (select page_id, what, i, max(length(name)) as size from piece join named on i > 1 and starts_with(t, name) group by all),
+        number as (select page_id, what, i, length(code) as size, coalesce(case when lower(code[2]) = 'x' then try_cast('0x' || rtrim(code[3:], ';') as bigint) else try_cast(rtrim(code[2:], ';') as bigint) end, 1114112) as n
+          from (select *, regexp_extract(t, '^#([0-9]+|[xX][0-9a-fA-F]+);?') as code from piece where i > 1) where code <> ''),
+        shown as (select page_id, what, p.i, case when p.i = 1 then t when c.n is not null then t[c.size + 1:] when w.size is not null then t[w.size + 1:] else '&' || t end as rest,
+            case when c.n is not null then case when d.sign is not null then d.sign when c.n between 55296 and 57343 or c.n > 1114111 then chr(65533) when c.n in ({SQL_NEVER}) then '' else chr(c.n::int) end
+              when w.size is not null then s.sign else '' end as sign
+          from piece p left join number c using (page_id, what, i) left join numbered d on d.n = c.n left join word w using (page_id, what, i) left join named s on s.name = t[:w.size]),
+        decoded as (select page_id, what, string_agg(sign || rest, '' order by i) as value from shown group by all)"""
+# Each run of what Python takes for white space is one space, and tags, marked so that no reference spans them, are nothing.
+SQL_ONE_LINE = r"trim(regexp_replace(replace({}, chr(1), ''), '[\t-\r\x{{1c}}-\x{{20}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
 @register(
     "html_selector_values",
-    r"""with p as (select page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article,
-          regexp_extract_all(html, '(?s)<footer>(.*?)</footer>', 1)[1] as footer, regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[1] as title from pages)
-        select page_id, cast(len(regexp_extract_all(nav, '<a href=')) as int) as links, cast(len(regexp_extract_all(article, '<p>')) as int) as paragraphs,
-          regexp_extract_all(nav, '<ul><li><a href="([^"]*)"', 1)[1] as first_link, regexp_extract_all(html, '<html lang="([^"]*)"', 1)[1] as lang,
-          trim(regexp_replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n]+', ' ', 'g')) as title,
-          trim(regexp_replace(replace(replace(replace(regexp_replace(footer, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\n]+', ' ', 'g')) as footer,
-          cast(len(regexp_extract_all(html, '<(div|p|span) class="ad')) as int) as boxes from p""",
+    rf"""with p as (select page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) as nav, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as article,
+          regexp_replace(regexp_extract_all(html, '(?s)<footer>(.*?)</footer>', 1)[1], '<[^>]*>', chr(1), 'g') as footer,
+          regexp_replace(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[1], '<[^>]*>', chr(1), 'g') as title from pages),
+        raw as (select page_id, 'title' as what, title as value from p union all select page_id, 'footer', footer from p
+          union all select page_id, 'first_link', regexp_extract_all(nav, '<ul><li><a href="([^"]*)"', 1)[1] from p
+          union all select page_id, 'lang', regexp_extract_all(html, '<html lang="([^"]*)"', 1)[1] from p), {SQL_DECODED}
+        select p.page_id, cast(len(regexp_extract_all(nav, '<a href=')) as int) as links, cast(len(regexp_extract_all(article, '<p>')) as int) as paragraphs,
+          h.value as first_link, l.value as lang, {SQL_ONE_LINE.format('t.value')} as title, {SQL_ONE_LINE.format('f.value')} as footer,
+          cast(len(regexp_extract_all(html, '<(div|p|span) class="ad')) as int) as boxes from p
+          left join decoded t on t.page_id = p.page_id and t.what = 'title' left join decoded f on f.page_id = p.page_id and f.what = 'footer'
+          left join decoded h on h.page_id = p.page_id and h.what = 'first_link' left join decoded l on l.page_id = p.page_id and l.what = 'lang'""",
 )
 def html_selector_values(spark, folder):
     return M.selector_values(table(spark, folder, "pages").select("page_id", "html"), {
