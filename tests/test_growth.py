@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from witnessframe.functions import values as V
+from witnessframe.operators import ledger as L
 from witnessframe.operators import runs as R
 
 
@@ -38,3 +39,11 @@ def test_a_pass_is_looked_up_once_per_member(spark):
             '{"dpi":1.5}': "p.dpi must be an integer", '{"upscale":1.5}': "p.upscale: scale 1.5 must be in (0, 1] or a whole factor 2..4", '{"upscale":null,"pixel_budget":true}': "p.pixel_budget must be a non-negative number"}
     rows = spark.createDataFrame([(k,) for k in docs], "d string").select("d", R.pass_error(F.try_parse_json("d"), "p").alias("e")).collect()
     assert {r.d: r.e for r in rows} == docs
+
+
+def test_cookie_rejects_parse_a_text_once(spark):
+    texts = {None: False, "": False, " \n": False, "null": False, "false": False, '""': False, "[]": False, "{}": False, "true": True, "12": True, '"x"': True, "{broken": True, '\t[{"name":"a","value":1}]\n': False}
+    df = spark.createDataFrame([(t,) for t in texts], "raw string").withColumn("home", F.lit("u"))
+    rejects = L.cookie_rows(df, ["raw"], "raw", "home")[1]
+    assert {r.raw for r in rejects.collect()} == {t for t, bad in texts.items() if bad}
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("try_parse_json") + rejects._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1

@@ -419,7 +419,7 @@ def cookies(spark, folder):
     shaped = F.when(F.col("c_custkey") % 2 == 0, as_object).otherwise(as_list)
     broken = F.element_at(F.array(*map(F.lit, ["", "null", "{broken", "12", "false"])), (F.floor(F.col("c_custkey") / 10) % 5 + 1).cast("int"))
     raw = F.when(F.col("c_custkey") % 10 == 0, broken).otherwise(F.concat(F.lit("\n\t"), shaped))
-    df = table(spark, folder, "customer").select("c_custkey", raw.alias("raw"), F.concat(F.lit("https://"), F.col("c_nationkey").cast("string")).alias("home"))
+    df = table(spark, folder, "customer", spread=True).select("c_custkey", raw.alias("raw"), F.concat(F.lit("https://"), F.col("c_nationkey").cast("string")).alias("home"))
     return L.cookie_rows(df, ["c_custkey"], "raw", "home")
 
 

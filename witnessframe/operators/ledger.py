@@ -323,11 +323,11 @@ def cookie_rows(df: DataFrame, keys: list[str], raw: str, url: str) -> tuple[Dat
     text = F.regexp_replace(text, r"^\s+|\s+$", "")
     parsed = df.select(*keys, F.col(url).alias("_url"), text.alias("_text"), F.try_parse_json(text).alias("_json"))
     parsed = parsed.withColumn("_kind", variant_kind(F.col("_json")))
-    none = (F.col("_text") == "") | (F.col("_kind") == "null") | (F.col("_text").isin("false", '""'))
-    good = F.col("_kind").isin("list", "object")
+    # One text is judged in one expression, which the optimizer can not unfold into several parses of the same text; blank, null and false are no JSON of interest.
+    judged = let(text, lambda t: F.when(t.isin("", "false", '""'), "none").otherwise(F.coalesce(variant_kind(F.try_parse_json(t)), F.lit("broken"))))
     reason = F.lit("cookies must be an array of cookie objects or a name/value object")
-    rejects = parsed.where(~F.coalesce(none, F.lit(False)) & ~F.coalesce(good, F.lit(False))).select(*keys, reason.alias("error"))
-    parts = parsed.where(good)
+    rejects = df.select(*keys, judged.alias("_kind")).where(~F.col("_kind").isin("none", "null", "list", "object")).select(*keys, reason.alias("error"))
+    parts = parsed.where(F.col("_kind").isin("list", "object"))
     members = parts.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_json").outer()))
     name, value = F.try_variant_get("value", "$.name", "variant"), F.try_variant_get("value", "$.value", "variant")
     listed = members.where((F.col("_kind") == "list") & (variant_kind(F.col("value")) == "object")).where(
