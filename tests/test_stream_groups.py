@@ -5,7 +5,7 @@ import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
-from witnessframe.streaming import outcomes
+from witnessframe.streaming import lifecycle, outcomes
 from witnessframe.streaming.run import STATE_STORE, closable, run_to_end
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -117,3 +117,48 @@ def test_outcomes_across_batches(spark, tmp_path):
         (7, "a", 4, "attempt 4 of 3"), (8, "b", None, late), (9, "b", 2, None), (big, "a", 1, None),
     ]
     assert out.where(F.col("event_id").isNull()).count() == 0
+
+
+REQUEST = ["request", "kind", "url", "traced", "redirect", "told", "ended"]
+
+
+def said(ms, event_id, request, kind="open"):
+    return (ms, event_id, request, kind, "http://a/", True, False, None, None)
+
+
+def test_requests_of_a_group_share_a_timer():
+    handle, processor = Calls(), lifecycle.LegTracker(6400)
+    processor.init(handle)
+    assert fed(processor, (0,), [said(1000 + n, n, f"r{n}") for n in range(100)], REQUEST) == []
+    # A write each, the time the group is due read and written, one timer.
+    assert handle.count <= 100 + 3 and handle.timers == {7400}
+    # Late by an earlier request, the group wakes earlier.
+    assert fed(processor, (0,), [said(10, 200, "early")], REQUEST) == [] and handle.timers == {6500}
+    handle.timers.clear()
+    out = [tuple(r) for f in processor.handleExpiredTimer((0,), Watermark(7409), None) for r in f.itertuples(index=False)]
+    assert sorted(r[3] for r in out) == [*range(10), 200] and {r[5] for r in out} == {"pending"}
+    assert handle.timers == {7500} and len(handle.states["legs"].rows) == 90
+    # Over by the watermark and by its own next event, though the group was not swept yet: it starts anew.
+    out = fed(processor, (0,), [said(9000, 300, "r10"), said(7410, 301, "r11", "finished")], REQUEST, watermark=7411)
+    assert sorted((r[0], r[1], r[3], r[5], r[6]) for r in out) == [("r10", 1, 10, "pending", None), ("r11", 1, 11, "finished", 301)]
+    # Not over: the watermark has not passed it.
+    assert fed(processor, (0,), [said(9000, 302, "r12", "finished")], REQUEST, watermark=7411)[0][5] == "finished"
+    handle.timers.clear()
+    list(processor.handleExpiredTimer((0,), Watermark(10**6), None))
+    assert not handle.timers and not any(s.rows for s in handle.states.values())
+
+
+def test_legs_without_page_or_request(spark, tmp_path):
+    big = 2**60 + 1
+    at = lambda minute: DAY + datetime.timedelta(minutes=minute)
+    schema = "page_id long, request_id string, ts timestamp, event_id long, kind string, url string, redirect boolean, status int"
+    batches = [
+        [(None, "r", at(0), big, "open", "http://a/", False, None), (1, None, at(1), 2, "open", "http://a/", False, None), (1, "", at(2), 3, "open", "http://a/", False, None)],
+        [(None, "r", at(3), 4, "response", None, None, 200), (1, None, at(4), 5, "finished", None, None, None), (None, None, at(5), 6, "failed", None, None, None)],
+    ]
+    stream, close = streamed(spark, str(tmp_path / "in"), schema, batches)
+    out = run_to_end(lifecycle.track_legs(stream, "1 hour"), "legs", close)
+    rows = out.select("event_id", "page_id", "request_id", "state", "end_event_id", "status", "ts").collect()
+    assert sorted(map(tuple, rows)) == [
+        (2, 1, None, "finished", 5, None, at(1)), (3, 1, "", "pending", None, None, at(2)), (6, None, None, "orphan", None, None, at(5)), (big, None, "r", "pending", None, 200, at(0)),
+    ]
