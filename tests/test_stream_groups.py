@@ -5,7 +5,7 @@ import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
-from witnessframe.streaming import lifecycle, outcomes
+from witnessframe.streaming import lifecycle, outcomes, pages
 from witnessframe.streaming.run import STATE_STORE, closable, run_to_end
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -48,6 +48,9 @@ class Map:
     def get(self):
         return self.getValue(())
 
+    def containsKey(self, key):
+        return self._called(key in self.rows)
+
     def updateValue(self, key, value):
         self._called(self.rows.update({key: value}))
 
@@ -162,3 +165,41 @@ def test_legs_without_page_or_request(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [
         (2, 1, None, "finished", 5, None, at(1)), (3, 1, "", "pending", None, None, at(2)), (6, None, None, "orphan", None, None, at(5)), (big, None, "r", "pending", None, 200, at(0)),
     ]
+
+
+def expired(processor, watermark):
+    return [tuple(r) for f in processor.handleExpiredTimer((0,), Watermark(watermark), None) for r in f.itertuples(index=False)]
+
+
+def test_pages_of_a_group_share_a_timer():
+    handle, processor = Calls(), pages.Navigations("load", 6400)
+    processor.init(handle)
+    columns = ["page", "kind", "loader", "name"]
+    assert fed(processor, (0,), [(1000 + n, n, f"p{n}", "navigate", "L", None) for n in range(100)], columns) == []
+    assert handle.count <= 100 + 3 and handle.timers == {7400}
+    # Each page has loaders of its own.
+    assert fed(processor, (0,), [(1200, 200, "p1", "lifecycle", "M", "load"), (1201, 201, "p2", "commit", "M", None)], columns) == []
+    assert fed(processor, (0,), [(1202, 202, "p1", "commit", "M", None), (1203, 203, "p3", "lifecycle", "L", "load")], columns) == [
+        ("p1", "navigation", 1, "L", 202, "M"), ("p3", "navigation", 3, "L", 203, "L"),
+    ]
+    handle.timers.clear()
+    out = expired(processor, 7409)
+    # Pages 1, 2 and 3 have spoken since.
+    assert sorted(r[2] for r in out) == [0, 4, 5, 6, 7, 8, 9] and all(r[4] is None for r in out) and handle.timers == {7500}
+    # Page 1 is over by the watermark and by its next event, though the group was not swept yet: what it had reached is forgotten.
+    out = fed(processor, (0,), [(7700, 300, "p1", "navigate", "N", None), (7701, 301, "p1", "commit", "M", None), (7702, 302, "p2", "same_document", None, None)], columns, watermark=7650)
+    assert out == [("p2", "navigation", 2, "L", None, None)]
+    assert [k for k in handle.states["reached"].rows] == [("p3", "L")]
+    handle.timers.clear()
+    assert {r[2] for r in expired(processor, 10**6)} == {300, *range(10, 100)}
+    assert not handle.timers and not any(s.rows for s in handle.states.values())
+
+
+def test_pages_without_an_id(spark, tmp_path):
+    big = 2**60 + 1
+    at = lambda minute: DAY + datetime.timedelta(minutes=minute)
+    schema = "page_id long, ts timestamp, event_id long, kind string, loader long, name string"
+    batches = [[(None, at(0), big, "navigate", 7, None), (3, at(1), 2, "navigate", 7, None)], [(None, at(2), 3, "lifecycle", 7, "load"), (3, at(3), 4, "lifecycle", 8, "load")]]
+    stream, close = streamed(spark, str(tmp_path / "in"), schema, batches)
+    out = run_to_end(pages.navigations(stream, "load", "1 hour"), "pages", close)
+    assert sorted(map(tuple, out.select("event_id", "page_id", "loader", "done_event_id").collect())) == [(2, 3, "7", None), (big, None, "7", 3)]

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from .state import Silence, as_frame, event_columns, in_order
+
+# Pages and clocks are dealt over so many groups; fixed, as the state of a running stream is kept by group.
+GROUPS = 1024
 CLOSERS = ("finished", "failed")
 
 
@@ -18,26 +23,34 @@ def _in_order(rows: Iterator[Row]) -> list[Row]:
 
 
 class _Entries:
-    """Entries of a map state that one batch touches: each is read and written once."""
+    """Entries of a map state that one batch touches: each is read and written once. ``empty`` tells that the state holds none, so none is asked for."""
 
-    def __init__(self, state) -> None:
-        self.state, self.known, self.changed = state, {}, set()
+    def __init__(self, state, empty: bool = False) -> None:
+        self.state, self.empty, self.known, self.changed = state, empty, {}, set()
 
-    def get(self, key):
+    def get(self, *key):
         if key not in self.known:
-            self.known[key] = self.state.getValue((key,))
+            self.known[key] = None if self.empty else self.state.getValue(key)
         return self.known[key]
 
-    def put(self, key, value: tuple | None) -> None:
+    def put(self, value: tuple | None, *key) -> None:
         self.known[key] = value
         self.changed.add(key)
 
     def write(self) -> None:
         for key in self.changed:
             if self.known[key] is not None:
-                self.state.updateValue((key,), self.known[key])
-            elif self.state.containsKey((key,)):
-                self.state.removeKey((key,))
+                self.state.updateValue(key, self.known[key])
+            elif not self.empty and self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
+def _packed(*keys: str) -> Column:
+    return F.to_json(F.struct(*keys))
+
+
+def _unpacked(column: str, keys: StructType) -> list[Column]:
+    return [F.from_json(column, keys)[k].alias(k) for k in keys.names]
 
 
 def _typed(keys: DataFrame, columns: str) -> StructType:
@@ -46,13 +59,16 @@ def _typed(keys: DataFrame, columns: str) -> StructType:
 
 # ---- navigations -------------------------------------------------------------------------
 
-NAVIGATION = "what STRING, event_id BIGINT, loader STRING, done_event_id BIGINT, done_loader STRING"
-NAVIGATION_ROW = Row("page_id", "what", "event_id", "loader", "done_event_id", "done_loader")
+# A page passes through the state as JSON, so the state does not depend on its type.
+NAVIGATION = "page STRING, what STRING, event_id BIGINT, loader STRING, done_event_id BIGINT, done_loader STRING"
+NAVIGATION_COLUMNS = [c.split()[0] for c in NAVIGATION.split(", ")]
 BEGINS = {"navigate": "navigation", "wait": "wait"}
+BEGUN = "STRUCT<event_id: BIGINT, loader: STRING, start: STRING>"
+NO_PAGE = (None, 0, None, None)
 
 
 class Navigations(StatefulProcessor):
-    """State of one page: its current loader, which loaders have reached the event, the open navigation and the open wait.
+    """State of a group of pages: per page its current loader, the open navigation and the open wait, and which loaders have reached the event.
 
     A navigation or wait comes out when it is done, when a newer one takes its place, or open when the page has been silent for ``ttl_ms``.
     """
@@ -61,68 +77,80 @@ class Navigations(StatefulProcessor):
         self.event, self.ttl_ms = event, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.page = handle.getValueState("page", "loader STRING, last_ms BIGINT")
-        self.reached = handle.getMapState("reached", "loader STRING", "yes BOOLEAN")
-        self.open = {what: handle.getValueState(what, "event_id BIGINT, loader STRING, start STRING") for what in BEGINS.values()}
+        self.silence = Silence(handle, self.ttl_ms)
+        self.pages = handle.getMapState("pages", "page STRING", f"loader STRING, last_ms BIGINT, navigation {BEGUN}, wait {BEGUN}")
+        self.reached = handle.getMapState("reached", "page STRING, loader STRING", "yes BOOLEAN")
 
-    def _ends(self, what: str, begun: tuple, r: Row, current: str | None, reached: _Entries) -> bool:
+    def _ends(self, what: str, begun: tuple, page: str, kind: str, name: str, seen: str, current: str | None, reached: _Entries) -> bool:
         _, loader, start = begun
-        hit = r.kind == "lifecycle" and r.name == self.event and r.loader is not None
-        early = r.kind == "commit" and r.loader is not None and r.loader != start and reached.get(r.loader) is not None
+        hit = kind == "lifecycle" and name == self.event and seen is not None
+        early = kind == "commit" and seen is not None and seen != start and reached.get(page, seen) is not None
         if what == "wait":
-            return r.kind == "same_document" or (hit and r.loader == current and r.loader != start) or early
+            return kind == "same_document" or (hit and seen == current and seen != start) or early
         newer = current is not None and current != start and loader is not None and current != loader
-        return (hit and r.loader == loader) or (hit and newer and r.loader == current) or (early and loader is not None and r.loader != loader)
+        return (hit and seen == loader) or (hit and newer and seen == current) or (early and loader is not None and seen != loader)
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        batch = _in_order(rows)
+    @staticmethod
+    def _open(page: str, state: tuple) -> list[tuple]:
+        return [(page, what, *begun[:2], None, None) for what, begun in zip(BEGINS.values(), state[2:]) if begun is not None]
+
+    def _forget(self, pages) -> None:
+        for key in [k for k in self.reached.keys() if k[0] in pages] if pages else ():
+            self.reached.removeKey(tuple(key))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = in_order(rows, "page", "kind", "loader", "name")
         if not batch:
             return
-        known = self.page.get()
-        current = known[0] if known else None
-        begun = {what: state.get() for what, state in self.open.items()}
-        reached = _Entries(self.reached)
-        for r in batch:
+        known, watermark = self.silence.known(), timerValues.getCurrentWatermarkInMs()
+        pages, gone, out = {}, set(), []
+        for now, _, page, *_ in batch:
+            if page not in pages:
+                stored = self.pages.getValue((page,)) if known is not None else None
+                if stored is not None and self.silence.over(stored[1], min(watermark, now // 1000)):
+                    out += self._open(page, stored)
+                    gone.add(page)
+                    stored = None
+                # Rows inside a state cannot be written back as they are.
+                pages[page] = tuple(tuple(v) if isinstance(v, tuple) else v for v in stored or NO_PAGE)
+        self._forget(gone)
+        reached = _Entries(self.reached, known is None)
+        for now, event, page, kind, loader, name in batch:
+            current, _, *opened = pages[page]
+            begun = dict(zip(BEGINS.values(), opened))
             for what, open_ in begun.items():
-                if open_ is not None and self._ends(what, open_, r, current, reached):
-                    yield NAVIGATION_ROW(*key, what, open_[0], open_[1], r.event_id, None if r.kind == "same_document" else r.loader)
+                if open_ is not None and self._ends(what, open_, page, kind, name, loader, current, reached):
+                    out.append((page, what, open_[0], open_[1], event, None if kind == "same_document" else loader))
                     begun[what] = None
-            if r.kind in BEGINS:
-                what = BEGINS[r.kind]
+            if kind in BEGINS:
+                what = BEGINS[kind]
                 if begun[what] is not None:
-                    yield NAVIGATION_ROW(*key, what, *begun[what][:2], None, None)
-                begun[what] = (r.event_id, r.loader, current)
-            elif r.kind == "commit":
-                current = r.loader
-            elif r.kind == "lifecycle" and r.loader is not None:
-                if r.name == self.event:
-                    reached.put(r.loader, (True,))
-                elif r.name == "init":
-                    reached.put(r.loader, None)
+                    out.append((page, what, *begun[what][:2], None, None))
+                begun[what] = (event, loader, current)
+            elif kind == "commit":
+                current = loader
+            elif kind == "lifecycle" and loader is not None:
+                if name == self.event:
+                    reached.put((True,), page, loader)
+                elif name == "init":
+                    reached.put(None, page, loader)
+            pages[page] = (current, now // 1000, *begun.values())
         reached.write()
-        for what, state in self.open.items():
-            if begun[what] is not None:
-                state.update(begun[what])
-            else:
-                state.clear()
-        last_ms = int(batch[-1].last_ms)
-        self.page.update((current, last_ms))
-        if known is None:
-            self.handle.registerTimer(last_ms + self.ttl_ms)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        _, last_ms = self.page.get()
-        if last_ms + self.ttl_ms > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(last_ms + self.ttl_ms)
-            return
-        for what, state in self.open.items():
-            open_ = state.get()
-            if open_ is not None:
-                yield NAVIGATION_ROW(*key, what, *open_[:2], None, None)
-            state.clear()
-        self.page.clear()
-        self.reached.clear()
+        for page, state in pages.items():
+            self.pages.updateValue((page,), state)
+        self.silence.expect(min(state[1] for state in pages.values()), known)
+        if out:
+            yield as_frame(out, NAVIGATION_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        gone = self.silence.sweep(self.pages, 1, timerValues.getCurrentWatermarkInMs())
+        if self.silence.known() is None:
+            self.reached.clear()
+        else:
+            self._forget(gone)
+        out = [row for page, state in gone.items() for row in self._open(page, state)]
+        if out:
+            yield as_frame(out, NAVIGATION_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -134,11 +162,12 @@ def navigations(events: DataFrame, event: str, delay: str, ttl_ms: int = 86_400_
     events: page_id, ts, event_id, kind, loader, name. -> ``page_id, what, event_id, loader, done_event_id, done_loader``; loaders as text.
     """
     keyed = events.withWatermark("ts", delay).select(
-        "page_id", "ts", F.unix_millis("ts").alias("last_ms"), "event_id", "kind", F.col("loader").cast("string").alias("loader"), "name"
+        F.expr(f"pmod(xxhash64(page_id), {GROUPS})").alias("share"), _packed("page_id").alias("page"), *event_columns(), "kind", F.col("loader").cast("string").alias("loader"), "name"
     )
-    return keyed.groupBy("page_id").transformWithState(
-        statefulProcessor=Navigations(event, ttl_ms), outputStructType=_typed(events.select("page_id"), NAVIGATION), outputMode="Append", timeMode="EventTime"
+    found = keyed.groupBy("share").transformWithStateInPandas(
+        statefulProcessor=Navigations(event, ttl_ms), outputStructType=NAVIGATION, outputMode="Append", timeMode="EventTime"
     )
+    return found.select(*_unpacked("page", events.select("page_id").schema), *NAVIGATION_COLUMNS[1:])
 
 
 # ---- quiet network -----------------------------------------------------------------------
@@ -173,10 +202,10 @@ class QuietNetwork(StatefulProcessor):
             live = pending.get(r.request_id) is not None
             if r.kind == "open" and not live:
                 in_flight += 1
-                pending.put(r.request_id, (True,))
+                pending.put((True,), r.request_id)
             elif r.kind in CLOSERS and live:
                 in_flight -= 1
-                pending.put(r.request_id, None)
+                pending.put(None, r.request_id)
             event, ts, ts_us = (None, None, None) if in_flight else (r.event_id, r.ts, r.ts_us)
         pending.write()
         if timer_ms is not None:
