@@ -171,6 +171,29 @@ def expired(processor, watermark):
     return [tuple(r) for f in processor.handleExpiredTimer((0,), Watermark(watermark), None) for r in f.itertuples(index=False)]
 
 
+def test_clocks_of_a_group_share_a_timer():
+    handle, processor = Calls(), pages.StepClock()
+    processor.init(handle)
+    columns = ["of", "clock", "starts", "limit_ms", "timeout_ms"]
+    out = fed(processor, (0,), [(n, n, f"c{n}", "c", True, "1000", None) for n in range(100)], columns)
+    # A write each, the time the group is due read and written, one timer.
+    assert len(out) == 100 and handle.count <= 100 + 3 and handle.timers == {1000}
+    handle.timers.clear()
+    assert sorted(r[2] for r in expired(processor, 1009)) == list(range(10)) and handle.timers == {1010}
+    # One that has run out binds a step still and is not told again when started; one that runs out by its next start is told then.
+    out = fed(processor, (0,), [(1010, 200, "c0", "c", False, None, "7"), (1011, 201, "c0", "c", True, "50", None), (1200, 202, "c99", "c", True, "5", "3"), (1201, 203, "c99", "c", False, None, "9"),
+                                (1201, 204, "no", "never", False, None, "9")], columns)
+    assert out == [
+        ("c0", "step", 200, True, None, None, 0), ("c0", "step", 201, True, None, None, 0), ("c99", "step", 202, True, None, None, 99), ("c99", "expired", 99, True, None, None, 99),
+        ("c99", "step", 203, False, 4, None, 202), ("no", "step", 204, False, None, "clock never was never started", None),
+    ]
+    handle.timers.clear()
+    # Clock 10 to 98, and those started anew; none twice.
+    assert sorted(r[2] for r in expired(processor, 10**6)) == [*range(10, 99), 201, 202] and not handle.timers
+    handle.count = 0
+    assert expired(processor, 10**6 + 1) == [] and handle.count <= 3
+
+
 def test_pages_of_a_group_share_a_timer():
     handle, processor = Calls(), pages.Navigations("load", 6400)
     processor.init(handle)

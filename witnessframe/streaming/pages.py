@@ -240,51 +240,78 @@ def network_idle(events: DataFrame, idle_ms: int, delay: str) -> DataFrame:
 
 # ---- named clocks ------------------------------------------------------------------------
 
-STEP = "what STRING, event_id BIGINT, exhausted BOOLEAN, remaining_ms BIGINT, error STRING, clock_event_id BIGINT"
-STEP_ROW = Row("page_id", "clock", *[c.split()[0] for c in STEP.split(", ")])
+STEP = "of STRING, what STRING, event_id BIGINT, exhausted BOOLEAN, remaining_ms BIGINT, error STRING, clock_event_id BIGINT"
+STEP_COLUMNS = [c.split()[0] for c in STEP.split(", ")]
 
 
 class StepClock(StatefulProcessor):
-    """One named clock of a page: which event started it last, and when it runs out.
+    """Named clocks of a group of pages: which event started each last, and when it runs out.
 
-    A step that names it comes out with the rest of its time; the clock itself comes out when it runs out before it is started again.
+    A step that names a clock comes out with the rest of its time; the clock itself comes out when it runs out before it is started again. It stays then, for
+    steps to come are bound by it still, but apart from those that run: a group has one timer, at the earliest of these, and looks through them alone.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", "event_id BIGINT, deadline_ms BIGINT, told BOOLEAN")
+        self.running = handle.getMapState("running", "of STRING", "event_id BIGINT, deadline_ms BIGINT")
+        self.told = handle.getMapState("told", "of STRING", "event_id BIGINT, deadline_ms BIGINT")
+        self.due = handle.getValueState("due", "ms BIGINT, running BOOLEAN")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        batch = _in_order(rows)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = in_order(rows, "of", "clock", "starts", "limit_ms", "timeout_ms")
         if not batch:
             return
-        clock = before = self.clock.get()
-        page, name = key
-        for r in batch:
-            exhausted, remaining, error = False, r.timeout_ms, None
+        due = self.due.get()
+        running, told = _Entries(self.running, due is None or not due[1]), _Entries(self.told, due is None)
+        out = []
+        for now_us, event, of, name, starts, limit_ms, timeout_ms in batch:
+            now, timeout_ms = now_us // 1000, None if timeout_ms is None else int(timeout_ms)
+            exhausted, remaining, error = False, timeout_ms, None
+            live = running.get(of)
+            clock = live or told.get(of)
             if clock is not None:
-                rest = clock[1] - r.now_ms
+                rest = clock[1] - now
                 exhausted = rest <= 0
-                remaining = None if exhausted else rest if r.timeout_ms is None else min(rest, r.timeout_ms)
-            elif not r.starts:
+                remaining = None if exhausted else rest if timeout_ms is None else min(rest, timeout_ms)
+            elif not starts:
                 remaining, error = None, f"clock {name} was never started"
-            yield STEP_ROW(page, name, "step", r.event_id, exhausted, remaining, error, None if clock is None else clock[0])
-            if r.starts:
-                if clock is not None and not clock[2] and clock[1] <= r.now_ms:
-                    yield STEP_ROW(page, name, "expired", clock[0], True, None, None, clock[0])
-                clock = (r.event_id, r.now_ms + r.limit_ms, False)
-        if clock is not None and clock != before:
-            if before is not None and not before[2]:
-                self.handle.deleteTimer(before[1])
-            self.clock.update(clock)
-            self.handle.registerTimer(clock[1])
+            out.append((of, "step", event, exhausted, remaining, error, None if clock is None else clock[0]))
+            if starts:
+                if live is not None and live[1] <= now:
+                    out.append((of, "expired", live[0], True, None, None, live[0]))
+                running.put((event, now + int(limit_ms)), of)
+                if live is None and clock is not None:
+                    told.put(None, of)
+        running.write()
+        told.write()
+        if running.changed:
+            first = min(running.known[k][1] for k in running.changed)
+            before = due[0] if due is not None and due[1] else None
+            if before is None or first < before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(first)
+                self.due.update((first, True))
+        yield as_frame(out, STEP_COLUMNS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        event, deadline, told = self.clock.get()
-        if not told and deadline <= expiredTimerInfo.getExpiryTimeInMs():
-            # It stays, for steps to come are bound by it still.
-            self.clock.update((event, deadline, True))
-            yield STEP_ROW(*key, "expired", event, True, None, None, event)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out, first = timerValues.getCurrentWatermarkInMs(), [], None
+        for (of,), (event, deadline) in self.running.iterator():
+            if deadline <= now:
+                out.append((of, event, deadline))
+            elif first is None or deadline < first:
+                first = deadline
+        if first is None:
+            self.running.clear()
+        for of, event, deadline in out:
+            if first is not None:
+                self.running.removeKey((of,))
+            self.told.updateValue((of,), (event, deadline))
+        if first is not None:
+            self.handle.registerTimer(first)
+        self.due.update((first, first is not None))
+        if out:
+            yield as_frame([(of, "expired", event, True, None, None, event) for of, event, _ in out], STEP_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -294,17 +321,18 @@ def step_clocks(events: DataFrame, started: Column, limit_ms: Column, timeout_ms
     """Remaining time of each step under the clock it names, as ``runs.deadlines`` computes it, and clocks that ran out.
 
     events: page_id, ts, event_id. -> ``page_id, clock, what, event_id, exhausted, remaining_ms, error, clock_event_id`` with ``what`` step or expired.
-    State is kept per page and clock, as clocks do not know of each other: a busy page spreads over tasks. Steps that name no clock need no
+    State is dealt by page and clock, as clocks do not know of each other: a busy page spreads over tasks. Steps that name no clock need no
     state and pass by it.
     """
-    now = F.unix_millis("ts")
-    named = events.withWatermark("ts", delay).select(
-        "page_id", clock.alias("clock"), "ts", "event_id", now.alias("now_ms"), started.alias("starts"), limit_ms.cast("bigint").alias("limit_ms"), timeout_ms.cast("bigint").alias("timeout_ms")
-    )
-    bound = named.where("clock is not null or event_id is null").groupBy("page_id", "clock").transformWithState(
-        statefulProcessor=StepClock(), outputStructType=_typed(named.select("page_id", "clock"), STEP), outputMode="Append", timeMode="EventTime"
+    timed = events.withWatermark("ts", delay).withColumns({"clock": clock, "starts": started, "limit_ms": limit_ms.cast("bigint"), "timeout_ms": timeout_ms.cast("bigint")})
+    named = timed.where("clock is not null or event_id is null").select(
+        F.expr(f"pmod(xxhash64(page_id, clock), {GROUPS})").alias("share"), _packed("page_id", "clock").alias("of"), *event_columns(), "clock", "starts",
+        F.col("limit_ms").cast("string").alias("limit_ms"), F.col("timeout_ms").cast("string").alias("timeout_ms"),
     )
-    free = named.where("clock is null and event_id is not null").select(
+    bound = named.groupBy("share").transformWithStateInPandas(
+        statefulProcessor=StepClock(), outputStructType=STEP, outputMode="Append", timeMode="EventTime"
+    ).select(*_unpacked("of", timed.select("page_id", "clock").schema), *STEP_COLUMNS[1:])
+    free = timed.where("clock is null and event_id is not null").select(
         "page_id", "clock", F.lit("step").alias("what"), "event_id", F.lit(False).alias("exhausted"), F.col("timeout_ms").alias("remaining_ms"),
         F.lit(None).cast("string").alias("error"), F.lit(None).cast("bigint").alias("clock_event_id"),
     )
