@@ -159,6 +159,20 @@ def test_reader_is_only_asked_for_unmet_shots(spark):
     assert sorted((r.shot_id, r.seq) for r in reads.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)]
 
 
+def test_reader_has_a_round_per_pass_still_needed(spark, monkeypatch):
+    """Numbers that no pass has and passes after the last unmet shot cost no round; each keyword row counts, and keywords span passes."""
+    texts = {(1, 0): "alpha be", (1, 300): "ta x", (1, 301): "unread", (2, 5): "a", (3, 0): "k", (3, 1): None, (3, 2): "q r", (4, 0): "free", (4, 1): "fallback"}
+    planned = spark.createDataFrame([(s, q, "fallback" if s == 4 and q else "passes", f"{s}/{q}") for s, q in texts], "shot_id int, seq int, wave string, pass string")
+    frames = spark.createDataFrame([(i, "f") for i in (1, 2, 3, 4)], "shot_id int, image string")
+    known = F.create_map(*[F.lit(v) for (s, q), t in texts.items() if t for v in (f"{s}/{q}", t)])
+    keywords = spark.createDataFrame([(1, 0, "beta"), (1, 1, "BE  ta"), (1, 2, "no"), (1, 3, "be TA"), (2, 0, "a"), (3, 0, "k q"), (3, 1, "z")], "shot_id int, kw_pos int, keyword string")
+    shots = spark.createDataFrame([(1, 0.5), (2, 0.0), (3, 1.0), (4, 0.5)], "shot_id int, min_fraction double")
+    stored, durable = [], C.durable
+    monkeypatch.setattr(C, "durable", lambda df: stored.append(df) or durable(df) if len(stored) < 20 else pytest.fail("a round per number"))
+    reads = C.read_until_met(planned, frames, lambda image, one: F.element_at(known, one), keywords, shots)
+    assert sorted((r.shot_id, r.seq) for r in reads.collect()) == [(1, 0), (1, 300), (2, 5), (3, 0), (3, 1), (3, 2), (4, 0)]
+
+
 def test_containment_of_short_and_long_phrases(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps over it"), (2, "quick  brown"), (3, "nothing")], "doc_id int, text string")
     items = spark.createDataFrame(

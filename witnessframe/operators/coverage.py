@@ -26,6 +26,8 @@ GRAM = 3
 WINDOW = 4
 # Wanted grams that a token is tested against before it is split; beyond, all its grams are looked up.
 MOST_GRAMS = 4096
+# So many shots that are still read, with their keywords, are broadcast.
+FEW_SHOTS = 1000
 
 
 def _by(reads: DataFrame, chunk: Cuts | int | None) -> Cuts | Column:
@@ -274,37 +276,56 @@ def pass_totals(kept: DataFrame) -> DataFrame:
 
 def read_until_met(planned: DataFrame, frames: DataFrame, reader, keywords: DataFrame, shots: DataFrame) -> DataFrame:
     """Read planned passes with a caller's text reader, one round per pass over the shots
-    that still need it. A round looks for keywords in its own texts and the last tokens before them only; what earlier rounds found is kept.
+    that still need it. A shot carries the keywords it has not shown yet and the last tokens before its next text from round to round, so a round
+    touches neither earlier texts nor shots that are done.
 
     planned: shot_id, seq, wave, pass; frames: shot_id, image. ``reader(image, pass)``
-    returns a text Column, usually an Arrow pandas UDF. Rounds follow the length of the
-    longest request (a short list), and every round's texts are stored once.
+    returns a text Column, usually an Arrow pandas UDF. There are as many rounds as passes in the
+    longest request (a short list) that is not met before, and every round's texts are stored once.
     """
-    rounds = planned.agg(F.max("seq")).first()[0]
     wanted = durable(_wanted(keywords))
-    phrases = wanted.select("shot_id", "phrase").distinct()
     before = (wanted.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1) - 1
-    reads = found = tails = None
-    for seq in range(0 if rounds is None else rounds + 1):
-        due = planned.where(F.col("seq") == seq)
-        if reads is not None:
-            level = shot_levels(reads, _first_seen(wanted, found), shots)
-            due = due.join(level.where("won_seq is not null").select("shot_id"), "shot_id", "left_anti")
-            unkeyed = level.where("n_keywords = 0").select("shot_id", F.lit("fallback").alias("wave"))
-            due = due.join(unkeyed, ["shot_id", "wave"], "left_anti")
-        fresh = durable(due.join(frames, "shot_id").select("shot_id", "seq", "wave", reader(F.col("image"), F.col("pass")).alias("text")))
-        reads = fresh if reads is None else reads.unionByName(fresh)
+    # A request is a short list, and so are its keywords.
+    asked = wanted.groupBy("shot_id", "phrase").agg(F.count(F.lit(1)).alias("n")).groupBy("shot_id").agg(
+        F.collect_list(F.struct("phrase", "n")).alias("pending"), F.sum("n").alias("n_keywords")
+    )
+    level = planned.select("shot_id").distinct().join(asked, "shot_id", "left").join(shots.select("shot_id", "min_fraction", F.lit(True).alias("ruled")), "shot_id", "left")
+    # Without keywords there is no fallback.
+    unkeyed = level.where("ruled and n_keywords is null").select("shot_id", F.lit("fallback").alias("wave"))
+    reading = planned.where("seq >= 0").join(unkeyed, ["shot_id", "wave"], "left_anti")
+    plan = durable(running(reading, ["shot_id"], ["seq"], _by(reading, None), sums={"place": F.lit(1).cast("bigint")}))
+    active = durable(
+        level.drop("ruled").join(plan.groupBy("shot_id").agg(F.count(F.lit(1)).alias("n_passes")), "shot_id").withColumn("tail", F.lit(""))
+    )
+    frames = durable(frames)
+    stored = left = active.count()
+    place, rounds = 0, []
+    while left:
+        place += 1
+        few = F.broadcast if left <= FEW_SHOTS else lambda df: df
+        due = plan.where(F.col("place") == place).drop("place").join(few(active), "shot_id")
+        fresh = few(due).join(frames, "shot_id").withColumn("text", reader(F.col("image"), F.col("pass")))
+        seen = fresh.withColumn("seen", norm_text(F.concat_ws(" ", "tail", "text")))
+        toks = F.split("seen", " ")
         # A keyword that begins in an earlier pass needs no more of it than the last tokens.
-        seen = fresh.select("shot_id", "seq", "text")
-        if tails is not None:
-            seen = seen.join(tails, "shot_id", "left").select("shot_id", "seq", F.concat_ws(" ", "tail", "text").alias("text"))
-        new = phrase_hits(seen, phrases, ["shot_id"])
-        found = durable(new if found is None else found.unionByName(new).groupBy("shot_id", "phrase").agg(F.min("seq").alias("seq")))
-        toks = tokens(F.col("text"))
         last = F.array_join(F.slice(toks, F.greatest(F.size(toks) - before + 1, F.lit(1)), F.lit(before)), " ") if before else F.lit("")
-        kept = seen.select("shot_id", last.alias("tail"))
-        tails = durable(kept if tails is None else kept.unionByName(tails.join(kept.select("shot_id"), "shot_id", "left_anti")))
-    return reads
+        step = seen.withColumns({"tail": last, "pending": F.filter("pending", lambda k: ~F.contains(F.col("seen"), k["phrase"]))})
+        unshown = F.aggregate("pending", F.lit(0).cast("bigint"), lambda n, k: n + k["n"])
+        met = F.coalesce((F.col("n_keywords") - unshown) / F.col("n_keywords") >= F.col("min_fraction"), F.lit(False))
+        step = durable(step.select("shot_id", "seq", "wave", "text", "n_keywords", "min_fraction", "n_passes", "pending", "tail", met.alias("met")))
+        rounds.append(step.select("shot_id", "seq", "wave", "text"))
+        active = step.where(~F.col("met") & (F.col("n_passes") > place)).drop("seq", "wave", "text", "met")
+        left = active.count()
+        if left * 2 <= stored:
+            # What is done is not scanned again.
+            stored, ids = left, active.select("shot_id")
+            plan = durable(plan.where(F.col("place") > place).join(ids, "shot_id", "left_semi"))
+            frames = durable(frames.join(ids, "shot_id", "left_semi"))
+    if not rounds:
+        return planned.select("shot_id", "seq", "wave", F.lit(None).cast("string").alias("text")).limit(0)
+    while len(rounds) > 1:  # pairwise, so that the plan of many rounds stays flat
+        rounds = [a[0].unionByName(a[1]) if len(a) > 1 else a[0] for a in (rounds[i : i + 2] for i in range(0, len(rounds), 2))]
+    return rounds[0]
 
 
 def wave_reads(planned: DataFrame) -> DataFrame:
