@@ -181,6 +181,17 @@ def test_containment_of_short_and_long_phrases(spark):
     assert sorted(map(tuple, C.containment(docs, items).collect())) == [(1, 1), (1, 2), (1, 5), (2, 2), (3, 3)]
 
 
+def test_containment_normalizes_texts_with_candidates_alone(spark, tmp_path):
+    docs = [(1, "The quick\tbrown fox jumps"), (2, "the quick brown fix jumps"), (3, None), (4, "a quick brown fox jumps and the quick brown fox")]
+    spark.createDataFrame(docs, "doc_id int, text string").write.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick brown fox jumps"), (3, "he QUICK brown fox")], "item_id int, text string")
+    found = C.containment(spark.read.parquet(str(tmp_path / "docs")), items)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (4, 1), (4, 2), (4, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Above the join with the texts that have one, and not below it.
+    assert "LeftSemi" in plan and "regexp_replace" not in plan[plan.index("LeftSemi"):]
+
+
 def test_bags(spark):
     a = spark.createDataFrame([(1, "The $5.00, the cat.")], "k int, t string")
     b = spark.createDataFrame([(1, "the dog; $5.00")], "k int, t string")

@@ -377,7 +377,10 @@ def containment(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         return short
     candidates = durable(found.distinct().join(items.select("item_id", "phrase"), "item_id"))
     extent = candidates.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)).alias("size")).first()
-    long = docs.join(small_side(candidates, extent.n, extent.size), "doc_id").where(F.col("doc").contains(F.col("phrase"))).select("doc_id", "item_id")
+    # Only texts that have a candidate are normalized again, once each; a column that may be null would be tested for it on every text.
+    again = F.coalesce(norm_text(F.col("text")), F.lit("")).alias("doc")
+    held = texts.select("doc_id", "text").join(small_side(candidates.select("doc_id"), extent.n), "doc_id", "left_semi").select("doc_id", again)
+    long = held.join(small_side(candidates, extent.n, extent.size), "doc_id").where(F.col("doc").contains(F.col("phrase"))).select("doc_id", "item_id")
     return long.unionByName(short)
 
 
