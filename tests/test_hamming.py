@@ -74,3 +74,32 @@ def test_signatures_much_alike_are_not_dealt_to_bands(spark, monkeypatch):
 def near_from(words, k, distance):
     near = np.bitwise_count(words[k : k + 300, None, :] ^ words[None, :, :]).sum(axis=2)
     return {(int(i) + k, int(j), int(near[i, j])) for i, j in zip(*np.nonzero(near <= distance)) if i + k < j}
+
+
+def test_a_pair_that_meets_in_several_bands_comes_out_of_the_first(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    bits = (draw.random((600, 512)) < 0.5).astype(np.uint8)
+    bits[300:] = bits[:300]
+    for row in bits[300:]:
+        row[draw.choice(512, draw.integers(1, 12), replace=False)] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    dealt, met, exact = [], [], hamming._exact
+
+    def seen(rows, distance, block):
+        dealt.append(rows.count())
+        pairs = exact(rows, distance, block)
+        met.extend(tuple(r)[:3] for r in pairs.collect())
+        return pairs
+
+    monkeypatch.setattr(hamming, "_exact", seen)
+    df = spark.createDataFrame([(i, [int(x) for x in w.view(np.int64)]) for i, w in enumerate(words)], "image long, words array<long>")
+    found = {tuple(r) for r in hamming.near_pairs(df, 7, 24).collect()}
+    assert found == brute(words, 7) and dealt[0] > len(words)
+    assert len(met) == len(found)
+
+
+def test_each_signature_is_made_once(spark):
+    from witnessframe.catalog.pixels import recaptures
+
+    plan = recaptures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1

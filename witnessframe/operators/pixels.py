@@ -261,9 +261,7 @@ def near_signatures(signatures: DataFrame, distance: int = 7) -> DataFrame:
     Identical captures collapse first; ``hamming.near_pairs`` finds the pairs at any distance.
     """
     known = durable(signatures.groupBy("words").agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("image")))
-    pairs = near_pairs(known, distance)
-    copies = lambda s: known.select(F.col("image").alias(f"image_{s}"), F.col("copies").alias(f"copies_{s}"))
-    return pairs.join(copies("a"), "image_a").join(copies("b"), "image_b")
+    return near_pairs(known, distance)
 
 
 # ---- gray planes ----
