@@ -219,14 +219,15 @@ def near_captures(spark, folder):
 
 def recaptures(spark, folder):
     """Whole signatures, each with a second capture that differs in up to nine bits spread over the words, and every fifth with an exact copy."""
-    words = X.gallery_words(pixels(spark, folder))
+    # Stored, as the optimizer would make each signature again for every place that reads it.
+    words = durable(X.gallery_words(pixels(spark, folder)))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("image_id") % 61).cast("int"))
     flips = (F.col("image_id") % 10).cast("int")
     changed = F.transform("words", lambda w, i: F.when(i < flips, w.bitwiseXOR(bit)).otherwise(w))
     twice = F.transform(changed, lambda w, i: F.when((i == 0) & (flips == 9), w.bitwiseXOR(F.shiftleft(bit, 1))).otherwise(w))
     one = lambda more, w: F.struct((F.col("image_id") + more).alias("image_id"), w.alias("words"))
     copy = F.when(F.col("image_id") % 5 == 0, one(2_000_000, F.col("words")))
-    # All captures of a signature in one pass, so that it is made once. A column by itself, as a lambda would read the new id in place of the old one.
+    # The new id comes after the words: within one select, a lambda would read it in place of the old one.
     each = words.withColumn("twice", twice).select(F.explode(F.array(one(0, F.col("words")), one(1_000_000, F.col("twice")), copy)).alias("c"))
     return each.where("c is not null").select("c.image_id", "c.words")
 
