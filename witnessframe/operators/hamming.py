@@ -268,14 +268,13 @@ def _exact(rows: DataFrame, distance: int, block: int) -> DataFrame:
     """
     blocks = F.greatest(F.least(F.ceil(F.col("n") / block), F.greatest(F.ceil(F.col("n") / (block * GROWN)), F.lit(FEW_BLOCKS))), F.lit(1)).cast("int")
     rows = rows.withColumn("blocks", blocks)
-    lots = max(1, (rows.agg(F.sum("blocks")).first()[0] or 0) // LOT)
+    # A lot is little data and much work, so a number of partitions is named that is not lowered by their bytes.
+    lots = max((rows.agg(F.sum("blocks")).first()[0] or 0) // LOT, 2 * rows.sparkSession.sparkContext.defaultParallelism)
     own = F.pmod(F.xxhash64("image"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y"), (F.col("own") > k).cast("int").alias("half")))
     dealt = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("bucket", "m.x", "m.y", "m.half", "image", "copies", "words", "seen", "side")
     lot = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(lots))
-    # A lot is little data and much work, so a number of partitions is named that is not lowered by their bytes.
-    parts = max(lots, 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    return dealt.withColumn("lot", lot).repartition(parts, "lot").groupBy("lot").applyInArrow(_compare(distance), PAIRS)
+    return dealt.withColumn("lot", lot).repartition(lots, "lot").groupBy("lot").applyInArrow(_compare(distance), PAIRS)
 
 
 def near_pairs(signatures: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
