@@ -103,3 +103,21 @@ def test_each_signature_is_made_once(spark):
 
     plan = recaptures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation ") + plan.count("LogicalRDD ") == 1
+
+
+def test_pairs_leave_in_parts():
+    """Of signatures much alike all pairs are results; they must not be gathered before the first one leaves."""
+    import pyarrow as pa
+
+    n = 1500
+    words = np.zeros((n, 8), np.int64)
+    words[:, 3] = np.arange(n)
+    zeros = pa.array(np.zeros(n, np.int64))
+    lot = pa.RecordBatch.from_pydict({
+        "bucket": zeros, "x": zeros, "y": zeros, "half": zeros, "image": pa.array(np.arange(n)), "copies": pa.array(np.ones(n, np.int64)), "words": pa.array(words.tolist(), pa.list_(pa.int64())),
+        "seen": pa.array([[]] * n, pa.list_(pa.int64())), "side": pa.array(np.full(n, hamming.BOTH)),
+    })
+    parts = [part.to_pydict() for part in hamming._compare(16)(iter([lot.slice(0, 700), lot.slice(700)]))]
+    assert len(parts) > 1 and max(len(part["image_a"]) for part in parts) < hamming.PART + hamming.TILE[0] * hamming.TILE[1]
+    found = [pair for part in parts for pair in zip(part["image_a"], part["image_b"], part["distance"])]
+    assert len(found) == len(set(found)) == n * (n - 1) // 2 and set(found) == brute(words.view(np.uint64), 16)

@@ -25,6 +25,7 @@ GROWN = 8
 TILE = 32, 8192  # signatures compared in one step
 SIEVE = 128  # bits that are compared first, those that differ most
 FEW_ROWS = 256  # in buckets below, all words are compared at once
+PART = 1 << 16  # about so many pairs leave a call of Python at a time
 _ONE = np.uint64(1)
 
 
@@ -227,16 +228,20 @@ FOUND = pa.schema([("image_a", pa.int64()), ("image_b", pa.int64()), ("distance"
 
 
 def _compare(distance: int):
-    """Pairs within ``distance`` inside each (bucket, block) of a lot of rows, but for those that meet in a band before."""
+    """Pairs within ``distance`` inside each (bucket, block) of a lot of rows, but for those that meet in a band before.
 
-    def work(table: pa.Table) -> pa.Table:
+    In a bucket of signatures much alike they are as many as the square of its rows, so they leave in parts while the others are looked for.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         group = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")], axis=1)
         order = np.lexsort(group.T[::-1])
         table, group = table.take(pa.array(order)).combine_chunks(), group[order]
         images, copies, words = table.column("image").to_numpy(), table.column("copies").to_numpy(), _rows(table.column("words"))
         side, half, seen = table.column("side").to_numpy(), table.column("half").to_numpy(), table.column("seen").combine_chunks()
         ends = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-        found = []
+        found, pairs = [], 0
         for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(group)]):
             if end - start < 2:
                 continue
@@ -251,12 +256,20 @@ def _compare(distance: int):
                     swap = images[i] > images[j]
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     found.append((images[i], images[j], far[kept], copies[i], copies[j]))
-        columns = [np.concatenate(c) for c in zip(*found)] if found else [[]] * len(FOUND)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
+                    pairs += len(i)
+                    if pairs >= PART:
+                        yield _found(found)
+                        found, pairs = [], 0
+        if found:
+            yield _found(found)
 
     return work
 
 
+def _found(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), FOUND)], schema=FOUND)
+
+
 PAIRS = "image_a long, image_b long, distance int, copies_a long, copies_b long"
 
 
